@@ -54,14 +54,10 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     while (open_ends := links.where("up is not null").count()) and open_ends != before:
         jumps.append(links.where("up is not null").select("tree_id", "message_id", "up"))
         above = links.select("tree_id", F.col("message_id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("above"))
+        # only messages that haven't reached their root are joined again
         step = len(jumps) - 1
-        links = written(
-            links.join(above, ["tree_id", "up"], "left").select(
-                "tree_id", "message_id", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.lit(1 << step) + F.col("above")).alias("depth"),
-            ),
-            "links",
-        )
+        climbed = links.where("up is not null").join(above, ["tree_id", "up"]).select("tree_id", "message_id", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.lit(1 << step) + F.col("above")).alias("depth"))
+        links = written(links.where("up is null").unionByName(climbed), "links")
         before = open_ends if len(jumps) > 40 else -1
     inner = nodes.select("tree_id", F.col("parent_id").alias("message_id")).where("message_id is not null").distinct()
     rank = Window.partitionBy("tree_id").orderBy(F.desc("mean"), F.desc("depth"), "message_id")
