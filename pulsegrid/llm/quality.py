@@ -14,11 +14,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Hash buckets of the multinomials: the size of the model, whatever the corpus.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 13
 #: Trusted documents that the target is learnt from, at most: those of the smallest hashed ids.
 TARGET_DOCS = 50_000
 #: Mean log ratio per n-gram under which a document is rejected.
-LEAST_RATIO = -0.6
+LEAST_RATIO = -0.12
 WINDOW = 5
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, licences, neardups, quality, sentencepieces, urls, wavelets
+from . import chats, leaks, licences, neardups, quality, sentencepieces, suffixes, urls, wavelets
 from .common import table
 
 
@@ -44,7 +44,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).drop("purity")
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op8_url_filters)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
 
 _ESCAPED = "{0}"
 for _control, _instead in chats.ESCAPES.items():
