@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chats, leaks, licences, neardups, quality, sentencepieces, suffixes, urls, wavelets
+from . import chats, leaks, licences, neardups, quality, sentencepieces, suffixes, toxicity, urls, wavelets
 from .common import table
 
 
@@ -40,6 +41,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).drop("purity")
 
@@ -52,7 +60,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
 
 _ESCAPED = "{0}"
 for _control, _instead in chats.ESCAPES.items():
