@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block:
 
 def _cut(batches: Iterator[dict], least: int, with_text: bool) -> Iterator[dict]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept", "spans") if with_text else ()))}
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept_text", "spans") if with_text else ()))}
         for text, runs in zip(batch["text"], batch["runs"]):
             spans: list[list[int]] = []
             for lo, hi in sorted((r["first"], r["last"] + least) for r in runs or ()):
@@ -357,17 +357,18 @@ def _cut(batches: Iterator[dict], least: int, with_text: bool) -> Iterator[dict]
             out["n_spans"].append(len(spans))
             out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
             if with_text:
-                out["kept"].append(left)
+                out["kept_text"].append(left.decode("utf-8", "ignore"))
                 out["spans"].append([{"start": a, "end": b} for a, b in spans])
         yield {"row": batch["row"]} | out
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: int = LEAST, with_text: bool = True, **limits: int) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id: long, text): the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (bytes) and spans.
+    """A row for each row of ``docs`` (doc_id: long, text): the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text and spans.
 
     Removes each UTF-8 byte covered by a string of ``least`` bytes that also
     starts anywhere else, in the same text or another one; overlaps count, and
-    strings are judged on the input. n_spans: maximal removed runs. A null text
+    strings are judged on the input. n_spans: maximal removed runs. kept_text: what remains,
+    without the rest of a character that a span's edge cuts. A null text
     counts as empty, shorter texts keep everything. Rows that share doc_id and
     text are copies of each other; rows without a doc_id take part like others.
     """
@@ -375,6 +376,6 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least:
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), text_bytes().alias("text")).withColumn("mark", F.xxhash64("text"))
     runs = repeated_spans(rows.select("doc_id", "mark", "text"), least, **limits).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kind = rows.schema["row"].dataType.simpleString()
-    found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start long, end long>>" * with_text
+    found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start long, end long>>" * with_text
     cut = map_rows(rows.join(runs, ["doc_id", "mark"], "left").select("row", "text", "runs"), lambda b: _cut(b, least, with_text), f"row {kind}, {found}")
-    return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept", "spans") if with_text else ()))
+    return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept_text", "spans") if with_text else ()))
