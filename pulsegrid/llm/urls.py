@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules (verdict, host, path).
@@ -68,6 +70,8 @@ def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     rows = pages.select("host", *segments(depth), "bad").groupBy("host", *[f"s{k}" for k in range(depth)])
     rows = rows.agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.lit(""))
+    # a level reads what the one before made more than once: written, so that plans don't double with each
+    rows = written(rows, "paths")
     for k in range(depth):
         node, child = ["host", "template"], f"s{k}"
         children = rows.groupBy(*node, child).agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
@@ -81,7 +85,7 @@ def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             .otherwise(F.lit("/~"))
         )
         mapped = children.join(nodes, node).select(*node, child, F.concat("template", grown).alias("_grown"))
-        rows = rows.join(mapped, [*node, child]).withColumn("template", F.col("_grown")).drop("_grown")
+        rows = written(rows.join(mapped, [*node, child]).withColumn("template", F.col("_grown")).drop("_grown"), "paths")
     whole = rows.groupBy("host", "template").agg(F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
     prior = rows.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("p")).scalar()
     purity = (F.col("_bad") + SMOOTHING * prior) / (F.col("_labelled") + SMOOTHING)
