@@ -45,3 +45,13 @@ def percent_variation(mean: Column, spread: Column) -> Column:
 
 def clamp(value: Column, low, high) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's, as an aggregate; null without spread in one of them, where the built-in one fails."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
+def slope(b: Column, a: Column) -> Column:
+    """Of the regression of b on a, as an aggregate; null without spread in a."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.var_pop(a), F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, usable
+from ..functions.columns import average_rank, correlation, slope, usable
 from ..functions.tails import correlation_p_value
 
 
@@ -36,7 +36,7 @@ def colocalization(pixels: DataFrame) -> DataFrame:
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     share = lambda c: F.avg(c.cast("double"))
     sums = p.groupBy("image_id", "threshold_a", "threshold_b").agg(
-        F.count("*").alias("n_pixels"), usable(F.corr(a, b)).alias("pearson_r"),
+        F.count("*").alias("n_pixels"), correlation(a, b).alias("pearson_r"),
         F.try_divide(F.sum(a * b), F.nullif(F.sqrt(F.sum(a * a) * F.sum(b * b)), F.lit(0.0))).alias("manders_overlap_coefficient"),
         F.when(F.sum(a) > 0, F.coalesce(F.sum(F.when(F.col("pb"), a)), F.lit(0.0)) / F.sum(a)).alias("manders_m1"),
         F.when(F.sum(b) > 0, F.coalesce(F.sum(F.when(F.col("pa"), b)), F.lit(0.0)) / F.sum(b)).alias("manders_m2"),
@@ -82,10 +82,10 @@ def agreement(pairs: DataFrame, by: tuple[str, ...] = ("pair_id",), with_p: bool
     columns = n * (square(F.avg(a) - g) + square(F.avg(b) - g))
     rest = F.greatest((total - rows * (n - 1) - columns) / (n - 1), F.lit(0.0))
     out = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr("a", "b").alias("pearson_r"), F.corr("_ra", "_rb").alias("spearman_r"),
+        F.count("*").alias("n"), correlation(a, b).alias("pearson_r"), correlation(F.col("_ra"), F.col("_rb")).alias("spearman_r"),
         F.when(n > 1, F.try_divide(rows - rest, F.nullif(rows + rest + 2 * (columns - rest) / n, F.lit(0.0)))).alias("icc_2_1"),
         F.avg(d).alias("bland_altman_bias"), F.stddev_samp(d).alias("bland_altman_sd_diff"),
-        F.regr_slope("b", "a").alias("regression_slope"), F.regr_intercept("b", "a").alias("regression_intercept"), F.regr_r2("b", "a").alias("regression_r_squared"),
+        slope(b, a).alias("regression_slope"), (F.avg(b) - slope(b, a) * F.avg(a)).alias("regression_intercept"), F.pow(correlation(a, b), F.lit(2)).alias("regression_r_squared"),
     )
     enough = F.assert_true(F.col("n") >= 3, F.lit("agreement needs three pairs or more"))
     out = out.where(enough.isNull()).withColumns({c: usable(F.col(c)) for c in ("pearson_r", "spearman_r", "icc_2_1", "regression_slope", "regression_intercept", "regression_r_squared")})
