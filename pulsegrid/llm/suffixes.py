@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,18 @@ def keyed_runs(buf: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.n
     return first, last, key[first], grams[grams == sliding(around, width, False)]
 
 
+def _pack(batches: Iterator[dict]) -> Iterator[dict]:
+    """Texts compressed one by one: what is shuffled is half of what the shuffle's own compression would leave."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield {k: batch[k] for k in ("row", "doc_id", "mark", "size")} | {"packed": [pack(t) for t in batch["text"]]}
+
+
+def _unpacked(packed: list[bytes]) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(z) for z in packed)
+
+
 def _keys(batches: Iterator[dict], least: int, gram: int) -> Iterator[dict]:
     for batch in batches:
         docs, keys = [], []
@@ -105,7 +118,7 @@ def _fragments(batches: Iterator[dict], least: int, gram: int) -> Iterator[dict]
     pool = _Pool()
     for batch in batches:
         out: dict[str, list] = {"doc_id": [], "mark": [], "start": [], "name": []}
-        for doc, mark, text, keys in zip(batch["doc_id"], batch["mark"], batch["text"], batch["keys"]):
+        for doc, mark, text, keys in zip(batch["doc_id"], batch["mark"], _unpacked(batch["packed"]), batch["keys"]):
             if len(text) < least:
                 continue
             first, last, key, _ = keyed_runs(np.frombuffer(text, np.uint8), least, gram)
@@ -308,16 +321,15 @@ def _repeats(batches: Iterator[dict], least: int, block: int) -> Iterator[dict]:
         yield emit(repeated_starts(parts, counts, least), names)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, largest_key: int = LARGEST_KEY) -> DataFrame:
+def repeated_spans(texts: DataFrame, packed: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, largest_key: int = LARGEST_KEY) -> DataFrame:
     """doc_id, mark (hash of the text), first, last: runs of starts of ``least``-byte strings that start anywhere else too.
 
-    ``docs``: doc_id, mark, text as bytes.
+    ``texts``: doc_id, text as bytes; ``packed``: doc_id, mark, size, packed.
     """
-    wanted = docs.where(F.length("text") >= least)
-    keys = written(map_rows(wanted.select("doc_id", "text"), lambda b: _keys(b, least, gram), "doc_id long, key long"), "keys")
+    keys = written(map_rows(texts.where(F.length("text") >= least).select("doc_id", "text"), lambda b: _keys(b, least, gram), "doc_id long, key long"), "keys")
     often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     by_doc = keys.join(often, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    found = written(map_rows(wanted.join(by_doc, "doc_id"), lambda b: _fragments(b, least, gram), _SCHEMA), "fragments")
+    found = written(map_rows(packed.where(F.col("size") >= least).select("doc_id", "mark", "packed").join(by_doc.hint("merge"), "doc_id"), lambda b: _fragments(b, least, gram), _SCHEMA), "fragments")
     places = found.where("doc_id is not null").select("doc_id", "mark", "start", "name")
     pieces = found.where("data is not null").select("key", "name", "n", "root", "data")
     lineage, classes, small = [], 1, None
@@ -344,7 +356,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block:
 def _cut(batches: Iterator[dict], least: int, with_text: bool) -> Iterator[dict]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept_text", "spans") if with_text else ()))}
-        for text, runs in zip(batch["text"], batch["runs"]):
+        for text, runs in zip(_unpacked(batch["packed"]), batch["runs"]):
             spans: list[list[int]] = []
             for lo, hi in sorted((r["first"], r["last"] + least) for r in runs or ()):
                 if spans and lo <= spans[-1][1]:
@@ -373,9 +385,11 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least:
     text are copies of each other; rows without a doc_id take part like others.
     """
     none = F.lit(-(1 << 63))
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), text_bytes().alias("text")).withColumn("mark", F.xxhash64("text"))
-    runs = repeated_spans(rows.select("doc_id", "mark", "text"), least, **limits).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    kind = rows.schema["row"].dataType.simpleString()
+    texts = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), text_bytes().alias("text"))
+    texts = texts.withColumn("mark", F.xxhash64("text")).withColumn("size", F.length("text").cast("long"))
+    kind = texts.schema["row"].dataType.simpleString()
+    packed = map_rows(texts, _pack, f"row {kind}, doc_id long, mark long, size long, packed binary")
+    runs = repeated_spans(texts, packed, least, **limits).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start long, end long>>" * with_text
-    cut = map_rows(rows.join(runs, ["doc_id", "mark"], "left").select("row", "text", "runs"), lambda b: _cut(b, least, with_text), f"row {kind}, {found}")
+    cut = map_rows(packed.join(runs.hint("merge"), ["doc_id", "mark"], "left").select("row", "packed", "runs"), lambda b: _cut(b, least, with_text), f"row {kind}, {found}")
     return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept_text", "spans") if with_text else ()))

@@ -99,7 +99,7 @@ def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, pr
 
 def _featured(batches: Iterator[dict], size: int) -> Iterator[dict]:
     for batch in batches:
-        yield {"doc_id": batch["doc_id"], "label": batch["label"], "features": [features(h, size) for _, h in words(batch["text"], PLAIN)]}
+        yield {"doc_id": batch["doc_id"], "label": batch["label"], "features": [features(h, size).astype("<u4").tobytes() for _, h in words(batch["text"], PLAIN)]}
 
 
 def held_out(doc_id, folds: int = FOLDS):
@@ -125,9 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     wanted = confirmed.unionByName(others.join(F.broadcast(confirmed.select("doc_id")), "doc_id", "left_anti"))
     rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(wanted), "doc_id")
     # bounded by the two numbers: distinct hashed words of each text, at most ``size``
-    found = map_rows(rows.select("doc_id", "label", "text"), lambda b: _featured(b, size), "doc_id long, label int, features array<int>")
-    taken = sorted(found.collect(), key=lambda r: (r.doc_id, r.features))
-    sets = [[np.array(r.features, np.int64) for r in taken if r.label == k] for k in (1, 0)]
+    found = map_rows(rows.select("doc_id", "label", "text"), lambda b: _featured(b, size), "doc_id long, label int, features binary")
+    taken = sorted(found.collect(), key=lambda r: (r.doc_id, bytes(r.features)))
+    sets = [[np.frombuffer(r.features, "<u4").astype(np.int32) for r in taken if r.label == k] for k in (1, 0)]
     return fit(sets[0], sets[1], prior, size)
 
 

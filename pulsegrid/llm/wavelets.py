@@ -7,7 +7,10 @@ counted and located by rank and select, and a directory of its documents.
 
 from __future__ import annotations
 
+import array
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
-        planes, zeros, now = [], [], ids
+        planes, zeros, now = [], [], ids.astype(np.uint16 if width <= 16 else np.uint32, copy=False)
         for level in reversed(range(width)):
             bit = (now >> level & 1).astype(bool)
             planes.append(np.packbits(bit))
@@ -61,13 +64,14 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: from the last plane up, each place takes its bit and the value of the place it was sent to."""
-        value = np.zeros(self.length, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        value = np.zeros(self.length, kind)
         for level, bits in enumerate(reversed(self._bits)):
-            one = bits.astype(bool)
+            one = bits.view(bool)
             zeros = self.zeros[len(self.zeros) - 1 - level]
             back = np.empty_like(value)
             back[~one] = value[:zeros]
-            back[one] = value[zeros:] | np.uint32(1 << level)
+            back[one] = value[zeros:] | kind(1 << level)
             value = back
         return value
 
@@ -106,50 +110,91 @@ class WaveletMatrix:
         return at
 
 
+#: A-Z as a-z.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Punctuation after an ASCII letter, up to white space.
+_TAIL = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=[ \t\n\r\x0b\x0c]|$)")
+
+
 class WordCoder:
-    """Ids of a text, each distinct run between ASCII spaces encoded once.
+    """Ids of a text, each distinct run between ASCII white space encoded once, without the punctuation after it.
 
-    Holds for tokenizers that never join what a space parts: the file's own
-    pre-tokenizer drops white space. Bounded: beyond ``limit`` bytes it starts anew.
+    Holds for tokenizers that fold case and never join what white space parts, nor
+    a letter and punctuation: this one's file says so. Runs of lower-case letters
+    are one word each; any other is given to the tokenizer as it stands. Bounded:
+    beyond ``limit`` bytes what is known is dropped.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 24_000_000):
+    def __init__(self, tokenizer_file: str, limit: int = 10_000_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
-        probe = "ab's 12 <|x|> Éa ,"
-        if self.model.encode(probe, add_special_tokens=False).ids != self.model.encode(probe.split(), is_pretokenized=True, add_special_tokens=False).ids:
-            raise ValueError("this tokenizer joins what spaces part")
-        self.known: dict[str, bytes] = {}
+        probe = "Ab's 12 <|x|> Éa , end."
+        if self.model.encode(probe, add_special_tokens=False).ids != self.model.encode("ab's 12 <|x|> éa , end .".split(), is_pretokenized=True, add_special_tokens=False).ids:
+            raise ValueError("this tokenizer joins what white space parts, or tells case apart")
+        self.bpe = self.model.model
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
         self.limit, self.held = limit, 0
 
-    def learn(self, wanted: set[str]) -> None:
+    def one_by_one(self, some: list[str]) -> list[bytes]:
+        coded = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(coded.ids, "<u4").tobytes()
+        of = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
+        cuts = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def joined(self, some: list[str]) -> list[bytes]:
+        """Words of letters, run together by spaces: each goes up to the one id that ends a word."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(some) or cuts[-1] != len(ids):
+            return self.one_by_one(some)
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def learn(self, wanted: set[bytes]) -> None:
         if self.held > self.limit:
             self.known, self.held = {}, 0
         new = [w for w in wanted if w not in self.known]
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            coded = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            of = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-            cuts = np.searchsorted(of, np.arange(len(some) + 1))
-            data = ids.tobytes()
-            for k, w in enumerate(some):
-                self.known[w] = data[4 * cuts[k] : 4 * cuts[k + 1]]
-                self.held += len(w)
+        self.held += sum(map(len, new))
+        letters, other = [], []
+        for w in new:
+            if w.isalpha() and w.islower():  # of bytes: ASCII letters alone
+                self.known[w] = array.array("I", [t.id for t in self.bpe.tokenize(w.decode())]).tobytes()
+            else:
+                text = w.decode()
+                simple = text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text)
+                (letters if simple else other).append((w, text))
+        for rows, encode in ((letters, self.joined), (other, self.one_by_one)):
+            for lo in range(0, len(rows), 1024):
+                keys, some = zip(*rows[lo : lo + 1024])
+                self.known.update(zip(keys, encode(list(some))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [_TAIL.sub(rb" \1", t.encode().translate(_FOLD)).split() for t in texts]
         self.learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
 
 
+_CODERS: dict[str, WordCoder] = {}
+
+
+def coder(tokenizer_file: str) -> WordCoder:
+    """One for each worker process, so that later tasks know what earlier ones met."""
+    if tokenizer_file not in _CODERS:
+        _CODERS[tokenizer_file] = WordCoder(tokenizer_file)
+    return _CODERS[tokenizer_file]
+
+
 def _encode(batches: Iterator[dict], tokenizer_file: str, end_id: int) -> Iterator[dict]:
-    coder, end = WordCoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+    known, end = coder(tokenizer_file), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for lo in range(0, len(batch["text"]), 64):
             texts = [t or "" for t in batch["text"][lo : lo + 64]]
-            ids = [np.frombuffer(x + end, "<u4") for x in coder.encode(texts)]
+            ids = [np.frombuffer(x + end, "<u4") for x in known.encode(texts)]
             # two bytes where all ids fit
             yield {"doc_id": batch["doc_id"][lo : lo + 64], "n_tokens": [len(x) for x in ids], "wide": [bool(len(x) and x.max() > 0xFFFF) for x in ids], "ids": [(x if len(x) and x.max() > 0xFFFF else x.astype("<u2")).tobytes() for x in ids]}
 
@@ -165,7 +210,7 @@ def _shard(batches: Iterator[dict], tokens_a_shard: int, width: int) -> Iterator
     part = 0
     for batch in batches:
         for part, doc, wide, ids in zip(batch["part"], batch["doc_id"], batch["wide"], batch["ids"]):
-            held.append(np.frombuffer(ids, "<u4" if wide else "<u2").astype(np.uint32))
+            held.append(np.frombuffer(ids, "<u4" if wide else "<u2"))
             docs.append(doc)
             sizes.append(len(held[-1]))
             total += sizes[-1]
