@@ -20,6 +20,8 @@ TARGET_DOCS = 50_000
 #: Mean log ratio per n-gram under which a document is rejected.
 LEAST_RATIO = -0.12
 WINDOW = 5
+#: n-grams a bucket that the corpus lends the target: a target much smaller than this can't tell its own gaps from bad text.
+LENT = 16
 
 
 def words_of(text: Column) -> Column:
@@ -64,7 +66,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS, text: str = "text") -> DataFrame:
     """One row, ``ratios``: for each bucket the log of its smoothed share in the target over that in the corpus.
 
-    All of ``docs`` count for the corpus. ``trusted`` has the doc_id of trusted
+    The target is smoothed towards the corpus, with ``LENT`` n-grams a bucket. All of ``docs`` count for the corpus. ``trusted`` has the doc_id of trusted
     documents, of which at most ``target_docs`` count for the target; their ids
     are all that is broadcast.
     """
@@ -79,9 +81,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, targ
     )
     every = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     # all buckets as one array: as many as the parameter says
+    lent = float(LENT * buckets)
     packed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    share = lambda n, of: F.log((n + 1.0) / (of + float(buckets)))
-    return packed.select(F.transform("c", lambda c: (share(c["target"], F.col("targets")) - share(c["raw"], F.col("raws"))).cast("float")).alias("ratios"))
+    share = lambda c: (c["raw"] + 1.0) / (F.col("raws") + float(buckets))
+    return packed.select(F.transform("c", lambda c: F.log((c["target"] / share(c) + lent) / (F.col("targets") + lent)).cast("float")).alias("ratios"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS, text: str = "text") -> DataFrame:
@@ -93,7 +96,8 @@ def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, bucke
     more than a fifth of the words repeat. ratio: mean log ratio of the text's
     hashed words and pairs (null without words). kept: not base_failed, and a
     ratio of ``least`` or more. Repeated rows get repeated verdicts; without
-    trusted documents the target is even over the buckets.
+    trusted documents every ratio is 0. Filter a written result: a filter right
+    on it would be moved below these steps and repeat them.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
     ratios = log_ratios(docs, trusted, buckets, target_docs, text).scalar()
