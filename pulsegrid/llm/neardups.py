@@ -9,6 +9,7 @@ counts only if the full sets confirm it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,9 +24,10 @@ BINS, BANDS = 128, 32
 SALTED = 256
 #: Of the bins, the part that must agree for a pair to be confirmed after the first stars: at a similarity of 0.8 it is five standard errors lower.
 AGREEING = 0.6
-#: Members of the buckets in which pairs are sought past the hub. Texts that are alike share some ten buckets, and the
-#: fuller ones are those that a common passage fills; a link is lost if its texts share none of this many or fewer and no hub.
+#: Buckets of up to this many members are paired by a join; fuller ones by blocks, pair for pair as well.
 PAIRED = 100
+#: Members of a fuller bucket in one block.
+BLOCK = 512
 #: For each bin, the order in which it looks for a filled one to borrow from.
 _BORROW = np.array([np.random.default_rng(1000 + k).permutation(BINS) for k in range(BINS)])
 _EDGES = np.arange(BINS + 1, dtype=np.float64)
@@ -117,6 +119,60 @@ def _agree(batches: Iterator[dict], least: int) -> Iterator[dict]:
             yield {"hub": [batch["a"][k] for k in near], "doc_id": [batch["b"][k] for k in near]}
 
 
+def _alike(one: tuple, other: tuple, least: int, found: dict[str, list]) -> None:
+    """Adds the pairs between two blocks (ids, components, bins by bin) that are of different components and agree; of a block with itself each once."""
+    for k in range(len(one[0])):
+        lo = k + 1 if one is other else 0
+        agree = (other[2][:, lo:] == one[2][:, k : k + 1]).sum(0, dtype=np.uint8)
+        near = other[0][lo:][(agree >= least) & (other[1][lo:] != one[1][k])]
+        found["hub"] += np.minimum(near, one[0][k]).tolist()
+        found["doc_id"] += np.maximum(near, one[0][k]).tolist()
+
+
+def _across(batches: Iterator[dict], least: int) -> Iterator[dict]:
+    """Pairs of blocks (bucket, i, j), each with its strays first; with j 0 the strays meet each other too."""
+    at, held = None, []
+    for batch in batches:
+        found: dict[str, list] = {"hub": [], "doc_id": []}
+        docs, parts = (np.array(batch[k], np.int64) for k in ("doc_id", "component"))
+        bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(-1, BINS)
+        keys = list(zip(batch["bucket"], batch["i"], batch["j"], batch["beside"]))
+        for key, run in groupby(range(len(keys)), keys.__getitem__):
+            run = list(run)
+            lo, hi = run[0], run[-1] + 1
+            block = docs[lo:hi], parts[lo:hi], np.ascontiguousarray(bins[lo:hi].T)
+            if key[:3] != at:
+                at, held = key[:3], []
+            if not key[3]:
+                held = [*held, block]
+            for other in held if key[3] or key[2] == 0 else ():
+                _alike(other, block, least, found)
+        yield found
+
+
+def across(fuller: DataFrame, bins: DataFrame, least: int) -> DataFrame:
+    """hub, doc_id: all pairs in a bucket of which one is a stray, from different components and with ``least`` bins alike; a pair may repeat.
+
+    ``fuller``: bucket, doc_id, component, main. A bucket's strays (not of its
+    main component) and its other members are dealt into blocks of about
+    ``BLOCK``; each block of strays meets all others, a pair of blocks at a time.
+    """
+    rows = fuller.withColumn("stray", F.col("component") != F.col("main"))
+    many = rows.groupBy("bucket").agg(F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int")).alias("mains"))
+    rows = rows.join(many, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    own, strays, mains, stray = (F.col(c) for c in ("own", "strays", "mains", "stray"))
+    # a stray leads its block against the main ones and the stray ones after it
+    leads = F.filter(F.sequence(F.lit(0), mains + strays - 1), lambda j: stray & ((j < mains) | (j - mains > own)))
+    meets = F.filter(F.sequence(F.lit(0), strays - 1), lambda i: ~stray | (i < own))
+    places = F.concat(
+        F.transform(leads, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("beside"))),
+        F.transform(meets, lambda i: F.struct(i.alias("i"), F.when(stray, mains + own).otherwise(own).alias("j"), F.lit(True).alias("beside"))),
+    )
+    dealt = rows.join(bins, "doc_id").select("bucket", F.explode(places).alias("p"), "doc_id", "component", "bins").select("bucket", "p.*", "doc_id", "component", "bins")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "beside")
+    return map_rows(dealt, lambda b: _across(b, least), "hub long, doc_id long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
@@ -152,15 +208,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     strays = rest.where("component <> main").select("bucket", "n", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), "main")
     others = rest.where(F.col("n") <= PAIRED).select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
     within = strays.where(F.col("n") <= PAIRED).join(others, "bucket").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b")
-    # a fuller bucket gets a second star, among its strays
-    fuller = strays.where(F.col("n") > PAIRED)
-    second = fuller.join(fullness.withColumnRenamed("doc_id", "a"), "a").groupBy("bucket").agg(F.max(F.struct("fullness", (-F.col("a")).alias("minus"), "of_a")).alias("top")).select("bucket", (-F.col("top.minus")).alias("b"), F.col("top.of_a").alias("of_b"))
-    again = fuller.join(second, "bucket").where("a <> b and of_a <> of_b").select("a", "b")
-    crossing = within.unionByName(again).distinct()
-    bins = chosen.dropDuplicates(["doc_id"]).select("doc_id", "bins")
-    held = written(bins, "bins")
+    crossing = within.distinct()
+    # a document of several sets has several rows of bins
+    held = written(chosen.select("doc_id", "bins").distinct(), "bins")
     beside = crossing.join(held.select(F.col("doc_id").alias("a"), F.col("bins").alias("bins_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("bins").alias("bins_b")), "b")
-    near = written(map_rows(beside, lambda b: _agree(b, int(AGREEING * BINS)), "hub long, doc_id long"), "crossing")
+    least = int(AGREEING * BINS)
+    near = map_rows(beside, lambda b: _agree(b, least), "hub long, doc_id long")
+    near = written(near.unionByName(across(rest.where(F.col("n") > PAIRED).drop("n", "hub"), held, least)).distinct(), "crossing")
     links = links.unionByName(confirmed(near, docs, width, percent))
     groups = components(links)
     found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("component_id"))

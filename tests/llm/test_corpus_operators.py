@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulsegrid.llm import graphs, leaks, neardups, quality, suffixes, toxicity, urls
@@ -85,6 +86,25 @@ def test_near_duplicates(docs, rows, monkeypatch, paired):
     assert len({c for _, c in want.values()}) < len(rows) - 150
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates_chain_in_full_buckets(spark, monkeypatch, block):
+    """Texts of which each is like its neighbours only, all in one bucket above the limit: no star or second star reaches them all."""
+    real = neardups.sketches
+    monkeypatch.setattr(neardups, "sketches", lambda d, w: real(d, w).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(0).cast("long")))))
+    monkeypatch.setattr(neardups, "BLOCK", block, raising=False)
+    rng = random.Random(8)
+    chain = [prose(rng, 200).split(" ")]
+    for k in range(90):
+        chain.append([*chain[-1]])
+        chain[-1][rng.randrange(200)] = f"step{k}"
+    common = prose(rng, 100)
+    rows = list(enumerate([*(" ".join(t) for t in chain), *(f"{prose(rng, 25)} {common}" for _ in range(60))]))
+    want = brute_components(rows, 4)
+    got = neardups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({want[i][1] for i in range(91)}) == 1
+
+
 def test_near_duplicates_empty(docs):
     assert neardups.near_duplicates(docs.limit(0)).count() == 0
 
