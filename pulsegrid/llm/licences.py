@@ -8,7 +8,7 @@ which a shunting-yard parser turns into postfix form and evaluates.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -45,45 +45,57 @@ FREEDOM = {
 
 #: All bytes but 0-9, a-z and those of non-ASCII characters part words.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 32 for b in range(256))
-_TAG = re.compile(rb"spdx-license-identifier\s*:?[ \t]*([^\r\n]{1,400})", re.I)
+_TAG = re.compile(rb"spdx-license-identifier\s*:?[ \t]*([^\r\n]+)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def to_postfix(tokens: Iterable[str]) -> list[str] | None:
-    """Shunting-yard: the expression in postfix order, or None if it isn't one."""
+def longest_postfix(tokens: Sequence[str]) -> tuple[list[str] | None, int]:
+    """Shunting-yard: the longest prefix that is an expression, in postfix order, and its tokens; None and 0 without one.
+
+    An operand or ``)`` outside all parentheses ends an expression: the last such place is kept.
+    """
     out: list[str] = []
     stack: list[str] = []
     operand_next = True
-    for token in tokens:
+    depth = upto = 0
+    for at, token in enumerate(tokens, 1):
         low = token.lower()
         if token == "(":
             if not operand_next:
-                return None
+                break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if operand_next:
-                return None
-            while stack and stack[-1] != "(":
+            if operand_next or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            depth -= 1
         elif low in _RANK:
             if operand_next:
-                return None
+                break
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand_next = True
         else:
             if not operand_next:
-                return None
+                break
             out.append(token)
             operand_next = False
-    if operand_next or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if not operand_next and not depth:
+            # operators alone are on the stack, three at most
+            upto, size, rest = at, len(out), stack[::-1]
+    return (out[:size] + rest, upto) if upto else (None, 0)
+
+
+def to_postfix(tokens: Iterable[str]) -> list[str] | None:
+    """The expression in postfix order, or None if it isn't one."""
+    tokens = list(tokens)
+    postfix, upto = longest_postfix(tokens)
+    return postfix if upto == len(tokens) else None
 
 
 def family(identifier: str) -> str:
@@ -107,11 +119,9 @@ def evaluate(postfix: list[str], freedom: Mapping[str, float] = FREEDOM) -> floa
 
 def parse_prefix(text: str) -> tuple[list[str] | None, list[str]]:
     """Postfix form of the longest run of tokens at the start of ``text`` that is an expression, and its tokens."""
-    tokens = _TOKEN.findall(text)[:64]
-    for n in range(len(tokens), 0, -1):
-        if (postfix := to_postfix(tokens[:n])) is not None:
-            return postfix, tokens[:n]
-    return None, []
+    tokens = _TOKEN.findall(text)
+    postfix, upto = longest_postfix(tokens)
+    return postfix, tokens[:upto]
 
 
 def _scan(batches: Iterator[dict], base: dict, notices: dict, tags: tuple) -> Iterator[dict]:

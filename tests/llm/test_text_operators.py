@@ -45,6 +45,20 @@ def test_licence_expression(docs):
     assert licences.to_postfix(["and"]) is None and licences.to_postfix(["(", "MIT"]) is None and licences.to_postfix([]) is None
 
 
+def test_long_licence_expressions(spark):
+    """Expressions of over 64 tokens and 400 bytes count to their end."""
+    ids = [f"Licence-{k}" for k in range(90)]
+    texts = [" OR ".join([*ids, "CC0-1.0"]), "(" + " AND ".join(["MIT", *ids, "CC-BY-NC-4.0"]) + ") and ( or", "x" * 395 + " OR Apache-2.0"]
+    docs = spark.createDataFrame([(k, f"SPDX-License-Identifier: {t}\nMIT") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
+    assert set(got[0].labels.split(",")) == {*map(str.lower, ids), "cc0"} and got[0].freedom == 1.0
+    assert set(got[1].labels.split(",")) == {*map(str.lower, ids), "mit", "cc-by-nc", "cc-by"} and got[1].freedom == 0.2
+    assert got[1].expressions == ["( " + " AND ".join(["MIT", *ids, "CC-BY-NC-4.0"]) + " )"]
+    assert got[2].labels == "apache," + "x" * 395
+    deep = ["("] * 50_000 + ["MIT"]
+    assert licences.parse_prefix(" ".join(deep)) == (None, []) and licences.parse_prefix("MIT OR ( BSD")[1] == ["MIT"]
+
+
 def test_licences_empty(docs):
     assert licences.scan_licences(docs.limit(0)).count() == 0
 
