@@ -26,7 +26,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Levels of the tree; what lies deeper is not told apart.
+#: Levels that the query's SQL tells apart; the tree itself is as deep as the deepest path.
 DEPTH = 3
 #: A node's segments vary if there are this many different ones, and at least one for every four urls.
 VARIED, URLS_EACH = 8, 4
@@ -55,19 +55,26 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     return pages.withColumn("rule", F.lit(None).cast("string") if rule is None else rule).withColumn("said", F.lit(None).cast("string") if said is None else said)
 
 
-def segments(depth: int = DEPTH):
+def deepest(pages: DataFrame) -> int:
+    """Segments of the longest path, one at least."""
+    return pages.agg(F.max(F.size(F.split(F.regexp_replace("path", "^/", ""), "/")))).first()[0] or 1
+
+
+def segments(depth: int):
     """The first ``depth`` segments of the path with each run of digits as one 0; missing ones empty."""
     split = F.split(F.regexp_replace("path", "^/", ""), "/")
     return [F.coalesce(F.regexp_replace(F.get(split, F.lit(k)), "[0-9]+", "0"), F.lit("")).alias(f"s{k}") for k in range(depth)]
 
 
-def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def template_tree(pages: DataFrame, depth: int | None = None) -> DataFrame:
     """For each host and run of segments: its template, the template's labels (labelled, bad) and purity, and whether it is rejected.
 
     ``pages``: host, path, bad (1, 0, or null without a label). Urls are counted
     for each host and run of segments first, so that a host with most of the
-    urls is a few rows from there on.
+    urls is a few rows from there on. ``depth``: levels, else as many as the
+    longest path has segments.
     """
+    depth = deepest(pages) if depth is None else depth
     rows = pages.select("host", *segments(depth), "bad").groupBy("host", *[f"s{k}" for k in range(depth)])
     rows = rows.agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.lit(""))
     # a level reads what the one before made more than once: written, so that plans don't double with each
@@ -93,7 +100,7 @@ def template_tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.join(whole, ["host", "template"]).select("host", *[f"s{k}" for k in range(depth)], "template", F.col("_labelled").alias("labelled"), F.col("_bad").alias("bad"), "purity", "rejected")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, depth: int = DEPTH) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, depth: int | None = None) -> DataFrame:
     """page_id, host, path, rule, template, purity, verdict for each row of ``pages`` (page_id, url).
 
     A page under a rule gets the rule's verdict, and is a label for the tree
@@ -102,6 +109,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     template. Repeated rows get repeated verdicts.
     """
     known = ruled(parts_of(pages.select("page_id", "url")), rules).withColumn("bad", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
+    depth = deepest(known) if depth is None else depth
     keys = ["host", *[f"s{k}" for k in range(depth)]]
     tree = template_tree(known.select("host", "path", "bad"), depth).select(*keys, "template", "purity", "rejected")
     out = known.select("page_id", "path", "rule", "said", "host", *segments(depth)).join(tree, keys)

@@ -325,6 +325,15 @@ def test_url_templates(spark):
     assert {r.template for r in tree} == {"/*/~"}
 
 
+def test_url_branches_below_the_third_segment(spark):
+    """A branch that is bad only in its fourth segment is told from its siblings."""
+    rows = [(f"http://h/a/b/c/{s}/{x}{k}", s) for s in ("spam", "fine") for x in "xy" for k in range(30)]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = urls.judge_urls(pages, rules=[("block", "h", "/a/b/c/spam/x"), ("allow", "h", "/a/b/c/fine/x")]).collect()
+    assert len(got) == len(rows)
+    assert all(r.verdict == ("block" if rows[r.page_id][1] == "spam" else "allow") for r in got)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage on what its predecessor kept, each beside its plain form."""
     import public_tokenizers
