@@ -59,6 +59,11 @@ def range_sums(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (total[ends] - total[starts]) * powers(_INVERSE, len(buf) + 1)[starts]
 
 
+def hashed_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A well-mixed hash of each byte range and its length."""
+    return mix(range_sums(buf, starts, ends) + (ends - starts).astype(U))
+
+
 def joined(texts: Sequence[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``limit`` bytes or one text: first, end, their bytes (each ends in a line feed), and the first byte of each."""
     lo = 0
@@ -78,7 +83,7 @@ def words(texts: Sequence[bytes], parts: np.ndarray, limit: int = 4_000_000) ->
     for lo, hi, buf, firsts in joined(texts, limit):
         buf = FOLD[buf]
         starts, ends = spans(buf, parts)
-        hashes = mix(range_sums(buf, starts, ends) + (ends - starts).astype(U))
+        hashes = hashed_spans(buf, starts, ends)
         cuts = np.searchsorted(starts, firsts)
         for k in range(hi - lo):
             yield lo + k, hashes[cuts[k] : cuts[k + 1]]

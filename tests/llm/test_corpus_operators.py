@@ -294,9 +294,69 @@ def test_toxicity_held_out(spark):
 def test_unlabelled_risk_is_kept_from_below_zero():
     positive = [np.array([0, k % 7 + 1]) for k in range(40)]
     unlabelled = [np.array([k % 7 + 1]) for k in range(200)] + positive[:20]
-    model = toxicity.fit(positive, unlabelled, 0.1, size=16, epochs=80)
-    assert (model.weights >= 0).all() and model.weights.argmax() == 0
-    assert model.logits([np.array([0])])[0] > 0 > model.logits([np.array([3])])[0]
+    weights, bias = toxicity.fit(positive, unlabelled, 0.1, size=16, epochs=80)
+    assert (weights >= 0).all() and weights.argmax() == 0
+    assert weights[0] + bias > 0 > weights[3] + bias
+
+
+def test_risk_and_gradient_against_plain_computation():
+    rng = random.Random(11)
+    draw = lambda: np.array(sorted(rng.sample(range(6), rng.randrange(5))), np.int64)
+    positive, unlabelled = [draw() for _ in range(9)], [draw() for _ in range(14)]
+    w, prior = np.array([rng.uniform(-2, 2) for _ in range(7)]), 0.2
+
+    def plain(w):
+        logit = lambda r: sum(w[f] for f in r) + w[6]
+        loss = lambda z: math.log(1 + math.exp(-z))
+        mean = lambda x: sum(x) / len(x)
+        return prior * mean([loss(logit(r)) for r in positive]), mean([loss(-logit(r)) for r in unlabelled]) - prior * mean([loss(-logit(r)) for r in positive])
+
+    plus, minus, grow, shrink = toxicity.risk_parts(w, positive, unlabelled, prior)
+    assert np.allclose([plus, minus], plain(w))
+    for k in range(7):
+        up, down = ([x + s * 1e-5 * (i == k) for i, x in enumerate(w)] for s in (1, -1))
+        slope = (np.array(plain(up)) - np.array(plain(down))) / 2e-5
+        assert np.allclose(slope, [grow[k], shrink[k]], atol=1e-7)
+
+
+def test_threshold_against_all_thresholds():
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.normal(1, 1, 50), rng.normal(-1, 1, 300)
+    risk = lambda t: 0.15 * (positive < t).mean() + max(0, (unlabelled >= t).mean() - 0.15 * (positive >= t).mean())
+    assert risk(toxicity.threshold(positive, unlabelled, 0.15)) <= min(risk(t) for t in np.linspace(-5, 5, 4001)) + 1e-9
+
+
+def test_toxicity_features_against_plain_python():
+    texts = ["", "Éa Éab éab éabc", "abcdefgh ABCDEFGH abcdefx abcdq", "ab, ab; a😀bcd", "\n x"]
+    sets = [set(f.tolist()) for _, f in toxicity.features([t.encode() for t in texts])]
+
+    def plain(t):
+        words = {w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))}
+        heads = Counter((n, w[:n]) for w in words for n in toxicity.BEGINNINGS if len(w) >= n)
+        return words | {(n, h, k) for (n, h), c in heads.items() for k in toxicity.LEVELS if c >= k}
+
+    want = [plain(t) for t in texts]
+    assert [len(s) for s in sets] == [len(x) for x in want]
+    assert all(len(a & b) == len(x & y) for a, x in zip(sets, want) for b, y in zip(sets, want))
+
+
+def test_toxic_words_with_a_common_beginning(spark):
+    """No word is common, but toxic texts have several different ones with one beginning; clean ones have it once, or one word again and again."""
+    rng = random.Random(5)
+    tail = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, labels = [], []
+    for i in range(800):
+        w = prose(rng, 60, 500).split(" ")
+        toxic = i % 8 == 0
+        own = [f"grumm{tail()}" for _ in range(3)] if toxic else [f"grumm{tail()}"] * (i % 4)
+        for x in own:
+            w.insert(rng.randrange(len(w)), x)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum((r.score >= 0.5) == (r.doc_id % 8 == 0) for r in held) >= 0.97 * len(held)
 
 
 URLS = [
