@@ -1,8 +1,9 @@
 """Operator 4: token ids in wavelet-matrix shards.
 
 Texts are encoded, put in ascending doc_id order and cut into shards. A shard
-is one compressed file: the bit-planes of its ids, from which tokens are read,
-counted and located by rank and select, and a directory of its documents.
+is one compressed file that holds a directory of its documents and the
+bit-planes of its ids, from which tokens are read, counted and located by rank
+and select, a block of a plane at a time.
 """
 
 from __future__ import annotations
@@ -15,85 +16,159 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, written
 
-MAGIC = b"WVMX1\0\0\0"
+MAGIC = b"WVMX2\0\0\0"
+#: Bits of a plane that are compressed together, and blocks that a reader keeps.
+BITS, HELD = 1 << 16, 32
 
 
 class WaveletMatrix:
-    """Bit-planes from the highest bit down; in each, ids with a 0 go before those with a 1, in stable order."""
-
-    def __init__(self, length: int, planes: list[np.ndarray], zeros: list[int]):
-        self.length, self.planes, self.zeros = length, planes, zeros
-        self._bits = [np.unpackbits(p, count=length) for p in planes]
-        self._ones = None
+    """A shard file, read in place: bit-planes from the highest bit down, in which ids with a 0 go before those with a 1, in stable order.
+
+    A plane is cut into blocks of ``BITS`` bits, each compressed alone, with the
+    number of ones before each. Rank looks its block up and counts inside; select
+    finds its block by search among those numbers. A look-up decompresses one
+    block of each plane and nothing else; ``HELD`` blocks are kept. Layout, all
+    little-endian: magic; ids, width, documents, bytes of the directory; for each
+    plane its zeros; for each block the ones before it; for each block and the
+    end its place; the directory (doc_ids, then sizes, then whether the doc_id is
+    there); the blocks.
+    """
 
-    @classmethod
-    def of(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
-        planes, zeros, now = [], [], ids.astype(np.uint16 if width <= 16 else np.uint32, copy=False)
-        for level in reversed(range(width)):
-            bit = (now >> level & 1).astype(bool)
-            planes.append(np.packbits(bit))
-            zeros.append(int(len(bit) - np.count_nonzero(bit)))
-            now = np.concatenate([now[~bit], now[bit]])
-        return cls(len(ids), planes, zeros)
-
-    def to_bytes(self) -> bytes:
-        body = struct.pack("<QB", self.length, len(self.planes)) + np.array(self.zeros, "<u8").tobytes() + b"".join(p.tobytes() for p in self.planes)
-        return MAGIC + zlib.compress(body, 1)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
+    def __init__(self, data: bytes):
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        body = zlib.decompress(data[len(MAGIC) :])
-        length, width = struct.unpack_from("<QB", body)
-        at, size = 9 + 8 * width, (length + 7) // 8
-        zeros = np.frombuffer(body, "<u8", width, 9).tolist()
-        return cls(length, [np.frombuffer(body, np.uint8, size, at + k * size) for k in range(width)], zeros)
-
-    @property
-    def ones(self) -> list[np.ndarray]:
-        """For each plane, the number of ones before each place."""
-        if self._ones is None:
-            self._ones = [np.concatenate([[0], np.cumsum(b, dtype=np.int64)]) for b in self._bits]
-        return self._ones
+        self.data = data
+        self.length, self.width, self.documents, self._directory = struct.unpack_from("<4Q", data, len(MAGIC))
+        self.blocks = -(-self.length // BITS)
+        at, cells = len(MAGIC) + 32, self.width * self.blocks
+        self.zeros = np.frombuffer(data, "<u8", self.width, at).tolist()
+        at += 8 * self.width
+        self._before = np.frombuffer(data, "<u8", cells, at).reshape(self.width, self.blocks)
+        self._places = np.frombuffer(data, "<u8", cells + 1, at + 8 * cells)
+        self._start = at + 16 * cells + 8
+        self._kept: dict[tuple[int, int], np.ndarray] = {}
+        self._unpack = zstandard.ZstdDecompressor().decompress
+
+    @staticmethod
+    def build(ids: np.ndarray, width: int, doc_ids: list[int | None] = (), sizes: list[int] = ()) -> bytes:
+        """The file of ``ids``, of which the documents are runs of the given sizes."""
+        now = ids.astype(np.uint16 if width <= 16 else np.uint32, copy=False)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        zeros, before, places, packed, at = [], [], [0], [], 0
+        for level in reversed(range(width)):
+            one = (now & now.dtype.type(1 << level)).astype(bool)
+            plane = np.packbits(one, bitorder="little")
+            ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BITS // 8), dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
+            before.append(np.cumsum(ones) - ones)
+            zeros.append(len(now) - int(ones.sum()))
+            for lo in range(0, len(plane), BITS // 8):
+                packed.append(pack(plane[lo : lo + BITS // 8].tobytes()))
+                at += len(packed[-1])
+                places.append(at)
+            split = np.empty_like(now)
+            np.compress(~one, now, out=split[: zeros[-1]])
+            np.compress(one, now, out=split[zeros[-1] :])
+            now = split
+        there = np.array([d is not None for d in doc_ids], np.uint8)
+        directory = pack(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + there.tobytes())
+        head = struct.pack("<4Q", len(ids), width, len(doc_ids), len(directory))
+        tables = [np.array(zeros, "<u8"), np.array(before, "<u8"), np.array(places, "<u8")]
+        return b"".join([MAGIC, head, *(t.tobytes() for t in tables), directory, *packed])
+
+    def directory(self) -> tuple[list[int | None], np.ndarray]:
+        """The documents' ids, and how many ids of tokens each has, in order."""
+        body = self._unpack(self.data[self._start : self._start + self._directory])
+        n = self.documents
+        doc_ids, there = np.frombuffer(body, "<i8", n), np.frombuffer(body, np.uint8, n, 16 * n)
+        return [d if t else None for d, t in zip(doc_ids.tolist(), there.tolist())], np.frombuffer(body, "<u8", n, 8 * n).astype(np.int64)
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """The bits of one block, eight a byte."""
+        held = self._kept.get((plane, block))
+        if held is None:
+            if len(self._kept) >= HELD:
+                self._kept.pop(next(iter(self._kept)))
+            lo, hi = self._places[plane * self.blocks + block : plane * self.blocks + block + 2].tolist()
+            at = self._start + self._directory
+            held = self._kept[plane, block] = np.frombuffer(self._unpack(self.data[at + lo : at + hi]), np.uint8)
+        return held
+
+    def _bits(self, plane: int, block: int) -> np.ndarray:
+        return np.unpackbits(self._block(plane, block), count=min(BITS, self.length - block * BITS), bitorder="little")
+
+    def _ones(self, plane: int, upto: int) -> int:
+        """Rank: ones of the plane before the place ``upto``."""
+        if upto >= self.length:
+            return self.length - self.zeros[plane]
+        block, inside = divmod(upto, BITS)
+        whole, rest = divmod(inside, 8)
+        held = self._block(plane, block)
+        last = int(held[whole] & ((1 << rest) - 1)).bit_count() if rest else 0
+        return int(self._before[plane, block]) + int(np.bitwise_count(held[:whole]).sum()) + last
+
+    def _select(self, plane: int, bit: int, which: np.ndarray) -> np.ndarray:
+        """Select: the places of the given ones (or zeros) of the plane, counted from 0, ascending."""
+        before = self._before[plane].astype(np.int64)
+        if not bit:
+            before = np.arange(self.blocks, dtype=np.int64) * BITS - before
+        blocks = np.searchsorted(before, which, "right") - 1
+        out = np.empty(len(which), np.int64)
+        for block in np.unique(blocks).tolist():
+            some = blocks == block
+            out[some] = block * BITS + np.flatnonzero(self._bits(plane, block) == bit)[which[some] - before[block]]
+        return out
 
     def tokens(self) -> np.ndarray:
         """All ids in order: from the last plane up, each place takes its bit and the value of the place it was sent to."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        kind = np.uint16 if self.width <= 16 else np.uint32
         value = np.zeros(self.length, kind)
-        for level, bits in enumerate(reversed(self._bits)):
-            one = bits.view(bool)
-            zeros = self.zeros[len(self.zeros) - 1 - level]
-            back = np.empty_like(value)
-            back[~one] = value[:zeros]
-            back[one] = value[zeros:] | kind(1 << level)
+        for plane in reversed(range(self.width)):
+            zeros = self.zeros[plane]
+            value[zeros:] |= kind(1 << (self.width - 1 - plane))
+            back, zero, one = np.empty_like(value), 0, zeros
+            for block in range(self.blocks):
+                bits = self._bits(plane, block).view(bool)
+                ones = int(np.count_nonzero(bits))
+                part = back[block * BITS : block * BITS + len(bits)]
+                part[bits] = value[one : one + ones]
+                np.logical_not(bits, out=bits)
+                part[bits] = value[zero : zero + len(bits) - ones]
+                zero, one = zero + len(bits) - ones, one + ones
             value = back
         return value
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at the given places."""
-        at = np.asarray(at, np.int64)
+        at = np.array(at, np.int64)
         value = np.zeros(len(at), np.uint32)
-        for bits, ones, zeros in zip(self._bits, self.ones, self.zeros):
-            bit = bits[at].astype(bool)
-            value = value << 1 | bit
-            at = np.where(bit, zeros + ones[at], at - ones[at])
+        for plane in range(self.width):
+            bit, ones = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            blocks = at // BITS
+            for block in np.unique(blocks).tolist():
+                some = blocks == block
+                bits = self._bits(plane, block)
+                inside = at[some] - block * BITS
+                bit[some] = bits[inside]
+                ones[some] = int(self._before[plane, block]) + np.cumsum(bits, dtype=np.int64)[inside] - bits[inside]
+            value = value << 1 | bit.astype(np.uint32)
+            at = np.where(bit == 1, self.zeros[plane] + ones, at - ones)
         return value
 
     def _range(self, token: int, upto: int) -> tuple[int, int]:
+        """Where the last plane sends the places of ``token`` before ``upto``."""
         lo, hi = 0, upto
-        if token >> len(self.planes):
+        if token < 0 or token >> self.width:
             return 0, 0
-        for level, (ones, zeros) in enumerate(zip(self.ones, self.zeros)):
-            if token >> (len(self.planes) - 1 - level) & 1:
-                lo, hi = zeros + int(ones[lo]), zeros + int(ones[hi])
-            else:
-                lo, hi = lo - int(ones[lo]), hi - int(ones[hi])
+        for plane in range(self.width):
+            first, last = self._ones(plane, lo), self._ones(plane, hi)
+            one = token >> (self.width - 1 - plane) & 1
+            lo, hi = (self.zeros[plane] + first, self.zeros[plane] + last) if one else (lo - first, hi - last)
         return lo, hi
 
     def rank(self, token: int, upto: int | None = None) -> int:
@@ -105,78 +180,69 @@ class WaveletMatrix:
         """All places of the id, ascending: select on each plane, from the last one up."""
         lo, hi = self._range(token, self.length)
         at = np.arange(lo, hi)
-        for level, (bits, zeros) in enumerate(zip(reversed(self._bits), reversed(self.zeros))):
-            at = np.flatnonzero(bits)[at - zeros] if token >> level & 1 else np.flatnonzero(bits == 0)[at]
+        for plane in reversed(range(self.width)):
+            one = token >> (self.width - 1 - plane) & 1
+            at = self._select(plane, one, at - self.zeros[plane] if one else at)
         return at
 
 
 #: A-Z as a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Punctuation after an ASCII letter, up to white space.
-_TAIL = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=[ \t\n\r\x0b\x0c]|$)")
-
-
-class WordCoder:
-    """Ids of a text, each distinct run between ASCII white space encoded once, without the punctuation after it.
-
-    Holds for tokenizers that fold case and never join what white space parts, nor
-    a letter and punctuation: this one's file says so. Runs of lower-case letters
-    are one word each; any other is given to the tokenizer as it stands. Bounded:
-    beyond ``limit`` bytes what is known is dropped.
+#: Punctuation after a letter of ASCII or Latin-1, up to white space.
+_TAIL = re.compile(rb"([.,!?;:](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:]*)(?=[ \t\n\r\x0b\x0c]|$)")
+#: How the tokenizer parts folded words of printable ASCII; its other white space and scripts aren't in such a word.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PRINTED = re.compile(rb"[!-~]+")
+#: The character by which a byte-level vocabulary writes each byte: itself if it prints, else the next one from U+0100 on.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE = {b: b for b in _PRINTS} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
+
+
+class WordCoder(dict):
+    """Ids of runs between ASCII white space, without the punctuation after them; each distinct run is encoded once, when it is first met.
+
+    Holds for tokenizers that fold case, never join what white space parts, nor
+    letters, digits and punctuation, and write bytes as characters: this one's
+    file says so. What is printable ASCII or one word of letters goes piece by
+    piece to the library's merges; any other run, and whatever could hold a
+    control token, is given to the tokenizer as it stands. Bounded: beyond
+    ``limit`` bytes what is known is dropped.
     """
 
     def __init__(self, tokenizer_file: str, limit: int = 10_000_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
-        probe = "Ab's 12 <|x|> Éa , end."
-        if self.model.encode(probe, add_special_tokens=False).ids != self.model.encode("ab's 12 <|x|> éa , end .".split(), is_pretokenized=True, add_special_tokens=False).ids:
-            raise ValueError("this tokenizer joins what white space parts, or tells case apart")
-        self.bpe = self.model.model
-        vocabulary = self.model.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.merges = self.model.model.tokenize
         self.limit, self.held = limit, 0
+        probe = "Ab's 12 it'll-x9 --'s <|x|> Éa naïve, end. ßx!? 'tis 3.14%"
+        if np.array(self.model.encode(probe, add_special_tokens=False).ids, "<u4").tobytes() != self.encode(probe):
+            raise ValueError("this tokenizer joins what white space parts, or tells case apart")
 
-    def one_by_one(self, some: list[str]) -> list[bytes]:
-        coded = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(coded.ids, "<u4").tobytes()
-        of = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-        cuts = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def joined(self, some: list[str]) -> list[bytes]:
-        """Words of letters, run together by spaces: each goes up to the one id that ends a word."""
-        ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(some) or cuts[-1] != len(ids):
-            return self.one_by_one(some)
-        data, cuts = ids.tobytes(), (4 * cuts).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def learn(self, wanted: set[bytes]) -> None:
-        if self.held > self.limit:
-            self.known, self.held = {}, 0
-        new = [w for w in wanted if w not in self.known]
-        self.held += sum(map(len, new))
-        letters, other = [], []
-        for w in new:
-            if w.isalpha() and w.islower():  # of bytes: ASCII letters alone
-                self.known[w] = array.array("I", [t.id for t in self.bpe.tokenize(w.decode())]).tobytes()
+    def piece(self, some: bytes) -> bytes:
+        """Ids of letters, a digit or punctuation alone."""
+        return array.array("I", [t.id for t in self.merges(some.decode("latin-1").translate(_BYTE))]).tobytes()
+
+    def __missing__(self, run: bytes) -> bytes:
+        if run.isalpha() and run.islower():  # of bytes: ASCII letters alone
+            ids = self.piece(run)
+        elif _PRINTED.fullmatch(run) and b"<|" not in run:
+            ids = b"".join([self.get(x) or self.piece(x) for x in _PIECES.findall(run)])
+        else:
+            text = run.decode()
+            if text.isalpha() and text.islower() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+                ids = self.piece(run)
             else:
-                text = w.decode()
-                simple = text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text)
-                (letters if simple else other).append((w, text))
-        for rows, encode in ((letters, self.joined), (other, self.one_by_one)):
-            for lo in range(0, len(rows), 1024):
-                keys, some = zip(*rows[lo : lo + 1024])
-                self.known.update(zip(keys, encode(list(some))))
+                ids = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.held += len(run)
+        self[run] = ids
+        return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_TAIL.sub(rb" \1", t.encode().translate(_FOLD)).split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+    def encode(self, text: str) -> bytes:
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+        return b"".join(map(self.__getitem__, _TAIL.sub(rb" \1", text.encode().translate(_FOLD)).split()))
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -193,10 +259,10 @@ def _encode(batches: Iterator[dict], tokenizer_file: str, end_id: int) -> Iterat
     known, end = coder(tokenizer_file), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for lo in range(0, len(batch["text"]), 64):
-            texts = [t or "" for t in batch["text"][lo : lo + 64]]
-            ids = [np.frombuffer(x + end, "<u4") for x in known.encode(texts)]
+            ids = [np.frombuffer(known.encode(t or "") + end, "<u4") for t in batch["text"][lo : lo + 64]]
+            wide = [bool(x.max() > 0xFFFF) for x in ids]
             # two bytes where all ids fit
-            yield {"doc_id": batch["doc_id"][lo : lo + 64], "n_tokens": [len(x) for x in ids], "wide": [bool(len(x) and x.max() > 0xFFFF) for x in ids], "ids": [(x if len(x) and x.max() > 0xFFFF else x.astype("<u2")).tobytes() for x in ids]}
+            yield {"doc_id": batch["doc_id"][lo : lo + 64], "n_tokens": [len(x) for x in ids], "wide": wide, "ids": [(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide)]}
 
 
 def _shard(batches: Iterator[dict], tokens_a_shard: int, width: int) -> Iterator[dict]:
@@ -205,7 +271,7 @@ def _shard(batches: Iterator[dict], tokens_a_shard: int, width: int) -> Iterator
     def flush():
         ids = np.concatenate(held)
         bits = max(width, int(ids.max()).bit_length())
-        return {"part": [part], "seq": [seq], "first": [before], "n_tokens": [total], "doc_ids": [docs], "sizes": [sizes], "data": [WaveletMatrix.of(ids, bits).to_bytes()]}
+        return {"part": [part], "seq": [seq], "first": [before], "n_tokens": [total], "data": [WaveletMatrix.build(ids, bits, docs, sizes)]}
 
     part = 0
     for batch in batches:
@@ -226,15 +292,18 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 1, tokens_a
     """Encodes every text of ``docs`` (doc_id, text), and writes the shards; returns them as read back from the shared folder.
 
     A row is a shard: part and seq (its order), first (tokens of its part before
-    it), n_tokens, doc_ids and sizes (the directory), data (the file). Documents
-    stand in ascending doc_id order, null first, rows of one doc_id by their ids;
-    a document is never cut, so that a shard has up to ``tokens_a_shard`` tokens
+    it), n_tokens, data (the file, with the directory of its documents).
+    Documents stand in ascending doc_id order, null first, rows of one doc_id by
+    a hash of their ids, then the ids; equal ones are copies in any order. A
+    document is never cut, so that a shard has up to ``tokens_a_shard`` tokens
     and one document. A null text counts as empty: the end id alone.
     """
     coded = written(map_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), lambda b: _encode(b, tokenizer_file, end_id), "doc_id long, n_tokens long, wide boolean, ids binary"), "ids")
-    ranged = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
-    schema = "part int, seq int, first long, n_tokens long, doc_ids array<bigint>, sizes array<bigint>, data binary"
-    return written(map_rows(ranged, lambda b: _shard(b, tokens_a_shard, width), schema), "shards")
+    # by the hash too, so that rows without a doc_id, however many, aren't one range
+    coded = coded.withColumn("hash", F.xxhash64("ids"))
+    ranged = coded.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "ids").withColumn("part", F.spark_partition_id())
+    schema = "part int, seq int, first long, n_tokens long, data binary"
+    return written(map_rows(ranged.drop("hash"), lambda b: _shard(b, tokens_a_shard, width), schema), "shards")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -246,15 +315,16 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 def _digests(batches: Iterator[dict]) -> Iterator[dict]:
     for batch in batches:
-        for start, docs, sizes, data in zip(batch["start"], batch["doc_ids"], batch["sizes"], batch["data"]):
-            ids = WaveletMatrix.from_bytes(data).tokens().astype("<u4", copy=False)
-            cuts = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
-            yield {"doc_id": docs, "start": (start + cuts[:-1]).tolist(), "n_tokens": sizes, "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]}
+        for start, data in zip(batch["start"], batch["data"]):
+            matrix = WaveletMatrix(data)
+            docs, sizes = matrix.directory()
+            ids, cuts = matrix.tokens().astype("<u4"), np.concatenate([[0], np.cumsum(sizes)])
+            yield {"doc_id": docs, "start": (start + cuts[:-1]).tolist(), "n_tokens": sizes, "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]}
 
 
 def document_digests(shards: DataFrame) -> DataFrame:
-    """For each document, read from the shards: doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids)."""
-    return map_rows(shard_starts(shards).select("start", "doc_ids", "sizes", "data"), _digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """For each document, read from the shard files: doc_id, start, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids)."""
+    return map_rows(shard_starts(shards).select("start", "data"), _digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
@@ -263,7 +333,7 @@ def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
     def find(batches):
         for b in batches:
             for start, data in zip(b["start"], b["data"]):
-                yield {"place": (start + WaveletMatrix.from_bytes(data).occurrences(token)).tolist()}
+                yield {"place": (start + WaveletMatrix(data).occurrences(token)).tolist()}
 
     return map_rows(shard_starts(shards).select("start", "data"), find, "place long")
 
@@ -274,7 +344,7 @@ def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
     def count(batches):
         for b in batches:
             for data in b["data"]:
-                matrix = WaveletMatrix.from_bytes(data)
+                matrix = WaveletMatrix(data)
                 yield {"token": tokens, "n": [matrix.rank(t) for t in tokens]}
 
     return map_rows(shards.select("data"), count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))

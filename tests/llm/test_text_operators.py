@@ -109,12 +109,57 @@ def test_shards_equal_the_library(docs):
     assert wavelets.document_digests(wavelets.write_shards(docs.limit(0), path)).count() == 0
 
 
-def test_wavelet_matrix():
-    ids = np.random.default_rng(0).integers(0, 50, 4001).astype(np.uint32)
-    m = wavelets.WaveletMatrix.from_bytes(wavelets.WaveletMatrix.of(ids, 6).to_bytes())
-    assert (m.tokens() == ids).all() and (m.access(np.arange(len(ids))) == ids).all()
-    for t in (0, 7, 49, 63, 64):
-        assert m.occurrences(t).tolist() == np.flatnonzero(ids == t).tolist() and m.rank(t, 1000) == (ids[:1000] == t).sum()
+def test_shards_of_null_and_repeated_ids(spark):
+    """Null doc_ids come first; rows of one doc_id, alike or not, each keep their own tokens."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    rows = [(None, "no id"), (None, None), (5, "one"), (5, "one"), (5, "another one"), (-(1 << 63), "least id"), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string").repartition(3)
+    got = sorted(wavelets.document_digests(wavelets.write_shards(docs, path, tokens_a_shard=3)).collect(), key=lambda r: r.start)
+    crc = lambda t: zlib.crc32(np.array([*model.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i is not None, i or 0, crc(t)) for i, t in rows)
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), 5, 5, 5, 7]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+
+
+@pytest.mark.parametrize("n, width", [(0, 6), (1, 6), (4001, 6), (65536, 3), (200_001, 17)])
+def test_wavelet_matrix(n, width):
+    ids = np.random.default_rng(n).integers(0, min(1 << width, 70_000), n).astype(np.uint32)
+    doc_ids, sizes = [None, -5, 7], [n // 3, 0, n - n // 3]
+    m = wavelets.WaveletMatrix(wavelets.WaveletMatrix.build(ids, width, doc_ids, sizes))
+    assert m.directory()[0] == doc_ids and m.directory()[1].tolist() == sizes
+    places = np.random.default_rng(1).permutation(n)[:5000]
+    assert (m.tokens() == ids).all() and (m.access(places) == ids[places]).all()
+    for t in {0, 7, (1 << width) - 1, 1 << width, *ids[:3].tolist()}:
+        assert m.occurrences(t).tolist() == np.flatnonzero(ids == t).tolist()
+        assert all(m.rank(t, upto) == (ids[:upto] == t).sum() for upto in {0, n // 2, n - n // 7, n})
+
+
+def test_a_look_up_needs_little_more_than_the_file():
+    import tracemalloc
+
+    ids = np.random.default_rng(2).integers(0, 49_000, 1 << 20).astype(np.uint16)
+    data = wavelets.WaveletMatrix.build(ids, 16, [1], [len(ids)])
+    tracemalloc.start()
+    m = wavelets.WaveletMatrix(data)
+    found = m.rank(777, 900_000), m.access(np.array([123_456]))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == ((ids[:900_000] == 777).sum(), ids[123_456]) and peak < len(data)
+
+
+def test_coder_equals_the_library():
+    import random
+
+    from pulsegrid.llm.wavelets import WordCoder
+
+    known, rng = WordCoder(public_tokenizers.path("word_bpe_49k.json"), limit=200), random.Random(1)
+    some = "abzAZ019'’.,!?-<|>_ éÉßſİıΑΣσςǽ  中文😀٣½Ⅷᾳ\x1f\x85\x00\n\tst re ve ll dm"
+    for _ in range(1500):
+        t = "".join(rng.choice(some) for _ in range(rng.randrange(1, 14)))
+        assert np.frombuffer(known.encode(t), "<u4").tolist() == known.model.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def brute_conversation(turns):
