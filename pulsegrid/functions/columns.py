@@ -44,7 +44,8 @@ def percent_variation(mean: Column, spread: Column) -> Column:
 
 
 def clamp(value: Column, low, high) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """The value within [low, high]; null stays null, which least and greatest would skip."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def correlation(a: Column, b: Column) -> Column:

@@ -75,7 +75,9 @@ def mann_whitney(metrics: DataFrame, with_p: bool = True) -> DataFrame:
         return out.select("metric", "n1", "n2", "u", "z")
     small = (F.least("n1", "n2") <= 8) & (F.col("ties") == 0)
     exact = _exact(F.when(small, F.col("u")), F.when(small, F.col("n1")).otherwise(1), F.when(small, F.col("n2")).otherwise(1))
-    return out.withColumn("_e", exact).withColumn("_n", F.least(normal_p_value(F.when(F.col("z").isNotNull(), F.greatest("z", F.lit(0.0)))), F.lit(1.0))).select("metric", "n1", "n2", "u", "z", F.when(small, F.col("_e")).otherwise(F.col("_n")).alias("p_value"))
+    # least and greatest skip nulls: a z that isn't defined stays null
+    normal = F.when(F.col("z").isNotNull(), F.least(normal_p_value(F.greatest("z", F.lit(0.0))), F.lit(1.0)))
+    return out.withColumn("_e", exact).withColumn("_n", normal).select("metric", "n1", "n2", "u", "z", F.when(small, F.col("_e")).otherwise(F.col("_n")).alias("p_value"))
 
 
 def kruskal_wallis(metrics: DataFrame) -> DataFrame:
