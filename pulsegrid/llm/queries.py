@@ -82,40 +82,42 @@ FROM said GROUP BY conv_id
 """
 
 
+#: Segments of a path that the SQL tells apart; the query itself follows paths to their end.
+DEPTH = 3
+
+
 def _op8_sql() -> str:
-    depth = urls.DEPTH
     fits = [(verdict, f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')", host + path) for verdict, host, path in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
     rule = " ".join(f"WHEN {test} THEN '{name}'" for _, test, name in fits)
     said = " ".join(f"WHEN {test} THEN '{verdict}'" for verdict, test, _ in fits)
-    keys = ", ".join(f"s{k}" for k in range(depth))
     levels = []
-    for k in range(depth):
+    for k in range(DEPTH):
         levels.append(f"""
-children{k} AS (SELECT host, template, s{k}, sum(n) AS n, sum(labelled) AS l, sum(bad) AS b FROM rows{k} GROUP BY ALL),
+children{k} AS (SELECT host, template, p[{k + 1}] AS c, count(*) AS n, count(said) AS l, count(*) FILTER (WHERE said = 'block') AS b FROM rows{k} WHERE len(p) > {k} GROUP BY ALL),
 nodes{k} AS (SELECT host, template, count(*) AS kinds, sum(n) AS nn, sum(l) AS ll, sum(b) AS bb FROM children{k} GROUP BY ALL),
 mapped{k} AS (
-  SELECT c.host, c.template, c.s{k}, c.template || CASE
-    WHEN c.s{k} = '' THEN ''
-    WHEN kinds >= {urls.VARIED} AND kinds * {urls.URLS_EACH} >= nn THEN '/*'
-    WHEN l > 0 AND abs(b - l * (bb / nullif(ll, 0))) > {urls.APART} * sqrt(greatest(l * (bb / nullif(ll, 0)) * (1 - bb / nullif(ll, 0)), 0)) THEN '/' || c.s{k}
-    ELSE '/~' END AS grown
+  SELECT c.host, c.template, c, CASE
+    WHEN kinds >= {urls.VARIED} AND kinds * {urls.URLS_EACH} >= nn AND n * {urls.VARIED} < nn THEN '/*'
+    WHEN l > 0 AND ll > l AND abs(b / l - (bb - b) / (ll - l)) <= {urls.APART} * sqrt(bb / ll * (1 - bb / ll) * (1 / l + 1 / (ll - l))) THEN '/~'
+    ELSE '/' || c END AS grown
   FROM children{k} c JOIN nodes{k} o ON c.host = o.host AND c.template = o.template),
-rows{k + 1} AS (SELECT r.* REPLACE (m.grown AS template) FROM rows{k} r JOIN mapped{k} m ON r.host = m.host AND r.template = m.template AND r.s{k} = m.s{k})""")
+rows{k + 1} AS (
+  SELECT r.* REPLACE (r.template || coalesce(grown, '') AS template)
+  FROM rows{k} r LEFT JOIN mapped{k} m ON r.host = m.host AND r.template = m.template AND r.p[{k + 1}] = m.c)""")
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
          regexp_extract(substring(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 known AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM parts),
-split AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS p FROM known),
-keyed AS (SELECT page_id, host, path, rule, said, {", ".join(f"coalesce(regexp_replace(p[{k + 1}], '[0-9]+', '0', 'g'), '') AS s{k}" for k in range(depth))} FROM split),
-rows0 AS (SELECT host, {keys}, count(*) AS n, count(said) AS labelled, count(*) FILTER (WHERE said = 'block') AS bad, '' AS template FROM keyed GROUP BY host, {keys}),
+rows0 AS (SELECT *, '' AS template, list_filter(string_split(path, '/'), x -> x <> '') AS p FROM known),
 {",".join(levels)},
-prior AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) AS p FROM rows{depth}),
-whole AS (SELECT host, template, (sum(bad) + {urls.SMOOTHING} * any_value(p)) / (sum(labelled) + {urls.SMOOTHING}) >= {urls.REJECT} AND sum(labelled) > 0 AS rejected FROM rows{depth}, prior GROUP BY host, template)
-SELECT y.page_id, y.host, y.path, y.rule, r.template, coalesce(y.said, CASE WHEN w.rejected THEN 'block' ELSE 'allow' END) AS verdict
-FROM keyed y JOIN rows{depth} r ON y.host = r.host AND {" AND ".join(f"y.s{k} = r.s{k}" for k in range(depth))}
-JOIN whole w ON w.host = r.host AND w.template = r.template
+prior AS (SELECT coalesce(count(*) FILTER (WHERE said = 'block') / nullif(count(said), 0), 0) AS p FROM known),
+whole AS (
+  SELECT host, template, (count(*) FILTER (WHERE said = 'block') + {urls.SMOOTHING} * any_value(prior.p)) / (count(said) + {urls.SMOOTHING}) >= {urls.REJECT} AND count(said) > 0 AS rejected
+  FROM rows{DEPTH}, prior GROUP BY host, template)
+SELECT page_id, r.host, path, rule, r.template, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows{DEPTH} r JOIN whole w ON w.host = r.host AND w.template = r.template
 """
 
 

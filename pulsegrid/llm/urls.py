@@ -1,14 +1,15 @@
 """Operator 8: URL filters, in DataFrame functions only.
 
-Given rules decide first. For the rest, a tree of path templates is grown per
-host from all urls: segments that vary become wildcards, branches whose
-labels don't differ from their siblings' are merged, and templates whose
-smoothed labelled purity is high enough are rejected.
+Given rules decide first, and are the labels for the rest: a tree of path
+templates is grown per host from all urls. Segments that vary become wildcards,
+labelled branches that don't differ from their labelled siblings are merged,
+and templates whose smoothed labelled purity is high enough are rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,14 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Levels that the query's SQL tells apart; the tree itself is as deep as the deepest path.
-DEPTH = 3
-#: A node's segments vary if there are this many different ones, and at least one for every four urls.
+#: A node's segments vary if there are this many different ones, and at least one for every four urls; one with this part of the urls stays.
 VARIED, URLS_EACH = 8, 4
-#: Standard errors by which a branch's labels must differ from all its siblings' to stay apart.
+#: Standard errors by which a branch's labels must differ from those of its siblings to stay apart.
 APART = 2.0
 #: Labels that the smoothing counts for, and the purity from which a template is rejected.
 SMOOTHING, REJECT = 4.0, 0.8
+#: Parts in which the urls of one node are dealt out, so that a host with most of the urls isn't one task.
+SALTS = 16
 
 
 def parts_of(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -55,63 +56,75 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     return pages.withColumn("rule", F.lit(None).cast("string") if rule is None else rule).withColumn("said", F.lit(None).cast("string") if said is None else said)
 
 
-def deepest(pages: DataFrame) -> int:
-    """Segments of the longest path, one at least."""
-    return pages.agg(F.max(F.size(F.split(F.regexp_replace("path", "^/", ""), "/")))).first()[0] or 1
+def salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` (with _salt) joined to the fewer rows of nodes or branches, of which every part gets a copy."""
+    return rows.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how)
 
 
-def segments(depth: int):
-    """The first ``depth`` segments of the path with each run of digits as one 0; missing ones empty."""
-    split = F.split(F.regexp_replace("path", "^/", ""), "/")
-    return [F.coalesce(F.regexp_replace(F.get(split, F.lit(k)), "[0-9]+", "0"), F.lit("")).alias(f"s{k}") for k in range(depth)]
+def branches(rows: DataFrame) -> DataFrame:
+    """host, template, child, grown, jump for each branch that isn't a wildcard: what is put behind the template, and the segments that it stands for.
 
-
-def template_tree(pages: DataFrame, depth: int | None = None) -> DataFrame:
-    """For each host and run of segments: its template, the template's labels (labelled, bad) and purity, and whether it is rejected.
-
-    ``pages``: host, path, bad (1, 0, or null without a label). Urls are counted
-    for each host and run of segments first, so that a host with most of the
-    urls is a few rows from there on. ``depth``: levels, else as many as the
-    longest path has segments.
+    ``rows``: host, template, rest (segments not yet in the template, one at
+    least), bad. A branch that stays apart goes down to where its urls part.
+    """
+    node = ["host", "template"]
+    children = rows.groupBy(*node, F.get("rest", F.lit(0)).alias("child")).agg(
+        F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.min("rest").alias("low"), F.max("rest").alias("high")
+    )
+    nodes = children.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("n").alias("nn"), F.sum("l").alias("ll"), F.sum("b").alias("bb"))
+    both = salted(children.withColumn("_salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)).cast("int")), nodes, node)
+    n, l, b, kinds, nn, ll, bb = (F.col(c) for c in ("n", "l", "b", "kinds", "nn", "ll", "bb"))
+    varies = (kinds >= VARIED) & (kinds * URLS_EACH >= nn) & (n * VARIED < nn)
+    # two shares of bad labels, the branch's own and that of its siblings without it
+    gap = F.abs(F.try_divide(b, l) - F.try_divide(bb - b, ll - l))
+    error = F.sqrt(F.try_divide(bb, ll) * (1 - F.try_divide(bb, ll)) * (F.try_divide(F.lit(1), l) + F.try_divide(F.lit(1), ll - l)))
+    merged = (l > 0) & (ll > l) & (gap <= APART * error)
+    # what is common to the least and the greatest run of segments is common to all
+    parts = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    common = F.when(parts == 0, F.size("low")).otherwise(parts - 1)
+    kept = both.where(~varies).withColumn("jump", F.when(merged, 1).otherwise(common))
+    return kept.select(*node, "child", F.when(merged, "/~").otherwise(F.concat(F.lit("/"), F.array_join(F.slice("low", 1, F.col("jump")), "/"))).alias("grown"), "jump")
+
+
+def templated(pages: DataFrame) -> DataFrame:
+    """``pages`` with template, labelled and bad_labels of that template on its host, purity, and whether it is rejected.
+
+    ``pages``: host, path, bad (1, 0, or null without a label) and any others. A
+    level reads what the one before wrote; there are as many as urls part on one
+    way down. Empty segments don't count, so a path without others has the empty
+    template. A template without labels isn't rejected, whatever its siblings.
     """
-    depth = deepest(pages) if depth is None else depth
-    rows = pages.select("host", *segments(depth), "bad").groupBy("host", *[f"s{k}" for k in range(depth)])
-    rows = rows.agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.lit(""))
-    # a level reads what the one before made more than once: written, so that plans don't double with each
-    rows = written(rows, "paths")
-    for k in range(depth):
-        node, child = ["host", "template"], f"s{k}"
-        children = rows.groupBy(*node, child).agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        nodes = children.groupBy(*node).agg(F.count("*").alias("_kinds"), F.sum("n").alias("_n"), F.sum("l").alias("_l"), F.sum("b").alias("_b"))
-        share = F.try_divide(F.col("_b"), F.col("_l"))
-        differs = F.abs(F.col("b") - F.col("l") * share) > APART * F.sqrt(F.col("l") * share * (1 - share))
-        grown = (
-            F.when(F.col(child) == "", F.lit(""))
-            .when((F.col("_kinds") >= VARIED) & (F.col("_kinds") * URLS_EACH >= F.col("_n")), F.lit("/*"))
-            .when((F.col("l") > 0) & differs, F.concat(F.lit("/"), F.col(child)))
-            .otherwise(F.lit("/~"))
-        )
-        mapped = children.join(nodes, node).select(*node, child, F.concat("template", grown).alias("_grown"))
-        rows = written(rows.join(mapped, [*node, child]).withColumn("template", F.col("_grown")).drop("_grown"), "paths")
-    whole = rows.groupBy("host", "template").agg(F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
-    prior = rows.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("p")).scalar()
-    purity = (F.col("_bad") + SMOOTHING * prior) / (F.col("_labelled") + SMOOTHING)
-    whole = whole.withColumn("purity", purity).withColumn("rejected", (F.col("purity") >= REJECT) & (F.col("_labelled") > 0))
-    return rows.join(whole, ["host", "template"]).select("host", *[f"s{k}" for k in range(depth)], "template", F.col("_labelled").alias("labelled"), F.col("_bad").alias("bad"), "purity", "rejected")
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, depth: int | None = None) -> DataFrame:
+    own = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")
+    rows = pages.select(own, "host", "bad", F.lit("").alias("template"), F.array_remove(F.split("path", "/"), "").alias("rest"))
+    rows = written(rows.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")), "paths")
+    done = []
+    while True:
+        done.append(rows.where(F.size("rest") == 0))
+        rows = rows.where(F.size("rest") > 0)
+        if rows.isEmpty():
+            break
+        grown = salted(rows.withColumn("child", F.get("rest", F.lit(0))), branches(rows), ["host", "template", "child"], "left")
+        jump = F.coalesce("jump", F.lit(1))
+        rows = written(
+            grown.select("row", "host", "bad", F.concat("template", F.coalesce("grown", F.lit("/*"))).alias("template"), F.slice("rest", jump + 1, F.greatest(F.size("rest") - jump, F.lit(0))).alias("rest"), "_salt"), "paths"
+        )
+    rows = reduce(DataFrame.unionByName, done)
+    whole = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_labels"))
+    prior = whole.agg(F.coalesce(F.try_divide(F.sum("bad_labels"), F.sum("labelled")), F.lit(0.0)).alias("p")).scalar()
+    purity = (F.col("bad_labels") + SMOOTHING * prior) / (F.col("labelled") + SMOOTHING)
+    whole = whole.withColumn("purity", purity).withColumn("rejected", (F.col("purity") >= REJECT) & (F.col("labelled") > 0))
+    return salted(rows, whole, ["host", "template"]).select("row.*", "template", "labelled", "bad_labels", "purity", "rejected")
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, template, purity, verdict for each row of ``pages`` (page_id, url).
 
     A page under a rule gets the rule's verdict, and is a label for the tree
     (block: bad); any other is blocked if its template is rejected, else
     allowed. Templates are null-free: a url without host or path has the empty
-    template. Repeated rows get repeated verdicts.
+    template. Repeated rows get repeated verdicts; other columns are ignored,
+    whatever their names.
     """
     known = ruled(parts_of(pages.select("page_id", "url")), rules).withColumn("bad", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
-    depth = deepest(known) if depth is None else depth
-    keys = ["host", *[f"s{k}" for k in range(depth)]]
-    tree = template_tree(known.select("host", "path", "bad"), depth).select(*keys, "template", "purity", "rejected")
-    out = known.select("page_id", "path", "rule", "said", "host", *segments(depth)).join(tree, keys)
     verdict = F.coalesce("said", F.when(F.col("rejected"), "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    return templated(known.drop("url")).select("page_id", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))

@@ -375,14 +375,72 @@ def test_url_rules(spark):
     assert urls.judge_urls(table.limit(0)).count() == 0
 
 
-def test_url_templates(spark):
-    rows = [("h", f"/shop/{k}/x", 1 if k < 30 else None) for k in range(40)] + [("h", f"/news/{k}/x", 0 if k < 30 else None) for k in range(40)] + [("g", "/a/b", None)]
-    tree = urls.template_tree(spark.createDataFrame(rows, "host string, path string, bad int")).collect()
-    found = {(r.host, r.s0): (r.template, r.rejected) for r in tree}
-    assert found["h", "shop"][1] and not found["h", "news"][1] and not found["g", "a"][1]
-    many = [("h", f"/{chr(97 + k)}{chr(97 + k)}/p", None) for k in range(20)]
-    tree = urls.template_tree(spark.createDataFrame(many, "host string, path string, bad int")).collect()
-    assert {r.template for r in tree} == {"/*/~"}
+def brute_templates(rows):
+    """The template tree by recursion over plain lists: rows (host, path, bad) to {(host, path): template} and the rejected (host, template)."""
+    found = {}
+
+    def grow(host, template, group):
+        by = {}
+        for segments, path, bad in group:
+            if segments:
+                by.setdefault(segments[0], []).append((segments[1:], path, bad))
+            else:
+                found[host, path] = template
+        urls_here = sum(map(len, by.values()))
+        labels = {c: [bad for _, _, bad in g if bad is not None] for c, g in by.items()}
+        together = {}
+        for c, g in by.items():
+            own, others = labels[c], [x for d in by if d != c for x in labels[d]]
+            if len(by) >= urls.VARIED and len(by) * urls.URLS_EACH >= urls_here and len(g) * urls.VARIED < urls_here:
+                name = "/*"
+            elif own and others:
+                p = sum(own + others) / len(own + others)
+                near = abs(sum(own) / len(own) - sum(others) / len(others)) <= urls.APART * math.sqrt(p * (1 - p) * (1 / len(own) + 1 / len(others)))
+                name = "/~" if near else "/" + c
+            else:
+                name = "/" + c
+            together.setdefault(name, []).extend(g)
+        for name, g in together.items():
+            grow(host, template + name, g)
+
+    for host in {r[0] for r in rows}:
+        grow(host, "", [([x for x in path.split("/") if x], path, bad) for h, path, bad in rows if h == host])
+    labels = [bad for _, _, bad in rows if bad is not None]
+    prior, tallies = (sum(labels) / len(labels) if labels else 0), {}
+    for h, path, bad in rows:
+        tallies.setdefault((h, found[h, path]), []).extend([] if bad is None else [bad])
+    return found, {k for k, x in tallies.items() if x and (sum(x) + urls.SMOOTHING * prior) / (len(x) + urls.SMOOTHING) >= urls.REJECT}
+
+
+def test_url_tree_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for host in ("big", "mid", "small", ""):
+        for _ in range({"big": 900, "mid": 150, "small": 5, "": 3}[host]):
+            top = rng.choice(["shop", "news", "forum", "wiki"] if host != "mid" else ["news", "forum", "wiki"])
+            rest = [str(rng.randrange(500)), *rng.choice([[], ["x"], ["x", "y"], ["deep", "way", "down", rng.choice("ab")], [""]])]
+            bad = rng.choice([None, None, int(rng.random() < {"shop": 0.9, "news": 0.1, "forum": 0.12, "wiki": 0.5}[top])]) if top != "wiki" else None
+            rows.append((host, "/".join(["", *([] if rng.random() < 0.03 else [top, *rest])]), bad))
+    rows += [("long", "/" + "/".join(str(k) for k in range(400)), 1), ("long", "/" + "/".join(str(k) for k in range(300)), None), ("long", "/" + "q" * 20000, None), ("long", "///", None)]
+    rows += rows[:7]
+    want, rejected = brute_templates(rows)
+    pages = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], "host string, path string, bad int, template string, rest int").repartition(5).withColumnRenamed("template", "other")
+    got = urls.templated(pages).collect()
+    assert len(got) == len(rows) and rejected
+    for r in got:
+        assert r.template == want[r.host, r.path] and r.rejected == ((r.host, r.template) in rejected), r
+    assert {"/shop/*", "/wiki/*"} <= {r.template for r in got if r.host == "big"} and "/~/*" in {r.template for r in got if r.host == "mid"}
+    assert urls.templated(pages.limit(0)).count() == 0
+
+
+def test_labels_of_one_branch_say_nothing_of_another(spark):
+    """What a rule blocks on /en/ leaves /fr/ of the same host alone; a wildcard takes its labels to the pages beside them."""
+    paths = [f"/en/{k}" for k in range(60)] + [f"/fr/{k}" for k in range(60)] + [f"/shop/a{k}/x" for k in range(30)] + [f"/shop/b{k}/x" for k in range(30)]
+    pages = spark.createDataFrame([(k, f"http://h.com{p}") for k, p in enumerate(paths)], "page_id long, url string")
+    got = {paths[r.page_id]: r for r in urls.judge_urls(pages, rules=[("block", "h.com", "/en/"), ("block", "h.com", "/shop/a")]).collect()}
+    assert got["/en/3"].rule and got["/en/3"].verdict == "block"
+    assert not got["/fr/3"].rule and got["/fr/3"].template == "/fr/*" and got["/fr/3"].verdict == "allow"
+    assert not got["/shop/b3/x"].rule and got["/shop/b3/x"].template == got["/shop/a3/x"].template and got["/shop/b3/x"].verdict == "block"
 
 
 def test_url_branches_below_the_third_segment(spark):
