@@ -110,7 +110,7 @@ parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
          regexp_extract(substring(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 known AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM parts),
-rows0 AS (SELECT *, '' AS template, list_filter(string_split(path, '/'), x -> x <> '') AS p FROM known),
+rows0 AS (SELECT *, '' AS template, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM known),
 {",".join(levels)},
 prior AS (SELECT coalesce(count(*) FILTER (WHERE said = 'block') / nullif(count(said), 0), 0) AS p FROM known),
 whole AS (

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import map_rows, text_bytes, written
 
 MAGIC = b"WVMX2\0\0\0"
 #: Bits of a plane that are compressed together, and blocks that a reader keeps.
@@ -62,19 +62,20 @@ class WaveletMatrix:
         pack = zstandard.ZstdCompressor(level=1).compress
         zeros, before, places, packed, at = [], [], [0], [], 0
         for level in reversed(range(width)):
-            one = (now & now.dtype.type(1 << level)).astype(bool)
-            plane = np.packbits(one, bitorder="little")
-            ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BITS // 8), dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
-            before.append(np.cumsum(ones) - ones)
-            zeros.append(len(now) - int(ones.sum()))
-            for lo in range(0, len(plane), BITS // 8):
-                packed.append(pack(plane[lo : lo + BITS // 8].tobytes()))
+            # a block at a time, so that it stays in the cache
+            halves, ones, bit = ([], []), [], now.dtype.type(1 << level)
+            for lo in range(0, len(now), BITS):
+                part = now[lo : lo + BITS]
+                one = (part & bit).astype(bool)
+                packed.append(pack(np.packbits(one, bitorder="little").tobytes()))
                 at += len(packed[-1])
                 places.append(at)
-            split = np.empty_like(now)
-            np.compress(~one, now, out=split[: zeros[-1]])
-            np.compress(one, now, out=split[zeros[-1] :])
-            now = split
+                halves[1].append(part[np.flatnonzero(one)])
+                halves[0].append(part[np.flatnonzero(~one)])
+                ones.append(len(halves[1][-1]))
+            before.append(np.cumsum(ones) - ones)
+            zeros.append(len(now) - sum(ones))
+            now = np.concatenate([now[:0], *halves[0], *halves[1]])
         there = np.array([d is not None for d in doc_ids], np.uint8)
         directory = pack(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + there.tobytes())
         head = struct.pack("<4Q", len(ids), width, len(doc_ids), len(directory))
@@ -134,12 +135,13 @@ class WaveletMatrix:
             back, zero, one = np.empty_like(value), 0, zeros
             for block in range(self.blocks):
                 bits = self._bits(plane, block).view(bool)
-                ones = int(np.count_nonzero(bits))
                 part = back[block * BITS : block * BITS + len(bits)]
-                part[bits] = value[one : one + ones]
-                np.logical_not(bits, out=bits)
-                part[bits] = value[zero : zero + len(bits) - ones]
-                zero, one = zero + len(bits) - ones, one + ones
+                at = np.flatnonzero(bits)
+                part[at] = value[one : one + len(at)]
+                one += len(at)
+                at = np.flatnonzero(~bits)
+                part[at] = value[zero : zero + len(at)]
+                zero += len(at)
             value = back
         return value
 
@@ -205,44 +207,47 @@ class WordCoder(dict):
     letters, digits and punctuation, and write bytes as characters: this one's
     file says so. What is printable ASCII or one word of letters goes piece by
     piece to the library's merges; any other run, and whatever could hold a
-    control token, is given to the tokenizer as it stands. Bounded: beyond
-    ``limit`` bytes what is known is dropped.
+    control token, is given to the tokenizer as it stands. Bounded: after
+    ``limit`` bytes of runs it starts anew, and of the ones before keeps what is
+    met again.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 10_000_000):
+    def __init__(self, tokenizer_file: str, limit: int = 7_000_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
         self.merges = self.model.model.tokenize
-        self.limit, self.held = limit, 0
+        self.limit, self.held, self.former = limit, 0, {}
         probe = "Ab's 12 it'll-x9 --'s <|x|> Éa naïve, end. ßx!? 'tis 3.14%"
-        if np.array(self.model.encode(probe, add_special_tokens=False).ids, "<u4").tobytes() != self.encode(probe):
+        if np.array(self.model.encode(probe, add_special_tokens=False).ids, "<u4").tobytes() != self.encode(probe.encode()):
             raise ValueError("this tokenizer joins what white space parts, or tells case apart")
 
     def piece(self, some: bytes) -> bytes:
         """Ids of letters, a digit or punctuation alone."""
         return array.array("I", [t.id for t in self.merges(some.decode("latin-1").translate(_BYTE))]).tobytes()
 
-    def __missing__(self, run: bytes) -> bytes:
+    def fresh(self, run: bytes) -> bytes:
+        """Ids of a run that isn't known."""
         if run.isalpha() and run.islower():  # of bytes: ASCII letters alone
-            ids = self.piece(run)
-        elif _PRINTED.fullmatch(run) and b"<|" not in run:
-            ids = b"".join([self.get(x) or self.piece(x) for x in _PIECES.findall(run)])
-        else:
-            text = run.decode()
-            if text.isalpha() and text.islower() and text.lower() == text and unicodedata.is_normalized("NFC", text):
-                ids = self.piece(run)
-            else:
-                ids = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.piece(run)
+        if _PRINTED.fullmatch(run) and b"<|" not in run:
+            return b"".join([self.get(x) or self.piece(x) for x in _PIECES.findall(run)])
+        text = run.decode()
+        if text.isalpha() and text.islower() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+            return self.piece(run)
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self[run] = self.former.get(run) or self.fresh(run)
         self.held += len(run)
-        self[run] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text in UTF-8, little-endian unsigned 32-bit."""
         if self.held > self.limit:
+            self.former, self.held = dict(self), 0
             self.clear()
-            self.held = 0
-        return b"".join(map(self.__getitem__, _TAIL.sub(rb" \1", text.encode().translate(_FOLD)).split()))
+        return b"".join(map(self.__getitem__, _TAIL.sub(rb" \1", text.translate(_FOLD)).split()))
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -259,7 +264,7 @@ def _encode(batches: Iterator[dict], tokenizer_file: str, end_id: int) -> Iterat
     known, end = coder(tokenizer_file), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for lo in range(0, len(batch["text"]), 64):
-            ids = [np.frombuffer(known.encode(t or "") + end, "<u4") for t in batch["text"][lo : lo + 64]]
+            ids = [np.frombuffer(known.encode(t) + end, "<u4") for t in batch["text"][lo : lo + 64]]
             wide = [bool(x.max() > 0xFFFF) for x in ids]
             # two bytes where all ids fit
             yield {"doc_id": batch["doc_id"][lo : lo + 64], "n_tokens": [len(x) for x in ids], "wide": wide, "ids": [(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide)]}
@@ -298,7 +303,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 1, tokens_a
     document is never cut, so that a shard has up to ``tokens_a_shard`` tokens
     and one document. A null text counts as empty: the end id alone.
     """
-    coded = written(map_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), lambda b: _encode(b, tokenizer_file, end_id), "doc_id long, n_tokens long, wide boolean, ids binary"), "ids")
+    coded = written(map_rows(docs.select("doc_id", text_bytes().alias("text")), lambda b: _encode(b, tokenizer_file, end_id), "doc_id long, n_tokens long, wide boolean, ids binary"), "ids")
     # by the hash too, so that rows without a doc_id, however many, aren't one range
     coded = coded.withColumn("hash", F.xxhash64("ids"))
     ranged = coded.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "ids").withColumn("part", F.spark_partition_id())
