@@ -1,9 +1,10 @@
 """Operator 9: benchmark decontamination.
 
-Windows of a text as long as an item get a SimHash of their shingles. Items are
-indexed by blocks of their fingerprint bits, one more than the radius, so that
-a fingerprint within the radius agrees with its item in some block. What the
-index returns is verified by the exact similarity of weighted shingles.
+Windows of a text as long as an item get a SimHash of their shingles. The
+fingerprints of the items are indexed by blocks of bits: of ``m`` blocks one at
+least differs in no more than an ``m``-th of the radius, so that the items
+within the radius are among those that some block returns. Only these are
+verified, by the exact similarity of weighted shingles.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
-from .hashing import PLAIN, U, mix, shingles, words
+from .common import map_rows, written
+from .hashing import PLAIN, U, shingles, words
 
 WIDTH, PERCENT, RADIUS = 5, 80, 18
+#: Blocks of a fingerprint: few and wide, so that a random item agrees with one in seven windows at the default radius.
+BLOCKS = 4
+#: Items that block values have been found to return, kept by a task.
+KEPT = 4_000_000
 #: Bytes of items that one index holds; more items are a further pass over the texts.
 INDEX_BYTES = 8_000_000
 #: Windows whose fingerprints are computed at a time.
@@ -26,9 +31,13 @@ CHUNK = 4096
 
 
 class ItemIndex:
-    """The items of one block: shingles with weights, fingerprints, and for each run of bits the items by its value."""
+    """Items with their shingles' weights, their fingerprints, and for each block of bits the items by its value.
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, radius: int = RADIUS):
+    ``often``: in how many items of the whole benchmark each shingle is, and how
+    many items there are; else these items are the whole.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, radius: int = RADIUS, often: tuple[dict[int, int], int] | None = None, blocks: int = BLOCKS):
         self.width, self.radius = width, radius
         hashed = [h for _, h in words([t.encode() for _, t in items], PLAIN)]
         kept = [k for k, h in enumerate(hashed) if len(h)]
@@ -39,7 +48,9 @@ class ItemIndex:
         # a shingle of few items weighs more, in sixteenths so that sums are exact
         every = np.concatenate([np.unique(s) for s in sets]) if sets else np.zeros(0, U)
         self.known, seen = np.unique(every, return_counts=True)
-        most = np.log(len(kept) + 1.0)
+        if often:
+            seen = np.array([often[0].get(int(s), n) for s, n in zip(self.known.view(np.int64), seen)], np.int64)
+        most = np.log((often[1] if often else len(kept)) + 1.0)
         self.weights = np.rint(16 * (1 + most - np.log(seen))).astype(np.int64)
         self.rare = int(np.rint(16 * (1 + most)))
         self.counts = [np.unique(s, return_counts=True) for s in sets]
@@ -50,12 +61,11 @@ class ItemIndex:
         shingle = np.searchsorted(self.known, np.concatenate([u for u, _ in self.counts])) if sets else owner
         order = np.argsort(shingle, kind="stable")
         self.owners, self.first = owner[order], np.searchsorted(shingle[order], np.arange(len(self.known) + 1))
-        edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-        self.blocks = []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            value = self.prints >> U(lo) & U((1 << (hi - lo)) - 1)
-            order = np.argsort(value, kind="stable")
-            self.blocks.append((lo, (1 << (hi - lo)) - 1, value[order], order))
+        edges = [64 * k // blocks for k in range(blocks + 1)]
+        self.blocks = [(U(lo), U((1 << (hi - lo)) - 1)) for lo, hi in zip(edges[:-1], edges[1:])]
+        self.values = [self.prints >> lo & mask for lo, mask in self.blocks]
+        self.returned: dict[tuple[int, int], np.ndarray] = {}
+        self.held = 0
 
     def weigh(self, shingle: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -70,28 +80,47 @@ class ItemIndex:
         np.cumsum(bits * self.weigh(shingle)[:, None], axis=0, out=total[1:])
         return np.packbits(total[size:] > total[:-size], axis=1, bitorder="little").view(U).ravel()
 
-    def near(self, prints: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """For each fingerprint and each wanted item, its distance if some block agrees and it is within the radius, else 65."""
+    def agreeing(self, block: int, value: int) -> np.ndarray:
+        """Items whose block differs from the value in no more than the block's part of the radius; found once for each value."""
+        found = self.returned.get((block, value))
+        if found is None:
+            if self.held > KEPT:
+                self.returned, self.held = {}, 0
+            found = np.flatnonzero(np.bitwise_count(self.values[block] ^ U(value)) <= self.radius // len(self.blocks))
+            self.returned[block, value] = found
+            self.held += len(found) + 16
+        return found
+
+    def candidates(self, prints: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints and wanted items (places in both) that some block brings together."""
         column = np.full(len(self.prints), -1)
         column[wanted] = np.arange(len(wanted))
         met = np.zeros((len(prints), len(wanted)), bool)
-        for lo, mask, values, order in self.blocks:
-            block = prints >> U(lo) & U(mask)
-            for v in np.unique(block):
-                a, b = np.searchsorted(values, v), np.searchsorted(values, v, "right")
-                cols = column[order[a:b]]
-                met[np.ix_(block == v, cols[cols >= 0])] = True
-        far = np.bitwise_count(prints[:, None] ^ self.prints[wanted][None, :]).astype(np.int64)
-        return np.where(met & (far <= self.radius), far, 65)
+        for k, (lo, mask) in enumerate(self.blocks):
+            values, of = np.unique(prints >> lo & mask, return_inverse=True)
+            agree = np.zeros((len(values), len(wanted)), bool)
+            for v, value in enumerate(values.tolist()):
+                cols = column[self.agreeing(k, value)]
+                agree[v, cols[cols >= 0]] = True
+            met |= agree[of]
+        return np.nonzero(met)
+
+    def near(self, prints: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the candidates those within the radius, with their distance."""
+        row, col = self.candidates(prints, wanted)
+        far = np.bitwise_count(prints[row] ^ self.prints[wanted[col]]).astype(np.int64)
+        kept = far <= self.radius
+        return row[kept], col[kept], far[kept]
 
     def similarity(self, item: int, window: np.ndarray) -> float:
-        """Weighted shingles in both over those in either, with their counts."""
+        """Weighted shingles in both over those in either, with their counts; one that the item hasn't weighs as one of no item."""
         u, c = np.unique(window, return_counts=True)
         iu, ic = self.counts[item]
         _, a, b = np.intersect1d(u, iu, assume_unique=True, return_indices=True)
-        shared = int((self.weigh(u[a]) * np.minimum(c[a], ic[b])).sum())
-        either = int((self.weigh(u) * c).sum()) + int(self.totals[item]) - shared
-        return shared / either
+        weights = self.weigh(u[a])
+        shared = int((weights * np.minimum(c[a], ic[b])).sum())
+        own = int((weights * c[a]).sum()) + self.rare * int(c.sum() - c[a].sum())
+        return shared / (own + int(self.totals[item]) - shared)
 
     def search(self, hashes: np.ndarray, percent: int) -> Iterator[tuple[int, int, int, float, int]]:
         """For each item found in a text: item, first word, words, similarity, distance; the most similar window, of equals the first."""
@@ -124,48 +153,62 @@ class ItemIndex:
                     # runs of starts share the sums over what lies between
                     for run in np.split(some, np.flatnonzero(np.diff(some) > span) + 1):
                         prints = self.fingerprints(own[run[0] : run[-1] + span], span)[run - run[0]]
-                        far = self.near(prints, wanted)
-                        for r, c in zip(*np.nonzero(far <= self.radius)):
+                        for r, c, far in zip(*(x.tolist() for x in self.near(prints, wanted))):
                             s, i = int(run[r]), int(wanted[c])
                             got = self.similarity(i, own[s : s + span])
                             if 100 * got >= percent - 1e-9 and (i not in best or got > best[i][2]):
-                                best[i] = (s, span - 1 + int(width), got, int(far[r, c]))
+                                best[i] = (s, span - 1 + int(width), got, far)
                 for i, (s, n, got, d) in best.items():
                     yield i, s, n, got, d
 
 
 def _search(batches: Iterator[dict], index: ItemIndex, percent: int) -> Iterator[dict]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "first_word", "n_words", "similarity", "distance")}
+        out: dict[str, list] = {k: [] for k in ("row", "item_id", "first_word", "n_words", "similarity", "distance")}
         for at, hashes in words(batch["text"], PLAIN):
             for i, s, n, got, d in index.search(hashes, percent) if len(index.ids) else ():
-                for k, v in zip(out, (batch["doc_id"][at], int(index.ids[i]), s, n, got, d)):
+                for k, v in zip(out, (batch["row"][at], int(index.ids[i]), s, n, got, d)):
                     out[k].append(v)
         yield out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, item_id, first_word, n_words, similarity, distance for each text and each item that it contains.
-
-    ``docs``: doc_id, text; ``benchmark``: item_id, text. Words are runs of
-    letters and digits of any script, upper case as lower; a shingle is ``width``
-    words, or the whole of a shorter item. A text contains an item if the window
-    of as many words that is most like it (of equals the first) reaches
-    ``percent`` hundredths of weighted similarity. Null and wordless texts and
-    items, and items without an id, are in nothing. Repeated rows give repeated
-    results. Items beyond ``index_bytes`` are searched in further passes, each
-    with an index of about that size, which is all that the tasks are sent.
+def _item_shingles(batches: Iterator[dict], width: int) -> Iterator[dict]:
+    for batch in batches:
+        sets = [np.unique(shingles(h, width)).view(np.int64) for _, h in words([t.encode() for t in batch["text"]], PLAIN)]
+        yield {"share": np.repeat(batch["share"], [len(s) for s in sets]), "shingle": np.concatenate([*sets, np.zeros(0, np.int64)])}
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS, index_bytes: int = INDEX_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, then item_id, first_word, n_words, similarity, distance for each text and each item that it contains.
+
+    ``docs``: text and the columns ``keep``; ``benchmark``: item_id, text. Words
+    are runs of letters and digits of any script, upper case as lower; a shingle
+    is ``width`` words, or the whole of a shorter item. A text contains an item
+    if the window of as many words that is most like it (of equals the first)
+    reaches ``percent`` hundredths of weighted similarity. Null and wordless
+    texts and items, and items without an id, are in nothing; texts without a
+    doc_id take part like others. Repeated rows give repeated results. Items
+    beyond ``index_bytes`` are searched in further passes, one after the other,
+    each with an index of about that size, which is all that the tasks are sent.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // index_bytes) or 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("text"))
-    schema = "doc_id long, item_id long, first_word long, n_words long, similarity double, distance int"
+    items = items.distinct().withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int"))
+    # shingles are weighed by the whole benchmark, however many passes there are
+    shingled = map_rows(items, lambda b: _item_shingles(b, width), "share int, shingle long")
+    often = shingled.groupBy("shingle").agg(F.count("*").alias("n"))
+    count = items.count()
+    texts = docs.select(F.struct(*keep).alias("row"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("text"))
+    kind = texts.schema["row"].dataType.simpleString()
+    found = ("item_id", "first_word", "n_words", "similarity", "distance")
 
     def one(k: int) -> DataFrame:
-        # bounded: a share of the items of about index_bytes
-        share = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).distinct().orderBy("item_id", "text").collect()
-        index = ItemIndex([(r.item_id, r.text) for r in share], width, radius)
-        return map_rows(texts, lambda b: _search(b, index, percent), schema)
-
-    return reduce(DataFrame.unionByName, [one(k) for k in range(passes)])
+        # bounded: a share of the items of about index_bytes, and their shingles
+        share = items.where(F.col("share") == k).orderBy("item_id", "text").collect()
+        weights = shingled.where(F.col("share") == k).select("shingle").distinct().join(often, "shingle").collect()
+        index = ItemIndex([(r.item_id, r.text) for r in share], width, radius, ({r.shingle: r.n for r in weights}, count))
+        return map_rows(texts, lambda b: _search(b, index, percent), f"row {kind}, item_id long, first_word long, n_words long, similarity double, distance int").select("row.*", *found)
+
+    # with more than one, each pass is run and written before the index of the next is made
+    return one(0) if passes == 1 else reduce(DataFrame.unionByName, [written(one(k), "leaks") for k in range(passes)])
