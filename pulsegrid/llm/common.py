@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or what setCheckpointDir was given.
 
-    Only where the session names none (tests, a laptop) a temporary one is set.
+    Only on a local master, where there is one disk, a temporary one is set if
+    neither is; on a cluster that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if not named and not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-"))
-        current = spark.sparkContext.getCheckpointDir()
-    elif not current:
-        spark.sparkContext.setCheckpointDir(named)
-    return (named or current).rstrip("/")
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    current = named or context.getCheckpointDir()
+    if not current:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-"))
+        current = context.getCheckpointDir()
+    return current.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +34,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if more than one row in so many has it; so there are fewer hot keys than that, whatever the data.
+HOT = 10_000
+
+
+def join_by_size(rows: DataFrame, few: DataFrame, key: str, n: str = "n", hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``few``, a written table with one row a key, that says in ``n`` how many rows have it.
+
+    Rows of hot keys meet a broadcast of these, at most ``hot`` rows, where they
+    stand; all others are shuffled, and no key of those is more than a
+    ``hot``-th of all rows.
+    """
+    total = few.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) * hot > total
+    often = F.broadcast(few.where(heavy))
+    rest = rows.join(F.broadcast(few.where(heavy).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(few.where(~heavy), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

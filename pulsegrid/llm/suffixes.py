@@ -19,13 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes, written
+from .common import join_by_size, map_rows, text_bytes, written
 from .hashing import _INVERSE, BASE, LETTER, U, mix, powers
 
 LEAST = 200
 GRAM = 32
 #: Bytes of fragments that one transform is made of, and those of one key beyond which its fragments are split.
-BLOCK, LARGEST_KEY = 4_000_000, 16_000_000
+BLOCK, LARGEST_KEY = 4_000_000, 4_000_000
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -327,8 +327,9 @@ def repeated_spans(texts: DataFrame, packed: DataFrame, least: int = LEAST, gram
     ``texts``: doc_id, text as bytes; ``packed``: doc_id, mark, size, packed.
     """
     keys = written(map_rows(texts.where(F.length("text") >= least).select("doc_id", "text"), lambda b: _keys(b, least, gram), "doc_id long, key long"), "keys")
-    often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    by_doc = keys.join(often, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    # a passage of many texts is many rows of one key
+    often = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    by_doc = join_by_size(keys, often, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     found = written(map_rows(packed.where(F.col("size") >= least).select("doc_id", "mark", "packed").join(by_doc.hint("merge"), "doc_id"), lambda b: _fragments(b, least, gram), _SCHEMA), "fragments")
     places = found.where("doc_id is not null").select("doc_id", "mark", "start", "name")
     pieces = found.where("data is not null").select("key", "name", "n", "root", "data")
@@ -350,7 +351,10 @@ def repeated_spans(texts: DataFrame, packed: DataFrame, least: int = LEAST, gram
     for links in reversed(lineage):
         up = runs.join(links, "name").select(F.col("parent").alias("name"), (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last"))
         runs = runs.unionByName(up)
-    return places.join(runs, "name").select("doc_id", "mark", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    # a fragment that is in many texts is one row with its runs, and how often it stands
+    standing = runs.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("runs")).join(places.groupBy("name").agg(F.count("*").alias("n")), "name")
+    found = join_by_size(places, written(standing, "standing"), "name").select("doc_id", "mark", "start", F.explode("runs").alias("run"))
+    return found.select("doc_id", "mark", (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last"))
 
 
 def _cut(batches: Iterator[dict], least: int, with_text: bool) -> Iterator[dict]:
@@ -384,9 +388,10 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least:
     counts as empty, shorter texts keep everything. Rows that share doc_id and
     text are copies of each other; rows without a doc_id take part like others.
     """
-    none = F.lit(-(1 << 63))
-    texts = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), text_bytes().alias("text"))
+    texts = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts = texts.withColumn("mark", F.xxhash64("text")).withColumn("size", F.length("text").cast("long"))
+    # rows without a doc_id, however many, are told apart by their text
+    texts = texts.withColumn("doc_id", F.coalesce("doc_id", "mark"))
     kind = texts.schema["row"].dataType.simpleString()
     packed = map_rows(texts, _pack, f"row {kind}, doc_id long, mark long, size long, packed binary")
     runs = repeated_spans(texts, packed, least, **limits).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
