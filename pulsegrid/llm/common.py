@@ -38,14 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 HOT = 10_000
 
 
-def join_by_size(rows: DataFrame, few: DataFrame, key: str, n: str = "n", hot: int = HOT) -> DataFrame:
+def join_by_size(rows: DataFrame, few: DataFrame, key: str, n: str = "n", total: int | None = None, hot: int = HOT) -> DataFrame:
     """``rows`` joined with ``few``, a written table with one row a key, that says in ``n`` how many rows have it.
 
     Rows of hot keys meet a broadcast of these, at most ``hot`` rows, where they
     stand; all others are shuffled, and no key of those is more than a
-    ``hot``-th of all rows.
+    ``hot``-th of all rows. ``total``: the sum of ``n``, where it is known.
     """
-    total = few.agg(F.sum(n)).first()[0] or 0
+    total = few.agg(F.sum(n)).first()[0] or 0 if total is None else total
     heavy = F.col(n) * hot > total
     often = F.broadcast(few.where(heavy))
     rest = rows.join(F.broadcast(few.where(heavy).select(key)), key, "left_anti")

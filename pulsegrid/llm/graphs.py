@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_by_size, written
+
+
+def hung(edges: DataFrame, with_own: bool) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with ``m``, the smallest node beside u (or u itself, if asked for); and u, m, n: a row for each u.
+
+    A node with most of the edges isn't one task: see ``join_by_size``.
+    """
+    least = F.least("u", F.min("v")) if with_own else F.min("v")
+    lowest = written(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "lowest")
+    return join_by_size(edges, lowest, "u"), lowest
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,12 +27,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
+        both, _ = hung(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small, lowest = hung(written(large, "large"), False)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_rows, written
 from .hashing import PLAIN, U, shingles, words
@@ -178,6 +180,29 @@ def _item_shingles(batches: Iterator[dict], width: int) -> Iterator[dict]:
         yield {"share": np.repeat(batch["share"], [len(s) for s in sets]), "shingle": np.concatenate([*sets, np.zeros(0, np.int64)])}
 
 
+def indexes(benchmark: DataFrame, width: int, radius: int, index_bytes: int) -> tuple[int, Iterator[ItemIndex]]:
+    """How many indexes of about ``index_bytes`` the items need, and these, each made when it is asked for."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct()
+    size, count = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    passes = -(-(size or 0) // index_bytes) or 1
+    items = items.withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int"))
+    # shingles are weighed by the whole benchmark, however many passes there are
+    shingled = map_rows(items, lambda b: _item_shingles(b, width), "share int, shingle long")
+    often = shingled.groupBy("shingle").agg(F.count("*").alias("n"))
+
+    def one(k: int) -> ItemIndex:
+        # bounded: a share of the items of about index_bytes, and their shingles
+        share = items.where(F.col("share") == k).orderBy("item_id", "text").collect()
+        weights = shingled.where(F.col("share") == k).select("shingle").distinct().join(often, "shingle").collect()
+        return ItemIndex([(r.item_id, r.text) for r in share], width, radius, ({r.shingle: r.n for r in weights}, count))
+
+    return passes, map(one, range(passes))
+
+
+def lowered():
+    return F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("text")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS, index_bytes: int = INDEX_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, then item_id, first_word, n_words, similarity, distance for each text and each item that it contains.
 
@@ -191,24 +216,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percen
     beyond ``index_bytes`` are searched in further passes, one after the other,
     each with an index of about that size, which is all that the tasks are sent.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // index_bytes) or 1
-    items = items.distinct().withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int"))
-    # shingles are weighed by the whole benchmark, however many passes there are
-    shingled = map_rows(items, lambda b: _item_shingles(b, width), "share int, shingle long")
-    often = shingled.groupBy("shingle").agg(F.count("*").alias("n"))
-    count = items.count()
-    texts = docs.select(F.struct(*keep).alias("row"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("text"))
+    passes, made = indexes(benchmark, width, radius, index_bytes)
+    texts = docs.select(F.struct(*keep).alias("row"), lowered())
     kind = texts.schema["row"].dataType.simpleString()
-    found = ("item_id", "first_word", "n_words", "similarity", "distance")
+    schema = f"row {kind}, item_id long, first_word long, n_words long, similarity double, distance int"
+    found = (map_rows(texts, lambda b, index=index: _search(b, index, percent), schema).select("row.*", "item_id", "first_word", "n_words", "similarity", "distance") for index in made)
+    # with more than one, each pass is run and written before the index of the next is made
+    return next(found) if passes == 1 else reduce(DataFrame.unionByName, [written(f, "leaks") for f in found])
 
-    def one(k: int) -> DataFrame:
-        # bounded: a share of the items of about index_bytes, and their shingles
-        share = items.where(F.col("share") == k).orderBy("item_id", "text").collect()
-        weights = shingled.where(F.col("share") == k).select("shingle").distinct().join(often, "shingle").collect()
-        index = ItemIndex([(r.item_id, r.text) for r in share], width, radius, ({r.shingle: r.n for r in weights}, count))
-        return map_rows(texts, lambda b: _search(b, index, percent), f"row {kind}, item_id long, first_word long, n_words long, similarity double, distance int").select("row.*", *found)
 
-    # with more than one, each pass is run and written before the index of the next is made
-    return one(0) if passes == 1 else reduce(DataFrame.unionByName, [written(one(k), "leaks") for k in range(passes)])
+def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs`` (text and any others) whose text contains no item; see ``find_leaks``.
+
+    Each row is judged by itself: nothing is joined back, so repeated, shared
+    and missing doc_ids change nothing.
+    """
+    passes, made = indexes(benchmark, width, radius, index_bytes)
+    for k, index in enumerate(made):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                kept = [not len(index.ids) or next(index.search(h, percent), None) is None for _, h in words(texts, PLAIN)]
+                yield b.select(["row"]).filter(pa.array(kept, pa.bool_()))
+
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lowered())
+        docs = rows.mapInArrow(clean, StructType([rows.schema["row"]])).select("row.*")
+        if k < passes - 1:
+            docs = written(docs, "clean")
+    return docs

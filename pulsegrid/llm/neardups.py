@@ -9,13 +9,14 @@ counts only if the full sets confirm it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes, written
+from .common import join_by_size, map_rows, text_bytes, written
 from .graphs import components
 from .hashing import BASE, SPACE, U, mix, powers, shingles, words
 
@@ -102,10 +103,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     A hub's members are dealt out in salted groups of about ``SALTED``, each led
     by a copy of the hub's text, and stream past it: no group is held.
     """
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    salts = written(pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SALTED).cast("int").alias("salts")), "salts")
     texts = docs.select("doc_id", text_bytes().alias("text"))
     led = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("doc_id"), F.lit(False).alias("member"))
-    members = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), "doc_id", F.lit(True).alias("member"))
+    members = join_by_size(pairs, salts, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), "doc_id", F.lit(True).alias("member"))
     # merged whatever the sizes, so that a small table's plan is a large one's
     rows = led.unionByName(members).join(texts.hint("merge"), "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "doc_id")
     return map_rows(rows.select("hub", "doc_id", "member", "text"), lambda b: _confirm(b, width, percent), "a long, b long")
@@ -158,8 +159,8 @@ def across(fuller: DataFrame, bins: DataFrame, least: int) -> DataFrame:
     ``BLOCK``; each block of strays meets all others, a pair of blocks at a time.
     """
     rows = fuller.withColumn("stray", F.col("component") != F.col("main"))
-    many = rows.groupBy("bucket").agg(F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int")).alias("mains"))
-    rows = rows.join(many, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    many = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int")).alias("mains"))
+    rows = join_by_size(rows, written(many, "many"), "bucket", "size").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
     own, strays, mains, stray = (F.col(c) for c in ("own", "strays", "mains", "stray"))
     # a stray leads its block against the main ones and the stray ones after it
     leads = F.filter(F.sequence(F.lit(0), mains + strays - 1), lambda j: stray & ((j < mains) | (j - mains > own)))
@@ -173,6 +174,61 @@ def across(fuller: DataFrame, bins: DataFrame, least: int) -> DataFrame:
     return map_rows(dealt, lambda b: _across(b, least), "hub long, doc_id long")
 
 
+SET = ("set_a", "set_b", "n_shingles")
+
+
+def representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sketches, the classes (a set, first: its smallest doc_id, n: its rows), and doc_id, set_a, bands, bins of one document for each."""
+    some = own.where("set_a is not null and doc_id is not null")
+    classes = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    chosen = some.join(classes.select(*SET, F.col("first").alias("doc_id")), [*SET, "doc_id"])
+    return classes, written(chosen.select("doc_id", "set_a", "bands", "bins").dropDuplicates(["doc_id", "set_a"]), "chosen")
+
+
+def bucket_members(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bucket, doc_id, n of buckets with two members or more; and bucket, hub, n of each.
+
+    The hub of a bucket is the member whose buckets are fullest: the text that
+    its copies were made from.
+    """
+    banded = written(chosen.select("doc_id", F.explode("bands").alias("bucket")).distinct(), "banded")
+    sizes = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = written(join_by_size(banded, sizes, "bucket"), "members")
+    fullness = members.groupBy("doc_id").agg(F.sum("n").alias("fullness"))
+    top = F.max(F.struct("fullness", (-F.col("doc_id")).alias("minus")))
+    hubs = members.join(fullness, "doc_id").groupBy("bucket").agg(top.alias("top"), F.first("n").alias("n"))
+    return members, written(hubs.select("bucket", (-F.col("top.minus")).alias("hub"), "n"), "hubs")
+
+
+def beyond_hubs(members: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataFrame:
+    """bucket, doc_id, n, component, main of the members, hubs left out, of buckets that still hold several components; main is the hub's."""
+    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = written(named, "named")
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    of_hub = named.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("main"))
+    hub_of = written(hubs.join(mixed, "bucket").join(of_hub, ["bucket", "hub"]), "mixed")
+    rest = join_by_size(named, hub_of, "bucket").where("doc_id <> hub")
+    return written(rest.select("bucket", "doc_id", "n", "component", "main"), "rest")
+
+
+def crossing(rest: DataFrame, chosen: DataFrame) -> DataFrame:
+    """hub, doc_id: pairs past the hubs, in one bucket but of different components, whose bins agree enough to be confirmed.
+
+    In buckets of up to ``PAIRED`` members by a join; fuller ones, whose work
+    grows with strays times members, a pair of blocks at a time.
+    """
+    least = int(AGREEING * BINS)
+    small = rest.where(F.col("n") <= PAIRED)
+    strays = small.where("component <> main").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), "main")
+    others = small.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
+    pairs = strays.join(others, "bucket").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    # a document of several sets has several rows of bins
+    bins = written(chosen.select("doc_id", "bins").distinct(), "bins")
+    beside = pairs.join(bins.select(F.col("doc_id").alias("a"), F.col("bins").alias("bins_a")), "a").join(bins.select(F.col("doc_id").alias("b"), F.col("bins").alias("bins_b")), "b")
+    near = map_rows(beside, lambda b: _agree(b, least), "hub long, doc_id long")
+    return written(near.unionByName(across(rest.where(F.col("n") > PAIRED), bins, least)).distinct(), "crossing")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
@@ -186,37 +242,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select("doc_id", "text")
     own = written(sketches(docs, width), "sketches")
-    classes = written(own.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first")), "classes")
-    # one document stands for all with the same set
-    chosen = own.join(classes.select("set_a", "set_b", "n_shingles", F.col("first").alias("doc_id")), ["set_a", "set_b", "n_shingles", "doc_id"]).select("doc_id", "set_a", "bands", "bins").dropDuplicates(["doc_id", "set_a"])
-    banded = chosen.select("doc_id", F.posexplode("bands").alias("band", "bucket")).groupBy("bucket", "doc_id").agg(F.lit(1).alias("one")).drop("one")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(sizes, "bucket"), "members")
-    # the hub of a bucket is the member whose buckets are fullest: the text that its copies were made from
-    fullness = members.groupBy("doc_id").agg(F.sum("n").alias("fullness"))
-    hubs = members.join(fullness, "doc_id").groupBy("bucket").agg(F.max(F.struct("fullness", (-F.col("doc_id")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("hub"))
-    hubs = written(hubs, "hubs")
-    stars = members.join(hubs, "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct()
+    classes, chosen = representatives(own)
+    members, hubs = bucket_members(chosen)
+    stars = join_by_size(members.drop("n"), hubs, "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct()
     links = written(confirmed(written(stars, "stars"), docs, width, percent), "links")
-    groups = components(links)
-    # what a hub isn't linked with may be linked with other members, past the hub: pairs from different components whose bins agree
-    named = members.select("bucket", "doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    named = written(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    hub_of = hubs.join(mixed, "bucket").join(named.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("main")), ["bucket", "hub"])
-    rest = written(named.join(hub_of.select("bucket", "hub", "main"), "bucket").where("doc_id <> hub"), "rest")
-    strays = rest.where("component <> main").select("bucket", "n", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), "main")
-    others = rest.where(F.col("n") <= PAIRED).select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
-    within = strays.where(F.col("n") <= PAIRED).join(others, "bucket").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b")
-    crossing = within.distinct()
-    # a document of several sets has several rows of bins
-    held = written(chosen.select("doc_id", "bins").distinct(), "bins")
-    beside = crossing.join(held.select(F.col("doc_id").alias("a"), F.col("bins").alias("bins_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("bins").alias("bins_b")), "b")
-    least = int(AGREEING * BINS)
-    near = map_rows(beside, lambda b: _agree(b, least), "hub long, doc_id long")
-    near = written(near.unionByName(across(rest.where(F.col("n") > PAIRED).drop("n", "hub"), held, least)).distinct(), "crossing")
-    links = links.unionByName(confirmed(near, docs, width, percent))
-    groups = components(links)
-    found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("component_id"))
-    found = own.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    # what a hub isn't linked with may be linked with other members, past the hub
+    near = crossing(beyond_hubs(members, hubs, components(links)), chosen)
+    groups = components(links.unionByName(confirmed(near, docs, width, percent)))
+    # a set may have most rows: by a hash, then by the set itself
+    key = F.xxhash64(*SET).alias("key")
+    found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select(key, *[F.col(c).alias(f"_{c}") for c in SET], "n", F.coalesce("component", "first").alias("component_id"))
+    rows = own.where("doc_id is not null and set_a is not null").select("doc_id", *SET, key)
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in SET])
+    linked = join_by_size(rows, written(found, "found"), "key").where(same).select("doc_id", "n_shingles", "component_id")
+    alone = own.where("doc_id is null or set_a is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that stay when of each group of near-duplicates one does.
+
+    The one of the smallest doc_id stays. Rows are told apart by doc_id and
+    text: equal ones stay once, of those the first by a hash of their other
+    columns. A row without a doc_id, and of a doc_id with several texts all but
+    the one of the smallest hash, are documents of their own that come after all
+    others. Rows without words are in no group and stay.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    clashing = written(rows.where("_id is not null").groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).where("_least <> _most").drop("_most"), "clashing")
+    own = F.col("_id").isNotNull()
+    if not clashing.isEmpty():
+        named = rows.where("_id is not null").join(clashing, "_id", "left")
+        rows = named.unionByName(rows.where("_id is null"), allowMissingColumns=True)
+        own = own & F.coalesce(F.col("_hash") == F.col("_least"), F.lit(True))
+    far = F.shiftrightunsigned(F.xxhash64("_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    rows = rows.select("_doc", "text", F.when(own, F.col("_id")).otherwise(far).alias("_key"))
+    kept = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), width, percent).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    others = F.xxhash64(F.to_json(F.struct(*[F.col("_doc")[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"])))
+    return rows.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min_by("_doc", others).alias("_doc")).select("_doc.*")

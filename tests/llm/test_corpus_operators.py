@@ -520,3 +520,62 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = {r.doc_id: list(r.ids) for r in docs.collect()}
     assert got == {i: [1, *model.encode(t), 2] for i, t in left.items()}
     assert corpus_pipeline.run(spark, d).count() == len(left)
+
+
+def pipeline_tables(spark, d, rows, leak="some benchmark item of a dozen words that nobody would write by chance"):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(7, leak)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def test_pipeline_rows_with_shared_or_missing_ids(spark, tmp_path):
+    """Rows are judged by their own text: what shares a doc_id with a copy or a contaminated text, or has none, is a document like others."""
+    rng = random.Random(31)
+    leak = prose(rng, 25, 3000)
+    one, two, three, four, five = (prose(rng, 90, 3000) for _ in range(5))
+    rows = [(1, one), (1, two), (None, three), (None, three), (None, four), (2, four), (3, f"{one} {leak}"), (3, five), (None, f"{five[:200]} {leak}"), (4, two + " tail"), (5, None), (6, "")]
+    docs = pipeline_tables(spark, str(tmp_path), [(i, t, "en", "s", len(t or ""), "k") for i, t in rows], leak)
+    stages = dict(corpus_pipeline.STAGES)
+    clean = sorted((str(r.doc_id), r.text or "") for r in stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect())
+    assert clean == sorted((str(i), t or "") for i, t in rows if leak not in (t or ""))
+    kept = sorted((str(r.doc_id), r.text or "") for r in stages["MinHash near-dedup"](spark, docs, str(tmp_path)).collect())
+    texts = [t for _, t in kept]
+    assert texts.count(three) == 1 and ("2", four) in kept and texts.count(four) == 1 and one in texts and five in texts and leak in " ".join(texts)
+    assert (two in texts) != (rows[9][1] in texts) and ("5", "") in kept and ("6", "") in kept
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(whole) > 0
+
+
+def test_pipeline_stages_of_an_empty_table(spark, tmp_path):
+    docs = pipeline_tables(spark, str(tmp_path), [])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardups.near_duplicates(docs).collect())
+    assert got == [("1", 2, "1", True), ("2", 0, "2", True), ("3", 2, "1", False), ("None", 0, "None", False), ("None", 2, "None", False)]
+
+
+def test_remove_repeats_rows_without_an_id(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 60)
+    rows = [(None, passage + " one"), (None, "two " + passage), (None, None), (8, "other " * 3), (8, passage[:250])]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute_repeats(list(enumerate(t for _, t in rows)), 200)
+    assert got == sorted((str(i), want[k][0], want[k][1]) for k, (i, _) in enumerate(rows))
+
+
+def test_hot_keys_meet_a_broadcast(spark):
+    from pulsegrid.llm.common import join_by_size
+
+    rows = spark.createDataFrame([(0, k) for k in range(500)] + [(k, k) for k in range(1, 200)], "key long, v long")
+    few = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("w", F.col("key") * 2)
+    for hot in (1, 10, 10_000):
+        got = sorted((r.key, r.v, r.n, r.w) for r in join_by_size(rows, few, "key", hot=hot).collect())
+        assert got == sorted([(0, k, 500, 0) for k in range(500)] + [(k, k, 1, 2 * k) for k in range(1, 200)])
+    assert join_by_size(rows.limit(0), few.limit(0), "key").count() == 0
