@@ -8,7 +8,7 @@ the last return the columns of documents, whatever further ones there are.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import leaks, neardups, quality, sentencepieces, suffixes
@@ -32,12 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id, once; documents without a doc_id stay."""
-    kept = neardups.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    own = packed(docs).join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = own.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_doc.*")
-    return once.unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates the row of the smallest doc_id, once; rows are told apart by doc_id and text, see ``neardups.keep_one``."""
+    return neardups.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +45,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item in them."""
-    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return packed(docs).join(found, F.col("doc_id") == F.col("_id"), "left_anti").select("_doc.*")
+    """Rows without a benchmark item in their own text, whatever their doc_id."""
+    return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
