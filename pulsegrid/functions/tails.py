@@ -76,54 +76,50 @@ def correlation_p(r: float, n: float) -> float:
     return 0.0 if abs(r) >= 1 else student_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
-def inverse_normal(p: float) -> float:
-    """By bisection and Newton steps on the tail: as exact as it."""
-    lo, hi = -40.0, 40.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0.5 * math.erfc(-mid / math.sqrt(2)) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
-def shapiro_wilk(values) -> tuple[float, float] | None:
-    """W and p for 3 to 5000 values, by the approximation of Royston (1995); None without spread or with fewer values."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 3 or not np.isfinite(x).all() or np.ptp(x) == 0:
-        return None
-    m = np.array([inverse_normal((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+# The polynomials of Royston (1995) for the two outer weights of Shapiro-Wilk.
+OUTER, NEXT = (0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+
+
+def shapiro_w(n: int, mm: float, mx: float, spread: float, last_score: float, next_score: float, outer_gap: float, inner_gap: float) -> float:
+    """W from sums over the sorted values and their normal scores; weights are antisymmetric, so that outer values count by their gaps."""
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0, math.sqrt(0.5)])
+        return min(1.0, outer_gap**2 / 2 / spread)
+    u = n**-0.5
+    last = last_score / math.sqrt(mm) + sum(c * u**k for k, c in enumerate(OUTER))
+    if n <= 5:
+        phi = (mm - 2 * last_score**2) / (1 - 2 * last**2)
+        top = (mx - last_score * outer_gap) / math.sqrt(phi) + last * outer_gap
     else:
-        # Royston's polynomials for the two outer weights.
-        outer, next_one = (0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-        u, mm = 1 / math.sqrt(n), float(m @ m)
-        a = m / math.sqrt(mm)
-        last = a[-1] + sum(c * u**k for k, c in enumerate(outer))
-        if n > 5:
-            second = a[-2] + sum(c * u**k for k, c in enumerate(next_one))
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a = m / math.sqrt(phi)
-            a[[-2, 1]] = second, -second
-        else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = m / math.sqrt(phi)
-        a[[-1, 0]] = last, -last
-    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
+        second = next_score / math.sqrt(mm) + sum(c * u**k for k, c in enumerate(NEXT))
+        phi = (mm - 2 * last_score**2 - 2 * next_score**2) / (1 - 2 * last**2 - 2 * second**2)
+        top = (mx - last_score * outer_gap - next_score * inner_gap) / math.sqrt(phi) + last * outer_gap + second * inner_gap
+    return min(1.0, top**2 / spread)
+
+
+def shapiro_p(w: float, n: int) -> float:
+    """p of W, by the same author's transformations; beyond 5000 values they are carried on."""
     if n == 3:
-        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w >= 1:
-        return w, 1.0
+        return 1.0
     if n <= 11:
         gamma = -2.273 + 0.459 * n
         if math.log(1 - w) >= gamma:
-            return w, 0.0
+            return 0.0
         y = -math.log(gamma - math.log(1 - w))
         mean, sd = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 6.714e-4 * n**3, math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
     else:
         k, y = math.log(n), math.log(1 - w)
         mean, sd = -1.5861 - 0.31082 * k - 0.083751 * k**2 + 0.0038915 * k**3, math.exp(-0.4803 - 0.082676 * k + 0.0030302 * k**2)
-    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+    return 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+
+
+def shapiro_from_sums(n, mm, mx, spread, last_score, next_score, outer_gap, inner_gap) -> float | None:
+    """p of three values or more with any spread; else None."""
+    if n < 3 or not spread > 0:
+        return None
+    n = int(n)
+    return shapiro_p(shapiro_w(n, mm, mx, spread, last_score, next_score, outer_gap, inner_gap), n)
 
 
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
@@ -156,3 +152,8 @@ def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
 @vectorized("double")
 def normal_p_value(z: pd.Series) -> pd.Series:
     return _each(normal_two_sided, z)
+
+
+@vectorized("double")
+def shapiro_p_value(n: pd.Series, mm: pd.Series, mx: pd.Series, spread: pd.Series, last_score: pd.Series, next_score: pd.Series, outer_gap: pd.Series, inner_gap: pd.Series) -> pd.Series:
+    return _each(shapiro_from_sums, n, mm, mx, spread, last_score, next_score, outer_gap, inner_gap)

@@ -1,8 +1,8 @@
 """Comparison of groups of recordings, metric by metric.
 
-``metrics``: metric, group_idx, label, recording_id, cluster, value. Metrics
-are independent: ranks are windows over one metric, and the mixed model gets
-sufficient statistics of each (metric, group, cluster), not the values.
+``metrics``: metric, group_idx, label, recording_id, cluster, value. A metric
+may hold all rows: ranks are those of its distinct values, range by range, and
+the mixed model gets sufficient statistics of each (metric, group, cluster).
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions.vectorized import vectorized
-from ..functions.columns import average_rank, usable
-from ..functions.tails import chi_square_p, mann_whitney_exact, normal_p_value, normal_two_sided, shapiro_wilk
+from ..functions.columns import usable
+from ..functions.ranks import ranked, shapiro_sums
+from ..functions.tails import chi_square_p, mann_whitney_exact, normal_p_value, normal_two_sided, shapiro_p_value
 
 # Fields of a summary that describe the recording, not what is measured.
 BOOKKEEPING = ("reference_frame_index", "n_frames", "image_area_px", "duration_s", "estimated_period_s", "min_bpm_gap_used", "smoothing_window_s")
@@ -44,10 +45,11 @@ def descriptive(metrics: DataFrame, with_values: bool = False) -> DataFrame:
 
 def rank_sums(metrics: DataFrame) -> DataFrame:
     """For each metric and group: n, rank_sum; and over the metric: total, ties (sum of t^3 - t), distinct_values."""
-    ranked = metrics.withColumn("r", average_rank("value", "metric"))
-    per_group = ranked.groupBy("metric", "group_idx", "label").agg(F.count("*").alias("n"), F.sum("r").alias("rank_sum"))
+    ranks = ranked(metrics, "value", ("metric",))
+    counts = metrics.groupBy("metric", "group_idx", "label", "value").agg(F.count("*").alias("c"))
+    per_group = counts.join(ranks, ["metric", "value"]).groupBy("metric", "group_idx", "label").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("r")).alias("rank_sum"))
     t = F.col("t").cast("double")
-    ties = metrics.groupBy("metric", "value").agg(F.count("*").alias("t")).groupBy("metric").agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("ties"), F.count("*").alias("distinct_values"))
+    ties = ranks.groupBy("metric").agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("ties"), F.count("*").alias("distinct_values"))
     return per_group.join(ties, "metric")
 
 
@@ -198,31 +200,36 @@ def lmm_pairwise(metrics: DataFrame) -> DataFrame:
     return lmm_fit(metrics).drop("_beta", "_ratio")
 
 
-@vectorized("double")
-def _normality(residuals: pd.Series) -> pd.Series:
-    return pd.Series([(shapiro_wilk(v) or (None, None))[1] for v in residuals], dtype="float64")
-
-
-def residual_normality(metrics: DataFrame, most: int = 5000) -> DataFrame:
-    """metric, lmm_residual_shapiro_p of the residuals conditional on the cluster; null beyond ``most`` values or below three.
+def residual_normality(metrics: DataFrame) -> DataFrame:
+    """metric, lmm_residual_shapiro_p of the residuals conditional on the cluster; null below three values.
 
-    Shapiro-Wilk is defined for up to 5000 values; more are not tested, not sampled.
+    Shapiro-Wilk from order statistics, which no task holds together; its p is
+    an approximation made for up to 5000 values, and is carried on beyond.
     """
     fits = lmm_fit(metrics).select("metric", F.col("_beta").alias("beta"), F.col("_ratio").alias("ratio")).dropDuplicates(["metric"])
-    places = F.dense_rank().over(Window.partitionBy("metric").orderBy("group_idx"))
-    fitted = metrics.join(fits, "metric").withColumn("k", places).withColumn("e", F.col("value") - F.get("beta", F.lit(0)) - F.when(F.col("k") > 1, F.get("beta", F.col("k") - 1)).otherwise(F.lit(0.0)))
-    near = Window.partitionBy("metric", "cluster")
-    blup = F.col("ratio") * F.sum("e").over(near) / (1 + F.col("ratio") * F.count("*").over(near))
-    residuals = fitted.select("metric", (F.col("e") - blup).alias("e"), F.count("*").over(Window.partitionBy("metric")).alias("n")).where(F.col("n").between(3, most))
-    return residuals.groupBy("metric").agg(F.collect_list("e").alias("e")).select("metric", _normality("e").alias("lmm_residual_shapiro_p"))
-
-
-def compare_groups(metrics: DataFrame, groups: int) -> DataFrame:
-    """One row a metric, most significant first (null p last, then by name): descriptives, omnibus test, post-hoc and mixed model."""
+    # sums of each cluster take the place of its rows
+    order = metrics.select("metric", "group_idx").distinct().withColumn("k", F.row_number().over(Window.partitionBy("metric").orderBy("group_idx")))
+    fitted = F.get("beta", F.lit(0)) + F.when(F.col("k") > 1, F.get("beta", F.col("k") - 1)).otherwise(F.lit(0.0))
+    means = order.join(fits, "metric").select("metric", "group_idx", fitted.alias("fit"), "ratio")
+    sums = metrics.groupBy("metric", "group_idx", "cluster").agg(F.count("*").alias("n"), F.sum("value").alias("s")).join(means, ["metric", "group_idx"])
+    cluster = sums.groupBy("metric", "cluster", "ratio").agg(F.sum("n").alias("n"), F.sum(F.col("s") - F.col("n") * F.col("fit")).alias("e"))
+    shift = cluster.select("metric", "cluster", (F.col("ratio") * F.col("e") / (1 + F.col("ratio") * F.col("n"))).alias("blup"))
+    offsets = sums.select("metric", "group_idx", "cluster", "fit").join(shift, ["metric", "cluster"]).select("metric", "group_idx", "cluster", (F.col("fit") + F.col("blup")).alias("offset"))
+    residuals = metrics.join(offsets, ["metric", "group_idx", "cluster"]).select("metric", (F.col("value") - F.col("offset")).alias("e"))
+    made = shapiro_sums(residuals, "e", ("metric",))
+    return made.select("metric", shapiro_p_value(F.col("n").cast("double"), "mm", "mx", "spread", F.coalesce("last_score", F.lit(0.0)), F.coalesce("next_score", F.lit(0.0)), F.coalesce("outer_gap", F.lit(0.0)), F.coalesce("inner_gap", F.lit(0.0))).alias("lmm_residual_shapiro_p"))
+
+
+def compare_groups(metrics: DataFrame, groups: int, with_values: bool = False) -> DataFrame:
+    """One row a metric, most significant first (null p last, then by name): descriptives, omnibus test, post-hoc and mixed model.
+
+    ``with_values``: also every value of each group, for figures of small tables.
+    """
     if groups < 2:
         raise ValueError("a comparison needs two groups or more")
     m = complete(metrics, groups)
-    described = descriptive(m, with_values=True).groupBy("metric").agg(F.sort_array(F.collect_list(F.struct("group_idx", "label", "n", "mean", "std", "values"))).alias("groups"))
+    fields = ["group_idx", "label", "n", "mean", "std", *(["values"] if with_values else [])]
+    described = descriptive(m, with_values).groupBy("metric").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("groups"))
     if groups == 2:
         omnibus = mann_whitney(m).select("metric", F.lit("mann_whitney_u").alias("test"), F.col("u").alias("statistic"), "p_value")
         out = described.join(omnibus, "metric")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, correlation, slope, usable
+from ..functions.columns import correlation, slope, usable
+from ..functions.ranks import ranked
 from ..functions.tails import correlation_p_value
 
 
@@ -65,28 +66,35 @@ def bland_altman_rows(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("diff", F.col("a") - F.col("b")).withColumn("mean", (F.col("a") + F.col("b")) / 2)
 
 
+def spearman(pairs: DataFrame, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """by.., spearman_r: the correlation of mean ranks; null without spread in one of them."""
+    keys = list(by)
+    counts = pairs.groupBy(*keys, "a", "b").agg(F.count("*").cast("double").alias("c"))
+    of = lambda v: ranked(pairs, v, by).select(*keys, v, F.col("r").alias(f"r{v}"), F.col("total").alias(f"n{v}"))
+    both = counts.join(of("a"), [*keys, "a"]).join(of("b"), [*keys, "b"])
+    # ranks about their mean, which is known
+    c, a, b = F.col("c"), F.col("ra") - (F.col("na") + 1) / F.lit(2.0), F.col("rb") - (F.col("nb") + 1) / F.lit(2.0)
+    return both.groupBy(*keys).agg(F.try_divide(F.sum(c * a * b), F.nullif(F.sqrt(F.sum(c * a * a)) * F.sqrt(F.sum(c * b * b)), F.lit(0.0))).alias("spearman_r"))
+
+
 def agreement(pairs: DataFrame, by: tuple[str, ...] = ("pair_id",), with_p: bool = True) -> DataFrame:
     """One row for each group of ``pairs`` (by.., a, b): correlations, ICC(2,1), Bland-Altman and the regression of b on a.
 
     Null where a value isn't defined; fewer than three pairs are an error.
     """
     keys = list(by)
-    ranked = pairs.withColumn("_ra", average_rank("a", *keys)).withColumn("_rb", average_rank("b", *keys))
-    grand = Window.partitionBy(*keys)
-    ranked = ranked.withColumn("_g", (F.avg("a").over(grand) + F.avg("b").over(grand)) / 2)
-    a, b, g = F.col("a"), F.col("b"), F.first("_g")
+    a, b = F.col("a"), F.col("b")
     n, d = F.count("*").cast("double"), F.col("a") - F.col("b")
-    square = lambda c: c * c
-    rows = 2 * F.sum(square((a + b) / 2 - F.col("_g"))) / (n - 1)
-    total = F.sum(square(a - F.col("_g")) + square(b - F.col("_g")))
-    columns = n * (square(F.avg(a) - g) + square(F.avg(b) - g))
-    rest = F.greatest((total - rows * (n - 1) - columns) / (n - 1), F.lit(0.0))
-    out = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), correlation(a, b).alias("pearson_r"), correlation(F.col("_ra"), F.col("_rb")).alias("spearman_r"),
+    # squares of rows about the grand mean, which is the mean of the rows' means; of columns, halves of the gap about it
+    rows = 2 * F.var_samp((a + b) / 2)
+    columns = n * F.pow(F.avg(a) - F.avg(b), F.lit(2)) / 2
+    rest = F.greatest(F.try_divide(n * (F.var_pop(a) + F.var_pop(b)), n - 1) - rows, F.lit(0.0))
+    out = pairs.groupBy(*keys).agg(
+        F.count("*").alias("n"), correlation(a, b).alias("pearson_r"),
         F.when(n > 1, F.try_divide(rows - rest, F.nullif(rows + rest + 2 * (columns - rest) / n, F.lit(0.0)))).alias("icc_2_1"),
         F.avg(d).alias("bland_altman_bias"), F.stddev_samp(d).alias("bland_altman_sd_diff"),
         slope(b, a).alias("regression_slope"), (F.avg(b) - slope(b, a) * F.avg(a)).alias("regression_intercept"), F.pow(correlation(a, b), F.lit(2)).alias("regression_r_squared"),
-    )
+    ).join(spearman(pairs, by), keys, "left")
     enough = F.assert_true(F.col("n") >= 3, F.lit("agreement needs three pairs or more"))
     out = out.where(enough.isNull()).withColumns({c: usable(F.col(c)) for c in ("pearson_r", "spearman_r", "icc_2_1", "regression_slope", "regression_intercept", "regression_r_squared")})
     limit = F.lit(1.96) * F.col("bland_altman_sd_diff")

@@ -89,23 +89,25 @@ PAIRS_SQL = """
 pr AS (SELECT 'orders' AS pair_id, o_orderkey, o_totalprice AS a, b FROM orders JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS b FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
 
-def metrics(spark: SparkSession, sf_dir: str, segments: tuple[str, ...] = ()) -> DataFrame:
-    """Order prices as one metric: a group a market segment, a cluster a nation."""
-    customers = table(spark, sf_dir, "customer")
-    if segments:
-        customers = customers.where(F.col("c_mktsegment").isin(*segments))
+#: The groups that order prices are compared in: market segments, or customers with even and odd keys.
+LABELS = {"segment": "c_mktsegment", "parity": "CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END"}
+
+
+def metrics(spark: SparkSession, sf_dir: str, by: str = "segment") -> DataFrame:
+    """Order prices as one metric: a group a label of the customer, a cluster a nation."""
+    customers = table(spark, sf_dir, "customer").withColumn("label", F.expr(LABELS[by]))
     order = Window.orderBy("label")
-    named = customers.select(F.col("c_mktsegment").alias("label")).distinct().withColumn("group_idx", F.row_number().over(order) - 1)
-    rows = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("label"), F.col("o_orderkey").cast("string").alias("recording_id"), F.col("c_nationkey").cast("string").alias("cluster"), F.col("o_totalprice").alias("value"))
+    # a handful of labels
+    named = customers.select("label").distinct().withColumn("group_idx", F.row_number().over(order) - 1)
+    rows = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("label", F.col("o_orderkey").cast("string").alias("recording_id"), F.col("c_nationkey").cast("string").alias("cluster"), F.col("o_totalprice").alias("value"))
     return rows.join(F.broadcast(named), "label").select(F.lit("o_totalprice").alias("metric"), "group_idx", "label", "recording_id", "cluster", "value")
 
 
-def metrics_sql(segments: tuple[str, ...] = ()) -> str:
-    chosen = f"WHERE c_mktsegment IN ({', '.join(repr(s) for s in segments)})" if segments else ""
+def metrics_sql(by: str = "segment") -> str:
     return f"""
-cu AS (SELECT * FROM customer {chosen}),
-named AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS group_idx FROM (SELECT DISTINCT c_mktsegment AS label FROM cu)),
-me AS (SELECT 'o_totalprice' AS metric, group_idx, label, o_orderkey, CAST(c_nationkey AS VARCHAR) AS cluster, o_totalprice AS value FROM orders JOIN cu ON o_custkey = c_custkey JOIN named ON label = c_mktsegment),
+cu AS (SELECT *, {LABELS[by]} AS label FROM customer),
+named AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS group_idx FROM (SELECT DISTINCT label FROM cu)),
+me AS (SELECT 'o_totalprice' AS metric, group_idx, cu.label, o_orderkey, CAST(c_nationkey AS VARCHAR) AS cluster, o_totalprice AS value FROM orders JOIN cu ON o_custkey = c_custkey JOIN named ON named.label = cu.label),
 ranked AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS r FROM me),
 sums AS (SELECT metric, group_idx, label, count(*)::DOUBLE AS n, sum(r) AS rs FROM ranked GROUP BY ALL),
 tied AS (SELECT metric, sum(t)::DOUBLE AS total, sum(t::DOUBLE * t * t - t) AS ties FROM (SELECT metric, value, count(*) AS t FROM me GROUP BY ALL) GROUP BY ALL)"""

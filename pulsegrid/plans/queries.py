@@ -13,7 +13,6 @@ from . import bridges as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-TWO = ("HOUSEHOLD", "MACHINERY")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -21,6 +20,32 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
+def smoothed_sql(table: str, windows: str) -> str:
+    """smoothed(recording_id, idx, s): a cubic fit over ``w`` samples of ``windows`` (recording_id, w), with the fit's hat matrices as values."""
+    hats = ", ".join(f"({w}, {r}, {j}, {h!r}::DOUBLE)" for w in range(5, 17, 2) for r, row in enumerate(signals.cubic_fit(w).tolist()) for j, h in enumerate(row))
+    return f"""hat(w, r, j, h) AS (VALUES {hats}),
+placed AS (
+  SELECT t.recording_id, idx, w.w, CASE WHEN idx < w.w // 2 THEN idx WHEN idx >= n - w.w // 2 THEN w.w - n + idx ELSE w.w // 2 END AS r,
+         CASE WHEN idx < w.w // 2 THEN 0 WHEN idx >= n - w.w // 2 THEN n - w.w ELSE idx - w.w // 2 END AS lo
+  FROM {table} t JOIN {windows} w ON w.recording_id = t.recording_id JOIN (SELECT recording_id, count(*) AS n FROM {table} GROUP BY ALL) c ON c.recording_id = t.recording_id),
+smoothed AS (
+  SELECT p.recording_id, p.idx, sum(h * x.raw) AS s FROM placed p JOIN hat ON hat.w = p.w AND hat.r = p.r JOIN {table} x ON x.recording_id = p.recording_id AND x.idx = p.lo + j GROUP BY ALL)"""
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided normal p by the series of the error function whose terms are all positive."""
+    x = f"greatest(abs({z}) / sqrt(2), 1e-300)"
+    term = f"exp((2 * k + 1) * ln({x}) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))"
+    return f"greatest(1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 300), lambda k: {term})), 0)"
+
+
+def student_p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation over n pairs, by the finite series of Student's t for even and for odd degrees of freedom."""
+    even = f"abs({r}) * list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4) + k * ln(1 - {r} * {r}))))"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: exp((2 * k + 1) * ln(2) + lgamma(k + 1) + lgamma(k + 2) - lgamma(2 * k + 3) + k * ln(1 - {r} * {r})))), 0))"
+    return f"CASE WHEN abs({r}) >= 1 THEN 0 WHEN {n} % 2 = 0 THEN greatest(1 - {even}, 0) ELSE greatest(1 - {odd}, 0) END"
+
+
 def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
@@ -59,7 +84,13 @@ def reference_diff_signal(spark, d):
     return beats.motion_signal(B.frames(spark, d), beats.BeatParams(reference_index=0))[0].drop("fps")
 
 
-@query()
+@query(f"""WITH {B.PIXELS_SQL},
+moved AS (SELECT y.recording_id, x.frame_idx AS idx, avg(abs(y.v - x.v)) AS raw FROM px x JOIN px y ON x.recording_id = y.recording_id AND x.pos = y.pos AND y.frame_idx = x.frame_idx + 1 GROUP BY ALL),
+nine AS (SELECT DISTINCT recording_id, 9 AS w FROM moved),
+{smoothed_sql("moved", "nine")},
+inner_part AS (SELECT recording_id, idx, s, count(*) OVER (PARTITION BY recording_id) AS n FROM smoothed)
+SELECT recording_id, CAST(first(idx ORDER BY s, idx) AS INTEGER) AS reference_index FROM inner_part
+WHERE idx >= greatest(round_even(0.03 * n, 0), 2) AND idx < n - greatest(round_even(0.03 * n, 0), 2) GROUP BY ALL""")
 def pick_reference(spark, d):
     return beats.reference_frames(B.frames(spark, d))
 
@@ -102,7 +133,11 @@ def savgol_interior(spark, d):
     return signals.unpack(packed, "smoothed").join(last, "recording_id").where("idx >= 2 and idx < n - 2").drop("n", "fps")
 
 
-@query()
+@query(f"""WITH {_LAGS},
+chosen AS (SELECT recording_id, CAST(greatest(round_even(least(greatest(period / 6, 0.05), 0.5) * 30, 0), 5) AS INTEGER) AS w FROM period),
+tuned AS (SELECT recording_id, w + CAST(w % 2 = 0 AS INTEGER) AS w FROM chosen),
+{smoothed_sql("sig", "tuned")}
+SELECT recording_id, idx, round(s, 6) + 0.0 AS smoothed FROM smoothed""")
 def smooth_full(spark, d):
     return signals.unpack(beats.tuned(signals.pack(B.signal(spark, d))).withColumn("values", F.col("smoothed")), "smoothed").drop("fps")
 
@@ -120,7 +155,14 @@ def peak_prominence(spark, d):
     return signals.peak_prominence(B.signal(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {B.MAXIMA_SQL},
+ordered AS MATERIALIZED (SELECT recording_id, idx, row_number() OVER (PARTITION BY recording_id ORDER BY v DESC, idx DESC) AS n, count(*) OVER (PARTITION BY recording_id) AS last FROM mx),
+walk AS (
+  SELECT recording_id, n, last, [idx] AS kept FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.recording_id, o.n, o.last, CASE WHEN len(list_filter(w.kept, lambda k: abs(k - o.idx) < 12)) = 0 THEN list_append(w.kept, o.idx) ELSE w.kept END
+  FROM walk w JOIN ordered o ON o.recording_id = w.recording_id AND o.n = w.n + 1)
+SELECT recording_id, unnest(kept) AS idx FROM walk WHERE n = last""")
 def peaks_min_distance(spark, d):
     return signals.thinned(signals.maxima(B.signal(spark, d)), 12)
 
@@ -178,17 +220,18 @@ def otsu_threshold(spark, d):
     return pairs.otsu(pairs.histogram(long))
 
 
-@query(f"""WITH {B.BRIGHT_SQL}, pj AS (SELECT recording_id, pos, max(v) AS v FROM bx WHERE recording_id IN (0, 1) GROUP BY ALL),
-ab AS (SELECT x.pos, x.v AS a, y.v AS b FROM pj x JOIN pj y ON x.pos = y.pos AND x.recording_id = 0 AND y.recording_id = 1),
+@query(f"""WITH {B.BRIGHT_SQL}, pj AS (SELECT recording_id, pos, max(v) AS v FROM bx GROUP BY ALL),
+ab AS (SELECT x.recording_id AS k, x.v AS a, y.v AS b FROM pj x JOIN pj y ON x.pos = y.pos AND y.recording_id = x.recording_id + 1),
 {_OTSU.format(k='recording_id', v='v', t='pj')},
-t AS (SELECT max(threshold) FILTER (WHERE recording_id = 0) AS ta, max(threshold) FILTER (WHERE recording_id = 1) AS tb FROM th)
-SELECT '0-1' AS image_id, count(*) AS n_pixels, any_value(ta) AS threshold_a, any_value(tb) AS threshold_b, round(corr(a, b), 6) AS pearson_r, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS manders_overlap_coefficient,
-round(sum(a) FILTER (WHERE b > tb) / sum(a), 6) AS manders_m1, round(sum(b) FILTER (WHERE a > ta) / sum(b), 6) AS manders_m2,
-round(avg(CAST(a > ta AS INT)), 6) AS fraction_a_positive, round(avg(CAST(b > tb AS INT)), 6) AS fraction_b_positive, round(avg(CAST(a > ta AND b > tb AS INT)), 6) AS fraction_both_positive FROM ab, t""")
+t AS (SELECT ab.*, ta.threshold AS ta, tb.threshold AS tb FROM ab JOIN th ta ON ta.recording_id = k JOIN th tb ON tb.recording_id = k + 1)
+SELECT k AS image_id, count(*) AS n_pixels, any_value(ta) AS threshold_a, any_value(tb) AS threshold_b, round(corr(a, b), 6) AS pearson_r, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS manders_overlap_coefficient,
+round(coalesce(sum(a) FILTER (WHERE b > tb), 0) / sum(a), 6) AS manders_m1, round(coalesce(sum(b) FILTER (WHERE a > ta), 0) / sum(b), 6) AS manders_m2,
+round(avg(CAST(a > ta AS INT)), 6) AS fraction_a_positive, round(avg(CAST(b > tb AS INT)), 6) AS fraction_b_positive, round(avg(CAST(a > ta AND b > tb AS INT)), 6) AS fraction_both_positive FROM t GROUP BY k""")
 def coloc_metrics(spark, d):
-    p = pixels.max_projection(B.bright_frames(spark, d).where("recording_id in (0, 1)"))
-    a, b = (p.where(f"recording_id = {k}").select("pos", F.col("v").alias(c)) for k, c in ((0, "a"), (1, "b")))
-    return pairs.colocalization(a.join(b, "pos").select(F.lit("0-1").alias("image_id"), "a", "b")).drop("pearson_p")
+    p = pixels.max_projection(B.bright_frames(spark, d))
+    a = p.select(F.col("recording_id").alias("image_id"), "pos", F.col("v").alias("a"))
+    b = p.select((F.col("recording_id") - 1).alias("image_id"), "pos", F.col("v").alias("b"))
+    return pairs.colocalization(a.join(b, ["image_id", "pos"]).select("image_id", "a", "b")).drop("pearson_p")
 
 
 @query("""WITH s AS (SELECT event_type, count(*) AS n, sum(cos(2 * value)) AS c, sum(sin(2 * value)) AS s FROM events GROUP BY ALL)
@@ -230,7 +273,10 @@ def window_texture(spark, d):
     return motion.texture(B.bright_frames(spark, d).where("frame_idx = 0"), 4, 2)
 
 
-@query()
+@query(f"""WITH {B.BRIGHT_SQL}, g AS (SELECT unnest(generate_series(0, 2)) AS k),
+w AS (SELECT recording_id, gr.k AS r, gc.k AS c, stddev_pop(v) AS std FROM bx, g gr, g gc WHERE frame_idx = 0 AND pos // 8 BETWEEN 2 * gr.k AND 2 * gr.k + 3 AND pos % 8 BETWEEN 2 * gc.k AND 2 * gc.k + 3 GROUP BY ALL)
+SELECT recording_id, round(median(std), 6) AS piv_median_window_std, median(std) < {motion.LEAST_TEXTURE} AS piv_low_texture_warning, CAST(count(*) AS INTEGER) AS piv_n_windows_total,
+CAST(count(*) FILTER (WHERE std < {motion.LEAST_TEXTURE}) AS INTEGER) AS piv_n_low_texture_windows_masked FROM w GROUP BY ALL""")
 def texture_summary(spark, d):
     return motion.texture_summary(B.bright_frames(spark, d).where("frame_idx = 0"), 4, 2)
 
@@ -260,6 +306,18 @@ def object_summary(spark, d):
     return images.morphology_2d(B.bright_frames(spark, d), least=2, distance=2, texture=True)[1]
 
 
+@query()
+def volume_texture(spark, d):
+    return images.texture_3d(images.volumes_of(B.bright_frames(spark, d)))
+
+
+@query()
+def representative_field(spark, d):
+    frames = B.bright_frames(spark, d)
+    packed = beats.beating(frames, beats.BeatParams(signal_mode="consecutive"))[0]
+    return motion.piv(frames, 4, 2).drop("fps").join(beats.strongest_pair(packed), ["recording_id", "pair_idx"])
+
+
 @query()
 def volume_objects(spark, d):
     return images.morphology_3d(B.bright_frames(spark, d), least=4, distance=2)[0]
@@ -274,23 +332,31 @@ ms AS (SELECT n, sr / (n - 1) AS r, sc AS c, greatest((st - sr - sc) / (n - 1),
 icc AS (SELECT (r - e) / (r + e + 2 * (c - e) / n) AS icc FROM ms)"""
 
 
-@query(f"""WITH {_ICC} SELECT pair_id, count(*) AS n, round(corr(a, b), 6) AS pearson_r, round(any_value(icc), 6) AS icc_2_1, round(avg(a - b), 3) AS bland_altman_bias, round(stddev_samp(a - b), 3) AS bland_altman_sd_diff,
+_AGREEMENT = """count(*) AS n, round(corr(a, b), 6) AS pearson_r, round(any_value(icc), 6) AS icc_2_1, round(avg(a - b), 3) AS bland_altman_bias, round(stddev_samp(a - b), 3) AS bland_altman_sd_diff,
 round(avg(a - b) - 1.96 * stddev_samp(a - b), 3) AS bland_altman_loa_lower, round(avg(a - b) + 1.96 * stddev_samp(a - b), 3) AS bland_altman_loa_upper,
-round(regr_slope(b, a), 6) AS regression_slope, round(regr_intercept(b, a), 3) AS regression_intercept, round(regr_r2(b, a), 6) AS regression_r_squared FROM pr, icc GROUP BY pair_id""")
+round(regr_slope(b, a), 6) AS regression_slope, round(regr_intercept(b, a), 3) AS regression_intercept, round(regr_r2(b, a), 6) AS regression_r_squared"""
+_RANKED = "r AS (SELECT pair_id, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM pr)"
+
+
+def _thousandths(agreed: DataFrame) -> DataFrame:
+    return agreed.withColumns({c: F.round(c, 3) for c in agreed.columns if c.startswith("bland") or c.endswith("intercept")})
+
+
+@query(f"WITH {_ICC} SELECT pair_id, {_AGREEMENT} FROM pr, icc GROUP BY pair_id")
 def agreement_core(spark, d):
-    out = pairs.agreement(B.pairs(spark, d), with_p=False).drop("spearman_r")
-    return out.withColumns({c: F.round(c, 3) for c in out.columns if c.startswith("bland") or c.endswith("intercept")})
+    return _thousandths(pairs.agreement(B.pairs(spark, d), with_p=False).drop("spearman_r"))
 
 
-@query(f"""WITH {B.PAIRS_SQL}, r AS (SELECT pair_id, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM pr)
-SELECT pair_id, round(corr(ra, rb), 6) AS spearman_r FROM r GROUP BY pair_id""")
+@query(f"WITH {B.PAIRS_SQL}, {_RANKED} SELECT pair_id, round(corr(ra, rb), 6) AS spearman_r FROM r GROUP BY pair_id")
 def agreement_spearman(spark, d):
-    return pairs.agreement(B.pairs(spark, d), with_p=False).select("pair_id", "spearman_r")
+    return pairs.spearman(B.pairs(spark, d))
 
 
-@query()
+@query(f"""WITH {_ICC}, {_RANKED}, sp AS (SELECT pair_id, corr(ra, rb) AS rs, count(*) AS k FROM r GROUP BY pair_id), pe AS (SELECT pair_id, corr(a, b) AS rp FROM pr GROUP BY pair_id),
+ag AS (SELECT pair_id, {_AGREEMENT} FROM pr, icc GROUP BY pair_id)
+SELECT ag.*, round(rs, 6) AS spearman_r, round({student_p_sql("rp", "k")}, 6) AS pearson_p, round({student_p_sql("rs", "k")}, 6) AS spearman_p FROM ag JOIN sp ON sp.pair_id = ag.pair_id JOIN pe ON pe.pair_id = ag.pair_id""")
 def agreement_full(spark, d):
-    return pairs.agreement(B.pairs(spark, d))
+    return _thousandths(pairs.agreement(B.pairs(spark, d)))
 
 
 @query(f"WITH {B.PAIRS_SQL} SELECT o_orderkey, round(a - b, 6) AS diff, round((a + b) / 2, 6) AS mean FROM pr")
@@ -319,18 +385,23 @@ def group_descriptive(spark, d):
     return groups.descriptive(B.metrics(spark, d))
 
 
-@query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS recording_id, c_nationkey::DOUBLE AS c_nationkey, c_acctbal FROM customer)
-SELECT recording_id, metric, round(value, 6) AS value FROM t UNPIVOT (value FOR metric IN (c_nationkey, c_acctbal))""")
+@query("""WITH t AS (
+SELECT 'customer ' || c_custkey AS recording_id, c_nationkey::DOUBLE AS nationkey, c_acctbal AS acctbal FROM customer
+UNION ALL SELECT 'supplier ' || s_suppkey, s_nationkey::DOUBLE, s_acctbal FROM supplier)
+SELECT recording_id, metric, round(value, 6) AS value FROM t UNPIVOT (value FOR metric IN (nationkey, acctbal))""")
 def metric_unpivot(spark, d):
-    rows = B.table(spark, d, "customer").select(F.lit(0).alias("group_idx"), F.lit("all").alias("label"), F.col("c_custkey").cast("string").alias("recording_id"), F.lit(None).cast("string").alias("cluster"), "c_nationkey", "c_acctbal")
-    return groups.unpivoted(rows).select("recording_id", "metric", "value")
+    def side(k: int, name: str):
+        fields = {"group_idx": F.lit(k), "label": F.lit(name), "recording_id": F.concat(F.lit(name + " "), F.col(f"{name[0]}_{name[:4]}key")), "cluster": F.lit(None).cast("string")}
+        return B.table(spark, d, name).select(*[v.alias(c) for c, v in fields.items()], F.col(f"{name[0]}_nationkey").alias("nationkey"), F.col(f"{name[0]}_acctbal").alias("acctbal"))
+
+    return groups.unpivoted(side(0, "customer").unionByName(side(1, "supplier"))).select("recording_id", "metric", "value")
 
 
-@query(f"""WITH {B.metrics_sql(TWO)},
+@query(f"""WITH {B.metrics_sql("parity")},
 u AS (SELECT s.metric, n AS n1, total - n AS n2, rs - n * (n + 1) / 2 AS u, sqrt(n * (total - n) / 12 * ((total + 1) - ties / (total * (total - 1)))) AS sd FROM sums s JOIN tied USING (metric) WHERE group_idx = 0)
 SELECT metric, n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 6) AS u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd, 6) AS z FROM u""")
 def mann_whitney_u(spark, d):
-    return groups.mann_whitney(B.metrics(spark, d, TWO), with_p=False)
+    return groups.mann_whitney(B.metrics(spark, d, "parity"), with_p=False)
 
 
 @query(f"""WITH {B.metrics_sql()},
@@ -347,7 +418,13 @@ def dunn_posthoc(spark, d):
     return groups.dunn(B.metrics(spark, d), with_p=False)
 
 
-@query()
+_DUNN = f"""{B.metrics_sql()},
+dunn AS (SELECT x.metric, x.label AS group_a, y.label AS group_b, (x.rs / x.n - y.rs / y.n) / sqrt((total * (total + 1) / 12 - ties / (12 * (total - 1))) * (1 / x.n + 1 / y.n)) AS z
+FROM sums x JOIN sums y ON x.metric = y.metric AND x.group_idx < y.group_idx JOIN tied ON tied.metric = x.metric),
+tested AS (SELECT *, {normal_p_sql("z")} AS p, count(*) OVER (PARTITION BY metric) AS k FROM dunn)"""
+
+
+@query(f"WITH {_DUNN} SELECT metric, group_a, group_b, round(z, 6) + 0.0 AS z, round(p, 6) AS p_value, round(least(p * k, 1), 6) AS p_value_bonferroni FROM tested")
 def dunn_p_values(spark, d):
     return groups.dunn(B.metrics(spark, d))
 
@@ -362,9 +439,18 @@ def lmm_pairwise(spark, d):
     return groups.lmm_pairwise(B.metrics(spark, d))
 
 
-@query()
+@query(f"""WITH {_DUNN},
+h AS (SELECT metric, (12 / (any_value(total) * (any_value(total) + 1)) * sum(rs * rs / n) - 3 * (any_value(total) + 1)) / (1 - any_value(ties) / (pow(any_value(total), 3) - any_value(total))) AS h FROM sums JOIN tied USING (metric) GROUP BY ALL),
+d AS (SELECT metric, label, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM me GROUP BY ALL),
+c AS (SELECT metric, CAST(count(DISTINCT cluster) AS INTEGER) AS k FROM me GROUP BY ALL)
+SELECT t.metric, 'kruskal_wallis' AS test, round(h, 6) AS statistic, round(exp(-h / 2) * (1 + h / 2), 6) AS p_value, group_a, group_b, a.n AS n_a, b.n AS n_b, round(a.mean, 6) AS mean_a, round(b.mean, 6) AS mean_b,
+round(a.std, 6) AS std_a, round(b.std, 6) AS std_b, round(z, 6) + 0.0 AS z, round(least(p * t.k, 1), 6) AS p_value_bonferroni, c.k AS lmm_n_clusters
+FROM tested t JOIN h ON h.metric = t.metric JOIN c ON c.metric = t.metric JOIN d a ON a.metric = t.metric AND a.label = group_a JOIN d b ON b.metric = t.metric AND b.label = group_b""")
 def compare_groups(spark, d):
-    return groups.compare_groups(B.metrics(spark, d), 5).select("metric", "test", "statistic", "p_value", F.size("groups").alias("n_groups"), F.size("posthoc").alias("n_pairs"), "lmm_n_clusters", F.size("lmm_pairwise").alias("n_lmm_pairs"))
+    rows = groups.compare_groups(B.metrics(spark, d), 5).select("metric", "test", "statistic", "p_value", "groups", "lmm_n_clusters", F.explode("posthoc").alias("pair"))
+    of = lambda k: F.filter("groups", lambda g: g["label"] == F.col(f"pair.group_{k}"))[0]
+    sides = [of(k)[c].alias(f"{c}_{k}") for c in ("n", "mean", "std") for k in "ab"]
+    return rows.select("metric", "test", "statistic", "p_value", "pair.group_a", "pair.group_b", *sides, "pair.z", "pair.p_value_bonferroni", "lmm_n_clusters")
 
 
 @query("SELECT l_orderkey::VARCHAR AS metric, round(sum(l_tax), 6) AS p_value FROM lineitem GROUP BY l_orderkey ORDER BY sum(l_tax), metric LIMIT 12")
