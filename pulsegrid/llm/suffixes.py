@@ -25,7 +25,7 @@ from .hashing import _INVERSE, BASE, LETTER, U, mix, powers
 LEAST = 200
 GRAM = 32
 #: Bytes of fragments that one transform is made of, and those of one key beyond which its fragments are split.
-BLOCK, LARGEST_KEY = 4_000_000, 4_000_000
+BLOCK, LARGEST_KEY = 2_000_000, 2_000_000
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
