@@ -7,21 +7,31 @@ trusted target and one of the whole corpus, divided by the number of n-grams.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Hash buckets of the multinomials: the size of the model, whatever the corpus.
-BUCKETS = 1 << 13
+#: Hash buckets of the multinomials: as vocabularies do, they grow as the root of the corpus, with this factor on that of its bytes.
+GROWTH, FEWEST = 1.5, 1 << 10
 #: Trusted documents that the target is learnt from, at most: those of the smallest hashed ids.
 TARGET_DOCS = 50_000
 #: Mean log ratio per n-gram under which a document is rejected.
-LEAST_RATIO = -0.12
+LEAST_RATIO = -0.06
 WINDOW = 5
-#: n-grams a bucket that the corpus lends the target: a target much smaller than this can't tell its own gaps from bad text.
-LENT = 16
+#: What the corpus lends the target, as a part of the target's own n-grams: less, and its gaps count as bad text.
+LENT = 0.1
+
+
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    """How many buckets a corpus of these texts gets: a power of two. Their ratios, four bytes each, are all that is broadcast."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return max(FEWEST, 1 << math.ceil(math.log2(GROWTH * math.sqrt(size) + 1)))
 
 
 def words_of(text: Column) -> Column:
@@ -38,71 +48,74 @@ def buckets_of(hashes: Column, buckets: int) -> Column:
     return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets))), pairs)
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; see ``judge``."""
-    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def measured(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` (_row, doc_id, said) as _row, doc_id, n_words .. base_failed, buckets (of the n-grams): every text is split and hashed once."""
+    said = F.col("said")
     lines = F.filter(F.split(said, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = docs.withColumn("_words", words_of(said)).withColumn("_hashes", hashes_of(F.col("_words")))
-    out = out.withColumn("_lines", lines)
-    last = F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))
-    windows = F.transform(F.slice("_hashes", 1, last), lambda h, i: F.struct(F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, WINDOW)]).alias("h"), i.alias("i")))
-    out = out.withColumn("_sorted", F.sort_array(windows))
-    same = lambda s, j, k: s["h"].eqNullSafe(F.get("_sorted", j + k)["h"])
-    places = F.sort_array(F.transform(F.filter("_sorted", lambda s, j: same(s, j, -1) | same(s, j, 1)), lambda s: s["i"]))
+    out = rows.withColumn("words", words_of(said)).withColumn("hashes", hashes_of(F.col("words")))
+    out = out.withColumn("lines", lines)
+    last = F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))
+    windows = F.transform(F.slice("hashes", 1, last), lambda h, i: F.struct(F.xxhash64(h, *[F.get("hashes", i + k) for k in range(1, WINDOW)]).alias("h"), i.alias("i")))
+    out = out.withColumn("sorted", F.sort_array(windows))
+    same = lambda s, j, k: s["h"].eqNullSafe(F.get("sorted", j + k)["h"])
+    places = F.sort_array(F.transform(F.filter("sorted", lambda s, j: same(s, j, -1) | same(s, j, 1)), lambda s: s["i"]))
     # windows found twice or more, by place: each covers the words that the one before doesn't
     start = F.struct(F.lit(-WINDOW).alias("i"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(places, start, lambda a, i: F.struct(i.alias("i"), (a["n"] + F.least(F.lit(WINDOW), i - a["i"])).alias("n")), lambda a: a["n"])
     out = out.select(
-        "*",
-        F.size("_words").cast("long").alias("n_words"),
+        "_row",
+        "doc_id",
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.translate(said, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(said) - F.length(F.translate(said, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
+        F.transform(buckets_of(F.col("hashes"), buckets), lambda b: b.cast("int")).alias("buckets"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS, text: str = "text") -> DataFrame:
-    """One row, ``ratios``: for each bucket the log of its smoothed share in the target over that in the corpus.
+def log_ratios(measures: DataFrame, trusted: DataFrame, buckets: int, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """One row, ``ratios``: for each bucket the log of its smoothed share in the target over that in the corpus; all 0 without a target.
 
-    The target is smoothed towards the corpus, with ``LENT`` n-grams a bucket. All of ``docs`` count for the corpus. ``trusted`` has the doc_id of trusted
-    documents, of which at most ``target_docs`` count for the target; their ids
-    are all that is broadcast.
+    ``measures``: doc_id, buckets; all of them count for the corpus, towards
+    which the target is smoothed. ``trusted`` has the doc_id of trusted documents,
+    of which at most ``target_docs`` count for the target; their ids are all that
+    is broadcast.
     """
-    few = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).withColumn("_target", F.lit(1))
-    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    flagged = docs.select("doc_id", said.alias("_said")).join(F.broadcast(few), "doc_id", "left")
-    hashed = flagged.select("_target", hashes_of(words_of(F.col("_said"))).alias("_hashes"))
-    counts = (
-        hashed.select("_target", F.explode(buckets_of(F.col("_hashes"), buckets)).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("_target").alias("target"))
-    )
-    every = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
+    few = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).withColumn("target", F.lit(1))
+    flagged = measures.select("doc_id", "buckets").join(F.broadcast(few), "doc_id", "left")
+    counts = flagged.select("target", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
+    every = measures.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     # all buckets as one array: as many as the parameter says
-    lent = float(LENT * buckets)
     packed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     share = lambda c: (c["raw"] + 1.0) / (F.col("raws") + float(buckets))
-    return packed.select(F.transform("c", lambda c: F.log((c["target"] / share(c) + lent) / (F.col("targets") + lent)).cast("float")).alias("ratios"))
+    ratio = lambda c: F.log((F.try_divide(c["target"] / share(c), F.col("targets")) + LENT) / (1.0 + LENT))
+    return packed.select(F.transform("c", lambda c: F.coalesce(ratio(c), F.lit(0.0)).cast("float")).alias("ratios"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS, text: str = "text") -> DataFrame:
-    """``docs`` with the counts, base_failed, ratio and kept; columns of these names are replaced.
+def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, buckets: int | None = None, target_docs: int = TARGET_DOCS, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with the counts, base_failed, ratio and kept; only columns of these names are replaced.
 
     Words part at ASCII white space; a null text has none. n_dup_lines: lines
     with a word that equal an earlier one. n_repeat_words: words in windows of
     five that stand twice or more in the text. base_failed: under ten words, or
     more than a fifth of the words repeat. ratio: mean log ratio of the text's
     hashed words and pairs (null without words). kept: not base_failed, and a
-    ratio of ``least`` or more. Repeated rows get repeated verdicts; without
-    trusted documents every ratio is 0. Filter a written result: a filter right
-    on it would be moved below these steps and repeat them.
+    ratio of ``least`` or more. Repeated rows get repeated verdicts; rows without
+    a doc_id are judged like others but never trusted; without trusted documents
+    every ratio is 0. ``buckets``: hash buckets, else as many as the corpus asks
+    for (``buckets_for``). ``keep``: columns of ``docs`` to return, else all. What
+    is counted in each text is written first, with these columns, so that a
+    filter on the result repeats none of it.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
-    ratios = log_ratios(docs, trusted, buckets, target_docs, text).scalar()
-    out = counted(docs.drop(*made), text).withColumn("_buckets", buckets_of(F.col("_hashes"), buckets)).withColumn("_ratios", ratios)
-    total = F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get("_ratios", b.cast("int")))
-    out = out.withColumn("ratio", F.when(F.size("_buckets") > 0, total / F.size("_buckets")))
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("ratio") >= least, F.lit(False)))
-    return out.drop("_words", "_hashes", "_lines", "_sorted", "_buckets", "_ratios")
+    buckets = buckets or buckets_for(docs, text)
+    own = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("said"))
+    found = written(measured(rows, buckets), "measured")
+    found = found.withColumn("ratios", log_ratios(found, trusted, buckets, target_docs).scalar())
+    total = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get("ratios", b))
+    found = found.withColumn("ratio", F.when(F.size("buckets") > 0, total / F.size("buckets")))
+    found = found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("ratio") >= least, F.lit(False)))
+    return found.select(*[F.col("_row")[c].alias(c) for c in own], *made)

@@ -37,7 +37,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    judged = quality.judge(table(spark, sf_dir, "documents"), trusted)
+    judged = quality.judge(table(spark, sf_dir, "documents"), trusted, keep=("doc_id",))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 

@@ -164,8 +164,7 @@ def test_quality(spark, docs, rows):
         if 6 <= i < 40:
             target.update(brute_buckets(t, 512))
     share = [(raw[b] + 1) / (sum(raw.values()) + 512) for b in range(512)]
-    lent = quality.LENT * 512
-    ratio = [math.log((target[b] + lent * q) / (sum(target.values()) + lent)) - math.log(q) for b, q in enumerate(share)]
+    ratio = [math.log((target[b] / sum(target.values()) / q + quality.LENT) / (1 + quality.LENT)) for b, q in enumerate(share)]
     for i, t in rows:
         r, want = got[i], brute_counts(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, i
@@ -175,7 +174,22 @@ def test_quality(spark, docs, rows):
         assert r.base_failed == failed and (r.ratio is None) == (mean is None) and (mean is None or abs(r.ratio - mean) < 1e-5), i
         assert r.kept == (not failed and mean >= quality.LEAST_RATIO)
     assert quality.judge(docs.limit(0), trusted).count() == 0
-    assert quality.judge(docs, trusted.limit(0)).count() == len(rows) + 1
+    alone = quality.judge(docs, trusted.limit(0)).collect()
+    assert len(alone) == len(rows) + 1 and {r.ratio for r in alone} == {0.0, None} and all(r.kept != r.base_failed for r in alone)
+
+
+def test_quality_leaves_other_columns_alone(spark):
+    text = " ".join(f"word{k}" for k in range(12))
+    names = ["_words", "_hashes", "words", "hashes", "lines", "sorted", "said", "buckets", "ratios", "target", "_row", "a.b", "ratio"]
+    docs = spark.createDataFrame([(None, text, *range(13)), (1, None, *range(13)), (1, text, *range(13))], ["doc_id", "text", *names])
+    got = quality.judge(docs, docs.select("doc_id")).collect()
+    assert all([r[c] for c in names[:-1]] == list(range(12)) for r in got) and all(isinstance(r.ratio, float | None) for r in got)
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in got) == [("1", 0, False), ("1", 12, True), ("None", 12, True)]
+
+
+def test_quality_buckets_follow_the_corpus(spark):
+    sizes = [quality.buckets_for(spark.range(n).select(F.lit("x" * 10_000).alias("text"))) for n in (0, 1, 100, 10_000, 160_000)]
+    assert sizes == [1 << 10, 1 << 10, 1 << 11, 1 << 14, 1 << 16]
 
 
 def brute_repeats(rows, least):
