@@ -97,10 +97,12 @@ def format_conversations(messages: DataFrame, paths: int = 1, trained_roles: tup
     """One formatted conversation for each chosen path: conv_id, path, part, formatted, trained (spans under the loss mask).
 
     ``messages``: conv_id, message_id, parent_id, score, role, text. A null role
-    or text counts as empty; an empty table gives an empty one. A conversation
-    beyond ``PART_CHARS`` goes on in further parts, cut between turns, so that no
+    or text counts as empty, a null conv_id is a conversation of its own; an
+    empty table gives an empty one. A conversation beyond ``PART_CHARS`` goes on in further parts, cut between turns, so that no
     cell grows with the number of its turns.
     """
+    # as a field of a struct a null equals a null
+    messages = messages.withColumn("conv_id", F.struct("conv_id"))
     chosen = best_paths(messages.withColumnRenamed("conv_id", "tree_id"), paths).withColumnRenamed("tree_id", "conv_id")
     said = messages.select("conv_id", "message_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = (
@@ -110,7 +112,8 @@ def format_conversations(messages: DataFrame, paths: int = 1, trained_roles: tup
         .sortWithinPartitions("conv_id", "path", "depth")
     )
     kind = messages.schema["conv_id"].dataType.simpleString()
-    return map_rows(turns, _parts, f"conv_id {kind}, path int, part int, formatted string, trained array<struct<start int, end int>>")
+    made = map_rows(turns, _parts, f"conv_id {kind}, path int, part int, formatted string, trained array<struct<start int, end int>>")
+    return made.withColumn("conv_id", F.col("conv_id.conv_id"))
 
 
 def _read(batches: Iterator[dict]) -> Iterator[dict]:
@@ -154,4 +157,4 @@ def replies(rows: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.select("conv_id", "turn", "role", "text").withColumn("message_id", F.row_number().over(order).cast("long"))
-    return rows.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("conv_id"), "message_id", F.when(F.col("message_id") > 1, F.col("message_id") - 1).alias("parent_id"), F.lit(1.0).alias("score"), "role", "text")
+    return rows.select("conv_id", "message_id", F.when(F.col("message_id") > 1, F.col("message_id") - 1).alias("parent_id"), F.lit(1.0).alias("score"), "role", "text")

@@ -181,6 +181,38 @@ def test_chats_read_back(spark):
     assert chats.read_conversations(chats.format_conversations(chats.replies(table.limit(0)))).count() == 0
 
 
+def test_chats_of_a_null_conversation(spark):
+    """A null conv_id comes back null, beside the least one and another."""
+    rows = [(c, k, role, f"{c} says {k}") for c in (None, -(1 << 63), 4) for k, role in enumerate(("user", "assistant", "user"))] + [(None, None, "assistant", None)]
+    got = {r.conv_id: r for r in chats.read_conversations(chats.format_conversations(chats.replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    assert set(got) == {None, -(1 << 63), 4}
+    for c in got:
+        turns = sorted(((r[1] is not None, r[1] or 0), r[2], r[3]) for r in rows if r[0] == c)
+        assert tuple(got[c])[2:6] == brute_conversation([t[1:] for t in turns])
+
+
+def test_reply_trees_against_all_paths(spark):
+    """Every root-to-leaf path listed by hand: the best by mean score, then depth, then leaf; ties and null scores among them."""
+    import random
+
+    rng, nodes, want = random.Random(44), [], {}
+    for tree in range(12):
+        size = rng.choice([1, 2, 7, 40])
+        parents = {k: rng.choice([None, 99, *range(k)] if k else [None]) for k in range(size)}
+        scores = {k: rng.choice([None, 0.0, 1.0, 2.0, 0.5]) for k in range(size)}
+        nodes += [(tree, k, parents[k], scores[k]) for k in range(size)]
+        paths = []
+        for leaf in set(range(size)) - set(parents.values()):
+            path = [leaf]
+            while parents[path[-1]] in range(size):
+                path.append(parents[path[-1]])
+            paths.append((-sum(scores[x] or 0 for x in path) / len(path), -len(path), leaf, path[::-1]))
+        for k, (_, _, _, path) in enumerate(sorted(paths)[:2], 1):
+            want |= {(tree, k, depth): x for depth, x in enumerate(path)}
+    table = spark.createDataFrame(nodes, "tree_id long, message_id long, parent_id long, score double").repartition(3)
+    assert {(r.tree_id, r.path, r.depth): r.message_id for r in chats.best_paths(table, 2).collect()} == want
+
+
 def test_reply_trees(spark):
     nodes = [(1, 1, None, 1.0), (1, 2, 1, 5.0), (1, 3, 1, 2.0), (1, 4, 2, 0.0), (1, 5, 3, 9.0), (2, 1, 9, 1.0), (2, 2, 2, 1.0), (3, 1, None, None)]
     table = spark.createDataFrame(nodes, "tree_id long, message_id long, parent_id long, score double")
