@@ -26,9 +26,7 @@ def packed(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null texts have no words and go."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    # written before it is filtered: a filter would be moved below the rules and repeat them
-    judged = written(quality.judge(packed(docs), trusted).drop("text"), "judged")
-    return judged.where("kept").select("_doc.*")
+    return quality.judge(packed(docs), trusted, keep=("_doc",)).where("kept").select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
