@@ -45,7 +45,8 @@ FREEDOM = {
 
 #: All bytes but 0-9, a-z and those of non-ASCII characters part words.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 32 for b in range(256))
-_TAG = re.compile(rb"spdx-license-identifier\s*:?[ \t]*([^\r\n]+)", re.I)
+#: What stands between a tag and its expression, which goes on to the end of the line.
+_AFTER_TAG = re.compile(rb"[ \t]*:?[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -140,7 +141,7 @@ def _scan(batches: Iterator[dict], base: dict, notices: dict, tags: tuple) -> It
             words = raw.translate(_FOLD).split()
             # bytes stand for characters one to one, so that the automaton's places are byte places
             norm = (b" " + b" ".join(words) + b" ").decode("latin-1")
-            places, spans, labels, base_labels, tagged = [], [], set(), set(), False
+            places, spans, labels, base_labels, tag_ends = [], [], set(), set(), []
             upto = seen = 0
             for end, (length, hits) in automaton.iter(norm):
                 start = end - length + 1
@@ -154,14 +155,16 @@ def _scan(batches: Iterator[dict], base: dict, notices: dict, tags: tuple) -> It
                     if kind == "base":
                         places.append(at)
                         base_labels.add(label)
+                    spans.append((at, at + norm.count(" ", start, end), label or "tag"))
                     if kind == "tag":
-                        tagged = True
+                        tag_ends.append(spans[-1][1])
                     else:
                         labels.add(label)
-                    spans.append((at, at + norm.count(" ", start, end), label or "tag"))
             expressions, freedom = [], [FREEDOM.get(x, 0.5) for x in labels]
-            for m in _TAG.finditer(raw) if tagged else ():
-                postfix, tokens = parse_prefix(m[1].decode("utf-8", "replace"))
+            # byte places of words are looked up only where there is a tag
+            ends = [m.end() for m in re.finditer(rb"[^ ]+", raw.translate(_FOLD))] if tag_ends else []
+            for end in tag_ends:
+                postfix, tokens = parse_prefix(_AFTER_TAG.match(raw, ends[end - 1])[1].decode("utf-8", "replace"))
                 if postfix:
                     expressions.append(" ".join(tokens))
                     labels |= {family(t) for t in postfix if t not in _RANK}
@@ -180,8 +183,9 @@ def scan_licences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     n_words; n_base, first_word, last_word (places of base phrases, in words
     from 0; no place: 0, null, null); base_labels, labels (distinct, sorted,
     comma-joined; none: empty); score (0 without evidence, below 1); freedom
-    (least over all labels and expressions; null without); expressions; spans
-    (all places of all phrases). A null text counts as empty; repeated rows
+    (least over all labels and expressions; null without); expressions (from a
+    tag's end, past a colon, the longest run of tokens that is one, on that
+    line); spans (all places of all phrases). A null text counts as empty; repeated rows
     give repeated results; other columns are ignored, whatever their names.
     """
     found = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, freedom double, expressions array<string>, spans array<struct<first_word long, end_word long, label string>>"

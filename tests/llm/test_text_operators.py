@@ -59,6 +59,56 @@ def test_long_licence_expressions(spark):
     assert licences.parse_prefix(" ".join(deep)) == (None, []) and licences.parse_prefix("MIT OR ( BSD")[1] == ["MIT"]
 
 
+def brute_expression(tokens):
+    """Operands of the longest prefix that is an expression, by trying every prefix against the grammar; None without one."""
+
+    def whole(part):
+        # a group, or an operand; then operators between such
+        def term(k):
+            if k < len(part) and part[k] == "(":
+                end = chain(k + 1)
+                return end + 1 if end is not None and end < len(part) and part[end] == ")" else None
+            return k + 1 if k < len(part) and part[k] not in ("(", ")") and part[k].lower() not in ("or", "and", "with") else None
+
+        def chain(k):
+            k = term(k)
+            while k is not None and k < len(part) and part[k].lower() in ("or", "and", "with"):
+                k = term(k + 1)
+            return k
+
+        return chain(0) == len(part)
+
+    for n in range(len(tokens), 0, -1):
+        if whole(tokens[:n]):
+            return [t for t in tokens[:n] if t not in "()" and t.lower() not in ("or", "and", "with")]
+    return None
+
+
+def test_licence_labels_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    tags = ["SPDX-License-Identifier:", "spdx license identifier", "SPDX-LICENSE-IDENTIFIER :", "x-spdx_license.identifier:"]
+    texts = [" ".join(rng.choice([*licences.BASE_PHRASES, *licences.NOTICE_PHRASES, "cc", "by", "sa", "license", "word.", "é"]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    for k in range(60):
+        expression = " ".join(rng.choice(["MIT", "GPL-2.0-only", "(", ")", "OR", "and", "WITH", "Apache-2.0", "CC-BY-4.0", "Own-1"]) for _ in range(rng.randrange(9)))
+        texts[k % 40] += f"\n// {rng.choice(tags)} {expression}\nMIT Licence"
+    texts += ["spdx license identifier", "SPDX-License-Identifier:", "SPDX-License-Identifier: MIT SPDX-License-Identifier: BSD-2-Clause"]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        phrases = {**licences.BASE_PHRASES, **licences.NOTICE_PHRASES}
+        labels = {label for p, label in phrases.items() if f" {p} " in f" {' '.join(words)} "}
+        found = 0
+        for m in re.finditer(r"(?i)(?<![a-z0-9])spdx[^a-z0-9é]+license[^a-z0-9é]+identifier(?![a-z0-9])[ \t]*:?[ \t]*(?=([^\n]*))", t):
+            operands = brute_expression(re.findall(r"\(|\)|[A-Za-z0-9.+:-]+", m[1]))
+            if operands:
+                found += 1
+                labels |= {licences.family(x) for x in operands}
+        assert got[i].labels == ",".join(sorted(labels)) and len(got[i].expressions) == found, t
+        assert got[i].score == 1 - 0.5 ** (len(labels) + found)
+
+
 def test_licences_empty(docs):
     assert licences.scan_licences(docs.limit(0)).count() == 0
 
