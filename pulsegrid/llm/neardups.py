@@ -120,43 +120,106 @@ def _agree(batches: Iterator[dict], least: int) -> Iterator[dict]:
             yield {"hub": [batch["a"][k] for k in near], "doc_id": [batch["b"][k] for k in near]}
 
 
-def _alike(one: tuple, other: tuple, least: int, found: dict[str, list]) -> None:
-    """Adds the pairs between two blocks (ids, components, bins by bin) that are of different components and agree; of a block with itself each once."""
-    for k in range(len(one[0])):
-        lo = k + 1 if one is other else 0
-        agree = (other[2][:, lo:] == one[2][:, k : k + 1]).sum(0, dtype=np.uint8)
-        near = other[0][lo:][(agree >= least) & (other[1][lo:] != one[1][k])]
-        found["hub"] += np.minimum(near, one[0][k]).tolist()
-        found["doc_id"] += np.maximum(near, one[0][k]).tolist()
+class _Block:
+    """Members of a bucket in numpy: ids, components, bins bin by bin, bands, and the sets one after the other."""
+
+    def __init__(self, batch: dict, lo: int, hi: int):
+        bucket = batch["bucket"][lo]
+        bands = np.frombuffer(b"".join(batch["bands"][lo:hi]), np.int64).reshape(-1, BANDS)
+        # a document of several sets stands in the bucket with one of them
+        own = np.flatnonzero((bands == bucket).any(1))
+        self.bands = bands[own]
+        self.ids, self.parts = (np.array(batch[k][lo:hi], np.int64)[own] for k in ("doc_id", "component"))
+        self.bins = np.ascontiguousarray(np.frombuffer(b"".join(batch["bins"][lo:hi]), np.uint8).reshape(-1, BINS)[own].T)
+        self.sets = [np.frombuffer(batch["small"][lo + k], np.uint32) for k in own.tolist()]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+
+
+class _Forest:
+    """Components that a task has joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
 
 
-def _across(batches: Iterator[dict], least: int) -> Iterator[dict]:
+def _joins(one: _Block, other: _Block, bucket: int, least: int, percent: int, forest: _Forest) -> Iterator[tuple[int, int]]:
+    """Links between two blocks (of a block with itself each once) that join components: of those that others imply none is given."""
+    for k in range(len(one.ids)):
+        lo = k + 1 if one is other else 0
+        agree = (other.bins[:, lo:] == one.bins[:, k : k + 1]).sum(0, dtype=np.uint8)
+        near = np.flatnonzero((agree >= least) & (other.parts[lo:] != one.parts[k]))
+        if not len(near):
+            continue
+        # a pair is seen to in the first bucket that both are in
+        shared = other.bands[near + lo] == one.bands[k]
+        near = near[one.bands[k][shared.argmax(1)] == bucket]
+        near = near[np.argsort(-agree[near].astype(np.int64), kind="stable")] + lo
+        own = forest.root(int(one.parts[k]))
+        near = np.array([x for x in near.tolist() if forest.root(int(other.parts[x])) != own], np.int64)
+        if not len(near):
+            continue
+        flat = np.concatenate([other.sets[x] for x in near])
+        at = np.minimum(np.searchsorted(one.sets[k], flat), one.sizes[k] - 1)
+        common = np.add.reduceat(one.sets[k][at] == flat, np.concatenate([[0], np.cumsum(other.sizes[near])[:-1]]), dtype=np.int64)
+        alike = 100 * common >= percent * (other.sizes[near] + one.sizes[k] - common)
+        for x in near[alike].tolist():
+            a, b = forest.root(int(one.parts[k])), forest.root(int(other.parts[x]))
+            if a != b:
+                forest.up[max(a, b)] = min(a, b)
+                yield int(min(one.ids[k], other.ids[x])), int(max(one.ids[k], other.ids[x]))
+
+
+def _across(batches: Iterator[dict], least: int, percent: int) -> Iterator[dict]:
     """Pairs of blocks (bucket, i, j), each with its strays first; with j 0 the strays meet each other too."""
-    at, held = None, []
+    at, held, forest = None, [], _Forest()
     for batch in batches:
         found: dict[str, list] = {"hub": [], "doc_id": []}
-        docs, parts = (np.array(batch[k], np.int64) for k in ("doc_id", "component"))
-        bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(-1, BINS)
         keys = list(zip(batch["bucket"], batch["i"], batch["j"], batch["beside"]))
         for key, run in groupby(range(len(keys)), keys.__getitem__):
             run = list(run)
-            lo, hi = run[0], run[-1] + 1
-            block = docs[lo:hi], parts[lo:hi], np.ascontiguousarray(bins[lo:hi].T)
+            block = _Block(batch, run[0], run[-1] + 1)
             if key[:3] != at:
-                at, held = key[:3], []
+                at, held, forest = key[:3], [], _Forest()
             if not key[3]:
                 held = [*held, block]
             for other in held if key[3] or key[2] == 0 else ():
-                _alike(other, block, least, found)
+                for a, b in _joins(other, block, key[0], least, percent, forest):
+                    found["hub"].append(a)
+                    found["doc_id"].append(b)
         yield found
 
 
-def across(fuller: DataFrame, bins: DataFrame, least: int) -> DataFrame:
-    """hub, doc_id: all pairs in a bucket of which one is a stray, from different components and with ``least`` bins alike; a pair may repeat.
+def _small_sets(batches: Iterator[dict], width: int) -> Iterator[dict]:
+    """Bands, bins and the set itself, of each hash its lower half: enough to tell two sets' likeness but for one pair in some 100,000."""
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("doc_id", "bands", "bins", "small")}
+        for part in _sketch(iter([batch]), width):
+            kept = [k for k, b in enumerate(part["bands"]) if b is not None]
+            sets = {at: np.unique(shingles(h, width).astype(np.uint32)) for at, h in words(batch["text"], SPACE)}
+            for k in kept:
+                for name, value in (("doc_id", part["doc_id"][k]), ("bands", part["bands"][k].tobytes()), ("bins", part["bins"][k]), ("small", sets[k].tobytes())):
+                    out[name].append(value)
+        yield out
+
+
+def small_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, bands, bins, small (all packed) of each text that has words."""
+    return map_rows(docs.select("doc_id", text_bytes().alias("text")), lambda b: _small_sets(b, width), "doc_id long, bands binary, bins binary, small binary").distinct()
+
+
+def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """hub, doc_id: links in a bucket, of which one is a stray, that join different components; those that these imply are left out.
 
     ``fuller``: bucket, doc_id, component, main. A bucket's strays (not of its
     main component) and its other members are dealt into blocks of about
     ``BLOCK``; each block of strays meets all others, a pair of blocks at a time.
+    A task compares bins, then sets, and gives no more links than it has members.
     """
     rows = fuller.withColumn("stray", F.col("component") != F.col("main"))
     many = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int")).alias("mains"))
@@ -169,9 +232,10 @@ def across(fuller: DataFrame, bins: DataFrame, least: int) -> DataFrame:
         F.transform(leads, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("beside"))),
         F.transform(meets, lambda i: F.struct(i.alias("i"), F.when(stray, mains + own).otherwise(own).alias("j"), F.lit(True).alias("beside"))),
     )
-    dealt = rows.join(bins, "doc_id").select("bucket", F.explode(places).alias("p"), "doc_id", "component", "bins").select("bucket", "p.*", "doc_id", "component", "bins")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "beside")
-    return map_rows(dealt, lambda b: _across(b, least), "hub long, doc_id long")
+    sets = written(small_sets(docs.join(fuller.select("doc_id").distinct(), "doc_id", "left_semi"), width), "sets")
+    dealt = rows.join(sets, "doc_id").select("bucket", F.explode(places).alias("p"), "doc_id", "component", "bands", "bins", "small").select("bucket", "p.*", "doc_id", "component", "bands", "bins", "small")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "beside", "doc_id")
+    return map_rows(dealt, lambda b: _across(b, int(AGREEING * BINS), percent), "hub long, doc_id long")
 
 
 SET = ("set_a", "set_b", "n_shingles")
@@ -211,13 +275,12 @@ def beyond_hubs(members: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataF
     return written(rest.select("bucket", "doc_id", "n", "component", "main"), "rest")
 
 
-def crossing(rest: DataFrame, chosen: DataFrame) -> DataFrame:
-    """hub, doc_id: pairs past the hubs, in one bucket but of different components, whose bins agree enough to be confirmed.
+def crossing(rest: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """hub, doc_id: pairs past the hubs, in one bucket but of different components, that are to be confirmed.
 
-    In buckets of up to ``PAIRED`` members by a join; fuller ones, whose work
-    grows with strays times members, a pair of blocks at a time.
+    In buckets of up to ``PAIRED`` members by a join, where bins agree; fuller
+    ones, whose work grows with strays times members, a pair of blocks at a time.
     """
-    least = int(AGREEING * BINS)
     small = rest.where(F.col("n") <= PAIRED)
     strays = small.where("component <> main").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), "main")
     others = small.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
@@ -225,8 +288,8 @@ def crossing(rest: DataFrame, chosen: DataFrame) -> DataFrame:
     # a document of several sets has several rows of bins
     bins = written(chosen.select("doc_id", "bins").distinct(), "bins")
     beside = pairs.join(bins.select(F.col("doc_id").alias("a"), F.col("bins").alias("bins_a")), "a").join(bins.select(F.col("doc_id").alias("b"), F.col("bins").alias("bins_b")), "b")
-    near = map_rows(beside, lambda b: _agree(b, least), "hub long, doc_id long")
-    return written(near.unionByName(across(rest.where(F.col("n") > PAIRED), bins, least)).distinct(), "crossing")
+    near = map_rows(beside, lambda b: _agree(b, int(AGREEING * BINS)), "hub long, doc_id long")
+    return written(near.unionByName(across(rest.where(F.col("n") > PAIRED), docs, width, percent)).distinct(), "crossing")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -247,7 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = join_by_size(members.drop("n"), hubs, "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct()
     links = written(confirmed(written(stars, "stars"), docs, width, percent), "links")
     # what a hub isn't linked with may be linked with other members, past the hub
-    near = crossing(beyond_hubs(members, hubs, components(links)), chosen)
+    near = crossing(beyond_hubs(members, hubs, components(links)), chosen, docs, width, percent)
     groups = components(links.unionByName(confirmed(near, docs, width, percent)))
     # a set may have most rows: by a hash, then by the set itself
     key = F.xxhash64(*SET).alias("key")
