@@ -25,7 +25,7 @@ from .hashing import _INVERSE, BASE, LETTER, U, mix, powers
 LEAST = 200
 GRAM = 32
 #: Bytes of fragments that one transform is made of, and those of one key beyond which its fragments are split.
-BLOCK, LARGEST_KEY = 2_000_000, 2_000_000
+BLOCK, LARGEST_KEY = 1_500_000, 8_000_000
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -167,15 +167,16 @@ def _split(batches: Iterator[dict], least: int, gram: int, classes: int) -> Iter
     yield from pool.rows()
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by ``depth`` bytes or more: eight bytes first, then doubled among those still equal."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes, sorted by ``depth`` bytes or more: eight bytes first, then doubled among those still equal; and their first eight bytes in that order."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     head = np.zeros(n, U)
     for k in range(8):
         head = head << U(8) | padded[k : k + n]
-    order = np.argsort(head, kind="stable")
-    new = np.concatenate([[True], head[order][1:] != head[order][:-1]])
+    order = np.argsort(head)
+    head = head[order]
+    new = np.concatenate([[True], head[1:] != head[:-1]])
     slots = np.arange(n)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
@@ -188,7 +189,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             break
         at = order[active]
         second = rank[np.minimum(at + done, n)]
-        resort = np.argsort(rank[at] * (n + 1) + second + 1, kind="stable")
+        resort = np.argsort(rank[at] * (n + 1) + second + 1)
         at, second = at[resort], second[resort]
         first = rank[at]
         order[active] = at
@@ -196,40 +197,51 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         new[active] = fresh
         rank[at] = np.maximum.accumulate(np.where(fresh, active, 0))
         done *= 2
-    return order
+    return order, head
+
+
+def short_prefixes(head: np.ndarray) -> np.ndarray:
+    """For each of the sorted words of eight bytes, the first in the top bits, how many it shares with the one before up to a zero; -1 if all eight."""
+    differ = head[1:] ^ head[:-1]
+    out = np.full(len(head), -1, np.int32)
+    out[0] = 0
+    # from the last byte up, so that the first that ends the prefix is what stays
+    for k in reversed(range(8)):
+        byte = U(0xFF) << U(8 * (7 - k))
+        out[1:][((differ & byte) != 0) | ((head[1:] & byte) == 0)] = k
+    return out
 
 
 def alike(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix order of ``text`` (zeros part strings), and for each rank whether its suffix shares ``least`` bytes with the one before.
 
-    On the transform: the interval of a string, extended backwards by a byte, is
+    Prefixes of under eight bytes are read off the sorted words. From there on
+    the transform: the interval of a string, extended backwards by a byte, is
     where that byte's places in the interval lead. An interval whose end is first
     reached at some length sets the common prefix there, and is extended in turn.
-    While most are undecided, all undecided ends are looked at instead, which
-    finds the same ones.
+    As long as that would touch most places, all undecided ends are looked at
+    instead, which finds the same ones.
     """
     n = len(text)
-    order = suffix_order(text, least)
+    order, head = suffix_order(text, least)
+    prefix = np.append(short_prefixes(head), np.int32(0))
+    prefix[:n][prefix[:n] >= least] = -1
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     transform = text[order - 1]
     back = place[order - 1]  # where the suffix that is one byte longer stands
     ahead = place[(order + 1) % n]
-    head = text[order]
-    prefix = np.full(n + 1, -1, np.int32)
-    prefix[0] = prefix[n] = 0
-    prefix[1:n][(head[1:] != head[:-1]) | (head[1:] == 0)] = 0
     open_ends = np.flatnonzero(prefix == -1)
-    length = 0
+    length = min(8, least) - 1
     dense = True
     while length < least - 1 and len(open_ends):
-        ends = np.cumsum(prefix[:n] >= 0)
+        ends = np.cumsum(prefix[:n] >= 0, dtype=np.int32)
         hit = ends[ahead[open_ends]] > ends[ahead[open_ends - 1]]
         length += 1
         found = open_ends[hit]
         prefix[found] = length
         open_ends = open_ends[~hit]
-        if 4 * len(found) < len(open_ends) and length >= 12:
+        if 4 * len(found) < len(open_ends):
             bounds = np.flatnonzero(prefix >= 0)
             low = bounds[np.searchsorted(bounds, found) - 1]
             if 3 * int((found - low).sum()) < len(open_ends):
@@ -322,7 +334,7 @@ def _repeats(batches: Iterator[dict], least: int, block: int) -> Iterator[dict]:
 
 
 def repeated_spans(texts: DataFrame, packed: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, largest_key: int = LARGEST_KEY) -> DataFrame:
-    """doc_id, mark (hash of the text), first, last: runs of starts of ``least``-byte strings that start anywhere else too.
+    """doc_id, mark (hash of the text), runs (first, last): runs of starts of ``least``-byte strings that start anywhere else too.
 
     ``texts``: doc_id, text as bytes; ``packed``: doc_id, mark, size, packed.
     """
@@ -353,8 +365,8 @@ def repeated_spans(texts: DataFrame, packed: DataFrame, least: int = LEAST, gram
         runs = runs.unionByName(up)
     # a fragment that is in many texts is one row with its runs, and how often it stands
     standing = runs.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("runs")).join(places.groupBy("name").agg(F.count("*").alias("n")), "name")
-    found = join_by_size(places, written(standing, "standing"), "name").select("doc_id", "mark", "start", F.explode("runs").alias("run"))
-    return found.select("doc_id", "mark", (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last")).alias("last"))
+    found = join_by_size(places, written(standing, "standing"), "name")
+    return found.select("doc_id", "mark", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last"))).alias("runs"))
 
 
 def _cut(batches: Iterator[dict], least: int, with_text: bool) -> Iterator[dict]:
@@ -394,7 +406,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least:
     texts = texts.withColumn("doc_id", F.coalesce("doc_id", "mark"))
     kind = texts.schema["row"].dataType.simpleString()
     packed = map_rows(texts, _pack, f"row {kind}, doc_id long, mark long, size long, packed binary")
-    runs = repeated_spans(texts, packed, least, **limits).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = repeated_spans(texts, packed, least, **limits).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start long, end long>>" * with_text
     cut = map_rows(packed.join(runs.hint("merge"), ["doc_id", "mark"], "left").select("row", "packed", "runs"), lambda b: _cut(b, least, with_text), f"row {kind}, {found}")
     return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept_text", "spans") if with_text else ()))
