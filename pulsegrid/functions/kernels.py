@@ -195,3 +195,16 @@ def orientation_3d(volume: np.ndarray, sigma: float = 1.0, around: float = 2.0,
     norm = np.sqrt((values**2).sum(-1))
     spread = np.sqrt(((values - values.mean(-1, keepdims=True)) ** 2).sum(-1))
     return vectors[..., 0], np.where(norm > 1e-12, np.sqrt(1.5) * spread / np.where(norm > 1e-12, norm, 1), 0.0)
+
+
+def outer_boundaries(labels: np.ndarray) -> np.ndarray:
+    """Where a pixel differs from one beside it: of the background, and of labels where another one is among the eight around."""
+    background, far = labels == 0, np.iinfo(np.int64).max
+    low, high = (np.pad(labels.astype(np.int64), 1, mode="edge") for _ in range(2))
+    filled = np.pad(np.where(background, far, labels.astype(np.int64)), 1, mode="edge")
+    h, w = labels.shape
+    part = lambda a, y, x: a[1 + y : 1 + y + h, 1 + x : 1 + x + w]
+    cross, square = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)], [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+    differs = np.max([part(high, *p) for p in cross], 0) != np.min([part(low, *p) for p in cross], 0)
+    touching = np.max([part(high, *p) for p in square], 0) != np.min([part(filled, *p) for p in square], 0)
+    return differs & (background | touching)

@@ -14,6 +14,12 @@ def traces(packed: DataFrame, values: str = "smoothed") -> DataFrame:
     return rows.select("recording_id", (F.col("idx") / F.col("fps")).alias("t"), "v", F.array_contains("peaks", F.col("idx")).alias("is_peak"))
 
 
+def marks(beats: DataFrame) -> DataFrame:
+    """recording_id, t, kind: the peak of each beat and the trough before it."""
+    kinds = F.array(F.struct(F.col("contraction_start_time_s").alias("t"), F.lit("before").alias("kind")), F.struct(F.col("peak_time_s").alias("t"), F.lit("peak").alias("kind")))
+    return beats.select("recording_id", F.inline(kinds))
+
+
 def field(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("magnitude", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
 
@@ -26,6 +32,21 @@ def axes(objects: DataFrame) -> DataFrame:
     return objects.select("recording_id", "label", (r - dr).alias("r0"), (c - dc).alias("c0"), (r + dr).alias("r1"), (c + dc).alias("c1"))
 
 
+def axes_3d(objects: DataFrame) -> DataFrame:
+    """Ends of each object's long axis as seen along z, as long as its diameter."""
+    half = F.col("equivalent_diameter_area") / 2
+    r, c, dr, dc = F.col("centroid-1"), F.col("centroid-2"), F.col("axis_y") * half, F.col("axis_x") * half
+    return objects.select("recording_id", "label", (r - dr).alias("r0"), (c - dc).alias("c0"), (r + dr).alias("r1"), (c + dc).alias("c1"))
+
+
+def agreement_lines(agreed: DataFrame, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """by.., kind, slope, intercept: identity and regression over the values; bias and both limits over their means."""
+    line = lambda kind, slope, intercept: F.struct(F.lit(kind).alias("kind"), slope.cast("double").alias("slope"), intercept.cast("double").alias("intercept"))
+    flat = {"bias": "bland_altman_bias", "lower_limit": "bland_altman_loa_lower", "upper_limit": "bland_altman_loa_upper"}
+    lines = F.array(line("identity", F.lit(1), F.lit(0)), line("regression", F.col("regression_slope"), F.col("regression_intercept")), *[line(k, F.lit(0), F.col(c)) for k, c in flat.items()])
+    return agreed.select(*by, F.inline(lines))
+
+
 def comparison(compared: DataFrame, n: int = 12) -> DataFrame:
     """The top metrics with the number of pairs that differ at 0.05."""
     top = groups.top_metrics(compared, n)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stored import written
 from ..functions.vectorized import vectorized
 from ..functions import kernels
 from . import pairs, pixels
@@ -22,8 +23,8 @@ def _segment(image: pd.Series, shape: pd.Series, least: pd.Series, separate: pd.
 
 
 def labelled(images: DataFrame, shape: Column, least: int, separate: bool, distance: int) -> DataFrame:
-    """``images`` (recording_id, pixels) with labels, as long as the pixels."""
-    return images.withColumn("labels", _segment("pixels", shape, F.lit(least), F.lit(separate), F.lit(distance)))
+    """``images`` (recording_id, pixels) with labels, as long as the pixels; written, as all that is measured reads them again."""
+    return written(images.withColumn("labels", _segment("pixels", shape, F.lit(least), F.lit(separate), F.lit(distance))), "labels")
 
 
 @vectorized("array<struct<label int, perimeter double>>")
@@ -141,3 +142,30 @@ def _texture_volume(volume: pd.Series, depth: pd.Series, height: pd.Series, widt
 def texture_3d(volumes: DataFrame, stride: int = 2) -> DataFrame:
     t = volumes.select("recording_id", _texture_volume("pixels", "depth", "height", "width", F.lit(stride)).alias("t"))
     return t.select("recording_id", F.col("t.score").alias("texture_alignment_score_3d"), F.col("t.direction").alias("texture_mean_direction_zyx"), F.col("t.anisotropy").alias("texture_mean_fractional_anisotropy"))
+
+
+@vectorized("array<struct<hue double, value double>>")
+def _hues(image: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    out = []
+    for p, h, w in zip(image, height, width):
+        theta, coherence = kernels.orientation_2d(np.asarray(p, float).reshape(h, w))
+        hue, value = (theta + np.pi / 2) / np.pi, coherence / (coherence.max() + 1e-9)
+        out.append([{"hue": a, "value": b} for a, b in zip(hue.ravel().tolist(), value.ravel().tolist())])
+    return pd.Series(out)
+
+
+def orientation_map(images: DataFrame) -> DataFrame:
+    """recording_id, y, x, hue (once around for half a turn), value (coherence, of the image's greatest)."""
+    rows = images.select("recording_id", "width", F.posexplode(_hues("pixels", "height", "width")).alias("at", "h"))
+    return rows.select("recording_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "h.hue", "h.value")
+
+
+@vectorized("array<int>")
+def _outer(labels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    return pd.Series([np.flatnonzero(kernels.outer_boundaries(np.asarray(v).reshape(h, w))).astype(np.int32) for v, h, w in zip(labels, height, width)])
+
+
+def outlines(images: DataFrame) -> DataFrame:
+    """recording_id, y, x of the pixels just outside the labels of ``images`` (recording_id, height, width, labels), or where two touch."""
+    at = images.select("recording_id", "width", F.explode(_outer("labels", "height", "width")).alias("at"))
+    return at.select("recording_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"))

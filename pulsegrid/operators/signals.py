@@ -151,17 +151,20 @@ def maxima(signal: DataFrame, value: str = "raw") -> DataFrame:
     return flanked.where("v > before and v > after").select("recording_id", F.floor((F.col("first") + F.col("last")) / 2).cast("int").alias("idx"), "v")
 
 
+@vectorized("array<struct<idx int, v double, prominence double>>")
+def _prominent(values: pd.Series) -> pd.Series:
+    out = []
+    for v in values:
+        v = np.asarray(v, float)
+        at = local_maxima(v)
+        out.append([{"idx": int(k), "v": float(v[k]), "prominence": float(p)} for k, p in zip(at, prominences(v, at))])
+    return pd.Series(out)
+
+
 def peak_prominence(signal: DataFrame, value: str = "raw") -> DataFrame:
-    """recording_id, idx, v, prominence of local maxima: windows over higher neighbours are range joins within a recording."""
-    p = maxima(signal, value)
-    s = signal.select("recording_id", F.col("idx").alias("at"), F.col(value).alias("w"))
-    bounds = p.join(s, "recording_id").groupBy("recording_id", "idx", "v").agg(
-        F.max(F.when((F.col("w") > F.col("v")) & (F.col("at") < F.col("idx")), F.col("at"))).alias("lo"),
-        F.min(F.when((F.col("w") > F.col("v")) & (F.col("at") > F.col("idx")), F.col("at"))).alias("hi"),
-    )
-    inside = bounds.join(s, "recording_id").where("(lo is null or at > lo) and (hi is null or at < hi)")
-    sides = inside.groupBy("recording_id", "idx", "v").agg(F.min(F.when(F.col("at") <= F.col("idx"), F.col("w"))).alias("left"), F.min(F.when(F.col("at") >= F.col("idx"), F.col("w"))).alias("right"))
-    return sides.select("recording_id", "idx", "v", (F.col("v") - F.greatest("left", "right")).alias("prominence"))
+    """recording_id, idx (from the recording's first sample), v, prominence of local maxima, found on packed signals."""
+    packed = pack(signal.withColumn("fps", F.lit(1.0)) if "fps" not in signal.columns else signal, value)
+    return packed.select("recording_id", F.inline(_prominent("values")))
 
 
 def thinned(peaks_df: DataFrame, distance: int) -> DataFrame:

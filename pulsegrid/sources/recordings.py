@@ -24,8 +24,12 @@ MOST_BYTES, MOST_FRAMES = 300 * 1024 * 1024, 3000
 
 
 def read_raw(spark: SparkSession, path: str, height: int, width: int, fps: float = 30.0, most_frames: int = MOST_FRAMES, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Frames of files that hold uint8 pixels frame after frame; larger files are left out, each is cut to ``most_frames``."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
+    """Frames of files that hold uint8 pixels frame after frame, each cut to ``most_frames``; one of over ``most_bytes`` is an error that names it."""
+    files = spark.read.format("binaryFile").load(path)
+    # listed without their content
+    large = [r.path for r in files.where(F.col("length") > most_bytes).select("path").limit(5).collect()]
+    if large:
+        raise ValueError(f"over {most_bytes} bytes: {', '.join(large)}")
     size = height * width
     n = F.least(F.floor(F.col("length") / size).cast("int"), F.lit(most_frames))
     rows = files.where(F.col("length") >= size).select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_idx"))

@@ -62,7 +62,7 @@ def dots(size=180):
     """Soft dots of random place, width and brightness, which wrap around."""
     rng = np.random.default_rng(90)
     grid, out = np.arange(size), np.zeros((size, size))
-    for cy, cx, width, high in zip(*rng.uniform(0, size, (2, 900)), rng.uniform(1.2, 2.5, 900), rng.uniform(40, 200, 900)):
+    for cy, cx, width, high in zip(*rng.uniform(0, size, (2, 6000)), rng.uniform(0.7, 1.1, 6000), rng.uniform(-90, 90, 6000)):
         y, x = (np.exp(-(((grid - c + size / 2) % size - size / 2) ** 2) / (2 * width**2)) for c in (cy, cx))
         out += high * y[:, None] * x[None]
     return out

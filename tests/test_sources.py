@@ -32,7 +32,8 @@ def test_raw_frames(spark, tmp_path):
     path, data = raw_file(tmp_path)
     rows = recordings.read_raw(spark, path, 4, 5, most_frames=5).orderBy("frame_idx").collect()
     assert [bytes(r.pixels) for r in rows] == [f.tobytes() for f in data[:5]]
-    assert recordings.read_raw(spark, path, 4, 5, most_bytes=10).count() == 0
+    with pytest.raises(ValueError, match="over 10 bytes"):
+        recordings.read_raw(spark, path, 4, 5, most_bytes=10)
     got = pixels.intensity(pixels.with_fps(pixels.decoded(recordings.read_raw(spark, path, 4, 5)), override=0)).orderBy("idx").first()
     assert abs(got.raw - data[0].mean()) < 1e-9 and got.fps == 30
 
@@ -105,3 +106,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got and got <= want and len(want - got) <= 8
 
 
+def test_written_tables_are_cleared(spark):
+    import os
+
+    from pulsegrid.functions import stored
+
+    stored.clear_written(spark)
+    table = stored.written(spark.range(5), "five")
+    assert table.count() == 5
+    folder = stored._PATHS[-1].removeprefix("file:")
+    assert os.path.isdir(folder) and stored.clear_written(spark) == 1 and not os.path.exists(folder)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from pulsegrid.functions import stored
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stored.shared_folder(session)
+    session.conf.get = lambda k, d: "hdfs://x/y/"
+    assert stored.shared_folder(session) == "hdfs://x/y"
