@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or what setCheckpointDir was given.
-
-    Only on a local master, where there is one disk, a temporary one is set if
-    neither is; on a cluster that is an error.
-    """
-    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    current = named or context.getCheckpointDir()
-    if not current:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-"))
-        current = context.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..functions.stored import shared_folder, written  # noqa: F401
 
 
 #: A key is hot if more than one row in so many has it; so there are fewer hot keys than that, whatever the data.

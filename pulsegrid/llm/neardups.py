@@ -48,9 +48,13 @@ def signature(distinct: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[dict], width: int) -> Iterator[dict]:
+def bands_of(sig: np.ndarray) -> np.ndarray:
+    """A hash for each run of bins, and of its place."""
     rows = BINS // BANDS
-    factors = powers(BASE, rows + 1)[1:]
+    return mix((sig.reshape(BANDS, rows) * powers(BASE, rows + 1)[1:]).sum(1, dtype=U) + np.arange(BANDS, dtype=U) * BASE)
+
+
+def _sketch(batches: Iterator[dict], width: int) -> Iterator[dict]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_shingles", "set_a", "set_b", "bands", "bins")}
         for _, hashes in words(batch["text"], SPACE):
@@ -58,10 +62,9 @@ def _sketch(batches: Iterator[dict], width: int) -> Iterator[dict]:
             out["n_shingles"].append(len(distinct))
             if len(distinct):
                 sig = signature(distinct)
-                bands = mix((sig.reshape(BANDS, rows) * factors).sum(1, dtype=U) + np.arange(BANDS, dtype=U) * BASE)
                 out["set_a"].append(int(mix(distinct + U(1)).sum(dtype=U).astype(np.int64)))
                 out["set_b"].append(int(mix(distinct ^ BASE).sum(dtype=U).astype(np.int64)))
-                out["bands"].append(bands.astype(np.int64))
+                out["bands"].append(bands_of(sig).astype(np.int64))
                 out["bins"].append(mix(sig).astype(np.uint8).tobytes())
             else:
                 for k in ("set_a", "set_b", "bands", "bins"):

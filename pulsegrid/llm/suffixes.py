@@ -25,7 +25,7 @@ from .hashing import _INVERSE, BASE, LETTER, U, mix, powers
 LEAST = 200
 GRAM = 32
 #: Bytes of fragments that one transform is made of, and those of one key beyond which its fragments are split.
-BLOCK, LARGEST_KEY = 1_500_000, 8_000_000
+BLOCK, LARGEST_KEY = 1_500_000, 4_000_000
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -174,11 +174,12 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     head = np.zeros(n, U)
     for k in range(8):
         head = head << U(8) | padded[k : k + n]
-    order = np.argsort(head)
+    # places in 32 bits: a block is far smaller, and half the memory
+    order = np.argsort(head).astype(np.int32)
     head = head[order]
     new = np.concatenate([[True], head[1:] != head[:-1]])
-    slots = np.arange(n)
-    rank = np.empty(n + 1, np.int64)
+    slots = np.arange(n, dtype=np.int32)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
     done = 8
@@ -189,7 +190,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             break
         at = order[active]
         second = rank[np.minimum(at + done, n)]
-        resort = np.argsort(rank[at] * (n + 1) + second + 1)
+        resort = np.argsort(rank[at].astype(np.int64) * (n + 1) + second + 1)
         at, second = at[resort], second[resort]
         first = rank[at]
         order[active] = at
@@ -226,8 +227,9 @@ def alike(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     order, head = suffix_order(text, least)
     prefix = np.append(short_prefixes(head), np.int32(0))
     prefix[:n][prefix[:n] >= least] = -1
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    del head
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     transform = text[order - 1]
     back = place[order - 1]  # where the suffix that is one byte longer stands
     ahead = place[(order + 1) % n]

@@ -119,6 +119,21 @@ def test_signature_estimates_similarity():
         assert abs(alike - len(a) / len(b)) < 0.2
 
 
+def test_pairs_at_the_threshold_are_candidates():
+    """Pairs of sets just at a similarity of 0.8 share a bucket, and enough bins to be confirmed past the hubs."""
+    rng, lost, pairs = np.random.default_rng(8), 0, 0
+    for size in (5, 9, 15, 40, 100, 250, 450):
+        for _ in range(300):
+            union = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+            apart = rng.permutation(union)[: int(0.2 * len(union))]
+            a, b = (np.setdiff1d(union, some) for some in np.array_split(apart, 2))
+            assert 5 * len(np.intersect1d(a, b)) >= 4 * len(union)
+            x, y = neardups.signature(a), neardups.signature(b)
+            pairs += 1
+            lost += not ((neardups.bands_of(x) == neardups.bands_of(y)).any() and (neardups.mix(x).astype(np.uint8) == neardups.mix(y).astype(np.uint8)).sum() >= int(neardups.AGREEING * neardups.BINS))
+    assert pairs == 2100 and lost <= 2
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(5, 5)]
