@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_size, written
+from .common import written
 
 
 def hung(edges: DataFrame, with_own: bool) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) with ``m``, the smallest node beside u (or u itself, if asked for); and u, m, n: a row for each u.
+    """Edges (u, v) with ``m``, the smallest node beside u (or u itself, if asked for); and u, m: a row for each u.
 
-    A node with most of the edges isn't one task: see ``join_by_size``.
+    The smallest nodes are a written table: two tables that are shuffled as they
+    stand are what adaptive execution can split at a node with most of the edges.
     """
     least = F.least("u", F.min("v")) if with_own else F.min("v")
-    lowest = written(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n")), "lowest")
-    return join_by_size(edges, lowest, "u"), lowest
+    lowest = written(edges.groupBy("u").agg(least.alias("m")), "lowest")
+    return edges.join(lowest, "u"), lowest
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_size, map_rows, text_bytes, written
+from .common import map_rows, text_bytes, written
 from .graphs import components
 from .hashing import BASE, SPACE, U, mix, powers, shingles, words
 
@@ -28,7 +28,7 @@ AGREEING = 0.6
 #: Buckets of up to this many members are paired by a join; fuller ones by blocks, pair for pair as well.
 PAIRED = 100
 #: Members of a fuller bucket in one block.
-BLOCK = 512
+BLOCK = 4096
 #: For each bin, the order in which it looks for a filled one to borrow from.
 _BORROW = np.array([np.random.default_rng(1000 + k).permutation(BINS) for k in range(BINS)])
 _EDGES = np.arange(BINS + 1, dtype=np.float64)
@@ -106,10 +106,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     A hub's members are dealt out in salted groups of about ``SALTED``, each led
     by a copy of the hub's text, and stream past it: no group is held.
     """
-    salts = written(pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SALTED).cast("int").alias("salts")), "salts")
+    salts = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts")), "salts")
     texts = docs.select("doc_id", text_bytes().alias("text"))
     led = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("doc_id"), F.lit(False).alias("member"))
-    members = join_by_size(pairs, salts, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), "doc_id", F.lit(True).alias("member"))
+    members = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), "doc_id", F.lit(True).alias("member"))
     # merged whatever the sizes, so that a small table's plan is a large one's
     rows = led.unionByName(members).join(texts.hint("merge"), "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "doc_id")
     return map_rows(rows.select("hub", "doc_id", "member", "text"), lambda b: _confirm(b, width, percent), "a long, b long")
@@ -123,14 +123,19 @@ def _agree(batches: Iterator[dict], least: int) -> Iterator[dict]:
             yield {"hub": [batch["a"][k] for k in near], "doc_id": [batch["b"][k] for k in near]}
 
 
+def _low(bucket: int) -> int:
+    """The lower half of a bucket's number, signed."""
+    return (bucket + (1 << 31)) % (1 << 32) - (1 << 31)
+
+
 class _Block:
     """Members of a bucket in numpy: ids, components, bins bin by bin, bands, and the sets one after the other."""
 
     def __init__(self, batch: dict, lo: int, hi: int):
         bucket = batch["bucket"][lo]
-        bands = np.frombuffer(b"".join(batch["bands"][lo:hi]), np.int64).reshape(-1, BANDS)
+        bands = np.frombuffer(b"".join(batch["bands"][lo:hi]), np.int32).reshape(-1, BANDS)
         # a document of several sets stands in the bucket with one of them
-        own = np.flatnonzero((bands == bucket).any(1))
+        own = np.flatnonzero((bands == _low(bucket)).any(1))
         self.bands = bands[own]
         self.ids, self.parts = (np.array(batch[k][lo:hi], np.int64)[own] for k in ("doc_id", "component"))
         self.bins = np.ascontiguousarray(np.frombuffer(b"".join(batch["bins"][lo:hi]), np.uint8).reshape(-1, BINS)[own].T)
@@ -161,7 +166,7 @@ def _joins(one: _Block, other: _Block, bucket: int, least: int, percent: int, fo
             continue
         # a pair is seen to in the first bucket that both are in
         shared = other.bands[near + lo] == one.bands[k]
-        near = near[one.bands[k][shared.argmax(1)] == bucket]
+        near = near[one.bands[k][shared.argmax(1)] == _low(bucket)]
         near = near[np.argsort(-agree[near].astype(np.int64), kind="stable")] + lo
         own = forest.root(int(one.parts[k]))
         near = np.array([x for x in near.tolist() if forest.root(int(other.parts[x])) != own], np.int64)
@@ -206,7 +211,7 @@ def _small_sets(batches: Iterator[dict], width: int) -> Iterator[dict]:
             kept = [k for k, b in enumerate(part["bands"]) if b is not None]
             sets = {at: np.unique(shingles(h, width).astype(np.uint32)) for at, h in words(batch["text"], SPACE)}
             for k in kept:
-                for name, value in (("doc_id", part["doc_id"][k]), ("bands", part["bands"][k].tobytes()), ("bins", part["bins"][k]), ("small", sets[k].tobytes())):
+                for name, value in (("doc_id", part["doc_id"][k]), ("bands", part["bands"][k].astype(np.int32).tobytes()), ("bins", part["bins"][k]), ("small", sets[k].tobytes())):
                     out[name].append(value)
         yield out
 
@@ -225,8 +230,8 @@ def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     A task compares bins, then sets, and gives no more links than it has members.
     """
     rows = fuller.withColumn("stray", F.col("component") != F.col("main"))
-    many = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int")).alias("mains"))
-    rows = join_by_size(rows, written(many, "many"), "bucket", "size").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    many = rows.groupBy("bucket").agg(F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int")).alias("mains"))
+    rows = rows.join(written(many, "many"), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
     own, strays, mains, stray = (F.col(c) for c in ("own", "strays", "mains", "stray"))
     # a stray leads its block against the main ones and the stray ones after it
     leads = F.filter(F.sequence(F.lit(0), mains + strays - 1), lambda j: stray & ((j < mains) | (j - mains > own)))
@@ -245,9 +250,9 @@ SET = ("set_a", "set_b", "n_shingles")
 
 
 def representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sketches, the classes (a set, first: its smallest doc_id, n: its rows), and doc_id, set_a, bands, bins of one document for each."""
+    """Of sketches, the classes (a set, first: its smallest doc_id), and doc_id, set_a, bands, bins of one document for each."""
     some = own.where("set_a is not null and doc_id is not null")
-    classes = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    classes = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first")), "classes")
     chosen = some.join(classes.select(*SET, F.col("first").alias("doc_id")), [*SET, "doc_id"])
     return classes, written(chosen.select("doc_id", "set_a", "bands", "bins").dropDuplicates(["doc_id", "set_a"]), "chosen")
 
@@ -260,7 +265,7 @@ def bucket_members(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     banded = written(chosen.select("doc_id", F.explode("bands").alias("bucket")).distinct(), "banded")
     sizes = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = written(join_by_size(banded, sizes, "bucket"), "members")
+    members = written(banded.join(sizes, "bucket"), "members")
     fullness = members.groupBy("doc_id").agg(F.sum("n").alias("fullness"))
     top = F.max(F.struct("fullness", (-F.col("doc_id")).alias("minus")))
     hubs = members.join(fullness, "doc_id").groupBy("bucket").agg(top.alias("top"), F.first("n").alias("n"))
@@ -274,7 +279,7 @@ def beyond_hubs(members: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataF
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     of_hub = named.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("main"))
     hub_of = written(hubs.join(mixed, "bucket").join(of_hub, ["bucket", "hub"]), "mixed")
-    rest = join_by_size(named, hub_of, "bucket").where("doc_id <> hub")
+    rest = named.join(hub_of, "bucket").where("doc_id <> hub")
     return written(rest.select("bucket", "doc_id", "n", "component", "main"), "rest")
 
 
@@ -310,17 +315,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = written(sketches(docs, width), "sketches")
     classes, chosen = representatives(own)
     members, hubs = bucket_members(chosen)
-    stars = join_by_size(members.drop("n"), hubs, "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct()
+    stars = members.join(hubs.drop("n"), "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct()
     links = written(confirmed(written(stars, "stars"), docs, width, percent), "links")
     # what a hub isn't linked with may be linked with other members, past the hub
     near = crossing(beyond_hubs(members, hubs, components(links)), chosen, docs, width, percent)
     groups = components(links.unionByName(confirmed(near, docs, width, percent)))
     # a set may have most rows: by a hash, then by the set itself
     key = F.xxhash64(*SET).alias("key")
-    found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select(key, *[F.col(c).alias(f"_{c}") for c in SET], "n", F.coalesce("component", "first").alias("component_id"))
+    found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select(key, *[F.col(c).alias(f"_{c}") for c in SET], F.coalesce("component", "first").alias("component_id"))
     rows = own.where("doc_id is not null and set_a is not null").select("doc_id", *SET, key)
     same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in SET])
-    linked = join_by_size(rows, written(found, "found"), "key").where(same).select("doc_id", "n_shingles", "component_id")
+    linked = rows.join(written(found, "found"), "key").where(same).select("doc_id", "n_shingles", "component_id")
     alone = own.where("doc_id is null or set_a is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -91,7 +91,7 @@ def test_near_duplicates_chain_in_full_buckets(spark, monkeypatch, block):
     """Texts of which each is like its neighbours only, all in one bucket above the limit: no star or second star reaches them all."""
     real, packed = neardups.sketches, neardups.small_sets
     monkeypatch.setattr(neardups, "sketches", lambda d, w: real(d, w).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(0).cast("long")))))
-    monkeypatch.setattr(neardups, "small_sets", lambda d, w: packed(d, w).withColumn("bands", F.lit(bytes(8 * neardups.BANDS))))
+    monkeypatch.setattr(neardups, "small_sets", lambda d, w: packed(d, w).withColumn("bands", F.lit(bytes(4 * neardups.BANDS))))
     monkeypatch.setattr(neardups, "BLOCK", block, raising=False)
     rng = random.Random(8)
     chain = [prose(rng, 200).split(" ")]
