@@ -39,7 +39,14 @@ class ItemIndex:
     many items there are; else these items are the whole.
     """
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, radius: int = RADIUS, often: tuple[dict[int, int], int] | None = None, blocks: int = BLOCKS):
+    def __init__(
+        self,
+        items: list[tuple[int, str]],
+        width: int = WIDTH,
+        radius: int = RADIUS,
+        often: tuple[dict[int, int], int] | None = None,
+        blocks: int = BLOCKS,
+    ):
         self.width, self.radius = width, radius
         hashed = [h for _, h in words([t.encode() for _, t in items], PLAIN)]
         kept = [k for k, h in enumerate(hashed) if len(h)]
@@ -182,7 +189,8 @@ def _item_shingles(batches: Iterator[dict], width: int) -> Iterator[dict]:
 
 def indexes(benchmark: DataFrame, width: int, radius: int, index_bytes: int) -> tuple[int, Iterator[ItemIndex]]:
     """How many indexes of about ``index_bytes`` the items need, and these, each made when it is asked for."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
+    items = items.where("item_id is not null and text is not null").distinct()
     size, count = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     passes = -(-(size or 0) // index_bytes) or 1
     items = items.withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)).cast("int"))
@@ -203,7 +211,15 @@ def lowered():
     return F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("text")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS, index_bytes: int = INDEX_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = WIDTH,
+    percent: int = PERCENT,
+    radius: int = RADIUS,
+    index_bytes: int = INDEX_BYTES,
+    keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
     """The columns ``keep``, then item_id, first_word, n_words, similarity, distance for each text and each item that it contains.
 
     ``docs``: text and the columns ``keep``; ``benchmark``: item_id, text. Words
@@ -220,12 +236,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percen
     texts = docs.select(F.struct(*keep).alias("row"), lowered())
     kind = texts.schema["row"].dataType.simpleString()
     schema = f"row {kind}, item_id long, first_word long, n_words long, similarity double, distance int"
-    found = (map_rows(texts, lambda b, index=index: _search(b, index, percent), schema).select("row.*", "item_id", "first_word", "n_words", "similarity", "distance") for index in made)
+    names = ("item_id", "first_word", "n_words", "similarity", "distance")
+    found = (map_rows(texts, lambda b, index=index: _search(b, index, percent), schema).select("row.*", *names) for index in made)
     # with more than one, each pass is run and written before the index of the next is made
     return next(found) if passes == 1 else reduce(DataFrame.unionByName, [written(f, "leaks") for f in found])
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = WIDTH,
+    percent: int = PERCENT,
+    radius: int = RADIUS,
+    index_bytes: int = INDEX_BYTES,
+) -> DataFrame:
     """The rows of ``docs`` (text and any others) whose text contains no item; see ``find_leaks``.
 
     Each row is judged by itself: nothing is joined back, so repeated, shared

@@ -211,14 +211,17 @@ def _small_sets(batches: Iterator[dict], width: int) -> Iterator[dict]:
             kept = [k for k, b in enumerate(part["bands"]) if b is not None]
             sets = {at: np.unique(shingles(h, width).astype(np.uint32)) for at, h in words(batch["text"], SPACE)}
             for k in kept:
-                for name, value in (("doc_id", part["doc_id"][k]), ("bands", part["bands"][k].astype(np.int32).tobytes()), ("bins", part["bins"][k]), ("small", sets[k].tobytes())):
-                    out[name].append(value)
+                out["doc_id"].append(part["doc_id"][k])
+                out["bands"].append(part["bands"][k].astype(np.int32).tobytes())
+                out["bins"].append(part["bins"][k])
+                out["small"].append(sets[k].tobytes())
         yield out
 
 
 def small_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, bands, bins, small (all packed) of each text that has words."""
-    return map_rows(docs.select("doc_id", text_bytes().alias("text")), lambda b: _small_sets(b, width), "doc_id long, bands binary, bins binary, small binary").distinct()
+    rows = docs.select("doc_id", text_bytes().alias("text"))
+    return map_rows(rows, lambda b: _small_sets(b, width), "doc_id long, bands binary, bins binary, small binary").distinct()
 
 
 def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -230,8 +233,14 @@ def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     A task compares bins, then sets, and gives no more links than it has members.
     """
     rows = fuller.withColumn("stray", F.col("component") != F.col("main"))
-    many = rows.groupBy("bucket").agg(F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int")).alias("mains"))
-    rows = rows.join(written(many, "many"), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+    many = rows.groupBy("bucket").agg(
+        blocks(F.col("stray")).alias("strays"),
+        F.greatest(F.lit(1), blocks(~F.col("stray"))).alias("mains"),
+    )
+    of_kind = F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))
+    rows = rows.join(written(many, "many"), "bucket")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), of_kind).cast("int"))
     own, strays, mains, stray = (F.col(c) for c in ("own", "strays", "mains", "stray"))
     # a stray leads its block against the main ones and the stray ones after it
     leads = F.filter(F.sequence(F.lit(0), mains + strays - 1), lambda j: stray & ((j < mains) | (j - mains > own)))
@@ -241,7 +250,8 @@ def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         F.transform(meets, lambda i: F.struct(i.alias("i"), F.when(stray, mains + own).otherwise(own).alias("j"), F.lit(True).alias("beside"))),
     )
     sets = written(small_sets(docs.join(fuller.select("doc_id").distinct(), "doc_id", "left_semi"), width), "sets")
-    dealt = rows.join(sets, "doc_id").select("bucket", F.explode(places).alias("p"), "doc_id", "component", "bands", "bins", "small").select("bucket", "p.*", "doc_id", "component", "bands", "bins", "small")
+    member = ("doc_id", "component", "bands", "bins", "small")
+    dealt = rows.join(sets, "doc_id").select("bucket", F.explode(places).alias("p"), *member).select("bucket", "p.*", *member)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "beside", "doc_id")
     return map_rows(dealt, lambda b: _across(b, int(AGREEING * BINS), percent), "hub long, doc_id long")
 
@@ -274,8 +284,8 @@ def bucket_members(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def beyond_hubs(members: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataFrame:
     """bucket, doc_id, n, component, main of the members, hubs left out, of buckets that still hold several components; main is the hub's."""
-    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = written(named, "named")
+    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = written(named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     of_hub = named.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("main"))
     hub_of = written(hubs.join(mixed, "bucket").join(of_hub, ["bucket", "hub"]), "mixed")
@@ -292,10 +302,13 @@ def crossing(rest: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, pe
     small = rest.where(F.col("n") <= PAIRED)
     strays = small.where("component <> main").select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), "main")
     others = small.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
-    pairs = strays.join(others, "bucket").where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    # two strays once, a stray and a member of the hub's component once
+    once = (F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    pairs = strays.join(others, "bucket").where((F.col("of_a") != F.col("of_b")) & once).select("a", "b").distinct()
     # a document of several sets has several rows of bins
     bins = written(chosen.select("doc_id", "bins").distinct(), "bins")
-    beside = pairs.join(bins.select(F.col("doc_id").alias("a"), F.col("bins").alias("bins_a")), "a").join(bins.select(F.col("doc_id").alias("b"), F.col("bins").alias("bins_b")), "b")
+    side = lambda k: bins.select(F.col("doc_id").alias(k), F.col("bins").alias(f"bins_{k}"))
+    beside = pairs.join(side("a"), "a").join(side("b"), "b")
     near = map_rows(beside, lambda b: _agree(b, int(AGREEING * BINS)), "hub long, doc_id long")
     return written(near.unionByName(across(rest.where(F.col("n") > PAIRED), docs, width, percent)).distinct(), "crossing")
 
@@ -322,7 +335,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = components(links.unionByName(confirmed(near, docs, width, percent)))
     # a set may have most rows: by a hash, then by the set itself
     key = F.xxhash64(*SET).alias("key")
-    found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left").select(key, *[F.col(c).alias(f"_{c}") for c in SET], F.coalesce("component", "first").alias("component_id"))
+    found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left")
+    found = found.select(key, *[F.col(c).alias(f"_{c}") for c in SET], F.coalesce("component", "first").alias("component_id"))
     rows = own.where("doc_id is not null and set_a is not null").select("doc_id", *SET, key)
     same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in SET])
     linked = rows.join(written(found, "found"), "key").where(same).select("doc_id", "n_shingles", "component_id")
@@ -341,7 +355,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("_hash", F.xxhash64("text"))
-    clashing = written(rows.where("_id is not null").groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).where("_least <> _most").drop("_most"), "clashing")
+    hashes = rows.where("_id is not null").groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most"))
+    clashing = written(hashes.where("_least <> _most").drop("_most"), "clashing")
     own = F.col("_id").isNotNull()
     if not clashing.isEmpty():
         named = rows.where("_id is not null").join(clashing, "_id", "left")

@@ -101,7 +101,8 @@ class _Pool:
         items, self.size, self.held = list(self.held.items()), 0, {}
         for lo in range(0, len(items), 4096):
             some = items[lo : lo + 4096]
-            own = {"key": [k for (k, _), _ in some], "name": [x for (_, x), _ in some], "n": [v[0] for _, v in some], "root": [v[1] for _, v in some], "data": [v[2] for _, v in some]}
+            own = {"key": [k for (k, _), _ in some], "name": [x for (_, x), _ in some]}
+            own |= {c: [v[k] for _, v in some] for k, c in enumerate(("n", "root", "data"))}
             yield own | {k: [None] * len(some) for k in ("doc_id", "mark", "start", "parent")}
 
 
@@ -168,7 +169,10 @@ def _split(batches: Iterator[dict], least: int, gram: int, classes: int) -> Iter
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all suffixes, sorted by ``depth`` bytes or more: eight bytes first, then doubled among those still equal; and their first eight bytes in that order."""
+    """Starts of all suffixes, sorted by ``depth`` bytes or more, and their first eight bytes in that order.
+
+    Sorted by eight bytes first, then by twice as many among those still equal.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     head = np.zeros(n, U)
@@ -344,7 +348,8 @@ def repeated_spans(texts: DataFrame, packed: DataFrame, least: int = LEAST, gram
     # a passage of many texts is many rows of one key
     often = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
     by_doc = join_by_size(keys, often, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    found = written(map_rows(packed.where(F.col("size") >= least).select("doc_id", "mark", "packed").join(by_doc.hint("merge"), "doc_id"), lambda b: _fragments(b, least, gram), _SCHEMA), "fragments")
+    long_texts = packed.where(F.col("size") >= least).select("doc_id", "mark", "packed").join(by_doc.hint("merge"), "doc_id")
+    found = written(map_rows(long_texts, lambda b: _fragments(b, least, gram), _SCHEMA), "fragments")
     places = found.where("doc_id is not null").select("doc_id", "mark", "start", "name")
     pieces = found.where("data is not null").select("key", "name", "n", "root", "data")
     lineage, classes, small = [], 1, None
@@ -356,19 +361,23 @@ def repeated_spans(texts: DataFrame, packed: DataFrame, least: int = LEAST, gram
         fit = pieces.join(large, "key", "left_anti")
         small = fit if small is None else small.unionByName(fit)
         classes *= 2
-        parted = written(map_rows(pieces.join(large, "key").select("root", "name", "n", "data"), lambda b, c=classes: _split(b, least, gram, c), _SCHEMA), "parted")
+        too_large = pieces.join(large, "key").select("root", "name", "n", "data")
+        parted = written(map_rows(too_large, lambda b, c=classes: _split(b, least, gram, c), _SCHEMA), "parted")
         lineage.append(parted.where("parent is not null").select("name", "start", "parent"))
         pieces = parted.where("data is not null").select("key", "name", "n", "root", "data")
     pieces = pieces if small is None else small.unionByName(pieces)
     ordered = pieces.select("key", "name", "n", "data").repartition("key").sortWithinPartitions("key", "name")
     runs = written(map_rows(ordered, lambda b: _repeats(b, least, block), "name binary, first long, last long"), "runs")
     for links in reversed(lineage):
-        up = runs.join(links, "name").select(F.col("parent").alias("name"), (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last"))
+        moved = [(F.col(c) + F.col("start")).alias(c) for c in ("first", "last")]
+        up = runs.join(links, "name").select(F.col("parent").alias("name"), *moved)
         runs = runs.unionByName(up)
     # a fragment that is in many texts is one row with its runs, and how often it stands
-    standing = runs.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("runs")).join(places.groupBy("name").agg(F.count("*").alias("n")), "name")
+    standing = runs.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    standing = standing.join(places.groupBy("name").agg(F.count("*").alias("n")), "name")
     found = join_by_size(places, written(standing, "standing"), "name")
-    return found.select("doc_id", "mark", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last"))).alias("runs"))
+    at = lambda r, c: (F.col("start") + r[c]).alias(c)
+    return found.select("doc_id", "mark", F.transform("runs", lambda r: F.struct(at(r, "first"), at(r, "last"))).alias("runs"))
 
 
 def _cut(batches: Iterator[dict], least: int, with_text: bool) -> Iterator[dict]:
@@ -410,5 +419,6 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least:
     packed = map_rows(texts, _pack, f"row {kind}, doc_id long, mark long, size long, packed binary")
     runs = repeated_spans(texts, packed, least, **limits).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start long, end long>>" * with_text
-    cut = map_rows(packed.join(runs.hint("merge"), ["doc_id", "mark"], "left").select("row", "packed", "runs"), lambda b: _cut(b, least, with_text), f"row {kind}, {found}")
+    marked = packed.join(runs.hint("merge"), ["doc_id", "mark"], "left").select("row", "packed", "runs")
+    cut = map_rows(marked, lambda b: _cut(b, least, with_text), f"row {kind}, {found}")
     return cut.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept_text", "spans") if with_text else ()))
