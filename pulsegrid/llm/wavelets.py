@@ -303,9 +303,10 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 1, tokens_a
     document is never cut, so that a shard has up to ``tokens_a_shard`` tokens
     and one document. A null text counts as empty: the end id alone.
     """
-    coded = written(map_rows(docs.select("doc_id", text_bytes().alias("text")), lambda b: _encode(b, tokenizer_file, end_id), "doc_id long, n_tokens long, wide boolean, ids binary"), "ids")
-    # by the hash too, so that rows without a doc_id, however many, aren't one range
-    coded = coded.withColumn("hash", F.xxhash64("ids"))
+    rows = docs.select("doc_id", text_bytes().alias("text"))
+    coded = map_rows(rows, lambda b: _encode(b, tokenizer_file, end_id), "doc_id long, n_tokens long, wide boolean, ids binary")
+    # by the hash too, so that rows without a doc_id, however many, aren't one range; written, so that ranges are cut without reading ids
+    coded = written(coded.withColumn("hash", F.xxhash64("ids")), "ids")
     ranged = coded.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "ids").withColumn("part", F.spark_partition_id())
     schema = "part int, seq int, first long, n_tokens long, data binary"
     return written(map_rows(ranged.drop("hash"), lambda b: _shard(b, tokens_a_shard, width), schema), "shards")
