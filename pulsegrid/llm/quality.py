@@ -18,9 +18,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Hash buckets of the multinomials: as vocabularies do, they grow as the root of the corpus, with this factor on that of its bytes.
-GROWTH, FEWEST = 1.5, 1 << 10
+GROWTH = 1.5
+#: n-grams of the target for each bucket, at least, whatever the corpus: with fewer its gaps are chance. Fewest buckets.
+FILLED, FEWEST = 32, 64
 #: Trusted documents that the target is learnt from, at most: those of the smallest hashed ids.
-TARGET_DOCS = 50_000
+TARGET_DOCS = 1_000_000
 #: Mean log ratio per n-gram under which a document is rejected.
 LEAST_RATIO = -0.06
 WINDOW = 5
@@ -28,10 +30,21 @@ WINDOW = 5
 LENT = 0.1
 
 
-def buckets_for(docs: DataFrame, text: str = "text") -> int:
-    """How many buckets a corpus of these texts gets: a power of two. Their ratios, four bytes each, are all that is broadcast."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    return max(FEWEST, 1 << math.ceil(math.log2(GROWTH * math.sqrt(size) + 1)))
+def chosen_targets(trusted: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
+    """doc_id of at most so many trusted documents."""
+    return trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def buckets_for(docs: DataFrame, targets: int, text: str = "text") -> int:
+    """How many buckets a corpus of these texts gets, so many of which are the target: a power of two.
+
+    Their ratios, four bytes each, are all that is broadcast of them. A text's
+    n-grams are taken to be two for each 6.5 bytes.
+    """
+    size, count = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))), F.count("*")).first()
+    wanted = GROWTH * math.sqrt(size or 0) + 1
+    filled = targets * 2 * (size or 0) / max(count, 1) / 6.5 / FILLED
+    return max(FEWEST, 1 << min(math.ceil(math.log2(wanted)), math.floor(math.log2(max(filled, 1)))))
 
 
 def words_of(text: Column) -> Column:
@@ -75,16 +88,14 @@ def measured(rows: DataFrame, buckets: int) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def log_ratios(measures: DataFrame, trusted: DataFrame, buckets: int, target_docs: int = TARGET_DOCS) -> DataFrame:
+def log_ratios(measures: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     """One row, ``ratios``: for each bucket the log of its smoothed share in the target over that in the corpus; all 0 without a target.
 
     ``measures``: doc_id, buckets; all of them count for the corpus, towards
-    which the target is smoothed. ``trusted`` has the doc_id of trusted documents,
-    of which at most ``target_docs`` count for the target; their ids are all that
-    is broadcast.
+    which the target is smoothed. ``targets``: the doc_id of the target's, whose
+    number is bounded; these ids are broadcast.
     """
-    few = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).withColumn("target", F.lit(1))
-    flagged = measures.select("doc_id", "buckets").join(F.broadcast(few), "doc_id", "left")
+    flagged = measures.select("doc_id", "buckets").join(F.broadcast(targets.withColumn("target", F.lit(1))), "doc_id", "left")
     counts = flagged.select("target", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
     every = measures.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     # all buckets as one array: as many as the parameter says
@@ -104,17 +115,19 @@ def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, bucke
     hashed words and pairs (null without words). kept: not base_failed, and a
     ratio of ``least`` or more. Repeated rows get repeated verdicts; rows without
     a doc_id are judged like others but never trusted; without trusted documents
-    every ratio is 0. ``buckets``: hash buckets, else as many as the corpus asks
-    for (``buckets_for``). ``keep``: columns of ``docs`` to return, else all. What
+    every ratio is 0. ``target_docs``: trusted documents that the target is learnt
+    from, at most. ``buckets``: hash buckets, else as many as the corpus asks for
+    and the target fills (``buckets_for``). ``keep``: columns of ``docs`` to return, else all. What
     is counted in each text is written first, with these columns, so that a
     filter on the result repeats none of it.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
-    buckets = buckets or buckets_for(docs, text)
+    targets = written(chosen_targets(trusted, target_docs), "targets")
+    buckets = buckets or buckets_for(docs, targets.count(), text)
     own = [c for c in (docs.columns if keep is None else keep) if c not in made]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("said"))
     found = written(measured(rows, buckets), "measured")
-    found = found.withColumn("ratios", log_ratios(found, trusted, buckets, target_docs).scalar())
+    found = found.withColumn("ratios", log_ratios(found, targets, buckets).scalar())
     total = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get("ratios", b))
     found = found.withColumn("ratio", F.when(F.size("buckets") > 0, total / F.size("buckets")))
     found = found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("ratio") >= least, F.lit(False)))

@@ -204,8 +204,18 @@ def test_quality_leaves_other_columns_alone(spark):
 
 
 def test_quality_buckets_follow_the_corpus(spark):
-    sizes = [quality.buckets_for(spark.range(n).select(F.lit("x" * 10_000).alias("text"))) for n in (0, 1, 100, 10_000, 160_000)]
-    assert sizes == [1 << 10, 1 << 10, 1 << 11, 1 << 14, 1 << 16]
+    """More texts, more buckets; but never more than the target fills."""
+    texts = lambda n: spark.range(n).select(F.lit("x" * 10_000).alias("text"))
+    assert [quality.buckets_for(texts(n), n) for n in (0, 1, 100, 10_000, 160_000)] == [64, 64, 1 << 11, 1 << 14, 1 << 16]
+    assert [quality.buckets_for(texts(10_000), n) for n in (0, 1, 10, 100, 1000)] == [64, 64, 1 << 9, 1 << 13, 1 << 14]
+
+
+def test_quality_keeps_clean_texts_of_a_small_corpus(spark):
+    """A handful of trusted texts says too little to reject others like them."""
+    rng = random.Random(40)
+    docs = spark.createDataFrame([(i, prose(rng, 120, 3000)) for i in range(90)], "doc_id long, text string")
+    got = quality.judge(docs, spark.range(30).withColumnRenamed("id", "doc_id")).collect()
+    assert all(r.kept for r in got)
 
 
 def brute_repeats(rows, least):
