@@ -37,14 +37,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     _PATHS.append(path)
     # row groups of a quarter of the usual size: a task holds one while it writes
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` has returned: only such as nothing that is still to be computed reads."""
+    for table in tables:
+        _delete(table.sparkSession, table._written_at)
+        _PATHS.remove(table._written_at)
 
 
 def clear_written(spark: SparkSession) -> int:
     """Deletes all tables that ``written`` has made in this process, and says how many; call it once the results are stored elsewhere."""
-    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     n = len(_PATHS)
     while _PATHS:
-        at = path(_PATHS.pop())
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, _PATHS.pop())
     return n
