@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stored import shared_folder, written  # noqa: F401
+from ..functions.stored import drop_written, shared_folder, written  # noqa: F401
 
 
 #: A key is hot if more than one row in so many has it; so there are fewer hot keys than that, whatever the data.

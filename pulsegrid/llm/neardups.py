@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes, written
+from .common import drop_written, map_rows, text_bytes, written
 from .graphs import components
 from .hashing import BASE, SPACE, U, mix, powers, shingles, words
 
@@ -279,7 +279,9 @@ def bucket_members(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     fullness = members.groupBy("doc_id").agg(F.sum("n").alias("fullness"))
     top = F.max(F.struct("fullness", (-F.col("doc_id")).alias("minus")))
     hubs = members.join(fullness, "doc_id").groupBy("bucket").agg(top.alias("top"), F.first("n").alias("n"))
-    return members, written(hubs.select("bucket", (-F.col("top.minus")).alias("hub"), "n"), "hubs")
+    hubs = written(hubs.select("bucket", (-F.col("top.minus")).alias("hub"), "n"), "hubs")
+    drop_written(banded, sizes)
+    return members, hubs
 
 
 def beyond_hubs(members: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -290,7 +292,9 @@ def beyond_hubs(members: DataFrame, hubs: DataFrame, groups: DataFrame) -> DataF
     of_hub = named.select("bucket", F.col("doc_id").alias("hub"), F.col("component").alias("main"))
     hub_of = written(hubs.join(mixed, "bucket").join(of_hub, ["bucket", "hub"]), "mixed")
     rest = named.join(hub_of, "bucket").where("doc_id <> hub")
-    return written(rest.select("bucket", "doc_id", "n", "component", "main"), "rest")
+    rest = written(rest.select("bucket", "doc_id", "n", "component", "main"), "rest")
+    drop_written(named, hub_of)
+    return rest
 
 
 def crossing(rest: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
