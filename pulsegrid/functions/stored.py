@@ -28,13 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
 _PATHS: list[str] = []
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used, for ``clear_written`` to delete."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
 
     It stays there, as results are read later; see ``clear_written``.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _PATHS.append(path)
+    path = fresh_path(df.sparkSession, name)
     # row groups of a quarter of the usual size: a task holds one while it writes
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
