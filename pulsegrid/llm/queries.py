@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, leaks, licences, neardups, quality, sentencepieces, suffixes, toxicity, urls, wavelets
+from . import chats, divergence, leaks, licences, neardups, quality, sentencepieces, suffixes, toxicity, urls, warcs, wavelets
 from .common import table
 
 
@@ -60,7 +60,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warcs.page_records(warcs.index_warc(warcs.write_warc(table(spark, sf_dir, "pages"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup, op12_source_divergence, op13_warc)}
 
 _ESCAPED = "{0}"
 for _control, _instead in chats.ESCAPES.items():
@@ -121,4 +129,43 @@ FROM rows{DEPTH} r JOIN whole w ON w.host = r.host AND w.template = r.template
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op8_url_filters": _op8_sql()}
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q >> {5 * (3 - k)}) & 31) + 1, 1)" for k in range(4))
+_HEX = " + ".join(f"(instr('0123456789abcdef', substr(h, 5 * g + {k + 1}, 1)) - 1) * {16 ** (4 - k)}" for k in range(5))
+OP13_SQL = f"""
+WITH paid AS (SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS payload FROM pages),
+summed AS (SELECT row, page_id, CAST(strlen(payload) AS BIGINT) AS n, sha1(payload) AS h FROM paid),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n, h ORDER BY page_id DESC NULLS LAST) AS place,
+         first_value(page_id) OVER (PARTITION BY n, h ORDER BY page_id DESC NULLS LAST) AS response FROM summed),
+digests AS (SELECT h, string_agg(d, '' ORDER BY g) AS digest FROM (SELECT h, g, {_BASE32} AS d FROM (SELECT h, g, CAST({_HEX} AS BIGINT) AS q FROM (SELECT DISTINCT h FROM summed), range(8) t(g))) GROUP BY h)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN response END AS refers_to
+FROM ranked JOIN digests ON digests.h = ranked.h
+"""
+
+_P = "CAST(1 + ({scale}::HUGEINT * ({{c}} + {prior})) // ({{n}} + {prior} * v) AS BIGINT)".format(scale=divergence.SCALE, prior=divergence.PRIOR)
+OP12_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+said AS (SELECT row, lang, source, unnest(words) AS term FROM docs),
+counted AS (SELECT row, lang, source, term, count(*) AS c FROM said GROUP BY ALL),
+vocabulary AS (SELECT lang, term, CAST(sum(c) AS BIGINT) AS c FROM counted GROUP BY ALL HAVING count(*) >= 30),
+langs AS (SELECT lang, CAST(count(*) AS BIGINT) AS v, CAST(sum(c) AS BIGINT) AS n FROM vocabulary GROUP BY ALL),
+here AS (SELECT c.lang, c.source, c.term, CAST(sum(c.c) AS BIGINT) AS c FROM counted c JOIN vocabulary USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT d.lang, d.source, coalesce(any_value(h.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) d
+  LEFT JOIN (SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM here GROUP BY ALL) h ON h.lang = d.lang AND h.source = d.source GROUP BY ALL),
+chances AS (
+  SELECT g.lang, g.source, o.term, coalesce(h.c, 0) AS c, {_P.format(c="coalesce(h.c, 0)", n="g.n")} AS p, {_P.format(c="o.c", n="l.n")} AS q
+  FROM groups g JOIN vocabulary o ON o.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source AND h.term = o.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS f FROM chances a JOIN chances b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM chances WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_source_divergence": OP12_SQL, "op13_warc": OP13_SQL, "op3_chat_formatting": OP3_SQL, "op8_url_filters": _op8_sql()}
