@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, divergence, leaks, licences, neardups, quality, sentencepieces, suffixes, toxicity, urls, warcs, wavelets
+from . import chats, divergence, leaks, licences, neardups, quality, runs, sentencepieces, suffixes, toxicity, urls, warcs, wavelets
 from .common import table
 
 
@@ -60,6 +62,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def planted_runs(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of all documents, told by doc_id, repeat with a period from some word on."""
+    if doc_id is None or not words:
+        return words
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return words
+    n = len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(table(spark, sf_dir, "documents"), rewrite=planted_runs))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
@@ -68,7 +87,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warcs.page_records(warcs.index_warc(warcs.write_warc(table(spark, sf_dir, "pages"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup, op12_source_divergence, op13_warc)}
+QUERIES = {f.__name__: f for f in (op1_licence_scans, op2_minhash_near_dedup, op3_chat_formatting, op4_token_shards, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup, op11_periodic_runs, op12_source_divergence, op13_warc)}
 
 _ESCAPED = "{0}"
 for _control, _instead in chats.ESCAPES.items():
@@ -168,4 +187,30 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
 WHERE part = 'pair' OR rank <= 50
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_source_divergence": OP12_SQL, "op13_warc": OP13_SQL, "op3_chat_formatting": OP3_SQL, "op8_url_filters": _op8_sql()}
+OP11_SQL = """
+WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, CAST(doc_id AS VARCHAR) AS name, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+crc AS (
+  SELECT row, name, 0 AS k, 4294967295::BIGINT AS c FROM docs
+  UNION ALL SELECT row, name, k + 1, list_reduce(list_prepend(xor(c, ascii(name[k + 1])::BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+  FROM crc WHERE k < length(name)),
+seeded AS (SELECT row, xor(c, 4294967295::BIGINT) AS h FROM crc WHERE k = length(name)),
+placed AS (SELECT d.row, len(w) AS n, w, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM docs d LEFT JOIN seeded s ON s.row = d.row),
+spaced AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+said AS MATERIALIZED (SELECT row, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM spaced)),
+same AS (SELECT x.row, x.i, y.i - x.i AS q FROM said x JOIN said y ON x.row = y.row AND x.word = y.word AND y.i > x.i),
+numbered AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM same),
+islands AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM numbered GROUP BY row, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS MATERIALIZED (SELECT row, start, length, min(q) AS period FROM islands GROUP BY ALL),
+listed AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY row),
+-- ratios are compared exactly: no run has a greater product crosswise
+best AS (SELECT row, start, length, period FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.row ORDER BY start, period) AS place FROM runs r
+  WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.row = r.row AND o.length * r.period > r.length * o.period)) WHERE place = 1),
+dropped AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT s.row, string_agg(s.word, ' ' ORDER BY s.i) AS text FROM said s LEFT JOIN dropped d ON d.row = s.row AND d.i = s.i WHERE d.i IS NULL GROUP BY s.row)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON l.row = d.row LEFT JOIN best b ON b.row = d.row LEFT JOIN kept k ON k.row = d.row
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_periodic_runs": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_warc": OP13_SQL, "op3_chat_formatting": OP3_SQL, "op8_url_filters": _op8_sql()}
