@@ -152,8 +152,8 @@ def segment(image: np.ndarray, least: int = 30, separate: bool = True, distance:
     return watershed(-depth, np.where(mask, grown, 0), mask)
 
 
-def perimeter(mask: np.ndarray) -> float:
-    """Length of the border pixels' outline: straight steps count 1, diagonal ones sqrt 2, corners their mean."""
+def outline_steps(mask: np.ndarray) -> np.ndarray:
+    """What each border pixel adds to the outline: straight steps count 1, diagonal ones sqrt 2, corners their mean; 0 elsewhere."""
     m = np.pad(mask, 2).astype(int)
     inner = m[1:-1, 1:-1] & m[:-2, 1:-1] & m[2:, 1:-1] & m[1:-1, :-2] & m[1:-1, 2:]
     border = np.pad((m[1:-1, 1:-1] == 1) & (inner == 0), 1).astype(int)
@@ -163,7 +163,12 @@ def perimeter(mask: np.ndarray) -> float:
     # two neighbours: 1, sqrt 2, or one of each; more neighbours count by the straight ones
     length = np.where(straight >= 2, 1.0, np.where(diagonal >= 2, np.sqrt(2), (1 + np.sqrt(2)) / 2)) * ((straight + diagonal) >= 2)
     length = np.where((straight == 1) & (diagonal == 1), (1 + np.sqrt(2)) / 2, length)
-    return float(length[on].sum())
+    return np.where(on, length, 0.0)[1:-1, 1:-1]
+
+
+def perimeter(mask: np.ndarray) -> float:
+    """Length of the border pixels' outline."""
+    return float(outline_steps(mask).sum())
 
 
 def orientation_2d(image: np.ndarray, sigma: float = 1.0, around: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
@@ -186,10 +191,10 @@ def smoothed_gradient(image: np.ndarray, axis: int, sigma: float) -> np.ndarray:
     return out
 
 
-def orientation_3d(volume: np.ndarray, sigma: float = 1.0, around: float = 2.0, stride: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors (z, y, x) of least gradient and fractional anisotropy, at every ``stride``-th voxel."""
+def orientation_3d(volume: np.ndarray, sigma: float = 1.0, around: float = 2.0, cut: int | tuple[slice, slice, slice] = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (z, y, x) of least gradient and fractional anisotropy, at every ``cut``-th voxel or in the slices of ``cut``."""
     g = [smoothed_gradient(volume, axis, sigma) for axis in range(3)]
-    cut = (slice(None, None, stride),) * 3
+    cut = (slice(None, None, cut),) * 3 if isinstance(cut, int) else cut
     tensor = np.stack([np.stack([smoothed(g[i] * g[j], around)[cut] for j in range(3)], -1) for i in range(3)], -1)
     values, vectors = np.linalg.eigh(tensor)
     norm = np.sqrt((values**2).sum(-1))

@@ -1,7 +1,9 @@
 """Objects and texture of projections and volumes.
 
-Segmentation labels one image or volume a task; what is measured on the labels
-is aggregated from long rows (one a pixel) by Spark, except the outline.
+Objects that aren't parted, and the texture of volumes, are found in blocks, see
+``blocks``. Touching objects are parted on one image or volume a task. What is
+measured on the labels is aggregated from long rows (one a pixel) by Spark,
+except the outline.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.stored import written
 from ..functions.vectorized import vectorized
 from ..functions import kernels
-from . import pairs, pixels
+from . import blocks, pairs, pixels
 
 
 @vectorized("array<int>")
@@ -41,19 +43,22 @@ def objects_2d(images: DataFrame) -> DataFrame:
     rows = images.select("recording_id", "width", F.posexplode(F.arrays_zip(F.col("labels").alias("l"), F.col("pixels").alias("p"))).alias("at", "v"))
     # column names of arrays_zip follow its arguments' positions where they are expressions
     rows = rows.toDF("recording_id", "width", "at", "v").selectExpr("recording_id", "v.l as label", "v.p as p", "cast(floor(at / width) as double) as r", "cast(at % width as double) as c").where("label > 0")
+    return _regions_2d(rows).join(images.select("recording_id", F.inline(_outlines("labels", "height", "width"))), ["recording_id", "label"])
+
+
+def _regions_2d(rows: DataFrame) -> DataFrame:
+    """Properties of each label of ``rows`` (recording_id, label, p, r, c), but for the outline."""
     m = rows.groupBy("recording_id", "label").agg(F.count("*").alias("n"), F.avg("p").alias("mean_intensity"), F.avg("r").alias("r"), F.avg("c").alias("c"), F.var_pop("r").alias("rr"), F.var_pop("c").alias("cc"), F.covar_pop("r", "c").alias("rc"))
     rr, cc = F.col("rr") + 1 / 12, F.col("cc") + 1 / 12
     root = F.sqrt((rr - cc) * (rr - cc) + 4 * F.col("rc") * F.col("rc"))
     big, small = (rr + cc + root) / 2, F.greatest((rr + cc - root) / 2, F.lit(0.0))
     # the long axis from the row axis, in -pi/2..pi/2
     angle = F.when(F.abs(rr - cc) + F.abs(F.col("rc")) == 0, F.lit(0.0)).otherwise(0.5 * F.atan2(2 * F.col("rc"), rr - cc))
-    out = m.select(
+    return m.select(
         "recording_id", "label", F.col("n").alias("area"), F.sqrt(F.when(big > 0, 1 - small / big).otherwise(0.0)).alias("eccentricity"), angle.alias("orientation"),
         (4 * F.sqrt(big)).alias("major_axis_length"), (4 * F.sqrt(small)).alias("minor_axis_length"), F.sqrt(4 * F.col("n") / F.pi()).alias("equivalent_diameter_area"),
         "mean_intensity", F.col("r").alias("centroid-0"), F.col("c").alias("centroid-1"), F.degrees(angle).alias("orientation_deg"),
     )
-    outlines = images.select("recording_id", F.inline(_outlines("labels", "height", "width")))
-    return out.join(outlines, ["recording_id", "label"])
 
 
 @vectorized("struct<axis_z double, axis_y double, axis_x double>")
@@ -67,6 +72,10 @@ def objects_3d(volumes: DataFrame) -> DataFrame:
     """Volume, diameter, intensity, centroid and long axis of each label of ``volumes`` (recording_id, height, width, pixels, labels)."""
     rows = volumes.select("recording_id", "height", "width", F.posexplode(F.arrays_zip(F.col("labels").alias("l"), F.col("pixels").alias("p"))).alias("at", "v"))
     rows = rows.selectExpr("recording_id", "v.l as label", "v.p as p", "cast(floor(at / (height * width)) as double) as z", "cast(floor(at / width) % height as double) as y", "cast(at % width as double) as x").where("label > 0")
+    return _regions_3d(rows)
+
+
+def _regions_3d(rows: DataFrame) -> DataFrame:
     m = rows.groupBy("recording_id", "label").agg(F.count("*").alias("volume_voxels"), F.avg("p").alias("mean_intensity"), *[F.avg(k).alias(k) for k in "zyx"], *[F.covar_pop(a, b).alias(a + b) for a, b in ("zz", "zy", "zx", "yy", "yx", "xx")])
     axis = _long_axis("zz", "zy", "zx", "yy", "yx", "xx")
     return m.withColumn("axis", axis).select(
@@ -79,10 +88,23 @@ def _kept(images: DataFrame, found: DataFrame, zero: dict) -> DataFrame:
     return images.select("recording_id").join(found, "recording_id", "left").na.fill(zero)
 
 
+def merged_objects_2d(images: DataFrame, least: int, shape: blocks.Shape = blocks.Shape(1, 512, 512, 2)) -> DataFrame:
+    """Region properties of objects that aren't parted, of ``images`` (recording_id, height, width, pixels), tile by tile."""
+    tiles = blocks.labelled(images.withColumn("frame_idx", F.lit(0)), least, shape, True)
+    rows = blocks.label_rows(tiles).select("recording_id", "label", "p", F.col("y").cast("double").alias("r"), F.col("x").cast("double").alias("c"))
+    return _regions_2d(rows).join(blocks.outline_lengths(tiles), ["recording_id", "label"])
+
+
+def merged_objects_3d(frames: DataFrame, least: int, shape: blocks.Shape = blocks.Shape(16, 512, 512, 1)) -> DataFrame:
+    """The same of volumes, slab by slab."""
+    rows = blocks.label_rows(blocks.labelled(frames, least, shape, False))
+    return _regions_3d(rows.withColumns({k: F.col(k).cast("double") for k in "zyx"}))
+
+
 def morphology_2d(frames: DataFrame, least: int = 30, separate: bool = True, distance: int = 10, texture: bool = False) -> tuple[DataFrame, DataFrame]:
     """Objects and summary of each recording's projection."""
-    images = labelled(pixels.projected(frames), F.array("height", "width"), least, separate, distance)
-    objects = objects_2d(images)
+    images = written(pixels.projected(frames), "projected")
+    objects = objects_2d(labelled(images, F.array("height", "width"), least, separate, distance)) if separate else merged_objects_2d(images, least)
     found = objects.groupBy("recording_id").agg(F.count("*").alias("n_objects"), F.avg("area").alias("mean_area_px"), F.median("area").alias("median_area_px"), F.avg("eccentricity").alias("mean_eccentricity"), F.sum("area").cast("double").alias("total_covered_area_px"))
     aligned = pairs.circular_alignment(objects.withColumn("weight", F.lit(1.0)), "orientation").drop("n")
     summary = _kept(images, found.join(aligned, "recording_id", "left"), {"n_objects": 0, "total_covered_area_px": 0.0})
@@ -98,14 +120,14 @@ def volumes_of(frames: DataFrame) -> DataFrame:
 
 
 def morphology_3d(frames: DataFrame, least: int = 100, separate: bool = True, distance: int = 10, texture: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Objects and summary of each recording read as a volume."""
-    volumes = labelled(volumes_of(frames), F.array(F.col("depth").cast("int"), "height", "width"), least, separate, distance)
-    objects = objects_3d(volumes)
+    """Objects and summary of each recording read as a volume, whose frames are numbered from 0 without gaps."""
+    sizes = frames.groupBy("recording_id").agg(F.count("*").cast("int").alias("depth"), F.max("height").alias("height"), F.max("width").alias("width"))
+    objects = objects_3d(labelled(volumes_of(frames), F.array(F.col("depth").cast("int"), "height", "width"), least, True, distance)) if separate else merged_objects_3d(frames, least)
     found = objects.groupBy("recording_id").agg(F.count("*").alias("n_objects"), F.avg("volume_voxels").alias("mean_volume_voxels"), F.median("volume_voxels").alias("median_volume_voxels"), F.sum("volume_voxels").alias("total_volume_voxels"))
     aligned = pairs.nematic_alignment(objects.select("recording_id", F.col("axis_z").alias("z"), F.col("axis_y").alias("y"), F.col("axis_x").alias("x"), F.lit(1.0).alias("weight"))).drop("n")
-    summary = _kept(volumes, found.join(aligned, "recording_id", "left"), {"n_objects": 0, "total_volume_voxels": 0})
-    summary = summary.join(volumes.select("recording_id", F.array(F.col("depth").cast("int"), "height", "width").alias("stack_shape_zyx")), "recording_id")
-    return objects, summary.join(texture_3d(volumes), "recording_id", "left") if texture else summary
+    summary = _kept(sizes, found.join(aligned, "recording_id", "left"), {"n_objects": 0, "total_volume_voxels": 0})
+    summary = summary.join(sizes.select("recording_id", F.array("depth", "height", "width").alias("stack_shape_zyx")), "recording_id")
+    return objects, summary.join(blocks.texture_3d(frames), "recording_id", "left") if texture else summary
 
 
 @vectorized("struct<c double, s double, w double, n long>")
@@ -124,26 +146,6 @@ def texture_2d(images: DataFrame) -> DataFrame:
     return t.select("recording_id", score.alias("texture_alignment_score"), F.when(F.col("w") > 0, F.degrees(F.atan2("s", "c") / 2)).alias("texture_mean_orientation_deg"), (F.col("w") / F.col("n")).alias("texture_mean_coherence"))
 
 
-@vectorized("struct<score double, direction array<double>, anisotropy double>")
-def _texture_volume(volume: pd.Series, depth: pd.Series, height: pd.Series, width: pd.Series, stride: pd.Series) -> pd.DataFrame:
-    out = []
-    for p, *shape, stride_ in zip(volume, depth, height, width, stride):
-        v, fa = kernels.orientation_3d(np.asarray(p, float).reshape(shape), stride=int(stride_))
-        v, fa = v.reshape(-1, 3), fa.ravel()
-        if fa.sum() > 0:
-            q = (3 * (v * fa[:, None]).T @ v - np.eye(3) * fa.sum()) / (2 * fa.sum())
-            values, vectors = np.linalg.eigh(q)
-            out.append((max(values[-1], 0.0), vectors[:, -1].tolist(), fa.mean()))
-        else:
-            out.append((None, None, 0.0))
-    return pd.DataFrame(out, columns=["score", "direction", "anisotropy"])
-
-
-def texture_3d(volumes: DataFrame, stride: int = 2) -> DataFrame:
-    t = volumes.select("recording_id", _texture_volume("pixels", "depth", "height", "width", F.lit(stride)).alias("t"))
-    return t.select("recording_id", F.col("t.score").alias("texture_alignment_score_3d"), F.col("t.direction").alias("texture_mean_direction_zyx"), F.col("t.anisotropy").alias("texture_mean_fractional_anisotropy"))
-
-
 @vectorized("array<struct<hue double, value double>>")
 def _hues(image: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     out = []

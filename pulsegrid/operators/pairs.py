@@ -131,7 +131,11 @@ def nematic_tensor(rows: DataFrame, weight: str = "weight", by: tuple[str, ...]
 
 def nematic_alignment(rows: DataFrame, weight: str = "weight", by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """alignment_score_3d (largest eigenvalue, 0 at least) and its director as mean_direction_zyx, in closed form."""
-    q = nematic_tensor(rows, weight, by)
+    return nematic_of(nematic_tensor(rows, weight, by), (*by, "n"))
+
+
+def nematic_of(q: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` and the largest eigenvalue and its director of tensors q_zz, q_zy .."""
     zz, zy, zx, yy, yx, xx = (F.col(f"q_{k}") for k in ("zz", "zy", "zx", "yy", "yx", "xx"))
     off = zy * zy + zx * zx + yx * yx
     mean = (zz + yy + xx) / 3
@@ -150,4 +154,4 @@ def nematic_alignment(rows: DataFrame, weight: str = "weight", by: tuple[str, ..
         crosses.append(F.struct((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("s"), F.array(*v).alias("v")))
     out = out.withColumn("_best", F.array_max(F.array(*crosses)))
     director = F.when(F.col("_best.s") > 1e-30, F.transform("_best.v", lambda v: v / F.sqrt("_best.s")))
-    return out.select(*by, "n", F.greatest(t, F.lit(0.0)).alias("alignment_score_3d"), director.alias("mean_direction_zyx"))
+    return out.select(*keep, F.greatest(t, F.lit(0.0)).alias("alignment_score_3d"), director.alias("mean_direction_zyx"))

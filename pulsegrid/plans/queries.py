@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import beats, calcium, groups, images, motion, pairs, pixels, selection, signals
+from ..operators import beats, blocks, calcium, groups, images, motion, pairs, pixels, selection, signals
 from ..streaming import hourly as streaming
 from . import bridges as B
 
@@ -308,7 +308,7 @@ def object_summary(spark, d):
 
 @query()
 def volume_texture(spark, d):
-    return images.texture_3d(images.volumes_of(B.bright_frames(spark, d)))
+    return blocks.texture_3d(B.bright_frames(spark, d))
 
 
 @query()
