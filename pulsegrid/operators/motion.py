@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import image_of
+from .neighbours import firsts, joined, stretches
+
 #: Standard deviation under which a window has too little texture to be followed.
 LEAST_TEXTURE = 3.0
 #: Copies of a recording's grid, so that all its frames aren't one task when they are joined.
@@ -60,18 +63,12 @@ def displacement(a: np.ndarray, b: np.ndarray, window: int = 32, step: int | Non
     return gx, gy, px - window // 2 + dx, py - window // 2 + dy
 
 
-def _image(pixels, height: int, width: int) -> np.ndarray:
-    """A frame whose pixels are numbers or uint8 bytes."""
-    flat = np.frombuffer(pixels, np.uint8) if isinstance(pixels, bytes | bytearray) else np.asarray(pixels)
-    return flat.astype(float).reshape(height, width)
-
-
 def usable_windows(frames: DataFrame, window: int, step: int) -> DataFrame:
     """recording_id, usable: for each window, row by row, whether it has texture in the recording's first frame."""
 
     @F.pandas_udf("array<boolean>")
     def textured(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series([(window_stds(_image(*row), window, step) >= LEAST_TEXTURE).ravel() for row in zip(pixels, height, width)])
+        return pd.Series([(window_stds(image_of(*row), window, step) >= LEAST_TEXTURE).ravel() for row in zip(pixels, height, width)])
 
     first = frames.groupBy("recording_id").agg(F.min("frame_idx").alias("frame_idx"))
     return frames.join(first, ["recording_id", "frame_idx"]).select("recording_id", textured("pixels", "height", "width").alias("usable"))
@@ -80,24 +77,21 @@ def usable_windows(frames: DataFrame, window: int, step: int) -> DataFrame:
 def piv(frames: DataFrame, window: int = 32, step: int | None = None) -> DataFrame:
     """recording_id, pair_idx, fps, row, col, x, y, u, v, usable: one row for each window of each frame pair.
 
-    A pair is a frame and the next number; pixels are numbers or uint8 bytes.
-    Pairs meet by recording and number, so that one recording's are many tasks.
+    A pair is a frame and the next number; pixels are numbers or uint8 bytes. It
+    is followed where both frames stand, see ``neighbours``.
     usable: whether the window has texture in the recording's first frame.
     """
     step = step or window // 2
-
-    @F.pandas_udf("struct<u array<double>, v array<double>>")
-    def moved(a: pd.Series, b: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
-        fields = (displacement(_image(pa, h, w), _image(pb, h, w), window, step)[2:] for pa, pb, h, w in zip(a, b, height, width))
-        return pd.DataFrame([(u.ravel(), v.ravel()) for u, v in fields], columns=["u", "v"])
-
-    after = frames.select("recording_id", (F.col("frame_idx") - 1).cast("int").alias("pair_idx"), F.col("pixels").alias("b"))
-    pairs = frames.withColumn("pair_idx", F.col("frame_idx").cast("int")).join(after, ["recording_id", "pair_idx"])
-    fields = pairs.select("recording_id", "pair_idx", "width", "fps", moved("pixels", "b", "height", "width").alias("m"), F.pmod("pair_idx", F.lit(SALTS)).alias("_salt"))
-    grids = usable_windows(frames, window, step).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    measure = lambda a, b: np.stack(displacement(a, b, window, step)[2:]).ravel()
+    found = stretches(frames, measure)
+    pairs = joined(found, measure)
+    half = F.floor(F.size("m") / 2).cast("int")
+    both = F.arrays_zip(F.slice("m", F.lit(1), half).alias("u"), F.slice("m", half + 1, half).alias("v"), F.col("usable"))
+    fields = pairs.select("recording_id", "pair_idx", "width", "fps", "m", F.pmod("pair_idx", F.lit(SALTS)).alias("_salt"))
+    grids = usable_windows(firsts(found), window, step).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cols = F.floor((F.col("width") - window) / step).cast("int") + 1
-    rows = fields.join(grids, ["recording_id", "_salt"]).select("recording_id", "pair_idx", "fps", cols.alias("cols"), F.posexplode(F.arrays_zip(F.col("m.u").alias("u"), F.col("m.v").alias("v"), "usable")).alias("at", "w"))
-    rows = rows.toDF("recording_id", "pair_idx", "fps", "cols", "at", "w").select("recording_id", "pair_idx", "fps", F.floor(F.col("at") / F.col("cols")).cast("int").alias("row"), (F.col("at") % F.col("cols")).cast("int").alias("col"), "w.*")
+    rows = fields.join(grids, ["recording_id", "_salt"]).select("recording_id", "pair_idx", "fps", cols.alias("cols"), F.posexplode(both).alias("at", "w"))
+    rows = rows.select("recording_id", "pair_idx", "fps", F.floor(F.col("at") / F.col("cols")).cast("int").alias("row"), (F.col("at") % F.col("cols")).cast("int").alias("col"), "w.*")
     place = lambda k: F.col(k) * F.lit(float(step)) + F.lit(window / 2)
     return rows.select("recording_id", "pair_idx", "fps", "row", "col", place("col").alias("x"), place("row").alias("y"), F.col(rows.columns[5]).alias("u"), F.col(rows.columns[6]).alias("v"), F.col(rows.columns[7]).alias("usable"))
 

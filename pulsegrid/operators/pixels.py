@@ -6,12 +6,16 @@ row-major) and fps, one row a frame. Raw uint8 frames go through ``decoded``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectorized import vectorized
+from .blocks import image_of
+from .neighbours import with_next
 
 
 @vectorized("array<double>")
@@ -65,10 +69,9 @@ def _difference(a, b) -> Column:
 
 
 def consecutive_signal(frames: DataFrame) -> DataFrame:
-    """Mean absolute difference of each frame and the one before; idx 0 is the first pair."""
-    before = F.lag("pixels").over(Window.partitionBy("recording_id").orderBy("frame_idx"))
-    pairs = frames.select("recording_id", (F.col("frame_idx") - 1).cast("int").alias("idx"), "fps", "pixels", before.alias("before")).where("before is not null")
-    return pairs.select("recording_id", "idx", _difference("pixels", "before").alias("raw"), "fps")
+    """Mean absolute difference of each frame and the next number; idx is the first one's. Only ends of stretches are shuffled, see ``neighbours``."""
+    pairs = with_next(frames, lambda a, b: np.array([np.abs(b - a).mean()]))
+    return pairs.select("recording_id", F.col("pair_idx").alias("idx"), F.get("m", F.lit(0)).alias("raw"), "fps")
 
 
 def reference_signal(frames: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -77,13 +80,59 @@ def reference_signal(frames: DataFrame, chosen: DataFrame) -> DataFrame:
     return frames.join(base, "recording_id").select("recording_id", F.col("frame_idx").cast("int").alias("idx"), _difference("pixels", "base").alias("raw"), "fps")
 
 
-def max_projection(frames: DataFrame) -> DataFrame:
-    """recording_id, pos, v: greatest value of each pixel over the frames, by partial maxima in every partition."""
-    return frames.select("recording_id", F.posexplode("pixels").alias("pos", "v")).groupBy("recording_id", "pos").agg(F.max("v").alias("v"))
+def _maxima(batches: Iterator[pd.DataFrame], limit: int = 64 << 20) -> Iterator[pd.DataFrame]:
+    """A running maximum for each recording and size of frame; given away when too many bytes are held."""
+    held: dict[tuple, np.ndarray] = {}
+
+    def given() -> pd.DataFrame:
+        out = pd.DataFrame([(*key, v.tolist()) for key, v in held.items()], columns=["recording_id", "height", "width", "pixels"], dtype=object)
+        held.clear()
+        return out
+
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            key, image = (row.recording_id, row.height, row.width), image_of(row.pixels, row.height, row.width).ravel()
+            if key in held:
+                np.maximum(held[key], image, out=held[key])
+                continue
+            held[key] = image
+            if sum(v.nbytes for v in held.values()) > limit:
+                yield given()
+    yield given()
 
 
 def projected(frames: DataFrame) -> DataFrame:
-    """One row a recording: height, width and the projection as pixels."""
-    rows = max_projection(frames).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
-    sizes = frames.groupBy("recording_id").agg(F.max("height").alias("height"), F.max("width").alias("width"))
-    return rows.join(sizes, "recording_id").select("recording_id", "height", "width", F.transform("p", lambda s: s["v"]).alias("pixels"))
+    """One row a recording: height, width and, as pixels, the greatest value of each pixel over its frames.
+
+    A task keeps one running array a recording; only these are shuffled, and the
+    second stage merges them as they come. Frames of one recording have one size.
+    """
+    kind = frames.schema["recording_id"].dataType.simpleString()
+    schema = f"recording_id {kind}, height int, width int, pixels array<double>"
+    partial = frames.select("recording_id", "height", "width", "pixels").mapInPandas(_maxima, schema)
+    # sorted, so that a task holds one recording at a time
+    return partial.repartition("recording_id").sortWithinPartitions("recording_id").mapInPandas(_merged, schema)
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, top = None, None
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            image = np.asarray(row.pixels, float)
+            if key is None or key[0] != row.recording_id:
+                if key is not None:
+                    out.append((*key, top.tolist()))
+                key, top = (row.recording_id, row.height, row.width), image.copy()
+            elif key[1:] != (row.height, row.width):
+                raise ValueError(f"frames of {key[0]!r} differ in size")
+            else:
+                np.maximum(top, image, out=top)
+        yield pd.DataFrame(out, columns=["recording_id", "height", "width", "pixels"], dtype=object)
+    if key is not None:
+        yield pd.DataFrame([(*key, top.tolist())], columns=["recording_id", "height", "width", "pixels"], dtype=object)
+
+
+def max_projection(frames: DataFrame) -> DataFrame:
+    """recording_id, pos, v: greatest value of each pixel over the frames."""
+    return projected(frames).select("recording_id", F.posexplode("pixels").alias("pos", "v"))

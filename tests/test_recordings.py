@@ -194,9 +194,10 @@ def test_argmin(spark):
     assert tuple(got) == (2, 5, 3)
 
 
-@pytest.mark.parametrize("box,want", [((5, 4, 10, 8), (5, 4, 15, 12)), ((25, 15, 20, 20), (25, 15, 30, 20)), ((-5, -5, 10, 10), (0, 0, 5, 5))])
+@pytest.mark.parametrize("box,want", [((3, 2, 4, 6), (3, 2, 7, 8)), ((9, -3, 40, 7), (9, 0, 13, 4)), ((50, 60, 5, 5), (12, 10, 13, 11)), ((-20, 4, 6, 1), (0, 4, 1, 5)), ((0, 0, 99, 99), (0, 0, 13, 11))])
 def test_crop(spark, box, want):
-    image = np.arange(600.0).reshape(20, 30)
+    """A box inside, over two edges, wholly outside on either side, and over all."""
+    image = np.random.default_rng(6).normal(size=(11, 13))
     f = frames_of(spark, {"a": [image]})
     r = pixels.crop(f, *box).first()
     x0, y0, x1, y1 = want
@@ -210,15 +211,16 @@ def circle(size, *spots):
 
 
 def test_objects(spark):
-    videos = {"two": [circle((60, 60), (15, 15, 8), (45, 45, 10))] * 3, "touching": [circle((100, 100), (35, 50, 15), (60, 50, 15))], "none": [np.zeros((30, 30))]}
-    f = frames_of(spark, videos)
-    objects, summary = images.morphology_2d(f)
+    """Three discs of different sizes that touch in a row, one far off, and nothing at all."""
+    row = circle((48, 100), (24, 16, 15), (24, 41, 12), (24, 61, 10))
+    f = frames_of(spark, {"row": [row, row / 2], "far": [row, circle((48, 100), (24, 88, 7))], "none": [np.zeros((7, 9))]})
+    objects, summary = images.morphology_2d(f, distance=6)
     s = {r.recording_id: r for r in summary.collect()}
-    assert (s["two"].n_objects, s["touching"].n_objects, s["none"].n_objects) == (2, 2, 0)
+    assert (s["row"].n_objects, s["far"].n_objects, s["none"].n_objects) == (3, 4, 0)
     assert s["none"].total_covered_area_px == 0 and s["none"].alignment_score is None
-    assert {r.recording_id: r.n_objects for r in images.morphology_2d(f, separate=False)[1].collect()}["touching"] == 1
-    area = sorted(r.area for r in objects.where("recording_id = 'two'").collect())
-    assert abs(area[0] - math.pi * 64) < 8 and abs(area[1] - math.pi * 100) < 10
+    assert {r.recording_id: r.n_objects for r in images.morphology_2d(f, separate=False)[1].collect()} == {"row": 1, "far": 2, "none": 0}
+    centres = sorted(r["centroid-1"] for r in objects.where("recording_id = 'row'").collect())
+    assert all(abs(a - b) < 3 for a, b in zip(centres, (16, 41, 61))) and s["row"].total_covered_area_px == (row > 0).sum()
 
 
 def test_volume(spark):
