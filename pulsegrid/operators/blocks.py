@@ -152,22 +152,30 @@ def orientation_3d(slices: DataFrame, sigma: float = 1.0, around: float = 2.0, s
     return over_blocks(slices, seen, fn, "pos long, vz double, vy double, vx double, anisotropy double").drop("k", "j", "i")
 
 
-def texture_3d(slices: DataFrame, sigma: float = 1.0, around: float = 2.0, stride: int = 2, shape: Shape = Shape(16, 256, 256)) -> DataFrame:
-    """texture_alignment_score_3d, texture_mean_direction_zyx and texture_mean_fractional_anisotropy of each volume.
+SUMS = ("w", "zz", "zy", "zx", "yy", "yx", "xx")
+
+
+def tensor_sums(slices: DataFrame, sigma: float = 1.0, around: float = 2.0, stride: int = 2, shape: Shape = Shape(16, 256, 256)) -> DataFrame:
+    """recording_id, n, w, zz .. xx: of every ``stride``-th voxel the number, the summed anisotropy, and the vectors' products weighed by it.
 
-    A block gives seven sums over its own voxels; vectors weigh by anisotropy.
+    A block gives these sums over its own voxels.
     """
 
     def fn(block: Block) -> pd.DataFrame:
         _, v, fa = _oriented(block, sigma, around, stride)
         q = (v * fa[:, None]).T @ v
-        return pd.DataFrame([(len(fa), fa.sum(), q[0, 0], q[0, 1], q[0, 2], q[1, 1], q[1, 2], q[2, 2])], columns=["n", "w", "zz", "zy", "zx", "yy", "yx", "xx"])
+        return pd.DataFrame([(len(fa), fa.sum(), q[0, 0], q[0, 1], q[0, 2], q[1, 1], q[1, 2], q[2, 2])], columns=["n", *SUMS])
 
     seen = Shape(shape.depth, shape.height, shape.width, texture_margin(sigma, around))
-    names = ("w", "zz", "zy", "zx", "yy", "yx", "xx")
-    sums = over_blocks(slices, seen, fn, "n long, " + ", ".join(f"{k} double" for k in names)).groupBy("recording_id").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in names])
+    parts = over_blocks(slices, seen, fn, "n long, " + ", ".join(f"{k} double" for k in SUMS))
+    return parts.groupBy("recording_id").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in SUMS])
+
+
+def texture_3d(slices: DataFrame, sigma: float = 1.0, around: float = 2.0, stride: int = 2, shape: Shape = Shape(16, 256, 256)) -> DataFrame:
+    """texture_alignment_score_3d, texture_mean_direction_zyx and texture_mean_fractional_anisotropy of each volume; vectors weigh by anisotropy."""
+    sums = tensor_sums(slices, sigma, around, stride, shape)
     q = lambda k: F.try_divide(3 * F.col(k) - (F.col("w") if k[0] == k[1] else 0), 2 * F.nullif(F.col("w"), F.lit(0.0)))
-    aligned = pairs.nematic_of(sums.select("recording_id", "n", "w", *[q(k).alias(f"q_{k}") for k in names[1:]]), ("recording_id", "n", "w"))
+    aligned = pairs.nematic_of(sums.select("recording_id", "n", "w", *[q(k).alias(f"q_{k}") for k in SUMS[1:]]), ("recording_id", "n", "w"))
     return aligned.select(
         "recording_id", F.when(F.col("w") > 0, F.col("alignment_score_3d")).alias("texture_alignment_score_3d"), F.when(F.col("w") > 0, F.col("mean_direction_zyx")).alias("texture_mean_direction_zyx"),
         F.try_divide("w", "n").alias("texture_mean_fractional_anisotropy"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import beats, blocks, calcium, groups, images, motion, pairs, pixels, selection, signals
 from ..streaming import hourly as streaming
 from . import bridges as B
+from . import image_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -281,17 +282,18 @@ def texture_summary(spark, d):
     return motion.texture_summary(B.bright_frames(spark, d).where("frame_idx = 0"), 4, 2)
 
 
-@query()
+@query(f'WITH {B.BRIGHT_SQL}, {image_sql.piv_sql()} SELECT recording_id, pair_idx, "row", col, x::DOUBLE AS x, y::DOUBLE AS y, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v, usable FROM field')
 def piv_field(spark, d):
     return motion.piv(B.bright_frames(spark, d), 4, 2).drop("fps")
 
 
-@query()
+@query(f"WITH {B.BRIGHT_SQL}, {image_sql.piv_sql()} SELECT recording_id, pair_idx AS idx, round(coalesce(avg(sqrt(u * u + v * v)) FILTER (WHERE usable), avg(sqrt(u * u + v * v))), 6) AS raw FROM field GROUP BY ALL")
 def piv_signal(spark, d):
     return motion.motion_signal(B.bright_frames(spark, d), 4, 2).drop("fps")
 
 
-@query()
+@query(f"""WITH {B.BRIGHT_SQL}, pj AS (SELECT recording_id, pos, max(v) AS v FROM bx GROUP BY ALL), {image_sql.image_tensor_sql()}
+SELECT recording_id, round(texture_alignment_score, 6) AS texture_alignment_score, round(texture_mean_orientation_deg, 6) + 0.0 AS texture_mean_orientation_deg, round(texture_mean_coherence, 6) AS texture_mean_coherence FROM texture""")
 def structure_tensor(spark, d):
     return images.texture_2d(pixels.projected(B.bright_frames(spark, d)))
 
@@ -306,6 +308,26 @@ def object_summary(spark, d):
     return images.morphology_2d(B.bright_frames(spark, d), least=2, distance=2, texture=True)[1]
 
 
+_REGION = ("eccentricity", "orientation", "major_axis_length", "minor_axis_length", "equivalent_diameter_area", "mean_intensity", '"centroid-0"', '"centroid-1"', "orientation_deg", "perimeter")
+_OBJECTS = f"""WITH RECURSIVE {B.BRIGHT_SQL}, pj AS (SELECT recording_id, pos, max(v) AS v FROM bx GROUP BY ALL), {_OTSU.format(k="recording_id", v="v", t="pj")}, {image_sql.objects_sql(2)}"""
+
+
+@query(f"{_OBJECTS} SELECT recording_id, CAST(label AS INTEGER) AS label, v AS p, 0 AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM lb")
+def object_labels(spark, d):
+    slices = pixels.projected(B.bright_frames(spark, d)).withColumn("frame_idx", F.lit(0))
+    return blocks.label_rows(blocks.labelled(slices, 2, blocks.Shape(1, 4, 4, 2), True))
+
+
+@query(f"{_OBJECTS}, {image_sql.REGIONS_SQL} SELECT recording_id, label, area, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _REGION)} FROM regions")
+def merged_objects(spark, d):
+    return images.merged_objects_2d(pixels.projected(B.bright_frames(spark, d)), 2, blocks.Shape(1, 4, 4, 2))
+
+
+@query(f"WITH {B.BRIGHT_SQL}, {image_sql.volume_tensor_sql()} SELECT recording_id, n, {', '.join(f'round({k}, 4) + 0.0 AS {k}' for k in ('w', 'zz', 'zy', 'zx', 'yy', 'yx', 'xx'))} FROM tensor_sums")
+def volume_tensor(spark, d):
+    return rounded(blocks.tensor_sums(B.bright_frames(spark, d), shape=blocks.Shape(16, 0, 0)), 4)
+
+
 @query()
 def volume_texture(spark, d):
     return blocks.texture_3d(B.bright_frames(spark, d))
