@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 
 import numpy as np
 
@@ -65,21 +66,27 @@ def drop_small(mask: np.ndarray, least: int) -> np.ndarray:
 
 
 def distance_squared(mask: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distance to the background, one axis after another (lower envelope of parabolas as a min-plus product)."""
+    """Squared Euclidean distance to the background, one axis after another; far off where there is none.
+
+    Along the first axis by the last and the next background voxel; along the
+    others offsets grow until no voxel is as far off as the offset alone.
+    """
     far = float(sum(s * s for s in mask.shape) + 1)
-    out = np.where(mask, far, 0.0)
-    for axis in range(mask.ndim):
-        n = mask.shape[axis]
-        lines = np.moveaxis(out, axis, -1)
-        steps = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-        shape = lines.shape
-        flat = lines.reshape(-1, n)
-        done = np.empty_like(flat)
-        rows = max(1, 4_000_000 // (n * n))
-        for k in range(0, len(flat), rows):
-            done[k : k + rows] = (flat[k : k + rows, None, :] + steps[None]).min(axis=2)
-        out = np.moveaxis(done.reshape(shape), -1, axis)
-    return out
+    n = mask.shape[0]
+    at = np.arange(n).reshape(-1, *[1] * (mask.ndim - 1))
+    last = np.maximum.accumulate(np.where(mask, -1, at), axis=0)
+    following = np.flip(np.minimum.accumulate(np.flip(np.where(mask, n, at), 0), axis=0), 0)
+    steps = np.minimum(np.where(last < 0, n, at - last), np.where(following >= n, n, following - at)).astype(float)
+    out = np.where((last < 0) & (following >= n), far, steps * steps)
+    for axis in range(1, mask.ndim):
+        lines = np.moveaxis(out, axis, 0)
+        best, d = lines.copy(), 1
+        while d < len(lines) and d * d < best.max():
+            np.minimum(best[d:], lines[:-d] + d * d, out=best[d:])
+            np.minimum(best[:-d], lines[d:] + d * d, out=best[:-d])
+            d += 1
+        out = np.moveaxis(best, 0, axis)
+    return np.minimum(out, far)
 
 
 def gaussian(image: np.ndarray, sigma: float, axis: int, order: int = 0) -> np.ndarray:
@@ -113,28 +120,59 @@ def seeds(height: np.ndarray, mask: np.ndarray, least: int) -> np.ndarray:
     top = (height == _neighbourhood_max(np.where(mask, height, -np.inf), max(least, 1))) & mask & (height > 0)
     at = np.argwhere(top)
     at = at[np.argsort(-height[tuple(at.T)], kind="stable")]
-    kept: list[np.ndarray] = []
+    # kept ones by cells of ``least`` voxels, so that only those around are compared
+    kept: dict[tuple, list[np.ndarray]] = {}
+    out = []
     for p in at:
-        if all(np.abs(p - q).max() > least for q in kept):
-            kept.append(p)
-    return np.array(kept, int).reshape(-1, mask.ndim)
+        cell = tuple(p // (least + 1))
+        around = itertools.product(*[(c - 1, c, c + 1) for c in cell])
+        if all(np.abs(p - q).max() > least for c in around for q in kept.get(c, ())):
+            kept.setdefault(cell, []).append(p)
+            out.append(p)
+    return np.array(out, int).reshape(-1, mask.ndim)
 
 
 def watershed(relief: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Floods from the markers in order of relief, first come first, within the mask."""
-    out = np.where(mask, markers, 0)
-    shape, queue, turn = mask.shape, [], itertools.count()
-    shifts = [s for s in itertools.product((-1, 0, 1), repeat=mask.ndim) if sum(map(abs, s)) == 1]
-    for p in map(tuple, np.argwhere(out > 0)):
-        heapq.heappush(queue, (relief[p], next(turn), p))
-    while queue:
-        _, _, p = heapq.heappop(queue)
-        for s in shifts:
-            q = tuple(a + b for a, b in zip(p, s))
-            if all(0 <= a < n for a, n in zip(q, shape)) and mask[q] and not out[q]:
-                out[q] = out[p]
-                heapq.heappush(queue, (relief[q], next(turn), q))
-    return out
+    """Floods from the markers within the mask, the lowest level that water stands at first, all its voxels at once.
+
+    Voxels of one relief are a level, and wait in its bucket once water reaches
+    them. A voxel gets the label of the first level that reaches it; where
+    several of its neighbours are flooded at once, of the one that stands first
+    row by row. Without equal reliefs that is the order of a queue of voxels.
+    """
+    shape = tuple(n + 2 for n in mask.shape)
+    # a rim that is never flooded, so that neighbours are steps in the flat array
+    free = np.pad(mask, 1).ravel()
+    out = np.pad(np.where(mask, markers, 0), 1).ravel()
+    level = np.zeros(free.size, int)
+    _, level[free] = np.unique(np.pad(relief, 1).ravel()[free], return_inverse=True)
+    jumps = np.array([s * math.prod(shape[k + 1 :]) for k in range(mask.ndim) for s in (-1, 1)])
+    buckets: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def fill(voxels: np.ndarray) -> None:
+        levels = level[voxels]
+        order = np.argsort(levels, kind="stable")
+        cuts = np.flatnonzero(np.diff(levels[order])) + 1
+        for part in np.split(voxels[order], cuts) if len(voxels) else ():
+            at = int(level[part[0]])
+            if at not in buckets:
+                buckets[at] = []
+                heapq.heappush(waiting, at)
+            buckets[at].append(part)
+
+    fill(np.flatnonzero(out))
+    free &= out == 0
+    while waiting:
+        parts = buckets.pop(heapq.heappop(waiting))
+        front = np.sort(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+        beside = (front[:, None] + jumps).ravel()
+        dry = np.flatnonzero(free[beside])
+        found, first = np.unique(beside[dry], return_index=True)
+        out[found] = out[front[dry[first] // len(jumps)]]
+        free[found] = False
+        fill(found)
+    return out.reshape(shape)[(slice(1, -1),) * mask.ndim]
 
 
 def segment(image: np.ndarray, least: int = 30, separate: bool = True, distance: int = 10) -> np.ndarray:
