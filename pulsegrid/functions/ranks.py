@@ -8,34 +8,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import written
 from .vectorized import vectorized
 
-#: Values that part a group into ranges, at most, and copies of them, so that a group isn't one task when they are joined.
-CUTS, SALTS = 128, 16
+#: Distinct values in a range, about: what one task sorts.
+IN_RANGE = 1_000_000
 
 
-def ranked(rows: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+def in_ranges(counts: DataFrame, value: str, by: tuple[str, ...], in_range: int) -> DataFrame:
+    """``counts``, a written table, dealt to as many ranges of (by.., value) as its rows need, with ``_range``, their number in order."""
+    ranges = -(-counts.count() // in_range)
+    return counts.repartitionByRange(max(1, ranges), *by, value).withColumn("_range", F.spark_partition_id())
+
+
+def ranked(rows: DataFrame, value: str, by: tuple[str, ...], n: str | None = None, in_range: int = IN_RANGE) -> DataFrame:
     """One row for each distinct value of each group: by.., value, t (rows with it), r (mean of their 1-based ranks), total (rows of the group).
 
-    Values are counted first. A group's ranges are cut at those values whose
-    hashes are the smallest of their slots, the same ones whenever it is
-    computed; a value's rank is what is in the ranges before, and before it in
-    its own. Keys aren't null.
+    Values are counted first (rows count as often as ``n`` says) and written.
+    They are dealt to ranges of about ``in_range`` values, whatever group they
+    belong to, so that there are as many as the data needs; a value's rank is
+    what its group has in the ranges before, and before it in its own. Keys
+    aren't null.
     """
     keys = list(by)
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("t"))
-    hashed = F.xxhash64(value)
-    slots = counts.groupBy(*keys, F.pmod(hashed, F.lit(CUTS)).alias("_slot")).agg(F.min_by(value, hashed).alias("_cut"))
-    cuts = slots.groupBy(*keys).agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
-    salted = counts.withColumn("_salt", F.pmod(F.shiftright(hashed, 8), F.lit(SALTS)).cast("int"))
-    copies = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ranges = salted.join(copies, [*keys, "_salt"]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", "_salt")
-    # at most one more than there are cuts in a group
-    sizes = ranges.groupBy(*keys, "_range").agg(F.sum("t").alias("_n"))
+    counts = written(rows.groupBy(*keys, value).agg((F.sum(n) if n else F.count("*")).alias("t")), "counts")
+    dealt = in_ranges(counts, value, by, in_range)
+    # a row for each range that a group has values in
+    sizes = dealt.groupBy(*keys, "_range").agg(F.sum("t").alias("_n"))
     whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_range")
     starts = sizes.select(*keys, "_range", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("total"))
     inside = F.sum("t").over(Window.partitionBy(*keys, "_range").orderBy(value)) - F.col("t")
-    return ranges.join(starts, [*keys, "_range"]).select(*keys, value, "t", (F.col("_before") + inside + (F.col("t") + 1) / F.lit(2.0)).alias("r"), "total")
+    return dealt.withColumn("_inside", inside).join(starts, [*keys, "_range"]).select(*keys, value, "t", (F.col("_before") + F.col("_inside") + (F.col("t") + 1) / F.lit(2.0)).alias("r"), "total")
 
 
 @vectorized("double")

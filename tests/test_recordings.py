@@ -355,21 +355,85 @@ def test_four_groups(spark):
         groups.compare_groups(metrics_of(spark, rows), 1)
 
 
-@pytest.mark.parametrize("cuts", [128, 3])
-def test_ranks_against_pandas(spark, monkeypatch, cuts):
+@pytest.mark.parametrize("in_range", [1_000_000, 50, 7])
+def test_ranks_against_pandas(spark, in_range):
     import pandas as pd
 
-    monkeypatch.setattr(ranks, "CUTS", cuts)
     rng = random.Random(17)
     rows = [("big", float(rng.randrange(300))) for _ in range(900)] + [("same", 2.5)] * 40 + [("one", -1.0)] + [("wide", rng.gauss(0, 1e6)) for _ in range(200)]
     frame = pd.DataFrame(rows, columns=["g", "v"])
     frame["r"] = frame.groupby("g").v.rank()
     want = {(g, v): (t, r, len(frame[frame.g == g])) for (g, v, r), t in frame.groupby(["g", "v", "r"]).size().items()}
-    got = ranks.ranked(spark.createDataFrame(rows, "g string, v double").repartition(4), "v", ("g",)).collect()
+    got = ranks.ranked(spark.createDataFrame(rows, "g string, v double").repartition(4), "v", ("g",), in_range=in_range).collect()
     assert {(x.g, x.v): (x.t, x.r, x.total) for x in got} == want and len(got) == len(want)
     assert ranks.ranked(spark.createDataFrame([], "g string, v double"), "v", ("g",)).count() == 0
 
 
+@pytest.mark.parametrize("wanted", [10, 1000])
+def test_as_many_ranges_as_needed(spark, wanted):
+    """One group's values are parted into ranges whose number follows from its size, none of them much larger than asked for."""
+    n = 20_000
+    counts = ranks.written(spark.range(n).select(F.lit("all").alias("g"), F.xxhash64("id").alias("v"), F.lit(1).alias("t")), "counts")
+    sizes = [r["count"] for r in ranks.in_ranges(counts, "v", ("g",), n // wanted).groupBy("_range").count().collect()]
+    assert sum(sizes) == n and 0.7 * wanted <= len(sizes) <= wanted and max(sizes) <= 6 * n / wanted
+
+
+def plain_reml(y, group, cluster):
+    """Group means, their covariance, residual variance and variance ratio from full matrices and a golden section."""
+    names = sorted(set(group))
+    X = np.array([[float(g == k) for k in names] for g in group])
+    same = np.equal.outer(cluster, cluster).astype(float)
+
+    def at(r):
+        V = np.linalg.inv(np.eye(len(y)) + r * same)
+        a = X.T @ V @ X
+        beta = np.linalg.solve(a, X.T @ V @ y)
+        rss = float((y - X @ beta) @ V @ (y - X @ beta))
+        return (len(y) - len(names)) * math.log(rss) - np.linalg.slogdet(V)[1] + np.linalg.slogdet(a)[1], beta, a, rss
+
+    scan = [0.0, *np.geomspace(1e-6, 1e6, 61)]
+    k = min(range(len(scan)), key=lambda i: at(scan[i])[0])
+    lo, hi = scan[max(k - 1, 0)], scan[min(k + 1, len(scan) - 1)]
+    for _ in range(90):
+        x, z = hi - (hi - lo) * 0.6180339887498949, lo + (hi - lo) * 0.6180339887498949
+        lo, hi = (lo, z) if at(x)[0] <= at(z)[0] else (x, hi)
+    r = min((0.0, (lo + hi) / 2), key=lambda v: at(v)[0])
+    _, beta, a, rss = at(r)
+    sigma2 = rss / (len(y) - len(names))
+    return names, beta, sigma2 * np.linalg.inv(a), sigma2, r
+
+
+def test_mixed_model_against_full_matrices(spark):
+    """Unbalanced groups, clusters that groups share, clusters of many sizes, no variance between clusters, several metrics at once."""
+    rng = np.random.default_rng(77)
+    cases, rows = {}, []
+    for name, spread, shared in (("apart", 3.0, False), ("shared", 1.5, True), ("none", 0.0, False), ("two", 2.0, True)):
+        group, cluster, y = [], [], []
+        for c in range(4 if name == "two" else 14):
+            shift = spread * rng.normal()
+            for k in range(int(rng.integers(2, 12))):
+                g = (k if shared else c) % (2 if name == "two" else 3)
+                group.append(g)
+                cluster.append(c)
+                y.append(50 + 4 * g + shift + rng.normal())
+        cases[name] = plain_reml(np.array(y), group, np.array(cluster))
+        rows += [(name, g, "abc"[g], f"{k}", f"c{c}", float(v)) for k, (g, c, v) in enumerate(zip(group, cluster, y))]
+    frame = metrics_of(spark, rows).repartition(5)
+    fits = groups.lmm_fit(frame)
+    pairs_ = groups.lmm_pairwise(frame, fits).collect()
+    for r in fits.collect():
+        names, beta, cov, sigma2, ratio = cases[r.metric]
+        assert list(r.groups) == names and np.abs(np.array(r.beta) - beta).max() < 1e-6 and abs(r.ratio - ratio) < 1e-6 * max(ratio, 1) and abs(r.sigma2 - sigma2) < 1e-6
+        for p in (p for p in pairs_ if p.metric == r.metric):
+            i, j = "abc".index(p.group_a), "abc".index(p.group_b)
+            z = (beta[j] - beta[i]) / math.sqrt(cov[i, i] + cov[j, j] - 2 * cov[i, j])
+            assert abs(p.coefficient - (beta[j] - beta[i])) < 1e-6 and abs(p.p_value - math.erfc(abs(z) / math.sqrt(2))) < 1e-6
+    assert len(pairs_) == 3 + 3 + 3 + 1
+    # nothing that the fit reads grows with the number of clusters of one size
+    sizes = groups.by_cluster_size(groups.sufficient(frame.where("metric = 'apart'")))
+    assert sizes.groupBy("size", "a", "b").count().where("count > 1").isEmpty()
+
+
 def plain_shapiro(values):
     """Royston's p from the weights of all places."""
     from statistics import NormalDist
