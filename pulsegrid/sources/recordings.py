@@ -1,4 +1,4 @@
-"""Sources of frames and tables, and the result store.
+"""Sources of frames and tables.
 
 ``frames`` come from Parquet, from raw uint8 files, or from a registered
 decoder: no video codec is installed here, so compressed video needs one that
@@ -112,38 +112,3 @@ def png(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
 def first_frames(frames: DataFrame) -> DataFrame:
     """recording_id and its first frame as PNG."""
     return frames.where("frame_idx = 0").select("recording_id", png("pixels", "height", "width").alias("png"))
-
-
-class ResultStore:
-    """Results under one folder, partitioned by result_id: rows as Parquet and CSV, summaries as JSON.
-
-    ``mirror``, off unless given, is called with (result_id, kind, path) after
-    each write; its failures don't fail the write.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, mirror: Callable[[str, str, str], None] | None = None):
-        self.spark, self.folder, self.mirror = spark, folder.rstrip("/"), mirror
-
-    def write(self, result_id: str, rows: DataFrame, summary: DataFrame) -> None:
-        path = self._path(result_id)
-        rows.write.mode("overwrite").parquet(f"{path}/rows")
-        flat = rows.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in rows.dtypes])
-        flat.write.mode("overwrite").option("header", True).csv(f"{path}/data_csv")
-        summary.write.mode("overwrite").json(f"{path}/summary_json")
-        if self.mirror:
-            for kind in ("rows", "data_csv", "summary_json"):
-                try:
-                    self.mirror(result_id, kind, f"{path}/{kind}")
-                except Exception:
-                    continue  # best effort
-
-    def rows(self, result_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._path(result_id)}/rows")
-
-    def summary(self, result_id: str) -> DataFrame:
-        return self.spark.read.json(f"{self._path(result_id)}/summary_json")
-
-    def _path(self, result_id: str) -> str:
-        if not result_id or "/" in result_id or ".." in result_id:
-            raise ValueError(f"no result id: {result_id!r}")
-        return f"{self.folder}/result_id={result_id}"

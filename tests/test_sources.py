@@ -62,22 +62,6 @@ def test_trace(spark, tmp_path):
     assert len(rows) == 20 and abs(rows[0].fps - 60) < 0.1 and rows[19].raw == 19
 
 
-def test_store(spark, tmp_path):
-    seen = []
-
-    def mirror(*what):
-        seen.append(what[:2])
-        raise OSError("down")
-
-    store = recordings.ResultStore(spark, str(tmp_path), mirror)
-    rows, summary = spark.createDataFrame([(1, [1.0])], "a int, l array<double>"), spark.createDataFrame([(3,)], "n int")
-    store.write("r1", rows, summary)
-    assert store.rows("r1").first() == rows.first() and store.summary("r1").first().n == 3 and len(seen) == 3
-    for bad in ("", "a/b", "..", "x..y"):
-        with pytest.raises(ValueError):
-            store.rows(bad)
-
-
 def test_front_door(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(f"r{r}", k, 6, 6, (100 + 20 * np.sin(k / 3 + r) + rng.normal(0, 3, 36)).tolist(), 30.0) for r in range(6) for k in range(60)]
