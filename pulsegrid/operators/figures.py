@@ -53,9 +53,26 @@ def comparison(compared: DataFrame, n: int = 12) -> DataFrame:
     return top.withColumn("n_significant", F.size(F.filter("posthoc", lambda p: p["p_value_bonferroni"] < 0.05)) if "posthoc" in compared.columns else F.lit(None).cast("int"))
 
 
-def scatter(pixels: DataFrame, points: int = 20_000, seed: int = 0) -> DataFrame:
-    """A seeded sample without replacement, for a scatter plot: a figure's own limit."""
-    return pixels.orderBy(F.rand(seed)).limit(points)
+def scatter(pixels: DataFrame, points: int = 20_000, seed: int = 0, key: tuple[str, ...] | None = None) -> DataFrame:
+    """A seeded sample without replacement, for a scatter plot: the ``points`` rows whose keys have the smallest hashes, the same however rows are dealt out.
+
+    ``key``: columns that tell rows apart, all unless given; rows alike in them
+    have one hash, and stand together. Rows are first counted by the leading
+    zeros of their hashes, so that about twice ``points`` are sorted at most.
+    """
+    hashed = pixels.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in key or pixels.columns]))
+    # as an unsigned number: the fewer binary digits, the smaller
+    zeros = F.when(F.col("_h") < 0, 0).otherwise(64 - F.length(F.bin("_h")))
+    levels = sorted((tuple(r) for r in hashed.groupBy(zeros.alias("z")).count().collect()), reverse=True)
+    least, n = 0, 0
+    for z, count in levels:
+        n += count
+        if n >= points:
+            least = z
+            break
+    rest = [c for c in pixels.columns if c not in (key or ())]
+    order = (F.col("_h") < 0, "_h", *(key or ()), *rest)
+    return hashed.where(zeros >= least).orderBy(*order).limit(points).drop("_h")
 
 
 def min_max(pixels: DataFrame, *channels: str) -> DataFrame:

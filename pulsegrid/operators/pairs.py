@@ -77,9 +77,11 @@ def spearman(pairs: DataFrame, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     return both.groupBy(*keys).agg(F.try_divide(F.sum(c * a * b), F.nullif(F.sqrt(F.sum(c * a * a)) * F.sqrt(F.sum(c * b * b)), F.lit(0.0))).alias("spearman_r"))
 
 
-def agreement(pairs: DataFrame, by: tuple[str, ...] = ("pair_id",), with_p: bool = True) -> DataFrame:
+def agreement(pairs: DataFrame, by: tuple[str, ...] = ("pair_id",), with_p: bool = True, with_ranks: bool = True) -> DataFrame:
     """One row for each group of ``pairs`` (by.., a, b): correlations, ICC(2,1), Bland-Altman and the regression of b on a.
 
+    ``with_ranks``: also Spearman's, for which all values are ranked.
+
     Null where a value isn't defined; fewer than three pairs are an error.
     """
     keys = list(by)
@@ -94,13 +96,15 @@ def agreement(pairs: DataFrame, by: tuple[str, ...] = ("pair_id",), with_p: bool
         F.when(n > 1, F.try_divide(rows - rest, F.nullif(rows + rest + 2 * (columns - rest) / n, F.lit(0.0)))).alias("icc_2_1"),
         F.avg(d).alias("bland_altman_bias"), F.stddev_samp(d).alias("bland_altman_sd_diff"),
         slope(b, a).alias("regression_slope"), (F.avg(b) - slope(b, a) * F.avg(a)).alias("regression_intercept"), F.pow(correlation(a, b), F.lit(2)).alias("regression_r_squared"),
-    ).join(spearman(pairs, by), keys, "left")
+    )
+    kinds = ("pearson", "spearman") if with_ranks else ("pearson",)
+    out = out.join(spearman(pairs, by), keys, "left") if with_ranks else out
     enough = F.assert_true(F.col("n") >= 3, F.lit("agreement needs three pairs or more"))
-    out = out.where(enough.isNull()).withColumns({c: usable(F.col(c)) for c in ("pearson_r", "spearman_r", "icc_2_1", "regression_slope", "regression_intercept", "regression_r_squared")})
+    out = out.where(enough.isNull()).withColumns({c: usable(F.col(c)) for c in (*[f"{k}_r" for k in kinds], "icc_2_1", "regression_slope", "regression_intercept", "regression_r_squared")})
     limit = F.lit(1.96) * F.col("bland_altman_sd_diff")
     out = out.withColumn("bland_altman_loa_lower", F.col("bland_altman_bias") - limit).withColumn("bland_altman_loa_upper", F.col("bland_altman_bias") + limit)
     if with_p:
-        out = out.withColumns({f"{k}_p": correlation_p_value(f"{k}_r", F.col("n").cast("double")) for k in ("pearson", "spearman")})
+        out = out.withColumns({f"{k}_p": correlation_p_value(f"{k}_r", F.col("n").cast("double")) for k in kinds})
     return out
 
 

@@ -81,19 +81,27 @@ def prominences(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     return out
 
 
+def dominant(at: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the places ``at`` (ascending) stay, from the highest down, later of equals first, if each drops all nearer than ``distance``.
+
+    What a place can drop is a range of its neighbours, found for all at once; a
+    place is looked at once, so that the work is linear after sorting.
+    """
+    lo, hi = np.searchsorted(at, at - distance + 1).tolist(), np.searchsorted(at, at + distance).tolist()
+    keep = np.ones(len(at), bool)
+    for k in np.argsort(heights, kind="stable")[::-1].tolist():
+        if keep[k]:
+            keep[lo[k] : hi[k]] = False
+            keep[k] = True
+    return keep
+
+
 def find_peaks(values: np.ndarray, fps: float, per_minute: float = 300.0, prominence: float = 0.15) -> np.ndarray:
     """Local maxima, thinned from the highest down to a least distance, then those that stand out enough."""
     if len(values) < 3:
         return np.zeros(0, int)
     peaks = local_maxima(values)
-    distance = max(int(round(60.0 / per_minute * fps)), 1)
-    keep = np.ones(len(peaks), bool)
-    for k in np.argsort(values[peaks], kind="stable")[::-1]:
-        if keep[k]:
-            lo, hi = np.searchsorted(peaks, [peaks[k] - distance + 1, peaks[k] + distance])
-            keep[lo:hi] = False
-            keep[k] = True
-    peaks = peaks[keep]
+    peaks = peaks[dominant(peaks, values[peaks], max(int(round(60.0 / per_minute * fps)), 1))]
     return peaks[prominences(values, peaks) >= max(np.ptp(values) * prominence, 1e-9)]
 
 
@@ -169,10 +177,13 @@ def peak_prominence(signal: DataFrame, value: str = "raw") -> DataFrame:
 
 def thinned(peaks_df: DataFrame, distance: int) -> DataFrame:
     """recording_id, idx: greedy from the highest down, later of equals first, dropping peaks closer than ``distance``."""
-    ranked = peaks_df.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("v", "idx")), asc=False).alias("ranked"))
-    nothing = F.array().cast("array<int>")
-    kept = F.aggregate("ranked", nothing, lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q - p["idx"]) < distance), acc).otherwise(F.concat(acc, F.array(p["idx"].cast("int")))))
-    return ranked.select("recording_id", F.explode(kept).alias("idx"))
+
+    @F.pandas_udf("array<int>")
+    def kept(idx: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(i)[dominant(np.asarray(i), np.asarray(h, float), distance)].astype(np.int32) for i, h in zip(idx, v)])
+
+    packed = peaks_df.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("p"))
+    return packed.select("recording_id", F.explode(kept(F.col("p.idx"), F.col("p.v"))).alias("idx"))
 
 
 def autocorrelation(signal: DataFrame, low: int, high: int, value: str = "raw") -> DataFrame:

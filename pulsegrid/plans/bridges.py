@@ -46,13 +46,16 @@ hours AS MATERIALIZED (SELECT event_type AS recording_id, date_diff('hour', TIME
 span AS (SELECT min(h) AS lo, max(h) AS hi FROM hours),
 calendar AS MATERIALIZED (SELECT recording_id, lo, unnest(generate_series(lo, hi)) AS h FROM span, (SELECT DISTINCT recording_id FROM hours)),
 sig AS MATERIALIZED (SELECT c.recording_id, CAST(c.h - lo AS INTEGER) AS idx, coalesce(raw, 0.0) AS raw FROM calendar c LEFT JOIN hours USING (recording_id, h))"""
-MAXIMA_SQL = SIGNAL_SQL + """,
+#: mx(recording_id, idx, v): local maxima of ``sig``.
+TOPS_SQL = """
 turned AS (SELECT *, CASE WHEN raw = lag(raw) OVER w THEN 0 ELSE 1 END AS turn FROM sig WINDOW w AS (PARTITION BY recording_id ORDER BY idx)),
 numbered AS (SELECT *, sum(turn) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM turned),
 runs AS (SELECT recording_id, run, min(idx) AS lo, max(idx) AS hi, min(raw) AS v FROM numbered GROUP BY ALL),
 flanked AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM runs WINDOW w AS (PARTITION BY recording_id ORDER BY run)),
 mx AS MATERIALIZED (SELECT recording_id, CAST((lo + hi) // 2 AS INTEGER) AS idx, v FROM flanked WHERE v > b AND v > a)"""
-BEATS_SQL = MAXIMA_SQL + """,
+MAXIMA_SQL = f"{SIGNAL_SQL},{TOPS_SQL}"
+#: beats of the peaks ``mx`` of ``sig``.
+EVENTS_SQL = """
 ev AS MATERIALIZED (SELECT recording_id, idx AS peak, v, lag(idx) OVER w AS previous, lead(idx) OVER w AS following, row_number() OVER w - 1 AS no FROM mx WINDOW w AS (PARTITION BY recording_id ORDER BY idx)),
 lows AS MATERIALIZED (SELECT e.recording_id, no, first(s.idx ORDER BY s.raw, s.idx) AS before, min(s.raw) AS vb FROM ev e JOIN sig s ON s.recording_id = e.recording_id AND s.idx >= coalesce(previous, 0) AND s.idx < peak GROUP BY ALL),
 tails AS MATERIALIZED (SELECT e.recording_id, no, first(s.idx ORDER BY s.raw, s.idx) AS after, min(s.raw) AS va FROM ev e JOIN sig s ON s.recording_id = e.recording_id AND s.idx >= peak AND s.idx < coalesce(following, 1000000000) GROUP BY ALL),
@@ -77,6 +80,7 @@ beats AS (
          peak / 30.0 - before / 30.0 AS contraction_time_s, after / 30.0 - peak / 30.0 AS relaxation_time_s, up AS max_contraction_velocity, down AS max_relaxation_velocity,
          t10 AS time_to_decay_10_s, t50 AS time_to_decay_50_s, t90 AS time_to_decay_90_s, peak / 30.0 - previous / 30.0 AS inter_beat_interval_s, 60.0 / (peak / 30.0 - previous / 30.0) AS instantaneous_bpm
   FROM ends e LEFT JOIN speed s ON s.recording_id = e.recording_id AND s.no = e.no LEFT JOIN decayed d ON d.recording_id = e.recording_id AND d.no = e.no)"""
+BEATS_SQL = f"{MAXIMA_SQL},{EVENTS_SQL}"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,37 @@ smoothed AS (
   SELECT p.recording_id, p.idx, sum(h * x.raw) AS s FROM placed p JOIN hat ON hat.w = p.w AND hat.r = p.r JOIN {table} x ON x.recording_id = p.recording_id AND x.idx = p.lo + j GROUP BY ALL)"""
 
 
+def peaked_sql(prominence: float) -> str:
+    """mx: peaks of ``sig``, thinned to the distance in ``tuned`` (recording_id, distance), that stand out by a part of the signal's range; needs WITH RECURSIVE."""
+    return f"""{B.TOPS_SQL.replace("mx AS", "tops AS")},
+ordered AS MATERIALIZED (
+  SELECT t.recording_id, idx, v, distance, row_number() OVER (PARTITION BY t.recording_id ORDER BY v DESC, idx DESC) AS n, count(*) OVER (PARTITION BY t.recording_id) AS last FROM tops t JOIN tuned ON tuned.recording_id = t.recording_id),
+walk AS (
+  SELECT recording_id, n, last, [idx] AS kept FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.recording_id, o.n, o.last, CASE WHEN len(list_filter(w.kept, lambda k: abs(k - o.idx) < o.distance)) = 0 THEN list_append(w.kept, o.idx) ELSE w.kept END
+  FROM walk w JOIN ordered o ON o.recording_id = w.recording_id AND o.n = w.n + 1),
+thin AS (SELECT w.recording_id, w.idx, o.v FROM (SELECT recording_id, unnest(kept) AS idx FROM walk WHERE n = last) w JOIN ordered o ON o.recording_id = w.recording_id AND o.idx = w.idx),
+bounds AS (SELECT m.recording_id, m.idx, m.v, max(s.idx) FILTER (WHERE s.raw > m.v AND s.idx < m.idx) AS lo, min(s.idx) FILTER (WHERE s.raw > m.v AND s.idx > m.idx) AS hi FROM thin m JOIN sig s ON s.recording_id = m.recording_id GROUP BY ALL),
+sides AS (SELECT b.recording_id, b.idx, b.v, min(s.raw) FILTER (WHERE s.idx <= b.idx) AS l, min(s.raw) FILTER (WHERE s.idx >= b.idx) AS r FROM bounds b JOIN sig s ON s.recording_id = b.recording_id AND s.idx > coalesce(lo, -1) AND s.idx < coalesce(hi, 1000000000) GROUP BY ALL),
+mx AS MATERIALIZED (SELECT s.recording_id, idx, v FROM sides s JOIN (SELECT recording_id, max(raw) - min(raw) AS range FROM sig GROUP BY ALL) g ON g.recording_id = s.recording_id WHERE v - greatest(l, r) >= greatest({prominence} * range, 1e-9))"""
+
+
+def consecutive_beats_sql(table: str) -> str:
+    """sig and mx of the frame-to-frame differences of ``table`` (recording_id, frame_idx, pos, v), tuned to their period."""
+    return f"""
+raws AS MATERIALIZED (SELECT y.recording_id, CAST(x.frame_idx AS INTEGER) AS idx, avg(abs(y.v - x.v)) AS raw FROM {table} x JOIN {table} y ON x.recording_id = y.recording_id AND x.pos = y.pos AND y.frame_idx = x.frame_idx + 1 GROUP BY ALL),
+c AS (SELECT recording_id, idx, raw - avg(raw) OVER (PARTITION BY recording_id) AS c FROM raws),
+power AS (SELECT recording_id, sum(c * c) AS p FROM c GROUP BY ALL),
+r AS (SELECT x.recording_id, y.idx - x.idx AS lag, sum(x.c * y.c) / any_value(p) AS r FROM c x JOIN c y ON x.recording_id = y.recording_id AND y.idx - x.idx BETWEEN 9 AND 120 JOIN power ON power.recording_id = x.recording_id GROUP BY ALL),
+period AS MATERIALIZED (SELECT recording_id, first(lag ORDER BY round(r, 12) DESC, lag) / 30.0 AS period FROM r GROUP BY ALL),
+told AS (SELECT recording_id, period, least(greatest(period / 6, 0.05), 0.5) AS window_s, least(greatest(100 / period, 30), 400) AS gap FROM period),
+chosen AS (SELECT *, CAST(greatest(round_even(window_s * 30, 0), 5) AS INTEGER) AS w FROM told),
+tuned AS MATERIALIZED (SELECT * REPLACE (w + CAST(w % 2 = 0 AS INTEGER) AS w), greatest(round_even(60.0 / gap * 30, 0), 1) AS distance FROM chosen),
+{smoothed_sql("raws", "tuned")},
+sig AS MATERIALIZED (SELECT recording_id, idx, s AS raw FROM smoothed),{peaked_sql(0.15)}"""
+
+
 def normal_p_sql(z: str) -> str:
     """Two-sided normal p by the series of the error function whose terms are all positive."""
     x = f"greatest(abs({z}) / sqrt(2), 1e-300)"
@@ -333,7 +364,9 @@ def volume_texture(spark, d):
     return blocks.texture_3d(B.bright_frames(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {B.BRIGHT_SQL}, {image_sql.piv_sql()}, {consecutive_beats_sql("bx")},
+strongest AS (SELECT m.recording_id, least(first(idx ORDER BY v DESC, idx), any_value(n) - 1) AS pair_idx FROM mx m JOIN (SELECT recording_id, count(*) AS n FROM sig GROUP BY ALL) k ON k.recording_id = m.recording_id GROUP BY ALL)
+SELECT f.recording_id, f.pair_idx, "row", col, x::DOUBLE AS x, y::DOUBLE AS y, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v, usable FROM field f JOIN strongest s ON s.recording_id = f.recording_id AND s.pair_idx = f.pair_idx""")
 def representative_field(spark, d):
     frames = B.bright_frames(spark, d)
     packed = beats.beating(frames, beats.BeatParams(signal_mode="consecutive"))[0]
@@ -366,7 +399,7 @@ def _thousandths(agreed: DataFrame) -> DataFrame:
 
 @query(f"WITH {_ICC} SELECT pair_id, {_AGREEMENT} FROM pr, icc GROUP BY pair_id")
 def agreement_core(spark, d):
-    return _thousandths(pairs.agreement(B.pairs(spark, d), with_p=False).drop("spearman_r"))
+    return _thousandths(pairs.agreement(B.pairs(spark, d), with_p=False, with_ranks=False))
 
 
 @query(f"WITH {B.PAIRS_SQL}, {_RANKED} SELECT pair_id, round(corr(ra, rb), 6) AS spearman_r FROM r GROUP BY pair_id")
@@ -484,11 +517,40 @@ def topk_metrics(spark, d):
 # --- whole pipelines and streams
 
 
-@query()
+@query(f"""WITH RECURSIVE {B.PIXELS_SQL}, {consecutive_beats_sql("px")},{B.EVENTS_SQL}
+SELECT k.recording_id, round(any_value(k.n) / 30.0, 6) AS duration_s, CAST(count(beat_index) AS INTEGER) AS n_beats, round(60.0 / avg(inter_beat_interval_s), 6) AS mean_bpm, round(avg(inter_beat_interval_s), 6) AS mean_inter_beat_interval_s,
+round(stddev_pop(inter_beat_interval_s), 6) AS ibi_std_s, round(100 * stddev_pop(inter_beat_interval_s) / avg(inter_beat_interval_s), 6) AS ibi_cv_percent, round(100 * stddev_pop(amplitude) / avg(amplitude), 6) AS amplitude_cv_percent,
+round(any_value(period), 6) AS estimated_period_s, round(any_value(window_s), 6) AS smoothing_window_s, round(any_value(gap), 6) AS min_bpm_gap_used, 'consecutive' AS signal_mode,
+{', '.join(f'round(avg({c}), 6) AS mean_{c}' for c in beats.MEANS)}
+FROM (SELECT recording_id, count(*) AS n FROM sig GROUP BY ALL) k JOIN tuned t ON t.recording_id = k.recording_id LEFT JOIN beats b ON b.recording_id = k.recording_id GROUP BY k.recording_id""")
 def beating_pipeline(spark, d):
     return beats.beating(B.frames(spark, d), beats.BeatParams(signal_mode="consecutive"))[2]
 
 
+_CALCIUM = f"""WITH RECURSIVE {B.BRIGHT_SQL}, lit AS (SELECT recording_id, CAST(frame_idx AS INTEGER) AS idx, avg(v) AS light FROM bx GROUP BY ALL),
+f0 AS (SELECT recording_id, greatest(quantile_cont(light, 0.1), 1e-6) AS f0 FROM lit GROUP BY ALL),
+changed AS MATERIALIZED (SELECT l.recording_id, idx, (light - f0) / f0 AS raw FROM lit l JOIN f0 ON f0.recording_id = l.recording_id),
+tuned AS MATERIALIZED (SELECT recording_id, 5 AS w, 8 AS distance FROM f0),
+{smoothed_sql("changed", "tuned")},
+sig AS MATERIALIZED (SELECT recording_id, idx, s AS raw FROM smoothed),{peaked_sql(0.2)},{B.EVENTS_SQL},
+risen AS (SELECT e.recording_id, no, min(s.idx) FILTER (WHERE s.raw >= vb + 0.1::DOUBLE * (v - vb)) AS lo, min(s.idx) FILTER (WHERE s.raw >= vb + 0.9::DOUBLE * (v - vb)) AS hi
+  FROM ends e JOIN sig s ON s.recording_id = e.recording_id AND s.idx BETWEEN before AND peak GROUP BY ALL),
+transients AS (SELECT e.recording_id, e.no AS transient_index, peak / 30.0 AS peak_time_s, v - vb AS amplitude_df_f0, CASE WHEN v > vb THEN (hi - lo) / 30.0 END AS rise_time_10_90_s, peak / 30.0 - previous / 30.0 AS inter_peak_interval_s
+  FROM ends e JOIN risen r ON r.recording_id = e.recording_id AND r.no = e.no)"""
+
+
+@query(f"""{_CALCIUM} SELECT recording_id, CAST(transient_index AS INTEGER) AS transient_index, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('peak_time_s', 'amplitude_df_f0', 'rise_time_10_90_s', 'inter_peak_interval_s'))} FROM transients""")
+def calcium_events(spark, d):
+    return calcium.calcium(B.bright_frames(spark, d))[1].drop("decay_tau_s")
+
+
+@query(f"""{_CALCIUM} SELECT k.recording_id, round(any_value(k.n) / 30.0, 6) AS duration_s, CAST(count(transient_index) AS INTEGER) AS n_transients, round(avg(inter_peak_interval_s), 6) AS mean_inter_peak_interval_s,
+round(avg(amplitude_df_f0), 6) AS mean_amplitude_df_f0, round(60.0 / avg(inter_peak_interval_s), 6) AS mean_frequency_per_min, round(100 * stddev_pop(amplitude_df_f0) / avg(amplitude_df_f0), 6) AS amplitude_cv_percent
+FROM (SELECT recording_id, count(*) AS n FROM sig GROUP BY ALL) k LEFT JOIN transients t ON t.recording_id = k.recording_id GROUP BY k.recording_id""")
+def calcium_summary(spark, d):
+    return calcium.calcium(B.bright_frames(spark, d))[2].drop("mean_decay_tau_s")
+
+
 @query()
 def calcium_pipeline(spark, d):
     return calcium.calcium(B.bright_frames(spark, d))[2]

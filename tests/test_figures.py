@@ -73,5 +73,10 @@ def test_scatter_and_merge(spark):
     rows = spark.createDataFrame([("i", float(k), 5.0) for k in range(100)], "image_id string, a double, b double")
     some = figures.scatter(rows, 30)
     assert some.count() == 30 == some.distinct().count() and figures.scatter(rows).count() == 100
+    # the same rows however they are dealt out, others with another seed; rows alike are told apart by a key
+    picks = [sorted(map(tuple, figures.scatter(rows.repartition(n), 30, seed).collect())) for n, seed in ((1, 0), (7, 0), (3, 1))]
+    assert picks[0] == picks[1] == sorted(map(tuple, some.collect())) != picks[2]
+    flat = spark.range(1000).select("id", F.lit(1.0).alias("a"))
+    assert figures.scatter(flat, 10, key=("id",)).distinct().count() == 10 and figures.scatter(flat.drop("id"), 10).count() == 10 and figures.scatter(flat.limit(0)).count() == 0
     scaled = figures.min_max(rows, "a", "b").agg(F.min("a"), F.max("a"), F.max("b")).first()
     assert tuple(scaled) == (0, 1, 0)
