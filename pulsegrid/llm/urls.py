@@ -117,14 +117,14 @@ def templated(pages: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, template, purity, verdict for each row of ``pages`` (page_id, url).
+    """page_id, host, path, rule, verdict, template, purity for each row of ``pages`` (page_id, url).
 
     A page under a rule gets the rule's verdict, and is a label for the tree
     (block: bad); any other is blocked if its template is rejected, else
     allowed. Templates are null-free: a url without host or path has the empty
-    template. Repeated rows get repeated verdicts; other columns are ignored,
-    whatever their names.
+    template. Repeated rows, and rows without a page_id, are judged each by its
+    own url; other columns are ignored, whatever their names.
     """
     known = ruled(parts_of(pages.select("page_id", "url")), rules).withColumn("bad", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
     verdict = F.coalesce("said", F.when(F.col("rejected"), "block").otherwise("allow"))
-    return templated(known.drop("url")).select("page_id", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    return templated(known.drop("url")).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
