@@ -417,7 +417,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least:
     texts = texts.withColumn("doc_id", F.coalesce("doc_id", "mark"))
     kind = texts.schema["row"].dataType.simpleString()
     packed = map_rows(texts, _pack, f"row {kind}, doc_id long, mark long, size long, packed binary")
-    runs = repeated_spans(texts, packed, least, **limits).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # as sets: copies of a text without a doc_id are one text here, and name the same runs each
+    runs = repeated_spans(texts, packed, least, **limits).groupBy("doc_id", "mark").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     found = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start long, end long>>" * with_text
     marked = packed.join(runs.hint("merge"), ["doc_id", "mark"], "left").select("row", "packed", "runs")
     cut = map_rows(marked, lambda b: _cut(b, least, with_text), f"row {kind}, {found}")

@@ -619,3 +619,18 @@ def test_hot_keys_meet_a_broadcast(spark):
         got = sorted((r.key, r.v, r.n, r.w) for r in join_by_size(rows, few, "key", hot=hot).collect())
         assert got == sorted([(0, k, 500, 0) for k in range(500)] + [(k, k, 1, 2 * k) for k in range(1, 200)])
     assert join_by_size(rows.limit(0), few.limit(0), "key").count() == 0
+
+
+def test_many_copies_without_id(spark):
+    """Thousands of copies of one text without a doc_id are cut alike, and a text that shares a passage with them too; runs don't add up."""
+    rng = random.Random(12)
+    page, own = prose(rng, 80), prose(rng, 60)
+    shared = f"{own} {page[:300]}"
+    rows = [(None, page)] * 10_000 + [(1, shared), (2, prose(rng, 90)), (None, own[:150])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = suffixes.remove_repeats(docs, with_text=True)
+    found = got.groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r["count"]) for r in found} == {
+        (None, len(page), len(page), 1, 10_000), (1, len(shared), 300, 1, 1), (2, len(rows[-2][1]), 0, 0, 1), (None, 150, 0, 0, 1),
+    }
+    assert got.agg(F.max(F.size("spans"))).first()[0] == 1
