@@ -8,6 +8,7 @@ whose negative part is kept from falling below zero.
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -198,13 +199,26 @@ def telling(rows: DataFrame, size: int, least: int = LEAST_TEXTS, apart: float =
     return np.sort(np.array([r.feature for r in kept], np.int64).view(U))
 
 
+def first_rows(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Of ``rows`` (row, doc_id, p, u, features) at most so many with each flag, p or u, as an id may have any number of rows; one with both stands twice.
+
+    Row numbers alone are ordered and cut; their number is bounded, so they are broadcast.
+    """
+    parts = []
+    for flag, n in limits.items():
+        named = rows.where(F.col(flag) == 1).select("row", "doc_id", F.xxhash64("doc_id", F.lit(flag)).alias("h"), F.xxhash64("features").alias("f"))
+        parts.append(named.orderBy("h", "doc_id", "f", "row").limit(n).select("row", *[F.lit(int(c == flag)).alias(c) for c in ("p", "u")]))
+    return rows.drop("p", "u").join(F.broadcast(reduce(DataFrame.unionByName, parts)), "row")
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, size: int = FEATURES) -> Model:
     """A classifier from the rows whose crc32(doc_id as text) leaves a remainder.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic. A row with any label 1 is
     confirmed. The unlabelled are drawn from all rows learnt from, confirmed or
     not, as the risk wants it; rows are drawn by hashed id, of equal hashes the
-    smaller ids first, and rows that share a doc_id are drawn together. The
+    smaller ids first, and rows that share a doc_id are drawn together, but no
+    more than ``positives`` and ``unlabelled`` rows in all. The
     class prior is the share of label 1 among the labelled rows learnt from;
     without labels it is a tenth, and no text is told from another.
     """
@@ -217,10 +231,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     drawn = learnt.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
     wanted = confirmed.unionByName(drawn).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "p", "u", "text")
-    rows = written(map_rows(rows, _featured, "doc_id long, p int, u int, features array<bigint>"), "featured")
+    rows = written(map_rows(rows, _featured, "doc_id long, p int, u int, features array<bigint>").withColumn("row", F.monotonically_increasing_id()), "featured")
+    rows = first_rows(rows, {"p": positives, "u": unlabelled})
     vocabulary = telling(rows, min(size, 1 << 16))
-    # bounded by the three numbers: the places of the few features that tell something
-    found = map_rows(rows, lambda b: _placed(b, vocabulary), "doc_id long, p int, u int, columns binary").collect()
+    # bounded by the three numbers: so many rows, each with the places of the few features that tell something
+    found = map_rows(rows.select("doc_id", "p", "u", "features"), lambda b: _placed(b, vocabulary), "doc_id long, p int, u int, columns binary").collect()
     taken = [(r.p, r.u, np.frombuffer(r.columns, "<u2").astype(np.int64)) for r in sorted(found, key=lambda r: (r.doc_id, bytes(r.columns)))]
     weights, bias = fit([c for p, _, c in taken if p], [c for _, u, c in taken if u], prior, len(vocabulary))
     return Model(vocabulary[weights > 0], weights[weights > 0], bias)

@@ -634,3 +634,30 @@ def test_many_copies_without_id(spark):
         (None, len(page), len(page), 1, 10_000), (1, len(shared), 300, 1, 1), (2, len(rows[-2][1]), 0, 0, 1), (None, 150, 0, 0, 1),
     }
     assert got.agg(F.max(F.size("spans"))).first()[0] == 1
+
+
+def test_an_id_with_very_many_rows(spark):
+    """Rows are counted, not ids: what the fit collects has its bound though one drawn id has fifty thousand rows."""
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    rows = spark.createDataFrame([(k, f"good words {k}") for k in ids], "doc_id long, text string").unionByName(spark.range(50_000).select(F.lit(ids[0]).alias("doc_id"), F.concat(F.lit("bad talk "), F.col("id") % 7).alias("text")))
+    model = toxicity.train(rows, spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, toxic int"), positives=40, unlabelled=300)
+    assert toxicity.score_toxicity(rows, model).count() == 50_000 + len(ids)
+    featured = rows.select("doc_id", (F.col("doc_id") == ids[0]).cast("int").alias("p"), F.lit(1).alias("u"), F.array(F.xxhash64("text")).alias("features")).withColumn("row", F.monotonically_increasing_id())
+    kept = toxicity.first_rows(featured, {"p": 40, "u": 300})
+    assert {tuple(r) for r in kept.groupBy("p", "u").count().collect()} == {(1, 0, 40), (0, 1, 300)}
+    few = toxicity.first_rows(featured.where("features[0] % 97 = 0 or p = 0"), {"p": 10**6, "u": 10**6})
+    assert few.where("p = 1").count() + few.where("u = 1").count() == featured.where("features[0] % 97 = 0 or p = 0").agg(F.sum(F.col("p") + F.col("u"))).first()[0]
+
+
+def test_descent_lowers_the_risk():
+    """The same draws give the same weights, and more turns a lower risk."""
+    rng = np.random.default_rng(6)
+    draw = lambda n, shift: [np.sort(rng.choice(12, rng.integers(1, 5), replace=False) + shift) for _ in range(n)]
+    positive, unlabelled = draw(9, 0), [*draw(11, 4), *draw(4, 0)]
+    args = (16, 0.2, 7, 0.05, 0.001, 3)
+    got = toxicity.descend(positive, unlabelled, *args)
+    assert got.shape == (17,) and np.isfinite(got).all()
+    again = toxicity.descend(positive, unlabelled, *args)
+    assert (got == again).all()
+    risk = lambda w: sum(toxicity.risk_parts(w, positive, unlabelled, 0.2)[:1]) + max(0.0, toxicity.risk_parts(w, positive, unlabelled, 0.2)[1])
+    assert risk(toxicity.descend(positive, unlabelled, 16, 0.2, 80, 0.05, 0.001, 3)) < risk(got) < risk(np.zeros(17))
