@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import pandas as pd
@@ -46,16 +47,37 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return pd.Series([NormalDist().inv_cdf(x) for x in p], dtype="float64")
 
 
-def shapiro_sums(rows: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
-    """What Shapiro-Wilk needs of each group: n, mm and mx (sums of squared normal scores, and of scores times values), spread, and the outer two scores and gaps."""
+#: Places that one row of normal scores stands for, at most.
+AT_ONCE = 100_000
+
+
+@vectorized("struct<s double, q double>")
+def _score_sums(first: pd.Series, last: pd.Series, total: pd.Series) -> pd.DataFrame:
+    """Sums of the normal scores of places first..last, and of their squares."""
+    out = []
+    for lo, hi, n in zip(first, last, total):
+        scores = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(lo, hi + 1)]
+        out.append((math.fsum(scores), math.fsum(m * m for m in scores)))
+    return pd.DataFrame(out, columns=["s", "q"])
+
+
+def shapiro_sums(rows: DataFrame, value: str, by: tuple[str, ...], at_once: int = AT_ONCE) -> DataFrame:
+    """What Shapiro-Wilk needs of each group: n, mm and mx (sums of squared normal scores, and of scores times values), spread, and the outer two scores and gaps.
+
+    A value that ties holds a run of places, which is cut into parts of
+    ``at_once`` places that are dealt out, however often it stands.
+    """
     keys = list(by)
-    r = ranked(rows, value, by)
     first = (F.col("r") - (F.col("t") - 1) / F.lit(2.0)).cast("long")
-    places = r.select(*keys, F.col(value).alias("x"), "total", F.explode(F.sequence(first, first + F.col("t") - 1)).alias("i"))
-    scored = places.withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("total") + 0.25)))
-    at = lambda place, c: F.max(F.when(F.col("i") == place, F.col(c)))
+    parts = ranked(rows, value, by).select(*keys, F.col(value).alias("x"), "total", (first + F.col("t") - 1).alias("_last"), F.explode(F.sequence(first, first + F.col("t") - 1, F.lit(at_once).cast("long"))).alias("lo"))
+    parts = parts.withColumn("hi", F.least("_last", F.col("lo") + (at_once - 1))).repartition(*keys, "lo").withColumn("m", _score_sums("lo", "hi", "total"))
+    at = lambda place: F.max(F.when((F.col("lo") <= place) & (F.col("hi") >= place), F.col("x")))
     n: Column = F.col("total")
-    return scored.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("x")).alias("mx"), (F.var_pop("x") * F.count("*")).alias("spread"),
-        at(n, "m").alias("last_score"), at(n - 1, "m").alias("next_score"), (at(n, "x") - at(F.lit(1), "x")).alias("outer_gap"), (at(n - 1, "x") - at(F.lit(2), "x")).alias("inner_gap"),
+    sums = parts.groupBy(*keys).agg(
+        F.max("total").alias("n"), F.sum("m.q").alias("mm"), F.sum(F.col("m.s") * F.col("x")).alias("mx"),
+        (at(n) - at(F.lit(1))).alias("outer_gap"), (at(n - 1) - at(F.lit(2))).alias("inner_gap"),
     )
+    spreads = rows.groupBy(*keys).agg((F.var_pop(value) * F.count("*")).alias("spread"))
+    score = lambda place: normal_quantile((place - 0.375) / (F.col("n") + 0.25))
+    out = sums.join(spreads, keys).withColumn("last_score", score(F.col("n"))).withColumn("next_score", score(F.greatest(F.col("n") - 1, F.lit(1))))
+    return out.select(*keys, "n", "mm", "mx", "spread", "last_score", F.when(F.col("n") > 1, F.col("next_score")).alias("next_score"), "outer_gap", "inner_gap")

@@ -453,11 +453,12 @@ def plain_shapiro(values):
     return tails.shapiro_p(min(1.0, (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()), n)
 
 
-def test_normality_against_all_weights(spark):
+@pytest.mark.parametrize("at_once", [100_000, 7])
+def test_normality_against_all_weights(spark, at_once):
     rng = np.random.default_rng(6)
     samples = {f"n{n}": rng.normal(3, 2, n) for n in (3, 4, 5, 6, 11, 12, 60, 6000)} | {"ties": rng.integers(0, 5, 80) * 1.0, "skew": np.exp(np.arange(20)), "flat": np.ones(9), "two": np.array([1.0, 2.0])}
     rows = spark.createDataFrame([(k, float(v)) for k, x in samples.items() for v in x], "g string, e double")
-    sums = ranks.shapiro_sums(rows, "e", ("g",))
+    sums = ranks.shapiro_sums(rows, "e", ("g",), at_once)
     fields = ("mm", "mx", "spread", "last_score", "next_score", "outer_gap", "inner_gap")
     got = {r.g: r.p for r in sums.select("g", tails.shapiro_p_value(F.col("n").cast("double"), *[F.coalesce(c, F.lit(0.0)) for c in fields]).alias("p")).collect()}
     for k, x in samples.items():
