@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import beats, blocks, calcium, groups, images, motion, pairs, pixels, selection, signals
@@ -489,6 +489,24 @@ def lmm_sufficient_stats(spark, d):
     return groups.sufficient(B.metrics(spark, d)).drop("s2").withColumn("s1", F.round("s1", 3))
 
 
+@query(f"""WITH {B.SIGNAL_SQL},
+named AS (SELECT recording_id, (dense_rank() OVER (ORDER BY recording_id) - 1) % 2 AS g FROM (SELECT DISTINCT recording_id FROM sig)),
+means AS (SELECT s.recording_id, any_value(g) AS g, count(*) AS n, avg(raw) AS m, var_pop(raw) * count(*) AS within FROM sig s JOIN named d ON d.recording_id = s.recording_id GROUP BY ALL),
+sides AS (SELECT g, count(*) AS c, avg(m) AS mean, var_pop(m) * count(*) AS between FROM means GROUP BY ALL),
+-- clusters of one size: the criterion is least at the moments, or at a ratio of 0
+parts AS (SELECT any_value(n)::DOUBLE AS n, count(*) AS c, sum(within) AS within, any_value(n) * (SELECT sum(between) FROM sides) AS between FROM means),
+fit AS (SELECT n, c, CASE WHEN between / (c - 2) > within / (c * (n - 1)) THEN within / (c * (n - 1)) ELSE (within + between) / (c * n - 2) END AS s2,
+  greatest(between / (c - 2) / (within / (c * (n - 1))) - 1, 0) / n AS ratio FROM parts),
+tested AS (SELECT b.mean - a.mean AS d, fit.c AS clusters, s2, ratio, (b.mean - a.mean) / sqrt(s2 * (1 + n * ratio) * (1.0 / (n * a.c) + 1.0 / (n * b.c))) AS z FROM fit, (SELECT * FROM sides WHERE g = 0) a, (SELECT * FROM sides WHERE g = 1) b)
+SELECT 'raw' AS metric, true AS lmm_converged, CAST(clusters AS INTEGER) AS lmm_n_clusters, round(ratio * s2, 3) + 0.0 AS cluster_variance, round(s2, 3) AS residual_variance, 'even' AS group_a, 'odd' AS group_b, round(d, 4) AS coefficient, round({normal_p_sql("z")}, 6) AS p_value FROM tested""")
+def lmm_balanced(spark, d):
+    signal = B.signal(spark, d)
+    # a handful of event types
+    sides = signal.select("recording_id").distinct().withColumn("group_idx", (F.row_number().over(Window.orderBy("recording_id")) - 1) % 2)
+    rows = signal.join(F.broadcast(sides), "recording_id").select(F.lit("raw").alias("metric"), "group_idx", F.when(F.col("group_idx") == 0, "even").otherwise("odd").alias("label"), F.concat_ws("-", "recording_id", "idx").alias("recording_id"), F.col("recording_id").alias("cluster"), F.col("raw").alias("value"))
+    return groups.lmm_pairwise(rows).withColumns({"cluster_variance": F.round("cluster_variance", 3), "residual_variance": F.round("residual_variance", 3), "coefficient": F.round("coefficient", 4)})
+
+
 @query()
 def lmm_pairwise(spark, d):
     return groups.lmm_pairwise(B.metrics(spark, d))
