@@ -7,8 +7,6 @@ trusted target and one of the whole corpus, divided by the number of n-grams.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +15,15 @@ from .common import written
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Hash buckets of the multinomials: as vocabularies do, they grow as the root of the corpus, with this factor on that of its bytes.
-GROWTH = 1.5
-#: n-grams of the target for each bucket, at least, whatever the corpus: with fewer its gaps are chance. Fewest buckets.
-FILLED, FEWEST = 32, 64
+#: Hash buckets of the multinomials, whatever the corpus. Their ratios, four bytes each, are all that is broadcast of them.
+BUCKETS = 1 << 15
 #: Trusted documents that the target is learnt from, at most: those of the smallest hashed ids.
 TARGET_DOCS = 1_000_000
 #: Mean log ratio per n-gram under which a document is rejected.
 LEAST_RATIO = -0.06
 WINDOW = 5
-#: What the corpus lends the target, as a part of the target's own n-grams: less, and its gaps count as bad text.
-LENT = 0.1
+#: n-grams that the corpus lends the target for each bucket: of a small target little is concluded, and its gaps don't count as bad text.
+LENT = 4
 
 
 def chosen_targets(trusted: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
@@ -35,18 +31,6 @@ def chosen_targets(trusted: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
     return trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def buckets_for(docs: DataFrame, targets: int, text: str = "text") -> int:
-    """How many buckets a corpus of these texts gets, so many of which are the target: a power of two.
-
-    Their ratios, four bytes each, are all that is broadcast of them. A text's
-    n-grams are taken to be two for each 6.5 bytes.
-    """
-    size, count = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))), F.count("*")).first()
-    wanted = GROWTH * math.sqrt(size or 0) + 1
-    filled = targets * 2 * (size or 0) / max(count, 1) / 6.5 / FILLED
-    return max(FEWEST, 1 << min(math.ceil(math.log2(wanted)), math.floor(math.log2(max(filled, 1)))))
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
@@ -101,11 +85,12 @@ def log_ratios(measures: DataFrame, targets: DataFrame, buckets: int) -> DataFra
     # all buckets as one array: as many as the parameter says
     packed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     share = lambda c: (c["raw"] + 1.0) / (F.col("raws") + float(buckets))
-    ratio = lambda c: F.log((F.try_divide(c["target"] / share(c), F.col("targets")) + LENT) / (1.0 + LENT))
-    return packed.select(F.transform("c", lambda c: F.coalesce(ratio(c), F.lit(0.0)).cast("float")).alias("ratios"))
+    lent = float(LENT * buckets)
+    ratio = lambda c: F.log((c["target"] / share(c) + lent) / (F.col("targets") + lent))
+    return packed.select(F.transform("c", lambda c: ratio(c).cast("float")).alias("ratios"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, buckets: int | None = None, target_docs: int = TARGET_DOCS, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, buckets: int = BUCKETS, target_docs: int = TARGET_DOCS, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (doc_id, text and any others) with the counts, base_failed, ratio and kept; only columns of these names are replaced.
 
     Words part at ASCII white space; a null text has none. n_dup_lines: lines
@@ -116,14 +101,12 @@ def judge(docs: DataFrame, trusted: DataFrame, least: float = LEAST_RATIO, bucke
     ratio of ``least`` or more. Repeated rows get repeated verdicts; rows without
     a doc_id are judged like others but never trusted; without trusted documents
     every ratio is 0. ``target_docs``: trusted documents that the target is learnt
-    from, at most. ``buckets``: hash buckets, else as many as the corpus asks for
-    and the target fills (``buckets_for``). ``keep``: columns of ``docs`` to return, else all. What
-    is counted in each text is written first, with these columns, so that a
+    from, at most. ``buckets``: hash buckets; an n-gram's bucket depends on nothing
+    else. ``keep``: columns of ``docs`` to return, else all. What is counted in each text is written first, with these columns, so that a
     filter on the result repeats none of it.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
     targets = written(chosen_targets(trusted, target_docs), "targets")
-    buckets = buckets or buckets_for(docs, targets.count(), text)
     own = [c for c in (docs.columns if keep is None else keep) if c not in made]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("said"))
     found = written(measured(rows, buckets), "measured")

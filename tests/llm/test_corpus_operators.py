@@ -180,7 +180,8 @@ def test_quality(spark, docs, rows):
         if 6 <= i < 40:
             target.update(brute_buckets(t, 512))
     share = [(raw[b] + 1) / (sum(raw.values()) + 512) for b in range(512)]
-    ratio = [math.log((target[b] / sum(target.values()) / q + quality.LENT) / (1 + quality.LENT)) for b, q in enumerate(share)]
+    lent = quality.LENT * 512
+    ratio = [math.log((target[b] / q + lent) / (sum(target.values()) + lent)) for b, q in enumerate(share)]
     for i, t in rows:
         r, want = got[i], brute_counts(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, i
@@ -203,11 +204,22 @@ def test_quality_leaves_other_columns_alone(spark):
     assert sorted((str(r.doc_id), r.n_words, r.kept) for r in got) == [("1", 0, False), ("1", 12, True), ("None", 12, True)]
 
 
-def test_quality_buckets_follow_the_corpus(spark):
-    """More texts, more buckets; but never more than the target fills."""
-    texts = lambda n: spark.range(n).select(F.lit("x" * 10_000).alias("text"))
-    assert [quality.buckets_for(texts(n), n) for n in (0, 1, 100, 10_000, 160_000)] == [64, 64, 1 << 11, 1 << 14, 1 << 16]
-    assert [quality.buckets_for(texts(10_000), n) for n in (0, 1, 10, 100, 1000)] == [64, 64, 1 << 9, 1 << 13, 1 << 14]
+def test_unrelated_rows_change_no_bucket(spark):
+    """Where an n-gram counts depends on it alone, whatever else there is; the number of buckets is a parameter."""
+    rng = random.Random(30)
+    few, more = [prose(rng, 40) for _ in range(5)], [prose(rng, 400, 10**6) for _ in range(300)]
+    of = lambda texts: spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row long, doc_id long, said string")
+    alone, among = ({r.doc_id: r.buckets for r in quality.measured(of(x), quality.BUCKETS).where("doc_id < 5").collect()} for x in (few, few + more))
+    assert alone == among and all(alone[i] == brute_buckets(t, quality.BUCKETS) for i, t in enumerate(few))
+
+
+def test_quality_of_texts_that_nobody_learnt_from(spark):
+    """Trusted texts of one kind: unseen ones of that kind stay, those of another kind go, at the threshold as it is."""
+    rng = random.Random(31)
+    good, bad = (lambda: " ".join(f"g{min(int(rng.paretovariate(0.8)), 900)}" for _ in range(150))), (lambda: " ".join(f"b{rng.randrange(900)}" for _ in range(150)))
+    rows = [(i, good() if i < 1700 else bad()) for i in range(1900)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.range(1500).withColumnRenamed("id", "doc_id"), buckets=1 << 10).where("doc_id >= 1500").collect()
+    assert all(r.kept for r in got if r.doc_id < 1700 and not r.base_failed) and not any(r.kept for r in got if r.doc_id >= 1700)
 
 
 def test_quality_keeps_clean_texts_of_a_small_corpus(spark):
