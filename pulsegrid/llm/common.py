@@ -15,7 +15,7 @@ from ..functions.stored import drop_written, shared_folder, written  # noqa: F40
 HOT = 10_000
 
 
-def join_by_size(rows: DataFrame, few: DataFrame, key: str, n: str = "n", total: int | None = None, hot: int = HOT) -> DataFrame:
+def join_by_size(rows: DataFrame, few: DataFrame, key: str | list[str], n: str = "n", total: int | None = None, hot: int = HOT) -> DataFrame:
     """``rows`` joined with ``few``, a written table with one row a key, that says in ``n`` how many rows have it.
 
     Rows of hot keys meet a broadcast of these, at most ``hot`` rows, where they

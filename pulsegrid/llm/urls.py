@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, join_by_size, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,8 +33,6 @@ VARIED, URLS_EACH = 8, 4
 APART = 2.0
 #: Labels that the smoothing counts for, and the purity from which a template is rejected.
 SMOOTHING, REJECT = 4.0, 0.8
-#: Parts in which the urls of one node are dealt out, so that a host with most of the urls isn't one task.
-SALTS = 16
 
 
 def parts_of(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -56,64 +54,86 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     return pages.withColumn("rule", F.lit(None).cast("string") if rule is None else rule).withColumn("said", F.lit(None).cast("string") if said is None else said)
 
 
-def salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` (with _salt) joined to the fewer rows of nodes or branches, of which every part gets a copy."""
-    return rows.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"], how)
+def _prefix(count) -> tuple:
+    """A node below (host, template) as two hashes: its first ``count`` segments, told by 96 bits."""
+    inside = ("host", "template", count, F.slice("rest", 1, count))
+    return F.xxhash64(*inside).alias("high"), F.hash(*inside).alias("low")
 
 
-def branches(rows: DataFrame) -> DataFrame:
-    """host, template, child, grown, jump for each branch that isn't a wildcard: what is put behind the template, and the segments that it stands for.
+def steps_of(rows: DataFrame) -> DataFrame:
+    """id, bad, at, node, branch, named for each segment that is left of each url: the nodes above and below it, and whether it is spelled like a sign.
 
-    ``rows``: host, template, rest (segments not yet in the template, one at
-    least), bad. A branch that stays apart goes down to where its urls part.
+    ``rows``: id, host, template, rest (segments not yet in the template), bad.
     """
-    node = ["host", "template"]
-    children = rows.groupBy(*node, F.get("rest", F.lit(0)).alias("child")).agg(
-        F.count("*").alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.min("rest").alias("low"), F.max("rest").alias("high")
-    )
-    nodes = children.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("n").alias("nn"), F.sum("l").alias("ll"), F.sum("b").alias("bb"))
-    both = salted(children.withColumn("_salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)).cast("int")), nodes, node)
-    n, l, b, kinds, nn, ll, bb = (F.col(c) for c in ("n", "l", "b", "kinds", "nn", "ll", "bb"))
+    step = lambda k: F.struct(k.alias("at"), F.struct(*_prefix(k)).alias("node"), F.struct(*_prefix(k + 1)).alias("branch"), F.get("rest", k).isin("*", "~").alias("named"))
+    left = rows.where(F.size("rest") > 0)
+    return left.select("id", "bad", F.explode(F.transform(F.sequence(F.lit(0), F.size("rest") - 1), step)).alias("step")).select("id", "bad", "step.*")
+
+
+def branches(steps: DataFrame) -> DataFrame:
+    """branch, n (urls in it), sign (``*``, ``~``, empty for one that is spelled like these, null for any other that stays as it is), as a written table.
+
+    Nodes are prefixes of what is left, all judged at once: as far down as
+    branches stay as they are, prefixes and nodes of the tree are the same.
+    """
+    children = steps.groupBy("node", "branch").agg(F.count("*").alias("urls"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.max("named").alias("named"))
+    children = written(children, "children")
+    nodes = children.groupBy("node").agg(F.count("*").alias("n"), F.sum("urls").alias("nn"), F.sum("l").alias("ll"), F.sum("b").alias("bb"))
+    nodes = written(nodes, "nodes")
+    n, l, b, kinds, nn, ll, bb = (F.col(c) for c in ("urls", "l", "b", "n", "nn", "ll", "bb"))
     varies = (kinds >= VARIED) & (kinds * URLS_EACH >= nn) & (n * VARIED < nn)
     # two shares of bad labels, the branch's own and that of its siblings without it
     gap = F.abs(F.try_divide(b, l) - F.try_divide(bb - b, ll - l))
     error = F.sqrt(F.try_divide(bb, ll) * (1 - F.try_divide(bb, ll)) * (F.try_divide(F.lit(1), l) + F.try_divide(F.lit(1), ll - l)))
     merged = (l > 0) & (ll > l) & (gap <= APART * error)
-    # what is common to the least and the greatest run of segments is common to all
-    parts = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False).cast("int")
-    common = F.when(parts == 0, F.size("low")).otherwise(parts - 1)
-    kept = both.where(~varies).withColumn("jump", F.when(merged, 1).otherwise(common))
-    return kept.select(*node, "child", F.when(merged, "/~").otherwise(F.concat(F.lit("/"), F.array_join(F.slice("low", 1, F.col("jump")), "/"))).alias("grown"), "jump")
+    # what is spelled like a sign ends the run too, as it falls together with what the sign stands for
+    sign = F.when(varies, "*").when(merged, "~").when(F.col("named"), "")
+    judged = written(join_by_size(children, nodes, "node").select("branch", n.alias("n"), sign.alias("sign")), "branches")
+    drop_written(children, nodes)
+    return judged
 
 
 def templated(pages: DataFrame) -> DataFrame:
     """``pages`` with template, labelled and bad_labels of that template on its host, purity, and whether it is rejected.
 
     ``pages``: host, path, bad (1, 0, or null without a label) and any others. A
-    level reads what the one before wrote; there are as many as urls part on one
-    way down. Empty segments don't count, so a path without others has the empty
-    template. A template without labels isn't rejected, whatever its siblings.
+    round judges all nodes below the templates so far and takes each url down
+    to its first wildcard or merged branch, however deep that is; there are as
+    many rounds as one url has of these, and one more. Empty segments don't
+    count, so a path without others has the empty template. A template without
+    labels isn't rejected, whatever its siblings.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")
     rows = pages.select(own, "host", "bad", F.lit("").alias("template"), F.array_remove(F.split("path", "/"), "").alias("rest"))
-    rows = written(rows.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")), "paths")
+    # the numbers are written with the rows, so that they stay as they are
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "paths")
     done = []
     while True:
-        done.append(rows.where(F.size("rest") == 0))
-        rows = rows.where(F.size("rest") > 0)
-        if rows.isEmpty():
+        steps = steps_of(rows)
+        judged = branches(steps)
+        if judged.where("sign is not null").isEmpty():
+            done.append(rows)
             break
-        grown = salted(rows.withColumn("child", F.get("rest", F.lit(0))), branches(rows), ["host", "template", "child"], "left")
-        jump = F.coalesce("jump", F.lit(1))
-        rows = written(
-            grown.select("row", "host", "bad", F.concat("template", F.coalesce("grown", F.lit("/*"))).alias("template"), F.slice("rest", jump + 1, F.greatest(F.size("rest") - jump, F.lit(0))).alias("rest"), "_salt"), "paths"
-        )
+        turns = join_by_size(steps.select("id", "at", "branch"), judged, "branch").where("sign is not null")
+        turns = turns.groupBy("id").agg(F.min(F.struct("at", "sign")).alias("turn")).select("id", "turn.*")
+        at = F.col("at")
+        segment = F.when(F.col("sign") == "", F.get("rest", at)).otherwise(F.col("sign"))
+        grown = F.concat("template", F.when(at > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", 1, at), "/"))).otherwise(""), F.lit("/"), segment)
+        below = F.slice("rest", at + 2, F.greatest(F.size("rest") - at - 1, F.lit(0)))
+        taken = rows.join(turns, "id", "left")
+        taken = taken.select("row", "host", "bad", F.coalesce(grown, "template").alias("template"), F.when(at.isNull(), F.col("rest")).otherwise(below).alias("rest"), "id", at.isNotNull().alias("on"))
+        taken = written(taken, "paths")
+        drop_written(judged, *(() if done else (rows,)))
+        done.append(taken.where("not on").drop("on"))
+        rows = taken.where("on").drop("on")
     rows = reduce(DataFrame.unionByName, done)
-    whole = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_labels"))
+    rows = rows.withColumn("template", F.when(F.size("rest") > 0, F.concat("template", F.lit("/"), F.array_join("rest", "/"))).otherwise(F.col("template"))).drop("rest", "id")
+    whole = rows.groupBy("host", "template").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_labels"))
+    whole = written(whole, "templates")
     prior = whole.agg(F.coalesce(F.try_divide(F.sum("bad_labels"), F.sum("labelled")), F.lit(0.0)).alias("p")).scalar()
     purity = (F.col("bad_labels") + SMOOTHING * prior) / (F.col("labelled") + SMOOTHING)
     whole = whole.withColumn("purity", purity).withColumn("rejected", (F.col("purity") >= REJECT) & (F.col("labelled") > 0))
-    return salted(rows, whole, ["host", "template"]).select("row.*", "template", "labelled", "bad_labels", "purity", "rejected")
+    return join_by_size(rows, whole, ["host", "template"]).select("row.*", "template", "labelled", "bad_labels", "purity", "rejected")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

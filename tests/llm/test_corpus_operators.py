@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulsegrid.llm import graphs, leaks, neardups, quality, suffixes, toxicity, urls
+from pulsegrid.llm.common import written
 from pulsegrid.llm.hashing import PLAIN, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -527,6 +528,21 @@ def test_labels_of_one_branch_say_nothing_of_another(spark):
     assert not got["/shop/b3/x"].rule and got["/shop/b3/x"].template == got["/shop/a3/x"].template and got["/shop/b3/x"].verdict == "block"
 
 
+def test_url_rounds_follow_wildcards_and_not_depth(spark, monkeypatch):
+    """A comb, on which one url ends at each of many levels, takes as few tables as a flat host; signs in urls are segments like others."""
+    rng, made = random.Random(4), []
+    monkeypatch.setattr(urls, "written", lambda df, name: made.append(name) or written(df, name))
+    comb = ["/" + "/".join("c" * j + "x" for j in range(1 + k % 150)) for k in range(300)]
+    varied = [f"/{rng.choice(['a', 'b'])}/{rng.randrange(90)}/{rng.choice(['*', '~', 'q'])}/{rng.randrange(60)}/end" for _ in range(400)] + ["/*/1", "/~/2", "/a/*/~/*", "/a/~/*"] * 3
+    rows = [("comb", p, None) for p in comb] + [("varied", p, rng.choice([None, None, 0, 1])) for p in varied]
+    want, rejected = brute_templates(rows)
+    got = urls.templated(spark.createDataFrame(rows, "host string, path string, bad int").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.template == want[r.host, r.path] and r.rejected == ((r.host, r.template) in rejected), r
+    assert sum(t.count("*") + t.count("~") for t in want.values()) and len(made) <= 30, made
+
+
 def test_url_branches_below_the_third_segment(spark):
     """A branch that is bad only in its fourth segment is told from its siblings."""
     rows = [(f"http://h/a/b/c/{s}/{x}{k}", s) for s in ("spam", "fine") for x in "xy" for k in range(30)]
