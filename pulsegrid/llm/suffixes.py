@@ -46,16 +46,25 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return fn(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def keyed_runs(buf: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of each run of strings with one key, its key, and the key once for each place of its gram."""
+def string_keys(buf: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram, and the key of each string of ``least`` bytes."""
     grams = gram_hashes(buf, gram)
-    width = least - gram + 1
-    key = sliding(grams, width, True)
+    return grams, sliding(grams, least - gram + 1, True)
+
+
+def keyed_runs(buf: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of each run of strings with one key, and its key."""
+    _, key = string_keys(buf, least, gram)
     first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-    last = np.concatenate([first[1:] - 1, [len(key) - 1]])
+    return first, np.concatenate([first[1:] - 1, [len(key) - 1]]), key[first]
+
+
+def keys_by_place(buf: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """The keys of all strings, each once for each place of its gram."""
+    grams, key = string_keys(buf, least, gram)
     # a gram is the key of some string if it equals the greatest key of those it stands in
-    around = np.concatenate([np.zeros(width - 1, U), key, np.zeros(width - 1, U)])
-    return first, last, key[first], grams[grams == sliding(around, width, False)]
+    edge = np.zeros(least - gram, U)
+    return grams[grams == sliding(np.concatenate([edge, key, edge]), least - gram + 1, False)]
 
 
 def _pack(batches: Iterator[dict]) -> Iterator[dict]:
@@ -75,7 +84,7 @@ def _keys(batches: Iterator[dict], least: int, gram: int) -> Iterator[dict]:
         docs, keys = [], []
         for doc, text in zip(batch["doc_id"], batch["text"]):
             if len(text) >= least:
-                found = keyed_runs(np.frombuffer(text, np.uint8), least, gram)[3]
+                found = keys_by_place(np.frombuffer(text, np.uint8), least, gram)
                 docs.append(np.full(len(found), doc, np.int64))
                 keys.append(found.view(np.int64))
         if docs:
@@ -122,7 +131,7 @@ def _fragments(batches: Iterator[dict], least: int, gram: int) -> Iterator[dict]
         for doc, mark, text, keys in zip(batch["doc_id"], batch["mark"], _unpacked(batch["packed"]), batch["keys"]):
             if len(text) < least:
                 continue
-            first, last, key, _ = keyed_runs(np.frombuffer(text, np.uint8), least, gram)
+            first, last, key = keyed_runs(np.frombuffer(text, np.uint8), least, gram)
             wanted = np.flatnonzero(np.isin(key.view(np.int64), np.array(keys, np.int64)))
             for lo, hi, k in zip(first[wanted].tolist(), last[wanted].tolist(), key[wanted].view(np.int64).tolist()):
                 data = text[lo : hi + least]
