@@ -24,8 +24,8 @@ from .hashing import _INVERSE, BASE, LETTER, U, mix, powers
 
 LEAST = 200
 GRAM = 32
-#: Bytes of fragments that one transform is made of, and those of one key beyond which its fragments are split.
-BLOCK, LARGEST_KEY = 1_500_000, 4_000_000
+#: Bytes of fragments that one transform is made of (its arrays fit in a core's cache), and those of one key beyond which its fragments are split.
+BLOCK, LARGEST_KEY = 200_000, 4_000_000
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
