@@ -1,5 +1,6 @@
 """Recording operators: analytic ground truth on synthetic input, brute force beside kernels, edge cases."""
 
+import itertools
 import math
 import random
 
@@ -223,6 +224,14 @@ def test_objects(spark):
     assert all(abs(a - b) < 3 for a, b in zip(centres, (16, 41, 61))) and s["row"].total_covered_area_px == (row > 0).sum()
 
 
+def test_straight_objects_whatever_the_order(spark):
+    """The axis of a T that lies along the columns is the same however its pixels come."""
+    pixels_of = list(itertools.permutations([(0, 5), (0, 6), (0, 7), (1, 6)]))
+    rows = [(k, 1, 9.0, float(r), float(c)) for k, order in enumerate(pixels_of) for r, c in order]
+    flat = spark.createDataFrame(rows, "recording_id int, label int, p double, r double, c double").coalesce(1)
+    assert {(r.orientation, r.area) for r in images._regions_2d(flat).collect()} == {(math.pi / 2, 4)}
+
+
 def test_volume(spark):
     z, y, x = np.mgrid[:12, :40, :40]
     ball = (((z - 6) / 4) ** 2 + ((y - 20) / 5) ** 2 + ((x - 20) / 14) ** 2 <= 1) * 180.0
