@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import argmin_between, between, percent_variation, steps, usable
+from ..functions.vectorized import vectorized
 from . import motion, pixels, signals
 
 
@@ -69,23 +72,41 @@ def decay_time(values: Column, peak: Column, end: Column, baseline: Column, ampl
     return F.when((amplitude > 0) & (end > peak) & (k > 0), (k - 1 + part) / fps)
 
 
+@vectorized("array<struct<no int, peak int, previous int, start int, part array<double>>>")
+def _spans(values: pd.Series, peaks: pd.Series) -> pd.Series:
+    """Of each peak the samples from the one before it to the one after it: a sample stands in two spans at most."""
+    out = []
+    for v, at in zip(values, peaks):
+        at = np.asarray(at).tolist()
+        ends = zip(at, [None, *at[:-1]], [*at[1:], len(v)])
+        out.append([{"no": k, "peak": p, "previous": q, "start": q or 0, "part": v[q or 0 : r].tolist()} for k, (p, q, r) in enumerate(ends)])
+    return pd.Series(out)
+
+
 def events(packed: DataFrame, values: str = "smoothed") -> DataFrame:
-    """A row for each peak of a packed signal: recording_id, fps, values, no, peak, before, after (the troughs beside it)."""
-    listed = packed.select("recording_id", "fps", F.col(values).alias("values"), "peaks", F.posexplode("peaks").alias("no", "peak"))
-    previous, following = F.when(F.col("no") > 0, F.get("peaks", F.col("no") - 1)), F.get("peaks", F.col("no") + 1)
-    before = argmin_between(F.col("values"), F.coalesce(previous, F.lit(0)), F.col("peak"))
-    after = argmin_between(F.col("values"), F.col("peak"), F.coalesce(following, F.size("values")))
-    return listed.select("recording_id", "fps", "values", "no", "peak", before.alias("before"), after.alias("after"), previous.alias("previous"))
+    """A row for each peak of a packed signal: recording_id, fps, values, start, no, peak, before, after (the troughs beside it), previous.
+
+    ``values`` are the samples between the neighbouring peaks, not the whole
+    signal, so that all rows together are no longer than twice the signal; the
+    first one is the recording's sample ``start``. Places are the recording's.
+    """
+    spans = packed.select("recording_id", "fps", F.inline(_spans(values, "peaks"))).withColumnRenamed("part", "values")
+    peak = F.col("peak") - F.col("start")
+    before = F.col("start") + argmin_between(F.col("values"), F.lit(0), peak)
+    after = F.col("start") + argmin_between(F.col("values"), peak, F.size("values"))
+    return spans.select("recording_id", "fps", "values", "start", "no", "peak", before.alias("before"), after.alias("after"), "previous")
 
 
 def beat_table(packed: DataFrame, values: str = "smoothed") -> DataFrame:
     """One row for each beat: times in seconds, amplitude over the mean of both troughs, velocities, decay times, intervals."""
-    e = events(packed, values).withColumn("baseline", (F.get("values", "before") + F.get("values", "after")) / 2)
-    e = e.withColumn("amplitude", F.get("values", "peak") - F.col("baseline"))
+    e = events(packed, values)
+    before, peak, after = (F.col(c) - F.col("start") for c in ("before", "peak", "after"))
+    e = e.withColumn("baseline", (F.get("values", before) + F.get("values", after)) / 2)
+    e = e.withColumn("amplitude", F.get("values", peak) - F.col("baseline"))
     t = lambda c: F.col(c) / F.col("fps")
-    up, down = steps(between(F.col("values"), F.col("before"), F.col("peak"))), steps(between(F.col("values"), F.col("peak"), F.col("after")))
+    up, down = steps(between(F.col("values"), before, peak)), steps(between(F.col("values"), peak, after))
     interval = F.when(F.col("previous").isNotNull(), t("peak") - t("previous"))
-    decay = lambda f: decay_time(F.col("values"), F.col("peak"), F.col("after"), F.col("baseline"), F.col("amplitude"), f, F.col("fps"))
+    decay = lambda f: decay_time(F.col("values"), peak, after, F.col("baseline"), F.col("amplitude"), f, F.col("fps"))
     return e.select(
         "recording_id", F.col("no").alias("beat_index"), t("before").alias("contraction_start_time_s"), t("peak").alias("peak_time_s"), t("after").alias("relaxation_end_time_s"), "amplitude",
         (t("peak") - t("before")).alias("contraction_time_s"), (t("after") - t("peak")).alias("relaxation_time_s"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,25 +32,29 @@ def rise_time(values: Column, onset: Column, peak: Column, baseline: Column, amp
 def decay_constant(t: np.ndarray, y: np.ndarray, amplitude: float, floor: float) -> float | None:
     """tau of a * exp(-t / tau) + c by Levenberg-Marquardt; None where it doesn't settle on a positive one."""
     p = np.array([max(amplitude, 1e-6), max(t[-1] / 2, 1e-3), floor])
-    damping = 1e-3
+    damping, slopes, normal = 1e-3, np.ones((len(t), 3)), None
     with np.errstate(all="ignore"):
         shape = np.exp(-t / p[1])
         error = p[0] * shape + p[2] - y
-        cost = error @ error
+        cost = float(error @ error)
         for _ in range(2000):
-            slopes = np.stack([shape, p[0] * shape * t / p[1] ** 2, np.ones_like(t)], 1)
-            normal, pull = slopes.T @ slopes, slopes.T @ error
+            if normal is None:
+                slopes[:, 0] = shape
+                slopes[:, 1] = p[0] * shape * t / p[1] ** 2
+                normal, pull = slopes.T @ slopes, -(slopes.T @ error)
+                along = normal.diagonal() + 1e-12
+            damped = normal.copy()
+            damped.flat[::4] += damping * along
             try:
-                move = np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-12), -pull)
+                q = p + np.linalg.solve(damped, pull)
             except np.linalg.LinAlgError:
                 return None
-            q = p + move
             new_shape = np.exp(-t / q[1]) if q[1] else np.full_like(t, np.nan)
             new_error = q[0] * new_shape + q[2] - y
-            new_cost = new_error @ new_error
-            if np.isfinite(new_cost) and new_cost < cost:
+            new_cost = float(new_error @ new_error)
+            if math.isfinite(new_cost) and new_cost < cost:
                 done = cost - new_cost <= 1e-12 * cost
-                p, shape, error, cost, damping = q, new_shape, new_error, new_cost, max(damping / 5, 1e-12)
+                p, shape, error, cost, damping, normal = q, new_shape, new_error, new_cost, max(damping / 5, 1e-12), None
                 if done:
                     break
             else:
@@ -66,13 +72,17 @@ def decay_tau(segment: pd.Series, amplitude: pd.Series, floor: pd.Series, fps: p
 
 def transient_table(packed: DataFrame, values: str = "smoothed") -> DataFrame:
     """One row for each transient; the baseline is the trough before it alone."""
-    e = events(packed, values).withColumn("baseline", F.get("values", "before")).withColumn("amplitude", F.get("values", "peak") - F.col("baseline"))
+    # a fit costs more than all else: peaks are dealt out, whatever recordings they are of
+    e = events(packed, values)
+    e = e.repartition(3 * e.sparkSession.sparkContext.defaultParallelism, "recording_id", "no")
+    before, peak, after = (F.col(c) - F.col("start") for c in ("before", "peak", "after"))
+    e = e.withColumn("baseline", F.get("values", before)).withColumn("amplitude", F.get("values", peak) - F.col("baseline"))
     t = lambda c: F.col(c) / F.col("fps")
-    segment = F.when(F.col("after") > F.col("peak") + 3, between(F.col("values"), F.col("peak"), F.col("after") - 1))
+    segment = F.when(F.col("after") > F.col("peak") + 3, between(F.col("values"), peak, after - 1))
     return e.select(
         "recording_id", F.col("no").alias("transient_index"), t("peak").alias("peak_time_s"), F.col("amplitude").alias("amplitude_df_f0"),
-        rise_time(F.col("values"), F.col("before"), F.col("peak"), F.col("baseline"), F.col("amplitude"), F.col("fps")).alias("rise_time_10_90_s"),
-        decay_tau(segment, "amplitude", F.get("values", "after"), "fps").alias("decay_tau_s"),
+        rise_time(F.col("values"), before, peak, F.col("baseline"), F.col("amplitude"), F.col("fps")).alias("rise_time_10_90_s"),
+        decay_tau(segment, "amplitude", F.get("values", after), "fps").alias("decay_tau_s"),
         F.when(F.col("previous").isNotNull(), t("peak") - t("previous")).alias("inter_peak_interval_s"),
     )
 

@@ -70,17 +70,29 @@ def local_maxima(values: np.ndarray) -> np.ndarray:
     return (first[inner] + last[inner]) // 2
 
 
-def prominences(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    out = np.empty(len(peaks))
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(values > values[p])
-        at = np.searchsorted(higher, p)
-        lo = higher[at - 1] + 1 if at else 0
-        hi = higher[at] if at < len(higher) else len(values)
-        out[k] = values[p] - max(values[lo : p + 1].min(), values[p:hi].min())
+def _lowest_since(values: list[float]) -> list[float]:
+    """For each sample the least value from the nearest higher sample before it, that one left out, or from the start, up to itself."""
+    out, higher = [], []
+    for v in values:
+        low = v
+        # a sample is dropped once, by the first one that isn't lower
+        while higher and not higher[-1][0] > v:
+            seen = higher.pop()[1]
+            low = seen if seen < low or seen != seen else low
+        higher.append((v, low))
+        out.append(low)
     return out
 
 
+def prominences(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Height of each peak over the higher of the lowest samples on its two sides, up to the next higher ones; linear in the samples."""
+    if not len(peaks):
+        return np.empty(0)
+    listed = values.tolist()
+    left, right = _lowest_since(listed), _lowest_since(listed[::-1])[::-1]
+    return np.array([listed[p] - max(left[p], right[p]) for p in peaks.tolist()])
+
+
 def dominant(at: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
     """Which of the places ``at`` (ascending) stay, from the highest down, later of equals first, if each drops all nearer than ``distance``.
 

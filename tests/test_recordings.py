@@ -109,6 +109,20 @@ def test_calcium(spark):
     assert zero.f0 == 1e-6
 
 
+def test_events_hold_what_lies_between_peaks(spark):
+    """All rows together are no longer than twice the signal; troughs are those of the whole signal; peaks of one recording are dealt out."""
+    v = np.random.default_rng(3).normal(size=4000)
+    at = [0, *signals.local_maxima(v).tolist(), 3999]
+    packed = spark.createDataFrame([("a", 30.0, v.tolist(), at), ("none", 30.0, v.tolist(), [])], "recording_id string, fps double, values array<double>, peaks array<int>")
+    rows = beats.events(packed, "values").orderBy("no").collect()
+    assert [r.peak for r in rows] == at and sum(len(r["values"]) for r in rows) <= 2 * len(v)
+    for r, q, n in zip(rows, [None, *at[:-1]], [*at[1:], 4000]):
+        assert r.previous == q and r.before == (q or 0) + (int(v[q or 0 : r.peak].argmin()) if r.peak else 0) and r.after == r.peak + int(v[r.peak : n].argmin())
+        assert r["values"] == v[r.start : n].tolist() and r.start == (q or 0)
+    dealt = calcium.transient_table(packed, "values")
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 1
+
+
 @pytest.mark.parametrize("tau", [0.1, 0.4, 1.3])
 def test_decay_constant(tau):
     t = np.arange(60) / 30
