@@ -29,6 +29,8 @@ AGREEING = 0.6
 PAIRED = 100
 #: Members of a fuller bucket in one block.
 BLOCK = 4096
+#: Hashes of doc_ids that ``among`` tells apart.
+SLOTS = 1 << 25
 #: For each bin, the order in which it looks for a filled one to borrow from.
 _BORROW = np.array([np.random.default_rng(1000 + k).permutation(BINS) for k in range(BINS)])
 _EDGES = np.arange(BINS + 1, dtype=np.float64)
@@ -100,6 +102,20 @@ def _confirm(batches: Iterator[dict], width: int, percent: int) -> Iterator[dict
         yield found
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and few others: those whose hash is that of one.
+
+    Before a join that needs some texts alone, so that others aren't shuffled.
+    A bit for each of ``SLOTS`` hashes is broadcast, 4 MB whatever the corpus.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    bits = ids.groupBy(F.bitmap_bucket_number(slot).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.withColumn("_part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_part")
+    return met.where(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of ``pairs`` (hub, doc_id), distinct, those similar on full sets, as a and b.
 
@@ -107,7 +123,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     by a copy of the hub's text, and stream past it: no group is held.
     """
     salts = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts")), "salts")
-    texts = docs.select("doc_id", text_bytes().alias("text"))
+    texts = among(docs, salts.select(F.col("hub").alias("doc_id")).union(pairs.select("doc_id"))).select("doc_id", text_bytes().alias("text"))
     led = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("doc_id"), F.lit(False).alias("member"))
     members = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), "doc_id", F.lit(True).alias("member"))
     # merged whatever the sizes, so that a small table's plan is a large one's
@@ -249,7 +265,8 @@ def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         F.transform(leads, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("beside"))),
         F.transform(meets, lambda i: F.struct(i.alias("i"), F.when(stray, mains + own).otherwise(own).alias("j"), F.lit(True).alias("beside"))),
     )
-    sets = written(small_sets(docs.join(fuller.select("doc_id").distinct(), "doc_id", "left_semi"), width), "sets")
+    some = fuller.select("doc_id")
+    sets = written(small_sets(among(docs, some).join(some.distinct(), "doc_id", "left_semi"), width), "sets")
     member = ("doc_id", "component", "bands", "bins", "small")
     dealt = rows.join(sets, "doc_id").select("bucket", F.explode(places).alias("p"), *member).select("bucket", "p.*", *member)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "beside", "doc_id")
@@ -262,9 +279,9 @@ SET = ("set_a", "set_b", "n_shingles")
 def representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of sketches, the classes (a set, first: its smallest doc_id), and doc_id, set_a, bands, bins of one document for each."""
     some = own.where("set_a is not null and doc_id is not null")
-    classes = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first")), "classes")
-    chosen = some.join(classes.select(*SET, F.col("first").alias("doc_id")), [*SET, "doc_id"])
-    return classes, written(chosen.select("doc_id", "set_a", "bands", "bins").dropDuplicates(["doc_id", "set_a"]), "chosen")
+    # equal sets have equal bands and bins, so that any row's will do
+    table = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
+    return table.select(*SET, "first"), table.select(F.col("first").alias("doc_id"), "set_a", "bands", "bins")
 
 
 def bucket_members(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -273,14 +290,15 @@ def bucket_members(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     The hub of a bucket is the member whose buckets are fullest: the text that
     its copies were made from.
     """
-    banded = written(chosen.select("doc_id", F.explode("bands").alias("bucket")).distinct(), "banded")
+    banded = chosen.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = written(banded.join(sizes, "bucket"), "members")
+    # a document of several sets may stand in a bucket with more than one of them
+    members = written(banded.join(sizes, "bucket").distinct(), "members")
     fullness = members.groupBy("doc_id").agg(F.sum("n").alias("fullness"))
     top = F.max(F.struct("fullness", (-F.col("doc_id")).alias("minus")))
     hubs = members.join(fullness, "doc_id").groupBy("bucket").agg(top.alias("top"), F.first("n").alias("n"))
     hubs = written(hubs.select("bucket", (-F.col("top.minus")).alias("hub"), "n"), "hubs")
-    drop_written(banded, sizes)
+    drop_written(sizes)
     return members, hubs
 
 

@@ -87,6 +87,16 @@ def test_near_duplicates(docs, rows, monkeypatch, paired):
     assert len({c for _, c in want.values()}) < len(rows) - 150
 
 
+def test_only_texts_that_are_compared_are_joined(spark):
+    """All rows that are listed, repeated ones too, and next to no others; nulls are in no list."""
+    docs = spark.range(-3000, 3000).union(spark.range(10)).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).union(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    ids = spark.range(-3000, 3000, 9).select(F.col("id").alias("doc_id"))
+    got = neardups.among(docs, ids)
+    want = docs.join(ids, "doc_id", "left_semi")
+    assert want.exceptAll(got).isEmpty() and got.count() <= want.count() + 5 and got.columns == docs.columns
+    assert neardups.among(docs, ids.limit(0)).isEmpty()
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_near_duplicates_chain_in_full_buckets(spark, monkeypatch, block):
     """Texts of which each is like its neighbours only, all in one bucket above the limit: no star or second star reaches them all."""
