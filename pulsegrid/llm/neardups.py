@@ -116,6 +116,15 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return met.where(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id), no others; texts of few others are shuffled, see ``among``.
+
+    An inner join: a semi join is moved below the one that leaves the others
+    out, and shuffles all texts as soon as ``ids`` are too many for a broadcast.
+    """
+    return among(docs, ids).join(ids.distinct().hint("merge"), "doc_id").select(*docs.columns)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of ``pairs`` (hub, doc_id), distinct, those similar on full sets, as a and b.
 
@@ -265,8 +274,7 @@ def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         F.transform(leads, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("beside"))),
         F.transform(meets, lambda i: F.struct(i.alias("i"), F.when(stray, mains + own).otherwise(own).alias("j"), F.lit(True).alias("beside"))),
     )
-    some = fuller.select("doc_id")
-    sets = written(small_sets(among(docs, some).join(some.distinct(), "doc_id", "left_semi"), width), "sets")
+    sets = written(small_sets(only(docs, fuller.select("doc_id")), width), "sets")
     member = ("doc_id", "component", "bands", "bins", "small")
     dealt = rows.join(sets, "doc_id").select("bucket", F.explode(places).alias("p"), *member).select("bucket", "p.*", *member)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "beside", "doc_id")

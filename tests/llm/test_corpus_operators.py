@@ -97,6 +97,36 @@ def test_only_texts_that_are_compared_are_joined(spark):
     assert neardups.among(docs, ids.limit(0)).isEmpty()
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of ``df`` wrote when it was collected, and what was collected."""
+    conf = df.sparkSession.conf
+    held = {k: conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        # as with tables that are too large for a broadcast; without adaptive execution the plan stays in one piece
+        conf.set("spark.sql.adaptive.enabled", "false")
+        conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows, total = df.collect(), 0
+    finally:
+        for k, v in held.items():
+            conf.set(k, v)
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return total, rows
+
+
+def test_only_texts_that_are_listed_are_shuffled(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text")).union(spark.createDataFrame([(7, "z"), (None, "z")], "doc_id long, text string")).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    ids = spark.createDataFrame([(7,), (7,), (4000,), (9999,), (None,)], "doc_id long")
+    n, got = shuffled_rows(neardups.only(docs, ids))
+    assert sorted(map(tuple, got)) == [(7, "x y"), (7, "z"), (4000, "x y")]
+    assert n < 100
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_near_duplicates_chain_in_full_buckets(spark, monkeypatch, block):
     """Texts of which each is like its neighbours only, all in one bucket above the limit: no star or second star reaches them all."""
