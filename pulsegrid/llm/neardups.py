@@ -102,8 +102,8 @@ def _confirm(batches: Iterator[dict], width: int, percent: int) -> Iterator[dict
         yield found
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and few others: those whose hash is that of one.
+def marked(docs: DataFrame, ids: DataFrame, how: str = "left") -> DataFrame:
+    """``docs`` with ``_met``: true where doc_id is in ``ids`` (doc_id), and for few others, those whose hash is that of one.
 
     Before a join that needs some texts alone, so that others aren't shuffled.
     A bit for each of ``SLOTS`` hashes is broadcast, 4 MB whatever the corpus.
@@ -112,8 +112,14 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = ids.groupBy(F.bitmap_bucket_number(slot).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
     at = F.bitmap_bit_position(slot).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = docs.withColumn("_part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_part")
-    return met.where(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+    met = docs.withColumn("_part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_part", how)
+    bit = F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1
+    return met.select(*docs.columns, F.coalesce(bit, F.lit(False)).alias("_met"))
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and few others, see ``marked``."""
+    return marked(docs, ids, "inner").where("_met").select(*docs.columns)
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -284,12 +290,11 @@ def across(fuller: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 SET = ("set_a", "set_b", "n_shingles")
 
 
-def representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sketches, the classes (a set, first: its smallest doc_id), and doc_id, set_a, bands, bins of one document for each."""
+def representatives(own: DataFrame) -> DataFrame:
+    """Of sketches, the classes: a set, first (its smallest doc_id), bands and bins of one document for each."""
     some = own.where("set_a is not null and doc_id is not null")
     # equal sets have equal bands and bins, so that any row's will do
-    table = written(some.groupBy(*SET).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
-    return table.select(*SET, "first"), table.select(F.col("first").alias("doc_id"), "set_a", "bands", "bins")
+    return written(some.groupBy(*SET).agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
 
 
 def bucket_members(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -354,9 +359,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     share a doc_id count as one document with several sets; rows without a
     doc_id have no component and are not kept. Other columns are ignored.
     """
+    return _judged(docs, width, percent)[0]
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """``near_duplicates``, and the written tables that it reads when it is computed."""
     docs = docs.select("doc_id", "text")
     own = written(sketches(docs, width), "sketches")
-    classes, chosen = representatives(own)
+    classes = representatives(own)
+    chosen = classes.select(F.col("first").alias("doc_id"), "set_a", "bands", "bins")
     members, hubs = bucket_members(chosen)
     stars = members.join(hubs.drop("n"), "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct()
     links = written(confirmed(written(stars, "stars"), docs, width, percent), "links")
@@ -365,13 +376,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = components(links.unionByName(confirmed(near, docs, width, percent)))
     # a set may have most rows: by a hash, then by the set itself
     key = F.xxhash64(*SET).alias("key")
-    found = classes.join(groups.select(F.col("node").alias("first"), "component"), "first", "left")
-    found = found.select(key, *[F.col(c).alias(f"_{c}") for c in SET], F.coalesce("component", "first").alias("component_id"))
+    found = classes.select(*SET, "first").join(groups.select(F.col("node").alias("first"), "component"), "first", "left")
+    found = written(found.select(key, *[F.col(c).alias(f"_{c}") for c in SET], F.coalesce("component", "first").alias("component_id")), "found")
+    drop_written(classes, members, hubs)
     rows = own.where("doc_id is not null and set_a is not null").select("doc_id", *SET, key)
     same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in SET])
-    linked = rows.join(written(found, "found"), "key").where(same).select("doc_id", "n_shingles", "component_id")
+    linked = rows.join(found, "key").where(same).select("doc_id", "n_shingles", "component_id")
     alone = own.where("doc_id is null or set_a is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), (own, found)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -394,6 +406,21 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         own = own & F.coalesce(F.col("_hash") == F.col("_least"), F.lit(True))
     far = F.shiftrightunsigned(F.xxhash64("_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
     rows = rows.select("_doc", "text", F.when(own, F.col("_id")).otherwise(far).alias("_key"))
-    kept = near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), width, percent).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    others = F.xxhash64(F.to_json(F.struct(*[F.col("_doc")[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"])))
-    return rows.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min_by("_doc", others).alias("_doc")).select("_doc.*")
+    judged, read = _judged(rows.select(F.col("_key").alias("doc_id"), "text"), width, percent)
+    # keys that go or repeat; the rows of all others stay as they are and aren't shuffled
+    judged = judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    odd = written(judged.where("not kept or n > 1").select("doc_id", "kept"), "odd")
+    drop_written(*read)
+    return one_of_each(rows.select(F.col("_key").alias("doc_id"), "_doc"), odd, [c for c in docs.columns if c != "text"]).select("_doc.*")
+
+
+def one_of_each(rows: DataFrame, odd: DataFrame, columns: list[str]) -> DataFrame:
+    """``_doc`` of ``rows`` (doc_id, _doc), one for each doc_id: the first by a hash of ``columns`` of _doc.
+
+    ``odd`` (doc_id, kept) lists all that repeat or aren't kept; the latter are left out.
+    """
+    others = F.xxhash64(F.to_json(F.struct(*[F.col("_doc")[c].alias(f"c{k}") for k, c in enumerate(columns)])))
+    rows = marked(rows, odd.select("doc_id"))
+    first = rows.where("_met").groupBy("doc_id").agg(F.min_by("_doc", others).alias("_doc"))
+    first = first.join(odd.hint("merge"), "doc_id", "left").where(F.coalesce("kept", F.lit(True)))
+    return rows.where("not _met").select("_doc").unionByName(first.select("_doc"))

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pulsegrid.functions import stored
 from pulsegrid.llm import graphs, leaks, neardups, quality, suffixes, toxicity, urls
 from pulsegrid.llm.common import written
 from pulsegrid.llm.hashing import PLAIN, words
@@ -127,6 +128,23 @@ def test_only_texts_that_are_listed_are_shuffled(spark, tmp_path):
     assert n < 100
 
 
+def test_keep_one_shuffles_what_goes_or_repeats(spark, tmp_path):
+    """Of 3,000 documents some go and some repeat: the others aren't shuffled, and near_duplicates' tables are gone."""
+    spark.range(3000).select("id", F.lit("en").alias("lang")).union(spark.createDataFrame([(5, "de"), (5, "en"), (8, "de")], "id long, lang string")).select(F.col("id").alias("doc_id"), F.struct("id", "lang").alias("_doc")).write.parquet(f"{tmp_path}/rows")
+    odd = spark.createDataFrame([(5, True), (8, False), (2999, False)], "doc_id long, kept boolean")
+    n, got = shuffled_rows(neardups.one_of_each(spark.read.parquet(f"{tmp_path}/rows"), odd, ["id", "lang"]))
+    assert sorted(r._doc.id for r in got) == [k for k in range(3000) if k not in (8, 2999)]
+    assert n < 100
+    rng = random.Random(3)
+    texts = [prose(rng, 40) for _ in range(20)]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(30, texts[4], "en"), (6, texts[6], "de"), (None, texts[7], "en"), (None, "", "en"), (31, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    before = set(stored._PATHS)
+    kept = neardups.keep_one(docs)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([*((str(k), t) for k, t in enumerate(texts)), ("None", ""), ("31", "")])
+    assert not any(f"/{name}-" in path for path in set(stored._PATHS) - before for name in ("sketches", "classes", "found"))
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_near_duplicates_chain_in_full_buckets(spark, monkeypatch, block):
     """Texts of which each is like its neighbours only, all in one bucket above the limit: no star or second star reaches them all."""
